@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, quality_classifier, quality_rules, secrets, toxicity, url_filter
+from . import decontamination, mixing, near_dedup, pii, quality_classifier, quality_rules, secrets, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,17 +34,25 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.find_near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_mixing, op3_secrets, op4_pii, op5_quality_classifier, op8_toxicity, op10_url_filter)
+    for f in (op1_quality_rules, op2_mixing, op3_secrets, op4_pii, op5_quality_classifier, op6_near_dedup, op8_toxicity, op9_decontamination, op10_url_filter)
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.ORACLE_SQL, "op10_url_filter": url_filter.ORACLE_SQL}
