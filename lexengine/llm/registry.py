@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, near_dedup, pii, quality_classifier, quality_rules, secrets, toxicity, url_filter
+from . import decontamination, html_extract, mixing, near_dedup, pii, quality_classifier, quality_rules, secrets, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.find_near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,7 +56,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_mixing, op3_secrets, op4_pii, op5_quality_classifier, op6_near_dedup, op8_toxicity, op9_decontamination, op10_url_filter)
+    for f in (op1_quality_rules, op2_mixing, op3_secrets, op4_pii, op5_quality_classifier, op6_near_dedup, op7_html_extraction, op8_toxicity, op9_decontamination, op10_url_filter)
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.ORACLE_SQL, "op10_url_filter": url_filter.ORACLE_SQL}
