@@ -2,5 +2,569 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import text, vector
+from ..operators import chat, embed, forms, ingest, lookup, rerank, search, validate
+from . import lexicon as L
+from .lexicon import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _long(*names: str):
+    return [F.col(n).cast("bigint").alias(n) for n in names]
+
+
+# Search.
+
+COSINE = "list_reduce(list_prepend(0e0, list_transform(list_zip(q.e, r.e), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), lambda a, b: a + b)"
+_NORM = "sqrt(list_reduce(list_prepend(0e0, list_transform({0}, lambda x: x::DOUBLE * x::DOUBLE)), lambda a, b: a + b))"
+_SCORED = f"""
+q AS (SELECT vec_id AS qid, embedding AS e, {_NORM.format('embedding')} AS n FROM embeddings WHERE vec_id % 20 = 0),
+r AS (SELECT vec_id AS pos, label, embedding AS e, greatest({_NORM.format('embedding')}, 1e-10) AS n FROM embeddings),
+scored AS (SELECT qid, pos, label, round({COSINE} / (CASE WHEN q.n > 1e-10 THEN q.n ELSE 1e0 END * r.n), 6) AS score FROM q, r)"""
+
+
+def _vectors(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "pos")
+    return rows.where("pos % 20 = 0").select(F.col("pos").alias("qid"), F.col("embedding").alias("vector"), "label"), rows
+
+
+@query(f"WITH {_SCORED} SELECT qid, pos, score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos DESC) AS rank FROM scored) WHERE rank <= 10")
+def vec_topk_cosine(spark, sf_dir):
+    """Every twentieth vector is a query against all vectors."""
+    queries, rows = _vectors(spark, sf_dir)
+    return search.top_k(queries, rows, 10, decimals=6).select("qid", "pos", "score", *_long("rank"))
+
+
+@query(f"WITH {_SCORED} SELECT qid, pos, score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos DESC) AS rank FROM scored WHERE qid % 100 = 0) WHERE rank <= 10")
+def vec_topk_expressions(spark, sf_dir):
+    queries, rows = _vectors(spark, sf_dir)
+    return search.top_k_expressions(queries.where("qid % 100 = 0"), rows, 10, decimals=6).select("qid", "pos", "score", *_long("rank"))
+
+
+@query(f"""WITH {_SCORED}, near AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos DESC) AS r FROM scored),
+kept AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos DESC) AS rank FROM near WHERE r <= 10 AND label % 2 = 0)
+SELECT qid, pos, score, rank::BIGINT AS rank FROM kept WHERE rank <= 5""")
+def vec_topk_postfilter(spark, sf_dir):
+    """Twice k first, then the filter, then k: fewer than k rows are possible."""
+    queries, rows = _vectors(spark, sf_dir)
+    near = search.top_k(queries, rows, 10, decimals=6).drop("rank").join(rows.select("pos", "label"), "pos").where("label % 2 = 0")
+    return search._ranked(near, 5).select("qid", "pos", "score", *_long("rank"))
+
+
+@query(f"SELECT vec_id, round({_NORM.format('embedding')}, 9) AS norm, round(greatest({_NORM.format('embedding')}, 1e-10), 9) AS clipped FROM embeddings")
+def vec_norm_clip(spark, sf_dir):
+    n = vector.norm(F.col("embedding"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(n, 9).alias("norm"), F.round(F.greatest(n, F.lit(vector.LEAST_NORM)), 9).alias("clipped"))
+
+
+@query("SELECT vec_id, CASE WHEN label = 3 THEN 0e0 ELSE round(list_reduce(list_prepend(0e0, list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), lambda a, b: a + b), 9) END AS squared FROM embeddings")
+def vec_zero_fallback(spark, sf_dir):
+    failed = F.when(F.col("label") != 3, F.col("embedding"))
+    e = vector.or_zero(failed, 64)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vector.dot(e, e), 9).alias("squared"))
+
+
+_TOP20 = f"WITH {_SCORED}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos DESC) AS rank FROM scored) WHERE rank <= 20)"
+
+
+def _top20(spark, sf_dir):
+    queries, rows = _vectors(spark, sf_dir)
+    top = search.top_k(queries, rows, 20, decimals=6).join(rows.select("pos", "label"), "pos")
+    return rerank.batched(top, 8)
+
+
+@query(_TOP20 + """, s AS (SELECT *, ((pos * 7 + qid) % 101)::DOUBLE AS rel FROM top)
+SELECT qid, pos, rel AS rerank_score, new_rank::BIGINT AS new_rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, rank) AS new_rank FROM s) WHERE new_rank <= 10""")
+def two_stage_rerank(spark, sf_dir):
+    """Candidates in batches of 8 to a scorer that stands in for a model."""
+    docs = _top20(spark, sf_dir).withColumn("query", F.col("qid").cast("string")).withColumn("doc", F.col("pos").cast("string"))
+
+    def scorer(q: str, texts: list[str]) -> list[tuple[int, float]]:
+        return [(i, float((int(t) * 7 + int(q)) % 101)) for i, t in enumerate(texts)]
+
+    best = rerank.reranked(docs, rerank.score_batches(docs, scorer), 10)
+    return best.select("qid", "pos", "rerank_score", *_long("new_rank"))
+
+
+_TYPES = "['pn', 'prp', 'crd', 'av', 'aj', 'n', 'pc', 'ij', 'xx', ''][(label + 1)::INT]"
+
+
+@query(_TOP20 + f""", s AS (SELECT *, {_TYPES} AS word_type, ((pos * 7 + qid) % 101)::DOUBLE AS rel FROM top),
+w AS (SELECT *, rel * CASE word_type WHEN 'pn' THEN 5e0 WHEN 'prp' THEN 4.5e0 WHEN 'crd' THEN 4e0 WHEN 'av' THEN 3.5e0 WHEN 'aj' THEN 3e0 WHEN 'n' THEN 3e0 WHEN 'pc' THEN 2.5e0 WHEN 'ij' THEN 0.1e0 ELSE 1e0 END AS weighted FROM s)
+SELECT qid, pos, word_type, round(weighted, 6) AS rerank_score, new_rank::BIGINT AS new_rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY weighted DESC, rank) AS new_rank FROM w) WHERE new_rank <= 10""")
+def weighted_rerank(spark, sf_dir):
+    kinds = F.element_at(F.array(*[F.lit(x) for x in ("pn", "prp", "crd", "av", "aj", "n", "pc", "ij", "xx", "")]), F.col("label") + 1)
+    top = _top20(spark, sf_dir).withColumn("word_type", kinds)
+    scores = top.select("qid", "rank", ((F.col("pos") * 7 + F.col("qid")) % 101).cast("double").alias("relevance"))
+    best = rerank.reranked(top, scores, 10, rerank.type_weight(F.col("word_type")))
+    return best.select("qid", "pos", "word_type", F.round("rerank_score", 6).alias("rerank_score"), *_long("new_rank"))
+
+
+@query(_TOP20 + """, twice AS (SELECT qid, rank, rel FROM (SELECT qid, rank, (rank % 5)::DOUBLE AS rel FROM top UNION ALL SELECT qid, rank, (pos % 3)::DOUBLE FROM top))
+SELECT qid, rank::BIGINT AS rank, sum(rel) AS relevance FROM twice GROUP BY qid, rank""")
+def rerank_score_sum(spark, sf_dir):
+    top = _top20(spark, sf_dir)
+    one = top.select("qid", "rank", (F.col("rank") % 5).cast("double").alias("relevance"))
+    two = top.select("qid", "rank", (F.col("pos") % 3).cast("double").alias("relevance"))
+    return rerank.summed(one.unionByName(two)).select("qid", *_long("rank"), "relevance")
+
+
+@query(_TOP20 + """, per AS (SELECT t.qid, avg(CASE WHEN t.label = q.label THEN 1e0 ELSE 0e0 END) AS recall FROM top t JOIN (SELECT vec_id AS qid, label FROM embeddings) q ON t.qid = q.qid GROUP BY t.qid)
+SELECT round(avg(recall), 9) AS mean_recall, count(*) AS queries FROM per""")
+def eval_label_recall(spark, sf_dir):
+    """Share of neighbours with the query's label, averaged over queries."""
+    queries, _ = _vectors(spark, sf_dir)
+    hits = _top20(spark, sf_dir).join(queries.select("qid", F.col("label").alias("wanted")), "qid")
+    per = hits.groupBy("qid").agg(F.avg((F.col("label") == F.col("wanted")).cast("double")).alias("recall"))
+    return per.agg(F.round(F.avg("recall"), 9).alias("mean_recall"), F.count(F.lit(1)).alias("queries"))
+
+
+@query("""WITH e AS (SELECT lang AS category, unnest(['the', 'der', 'que', 'zzzz']) AS term FROM (SELECT DISTINCT lang FROM documents)),
+w AS (SELECT DISTINCT lang, lower(unnest(string_split_regex(text, '[ \\n\\t\\r]+'))) AS word FROM documents),
+f AS (SELECT DISTINCT category, term FROM e JOIN w ON category = lang AND contains(word, term))
+SELECT e.category, count(f.term) AS found, count(*) AS expected, count(f.term) / count(*)::DOUBLE AS recall FROM e LEFT JOIN f ON e.category = f.category AND e.term = f.term GROUP BY e.category""")
+def eval_expected_recall(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    expected = docs.select(F.col("lang").alias("category")).distinct().withColumn("terms", F.array(*[F.lit(x) for x in ("the", "der", "que", "zzzz")]))
+    return validate.expected_recall(expected, docs.select(F.col("lang").alias("category"), F.explode(F.split("text", r"[ \n\t\r]+")).alias("word")))
+
+
+# Lexicon and lookup.
+
+
+@query(f"WITH {L.SQL_ENTRIES} SELECT word, pos, n FROM entries")
+def lexicon_entries(spark, sf_dir):
+    place = F.min(F.col("doc_id") * 1000000 + F.col("i")).alias("pos")
+    return L.tokens(spark, sf_dir).groupBy("word").agg(place, F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {L.SQL_ENTRIES} SELECT substr(word, 1, 4) AS lemma, max(pos) AS pos, min(pos) AS first_pos, arg_max(word, pos) AS last_word FROM entries GROUP BY 1")
+def lexicon_last_wins(spark, sf_dir):
+    """Of equal keys the last entry holds, in the place of the first."""
+    rows = L.entries(spark, sf_dir).withColumn("lemma", F.substring("word", 1, 4))
+    return rows.groupBy("lemma").agg(F.max("pos").alias("pos"), F.min("pos").alias("first_pos"), F.max_by("word", "pos").alias("last_word"))
+
+
+@query(f"WITH {L.SQL_ENTRIES}, f AS (SELECT pos, word AS lemma, substr(word, 1, 4) AS form FROM entries) SELECT form, arg_min(lemma, pos) AS lemma FROM f GROUP BY form")
+def forms_first_wins(spark, sf_dir):
+    from ..operators.index import form_index
+
+    rows = L.entries(spark, sf_dir).select("pos", "word", F.substring("word", 1, 4).alias("form"))
+    return form_index(rows).select("form", "lemma")
+
+
+_LOOKUP = f"WITH {L.SQL_ENTRIES}, {L.SQL_INDEXES}, {L.SQL_ASKED}"
+_STAGE1 = ", s1 AS (SELECT qid, 1 AS stage, lemma, l.pos, lemma AS matched_form, 0e0 AS score, l.pos AS o FROM keyed JOIN lemmas l ON key = lemma)"
+_STAGE2 = """, k2 AS (SELECT * FROM keyed WHERE qid NOT IN (SELECT qid FROM s1)),
+s2 AS (SELECT qid, 2 AS stage, l.lemma, l.pos, form AS matched_form, 0e0 AS score, l.pos AS o FROM k2 JOIN forms f ON key = form JOIN lemmas l ON f.lemma = l.lemma)"""
+_STAGE3 = """, k3 AS (SELECT * FROM k2 WHERE qid NOT IN (SELECT qid FROM s2)),
+s3 AS (SELECT qid, 3 AS stage, lemma, l.pos, lemma AS matched_form, 0e0 AS score, l.pos AS o FROM k3 JOIN lemmas l ON norm = lemma_norm)"""
+_STAGE4 = """, k4 AS (SELECT * FROM k3 WHERE qid NOT IN (SELECT qid FROM s3)),
+s4 AS (SELECT qid, 4 AS stage, l.lemma, l.pos, arg_min(form, form_pos) AS matched_form, 0e0 AS score, min(form_pos) AS o FROM k4 JOIN forms f ON norm = form_norm JOIN lemmas l ON f.lemma = l.lemma GROUP BY ALL)"""
+_FOLDED = f"translate(lemma_norm, '{L.ACCENTS}', '{L.BASE}') = lemma_norm"
+_STAGE5 = f""", k5 AS (SELECT * FROM k4 WHERE qid NOT IN (SELECT qid FROM s4)),
+d5 AS (SELECT qid, norm, lemma, lemma_norm, pos, levenshtein(norm, lemma_norm) AS d FROM k5, lemmas WHERE {_FOLDED} AND translate(norm, '{L.ACCENTS}', '{L.BASE}') = norm AND abs(length(norm) - length(lemma_norm)) <= 2),
+c5 AS (SELECT *, {L.sql_score('norm', 'lemma_norm', 'd')} AS score FROM d5 WHERE d <= 2),
+s5 AS (SELECT * FROM (SELECT qid, 5 AS stage, lemma, pos, lemma AS matched_form, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, d, pos, lemma) AS o FROM c5) WHERE o <= 5)"""
+
+
+def _words(spark, sf_dir):
+    return L.asked(spark, sf_dir).select("qid", text.normal("word").alias("key")).withColumn("norm", text.fold("key"))
+
+
+@query(_LOOKUP + _STAGE1 + " SELECT qid, lemma, pos FROM s1")
+def lookup_exact(spark, sf_dir):
+    lemmas, _ = L.indexes(L.entries(spark, sf_dir))
+    return lookup.stage_exact(_words(spark, sf_dir), lemmas).select("qid", "lemma", "pos")
+
+
+@query(_LOOKUP + " SELECT qid, l.lemma, l.pos, form AS matched_form FROM keyed JOIN forms f ON key = form JOIN lemmas l ON f.lemma = l.lemma")
+def lookup_form(spark, sf_dir):
+    lemmas, forms_ = L.indexes(L.entries(spark, sf_dir))
+    return lookup.stage_form(_words(spark, sf_dir), forms_, lemmas).select("qid", "lemma", "pos", "matched_form")
+
+
+@query(_LOOKUP + " SELECT qid, lemma, l.pos FROM keyed JOIN lemmas l ON norm = lemma_norm")
+def lookup_folded_lemma(spark, sf_dir):
+    lemmas, _ = L.indexes(L.entries(spark, sf_dir))
+    return lookup.stage_folded_lemma(_words(spark, sf_dir), lemmas).select("qid", "lemma", "pos")
+
+
+@query(_LOOKUP + " SELECT qid, l.lemma, l.pos, arg_min(form, form_pos) AS matched_form FROM keyed JOIN forms f ON norm = form_norm JOIN lemmas l ON f.lemma = l.lemma GROUP BY ALL")
+def lookup_folded_form(spark, sf_dir):
+    lemmas, forms_ = L.indexes(L.entries(spark, sf_dir))
+    return lookup.stage_folded_form(_words(spark, sf_dir), forms_, lemmas).select("qid", "lemma", "pos", "matched_form")
+
+
+def _ascii_entries(spark, sf_dir):
+    # the oracle's edit distance counts bytes, so fuzzy queries are shown on words of plain letters
+    return L.entries(spark, sf_dir).where(F.translate("word", L.ACCENTS, L.BASE) == F.col("word"))
+
+
+def _plain(words):
+    return words.where(F.translate("norm", L.ACCENTS, L.BASE) == F.col("norm"))
+
+
+@query(_LOOKUP + f""", d5 AS (SELECT qid, norm, lemma, lemma_norm, pos, levenshtein(norm, lemma_norm) AS d FROM keyed, lemmas WHERE {_FOLDED} AND translate(norm, '{L.ACCENTS}', '{L.BASE}') = norm AND abs(length(norm) - length(lemma_norm)) <= 2),
+c5 AS (SELECT *, {L.sql_score('norm', 'lemma_norm', 'd')} AS score FROM d5 WHERE d <= 2)
+SELECT qid, lemma, score, r::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, d, pos, lemma) AS r FROM c5) WHERE r <= 5""")
+def lookup_fuzzy(spark, sf_dir):
+    lemmas, _ = L.indexes(_ascii_entries(spark, sf_dir))
+    return lookup.stage_fuzzy(_plain(_words(spark, sf_dir)), lemmas).select("qid", "lemma", "score", F.col("rank_pos").alias("rank"))
+
+
+@query(f"WITH {L.SQL_ENTRIES}, plain AS (SELECT word, pos FROM entries WHERE translate(word, '{L.ACCENTS}', '{L.BASE}') = word), p AS (SELECT a.word AS a, b.word AS b, levenshtein(a.word, b.word)::BIGINT AS d FROM plain a JOIN plain b ON left(a.word, 3) = left(b.word, 3) AND a.word < b.word AND a.pos < 3000000) SELECT a, b, d, {L.sql_score('a', 'b', 'd')} AS score FROM p WHERE d <= 2")
+def fuzzy_score(spark, sf_dir):
+    rows = _ascii_entries(spark, sf_dir)
+    a = rows.select(F.col("word").alias("a"), F.col("pos").alias("pa"), F.left("word", F.lit(3)).alias("k"))
+    pairs = a.join(rows.select(F.col("word").alias("b"), F.left("word", F.lit(3)).alias("k")), "k").where("a < b AND pa < 3000000")
+    near = pairs.withColumn("d", F.levenshtein("a", "b", 2)).where("d >= 0")
+    return near.select("a", "b", F.col("d").cast("bigint").alias("d"), text.fuzzy_score(F.col("a"), F.col("b"), F.col("d")).alias("score"))
+
+
+def _cascade(spark, sf_dir):
+    rows = _ascii_entries(spark, sf_dir)
+    lemmas, forms_ = L.indexes(rows)
+    plain = L.asked(spark, sf_dir).where(F.translate(text.fold(text.normal("word")), L.ACCENTS, L.BASE) == text.fold(text.normal("word")))
+    return rows, lemmas, forms_, plain
+
+
+_CASCADE = _LOOKUP.replace("words GROUP BY word)", f"words WHERE translate(word, '{L.ACCENTS}', '{L.BASE}') = word GROUP BY word)").replace("FROM asked)", f"FROM asked WHERE translate(translate(key, '{text.MACRONS}', '{text.PLAIN_VOWELS}'), '{L.ACCENTS}', '{L.BASE}') = translate(key, '{text.MACRONS}', '{text.PLAIN_VOWELS}'))") + _STAGE1 + _STAGE2 + _STAGE3 + _STAGE4 + _STAGE5 + ", hits AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4 UNION ALL SELECT * FROM s5), ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY o, lemma) AS rank FROM hits)"
+
+
+@query(_CASCADE + " SELECT qid, stage::BIGINT AS stage, rank::BIGINT AS rank, lemma, pos, matched_form, score FROM ranked")
+def lookup_cascade(spark, sf_dir):
+    """All five stages on words that exercise each."""
+    _, lemmas, forms_, words = _cascade(spark, sf_dir)
+    return lookup.lookup(words, lemmas, forms_).select("qid", *_long("stage", "rank"), "lemma", "pos", "matched_form", "score")
+
+
+@query(_CASCADE + """ SELECT qid, rank::BIGINT AS rank, f.word, f.de, f.en, CASE WHEN gender <> '' THEN gender END AS gender,
+  CASE WHEN matched_form <> f.word AND matched_form = f.word || 's' THEN matched_form END AS matched_form,
+  CASE WHEN matched_form <> f.word AND matched_form = f.word || 's' THEN 'declension/0/cases/0/plural' END AS path FROM ranked r JOIN full_entries f ON r.pos = f.pos""")
+def lookup_described(spark, sf_dir):
+    """Hits as callers see them, with the path of the matched form."""
+    rows, lemmas, forms_, words = _cascade(spark, sf_dir)
+    hits = forms.with_paths(lookup.described(lookup.lookup(words, lemmas, forms_), rows))
+    return hits.select("qid", *_long("rank"), "word", "de", "en", "gender", "matched_form", F.get("matched_paths", F.lit(0)).alias("path"))
+
+
+@query(_CASCADE + """, one AS (SELECT r.qid, f.word, f.de, f.en, '12' AS paradigm, f.gender FROM ranked r JOIN full_entries f ON r.pos = f.pos WHERE rank = 1)
+SELECT k.qid, one.word AS lemma, one.de, one.en, paradigm, gender, CASE WHEN one.word IS NULL THEN 'missing' END AS error FROM keyed k LEFT JOIN one ON k.qid = one.qid""")
+def word_forms(spark, sf_dir):
+    rows, lemmas, forms_, words = _cascade(spark, sf_dir)
+    out = forms.word_forms(words, rows, lemmas, forms_)
+    gender = F.when(F.col("lemma").isNotNull(), F.coalesce("gender", F.lit("")))
+    return out.select("qid", "lemma", "translations.de", "translations.en", "paradigm", gender.alias("gender"), F.when(F.col("error").isNotNull(), "missing").alias("error"))
+
+
+@query(f"WITH {L.SQL_ENTRIES} SELECT pos, 'declension/0/cases/0/singular' AS path, 0::BIGINT AS n FROM entries UNION ALL SELECT pos, 'label', 1::BIGINT FROM entries WHERE word = 'the'")
+def json_paths(spark, sf_dir):
+    """Paths by the table function, from SQL."""
+    forms.register(spark)
+    rows = L.entries(spark, sf_dir).withColumn("doc", F.when(F.col("word") == "the", F.concat(F.expr("left(forms_json, length(forms_json) - 1)"), F.lit(',"label":"THE"}'))).otherwise(F.col("forms_json")))
+    rows.createOrReplaceTempView("_lexicon_documents")
+    return spark.sql("SELECT pos, p.path, CAST(p.n AS BIGINT) AS n FROM _lexicon_documents, LATERAL json_string_paths(doc, word) AS p")
+
+
+# Text functions.
+
+
+@query(f"SELECT doc_id, translate(text, '{text.MACRONS}', '{text.PLAIN_VOWELS}') AS folded FROM (SELECT doc_id, translate(text, 'aeiou', 'āēīōū') AS text FROM documents)")
+def fold_macrons(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.translate("text", "aeiou", "āēīōū"))
+    return docs.select("doc_id", text.fold("text").alias("folded"))
+
+
+@query("SELECT doc_id, lower(regexp_extract(text, '^\\s*([\\p{L}\\p{N}_]+)', 1)) AS word_type FROM documents")
+def word_type(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.word_type("text").alias("word_type"))
+
+
+@query(f"""WITH {L.SQL_ENTRIES}, t AS (SELECT *, lower(regexp_extract(kind, '^\\s*([\\p{{L}}\\p{{N}}_]+)', 1)) AS wt FROM full_entries)
+SELECT pos, concat_ws(' | ', nullif(de, ''), nullif(en, '')) AS multilang,
+  concat_ws(' ', word, CASE WHEN wt <> '' THEN '[' || wt || ']' END, CASE WHEN gender <> '' THEN '(' || gender || ')' END, ': ' || de, CASE WHEN en <> '' THEN '| ' || en END) AS line,
+  word || ' [' || wt || ']: ' || de || ' | ' || en || ' |  | ' AS evaluation, trim(word || ' ' || de || ' ' || en, ' ') AS plain,
+  concat_ws('; ', CASE WHEN en <> '' THEN 'English: ' || en || ', ' || word || 'x' END, CASE WHEN de <> '' THEN 'German: ' || de END) AS passage FROM t""")
+def entry_formats(spark, sf_dir):
+    e = L.entries(spark, sf_dir)
+    kind = text.word_type("desc")
+    de, en = text.first_translation("translations", "miks"), text.first_translation("translations", "engl")
+    nothing = F.lit("")
+    return e.select("pos", text.multilang("translations").alias("multilang"), text.entry_line(F.col("word"), kind, F.col("gender"), de, en).alias("line"), text.evaluation_line(F.col("word"), kind, de, en, nothing, nothing).alias("evaluation"), text.plain_line(F.col("word"), de, en).alias("plain"), text.passage("translations").alias("passage"))
+
+
+@query(f"WITH {L.SQL_ENTRIES} SELECT pos FROM full_entries WHERE de <> '' OR en <> ''")
+def has_translation(spark, sf_dir):
+    return embed.embeddable(L.entries(spark, sf_dir)).select("pos")
+
+
+@query(f"WITH {L.SQL_ENTRIES} SELECT count(*) AS entries, count(*) FILTER (en <> '') AS with_engl, count(*) FILTER (de <> '') AS with_miks, count(*) AS with_forms FROM full_entries")
+def ingest_status(spark, sf_dir):
+    return ingest.status(L.entries(spark, sf_dir), ("engl", "miks")).select("entries", "with_engl", "with_miks", "with_forms")
+
+
+def _clean(column: str) -> str:
+    out = f"regexp_replace({column}, '<[^>]+>', '', 'g')"
+    for reference, sign in text.ENTITIES:
+        out = f"replace({out}, '{reference}', '{sign.replace(chr(39), chr(39) * 2)}')"
+    return f"trim(regexp_replace({out}, '[\\s\\x{{00A0}}]+', ' ', 'g'), ' ')"
+
+
+@query(f"SELECT page_id, {_clean("html")} AS cleaned FROM pages")
+def html_clean(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.clean("html").alias("cleaned"))
+
+
+_LI = "SELECT page_id, unnest(l) AS item, unnest(range(len(l))) AS n FROM (SELECT page_id, regexp_extract_all(h, '<li>(.*?)</li>', 1, 's') AS l FROM p)"
+
+
+@query(f"""WITH p AS (SELECT page_id, replace(replace(html, '<a href=', '<span class=''word''><a href='), '</a>', '</a></span><span class=''numb''> 7 </span>') AS h FROM pages), i AS ({_LI})
+SELECT page_id, n::BIGINT AS n, {_clean("regexp_extract(item, 'class=''word''>(.*?)</span>', 1)")} AS word, trim(regexp_extract(item, 'class=''numb''>(.*?)</span>', 1), ' ') AS paradigm FROM i WHERE {_clean("regexp_extract(item, 'class=''word''>(.*?)</span>', 1)")} <> ''""")
+def html_items(spark, sf_dir):
+    """List items of pages as word list rows; markup of the word list is put around the pages' links."""
+    marked = F.replace(F.replace("html", F.lit("<a href="), F.lit("<span class='word'><a href=")), F.lit("</a>"), F.lit("</a></span><span class='numb'> 7 </span>"))
+    return ingest.parse_results(table(spark, sf_dir, "pages").select("page_id", marked.alias("html"))).select("page_id", *_long("n"), "word", "paradigm")
+
+
+# Ingestion.
+
+
+@query("""WITH r AS (SELECT source, lang, doc_id, n_chars, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS r FROM documents)
+SELECT source, lang, doc_id, n_chars FROM r WHERE r = 1""")
+def lang_first_match(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("source", "lang", "doc_id", "n_chars")
+    return ingest.first_match(docs, ("source", "lang"), "doc_id")
+
+
+@query("""WITH r AS (SELECT source, lang, n_chars, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS r FROM documents),
+f AS (SELECT source, lang, n_chars FROM r WHERE r = 1 AND n_chars % 2 = 0)
+SELECT s.source, string_agg(f.lang || '=' || f.n_chars, ',' ORDER BY f.lang) AS translations FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN f ON s.source = f.source GROUP BY s.source""")
+def ingest_complete(spark, sf_dir):
+    """Stubs joined with the first row of each language; a first row that is empty leaves the language out."""
+    docs = table(spark, sf_dir, "documents")
+    results = docs.select(F.col("source").alias("word"), F.lit("").alias("paradigm"), "lang", F.col("doc_id").alias("n"), F.when(F.col("n_chars") % 2 == 0, F.array(F.col("n_chars").cast("string"))).otherwise(F.array().cast("array<string>")).alias("translations"))
+    stubs = docs.select(F.col("source").alias("word"), F.lit("").alias("paradigm")).distinct()
+    done = ingest.complete(stubs, results)
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("translations")), lambda e: F.concat(e["key"], F.lit("="), F.element_at(e["value"], 1))), ",")
+    return done.select(F.col("word").alias("source"), F.nullif(told, F.lit("")).alias("translations"))
+
+
+@query("SELECT d.doc_id, d.source FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id")
+def ingest_antijoin(spark, sf_dir):
+    return ingest.new_rows(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), ("doc_id",))
+
+
+@query("SELECT doc_id FROM labels UNION SELECT doc_id FROM documents")
+def ingest_union_dedupe(spark, sf_dir):
+    return ingest.merge(table(spark, sf_dir, "labels").select("doc_id"), table(spark, sf_dir, "documents").select("doc_id"), ("doc_id",))
+
+
+@query(f"SELECT a || b AS prefix FROM (SELECT unnest({ingest.ALPHABET!r}) AS a), (SELECT unnest({ingest.ALPHABET!r}) AS b)")
+def prefix_cross(spark, sf_dir):
+    return ingest.prefixes(spark)
+
+
+_LEVELS = ", ".join(f"c{k} AS (SELECT substr(word, 1, {k}) AS prefix, count(*) AS n FROM entries {f'JOIN c{k - 1} ON c{k - 1}.prefix = substr(word, 1, {k - 1}) AND c{k - 1}.n >= 30' if k > 2 else ''} WHERE length(word) >= {k} GROUP BY 1)" for k in range(2, 7))
+
+
+@query(f"WITH {L.SQL_ENTRIES}, {_LEVELS} " + " UNION ALL ".join(f"SELECT prefix, n FROM c{k}" for k in range(2, 7)))
+def prefix_subdivide(spark, sf_dir):
+    return ingest.subdivide(L.entries(spark, sf_dir))
+
+
+@query("SELECT doc_id, doc_id // 32 AS batch, doc_id % 32 AS index FROM documents")
+def batch_index(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") + 1).alias("rank"))
+    return rerank.batched(docs).select("doc_id", "batch", "index")
+
+
+_MEDIANS = """m AS (SELECT user_id % 50 AS key, event_id AS seq, list(value) OVER (PARTITION BY user_id % 50 ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS l, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS r FROM events),
+n AS (SELECT key, seq, r, list_sort(l)[len(l) // 2 + 1] AS median FROM m),
+b AS (SELECT *, max(CASE WHEN r = 20 THEN median END) OVER (PARTITION BY key) AS base FROM n)"""
+
+
+def _times(spark, sf_dir):
+    return table(spark, sf_dir, "events").select((F.col("user_id") % 50).cast("string").alias("key"), F.col("event_id").alias("seq"), F.col("value").alias("elapsed"))
+
+
+@query(f"""WITH RECURSIVE {_MEDIANS}, d AS (
+  SELECT key, r, 0.05e0 AS delay FROM b WHERE r = 1
+  UNION ALL SELECT b.key, b.r, CASE WHEN b.r > 20 AND b.median / b.base > 2e0 THEN least(d.delay * 1.5e0, 2e0) WHEN b.r > 20 AND b.median / b.base < 1.3e0 AND d.delay > 0.05e0 THEN greatest(d.delay * 0.8e0, 0.05e0) ELSE d.delay END
+  FROM d JOIN b ON b.key = d.key AND b.r = d.r + 1)
+SELECT b.key::VARCHAR AS key, b.seq, b.median, CASE WHEN b.r >= 20 THEN b.base END AS baseline, round(d.delay, 9) AS delay FROM b JOIN d ON b.key = d.key AND b.r = d.r""")
+def throttle_delay(spark, sf_dir):
+    """Median of the last 20, baseline and adaptive delay of fifty streams of times."""
+    return ingest.throttle(_times(spark, sf_dir)).select("key", "seq", "median", "baseline", F.round("delay", 9).alias("delay"))
+
+
+# Conversations.
+
+_MADE = "c AS (SELECT conv_id, turn, role, text, '<search query=\"' || role || '\" top_k=\"' || turn || '\" /> then <lookup word=\"w' || conv_id || '\" />' AS xml FROM conversations)"
+
+
+@query(f"WITH {_MADE} SELECT conv_id, turn, 0::BIGINT AS n, 'search' AS name, role AS first, turn::VARCHAR AS second FROM c UNION ALL SELECT conv_id, turn, 1::BIGINT, 'lookup', 'w' || conv_id, NULL FROM c")
+def tool_parse_xml(spark, sf_dir):
+    made = F.concat(F.lit('<search query="'), "role", F.lit('" top_k="'), F.col("turn").cast("string"), F.lit('" /> then <lookup word="w'), F.col("conv_id").cast("string"), F.lit('" />'))
+    calls = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(text.xml_calls(made)).alias("n", "c"))
+    get = lambda k: F.try_element_at("c.arguments", F.lit(k))
+    return calls.select("conv_id", "turn", *_long("n"), F.col("c.name").alias("name"), F.coalesce(get("query"), get("word")).alias("first"), get("top_k").alias("second"))
+
+
+@query("SELECT conv_id, turn, 'find' AS name, role AS asked, 'tag' AS via FROM conversations WHERE turn % 2 = 0 UNION ALL SELECT conv_id, turn, 'find', role, 'bare' FROM conversations WHERE turn % 2 = 1")
+def tool_parse_json(spark, sf_dir):
+    bare = F.concat(F.lit('{"name": "find", "arguments": {"q": "'), "role", F.lit('"}}'))
+    made = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("I call <tool_call>\n"), bare, F.lit("\n</tool_call> now"))).otherwise(F.concat(F.lit("say "), bare, F.lit(" end")))
+    calls = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(text.tagged_calls(made)).alias("c"))
+    return calls.select("conv_id", "turn", F.col("c.name").alias("name"), F.get_json_object("c.arguments", "$.q").alias("asked"), F.when(F.col("turn") % 2 == 0, "tag").otherwise("bare").alias("via"))
+
+
+@query("SELECT conv_id, turn, 'find' AS name, role AS q, turn::VARCHAR AS k FROM conversations WHERE turn % 3 <> 2 UNION ALL SELECT conv_id, turn, NULL, NULL, NULL FROM conversations WHERE turn % 3 = 2")
+def tool_parse_flexible(spark, sf_dir):
+    k = F.col("turn").cast("string")
+    made = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('find(q="'), "role", F.lit('", k='), k, F.lit(")"))).when(F.col("turn") % 3 == 1, F.concat(F.lit('{"name": "find", "arguments": {"q": "'), "role", F.lit('", "k": '), k, F.lit("}}"))).otherwise("no call")
+    call = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.flexible_call(made).alias("c"))
+    return call.select("conv_id", "turn", F.col("c.name").alias("name"), F.get_json_object("c.arguments", "$.q").alias("q"), F.get_json_object("c.arguments", "$.k").alias("k"))
+
+
+@query("SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS answer, CASE WHEN turn % 2 = 0 THEN 'to ' || role ELSE '' END AS translation FROM conversations")
+def response_split(spark, sf_dir):
+    made = F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit(" [DE:  to "), "role", F.lit("]"))).otherwise(F.col("text"))
+    r = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.split_response(made).alias("r"))
+    return r.select("conv_id", "turn", "r.answer", "r.translation")
+
+
+@query("""WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM conversations)
+SELECT conv_id, turn, n::BIGINT AS n, trim(line, ' ') AS de, 'p' || n AS pr FROM l WHERE trim(line, ' ') <> '' AND NOT contains(line, ';') AND NOT starts_with(trim(line, ' '), 'ERGEBNIS')""")
+def result_lines(spark, sf_dir):
+    """Lines of texts as result pairs behind the mark."""
+    made = F.concat(F.lit("thinking; no\nERGEBNIS:\n"), F.array_join(F.filter(F.transform(F.split("text", "\n"), lambda t, i: F.when((F.trim(t) != "") & ~F.contains(t, F.lit(";")), F.concat(t, F.lit(" ; p"), i.cast("string")))), lambda t: t.isNotNull()), "\n"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(text.result_lines(made, only_after_mark=True)).alias("p"))
+    return rows.select("conv_id", "turn", F.substring("p.pr", 2, 9).cast("bigint").alias("n"), "p.de", "p.pr")
+
+
+@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history, count(*) AS turns FROM conversations GROUP BY conv_id")
+def history_concat(spark, sf_dir):
+    return chat.history(table(spark, sf_dir, "conversations"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+
+
+@query(f"""SELECT conv_id, turn, list_sort(list_distinct(list_filter(list_transform(string_split_regex(regexp_replace(text, '[.,!?;:"()\\[\\]{{}}]', ' ', 'g'), '\\s+'), lambda w: lower(w)), lambda w: length(w) > 1 AND NOT list_contains([{_STOP}], w)))) AS words FROM conversations""".replace("AS words", "::VARCHAR AS words").replace("list_sort(", "array_to_string(list_sort(").replace("::VARCHAR AS words", ", ' ') AS words"))
+def content_words(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.sort_array(text.content_words("text")), " ").alias("words"))
+
+
+@query("SELECT conv_id, string_agg(w, ',' ORDER BY n, w) AS words FROM (SELECT conv_id, role || length(text) % 3 AS w, min(turn) AS n FROM conversations WHERE role <> 'system' GROUP BY 1, 2) GROUP BY conv_id")
+def used_words(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("n"), F.col("role").alias("name"), F.concat("role", (F.length("text") % 3).cast("string")).alias("word"))
+    return chat.used_words(rows, ("user", "assistant")).select("conv_id", F.array_join("words", ",").alias("words"))
+
+
+@query("""WITH r AS (SELECT conv_id, role AS call, turn, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS rank FROM conversations),
+l AS (SELECT conv_id, call, rank, '  ' || turn || ' [' || length(text) || '] (' || role_ || ')' AS line FROM (SELECT *, call AS role_ FROM r) WHERE rank <= 5
+  UNION ALL SELECT DISTINCT conv_id, call, 0, 'search "' || call || '":' FROM r)
+SELECT conv_id, string_agg(line, chr(10) ORDER BY call, rank) AS context FROM l GROUP BY conv_id""")
+def context_compact(spark, sf_dir):
+    rank = F.row_number().over(W.partitionBy("conv_id", "role").orderBy("turn"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("role").alias("call"), F.col("role").alias("asked"), rank.alias("rank"), F.col("turn").cast("string").alias("word"), F.length("text").cast("string").alias("de"), F.col("role").alias("en"))
+    return chat.context(rows)
+
+
+@query("""WITH s AS (SELECT event_id, user_id, event_type, ts, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS start FROM events),
+i AS (SELECT *, sum(start) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM s)
+SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, island ORDER BY ts, event_id)::BIGINT AS streak FROM i""")
+def dup_streak(spark, sf_dir):
+    return chat.repeats(table(spark, sf_dir, "events"), "user_id", "event_type", ("ts", "event_id")).select("event_id", "user_id", *_long("streak"))
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
+def distinct_calls(spark, sf_dir):
+    calls = table(spark, sf_dir, "events").select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("n"), F.col("event_type").alias("name"), F.lit("{}").alias("arguments"))
+    return chat.distinct_calls(calls).select(F.col("conv_id").alias("user_id"), F.col("name").alias("event_type"), F.col("n").alias("event_id"))
+
+
+@query("SELECT conv_id, role AS idx, string_agg(left(text, 9), '' ORDER BY turn) AS arguments, arg_max('call' || turn, turn) AS id FROM conversations GROUP BY conv_id, role")
+def stream_assembly(spark, sf_dir):
+    """Fragments of calls put together in order."""
+    parts = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream_id"), F.col("role").alias("idx"), F.col("turn").alias("seq"), F.concat(F.lit("call"), F.col("turn").cast("string")).alias("id"), F.col("role").alias("name"), F.left("text", F.lit(9)).alias("arguments"))
+    return chat.assemble_calls(parts).select(F.col("stream_id").alias("conv_id"), "idx", "arguments", "id")
+
+
+@query("SELECT event_id, 'e' || event_type AS event, event_id AS value FROM events WHERE event_type <> 'error'")
+def sse_parse(spark, sf_dir):
+    """Frames of an event stream; those whose data is no JSON are left out."""
+    data = F.when(F.col("event_type") == "error", "{broken").otherwise(F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), F.lit("}")))
+    frames = table(spark, sf_dir, "events").select("event_id", F.explode(text.sse_events(F.concat(F.lit("event: e"), "event_type", F.lit("\r\ndata: "), data, F.lit("\r\n\r\n")))).alias("e"))
+    return frames.select("event_id", "e.event", F.get_json_object("e.data", "$.id").cast("bigint").alias("value"))
+
+
+@query("SELECT doc_id, 'W' || doc_id AS base_form, 'f pl' AS grammar, CASE WHEN doc_id % 2 = 0 THEN source || ' 61(' || doc_id || ')' END AS source, true AS is_form FROM documents")
+def reference_desc_parse(spark, sf_dir):
+    d = F.col("doc_id").cast("string")
+    made = F.concat(F.lit("↑ W"), d, F.lit(" f pl"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" ["), "source", F.lit(" 61("), d, F.lit(")]"))).otherwise(""))
+    return table(spark, sf_dir, "documents").select("doc_id", text.reference_parts(made).alias("r")).select("doc_id", "r.*")
+
+
+@query(f"""WITH {L.SQL_ENTRIES}, {L.SQL_INDEXES}, s AS (SELECT item_id AS qid, string_split_regex(trim(regexp_replace(translate(text, '.,', '  '), '\\s+', ' ', 'g')), ' ') AS l FROM benchmark),
+t AS (SELECT qid, lower(unnest(l)) AS token, unnest(l) AS raw FROM s)
+SELECT qid, count(*) AS missing FROM t WHERE length(raw) >= 2 AND token NOT IN (SELECT lemma FROM lemmas) AND token NOT IN (SELECT form FROM forms)
+  AND translate(token, '{text.MACRONS}', '{text.PLAIN_VOWELS}') NOT IN (SELECT lemma_norm FROM lemmas) AND translate(token, '{text.MACRONS}', '{text.PLAIN_VOWELS}') NOT IN (SELECT form_norm FROM forms) GROUP BY qid""")
+def validate_sentence(spark, sf_dir):
+    """Tokens of benchmark items that the dictionary of the documents doesn't know, fuzzy matches aside."""
+    lemmas, forms_ = L.indexes(L.entries(spark, sf_dir))
+    tokens = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.posexplode(text.sentence_tokens("text")).alias("n", "token"))
+    asked = tokens.select(F.col("token").alias("qid"), F.col("token").alias("word"), F.lit(False).alias("fuzzy")).distinct()
+    found = lookup.lookup(asked, lemmas, forms_).select(F.col("qid").alias("token")).distinct()
+    return tokens.join(found, "token", "left_anti").groupBy("qid").agg(F.count(F.lit(1)).alias("missing"))
+
+
+@query(f"WITH {L.SQL_ENTRIES}, t AS (SELECT conv_id, turn, lower(regexp_extract(text, '([A-Za-z]+)', 1)) AS token FROM conversations) SELECT conv_id, turn, token, coalesce(nullif(f.de, ''), token) AS gloss FROM t LEFT JOIN full_entries f ON t.token = f.word")
+def gloss_tokens(spark, sf_dir):
+    tokens = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("n"), F.lower(F.regexp_extract("text", "([A-Za-z]+)", 1)).alias("token"))
+    hits = L.entries(spark, sf_dir).select(F.col("word").alias("token"), text.first_translation("translations", "miks").alias("de"), F.col("pos").alias("rank"))
+    return chat.gloss(tokens, hits).select(F.col("qid").alias("conv_id"), F.col("n").alias("turn"), "token", "gloss")
+
+
+@query(f"""SELECT item_id, {list(text.TOPICS)!r}[(item_id % 5 + 1)::INT] AS topic, 'In ' || CASE WHEN item_id % 2 = 0 THEN 'LT' ELSE 'DE' END || ': tools' AS prompt FROM benchmark""")
+def prompts(spark, sf_dir):
+    lang = F.when(F.col("item_id") % 2 == 0, "lt").otherwise("fr")
+    return table(spark, sf_dir, "benchmark").select("item_id", text.topic("item_id").alias("topic"), text.render_prompt(F.lit("In {lang_code}: {tools}"), lang, F.lit("tools")).alias("prompt"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'view' THEN 'lookup' WHEN 'click' THEN 'search' ELSE 'unknown' END AS tool,
+  CASE event_type WHEN 'view' THEN 'L' || user_id WHEN 'click' THEN 'S' || user_id ELSE 'Unknown tool: ' || event_type END AS result FROM events""")
+def tool_dispatch(spark, sf_dir):
+    """Calls split by tool, each part through its operator, put together again."""
+    calls = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("user_id").cast("string").alias("a"))
+    part = lambda where, tool, result: calls.where(where).select("event_id", F.lit(tool).alias("tool"), result.alias("result"))
+    found = part("event_type = 'view'", "lookup", F.concat(F.lit("L"), "a")).unionByName(part("event_type = 'click'", "search", F.concat(F.lit("S"), "a")))
+    return found.unionByName(part("event_type NOT IN ('view', 'click')", "unknown", F.concat(F.lit("Unknown tool: "), "event_type")))
+
+
+@query("""SELECT date_trunc('hour', ts) + INTERVAL (10 * (minute(ts) // 10)) MINUTE AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def event_windows(spark, sf_dir):
+    """Ten-minute windows, the batch form of the streaming aggregate."""
+    rows = table(spark, sf_dir, "events").withColumn("w", F.window("ts", "10 minutes"))
+    return rows.groupBy("w", "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
