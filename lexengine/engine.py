@@ -32,10 +32,10 @@ class Engine:
 
     @classmethod
     def build(cls, entries: DataFrame, embedder: Callable, reranker: Callable | None = None, form_rows: DataFrame | None = None) -> Engine:
-        """Indexes and vectors from entries; form_rows (pos, word, form) stands in for forms documents."""
-        lemmas = index.lemma_index(entries)
-        form_table = index.form_index(form_rows if form_rows is not None else index.exploded_forms(entries))
-        vectors = embed.build(entries, embedder).select("pos", "embedding")
+        """Indexes and vectors from entries, kept for the queries to come; form_rows (pos, word, form) stands in for forms documents."""
+        lemmas = index.lemma_index(entries).persist()
+        form_table = index.form_index(form_rows if form_rows is not None else index.exploded_forms(entries)).persist()
+        vectors = embed.build(entries, embedder).select("pos", "embedding").persist()
         return cls(entries, lemmas, form_table, vectors, embedder, reranker)
 
     def views(self) -> None:
