@@ -23,6 +23,15 @@ TOPICS = (
 )
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 RESULT_MARK = "ERGEBNIS:"
+# The formats of calls in model output.
+XML_CALL = r"(<\w+\s+[^/>]*/>)"
+XML_ATTRIBUTE = r'(\w+)="([^"]*)"'
+TAGGED_CALL = r"(?s)<tool_call>\s*(.*?)\s*</tool_call>"
+BARE_CALL = r'\{\s*"name"\s*:\s*"([^"]+)"\s*,\s*"arguments"\s*:\s*(\{[^}]*\})\s*\}'
+CALL_NAME = r'"name"\s*:\s*"([^"]+)"'
+CALL_ARGUMENTS = r'"arguments"\s*:\s*(\{[^}]+\}|\[[^\]]+\])'
+FUNCTION_CALL = r"^(\w+)\s*\(\s*([^)]+)\s*\)$"
+FUNCTION_ARGUMENT = r'(\w+)\s*=\s*(?:"([^"]*)"|(\d+))'
 
 
 def _c(x: Column | str) -> Column:
@@ -154,11 +163,11 @@ def reference_parts(desc: Column | str) -> Column:
 
 def xml_calls(x: Column | str) -> Column:
     """All calls of the form <name key="value" .../> as array<struct<name, arguments map>>."""
-    bodies = F.regexp_extract_all(_c(x), F.lit(r"(<\w+\s+[^/>]*/>)"), F.lit(1))
+    bodies = F.regexp_extract_all(_c(x), F.lit(XML_CALL), F.lit(1))
 
     def call(b: Column) -> Column:
-        keys = F.regexp_extract_all(b, F.lit(r'(\w+)="([^"]*)"'), F.lit(1))
-        values = F.regexp_extract_all(b, F.lit(r'(\w+)="([^"]*)"'), F.lit(2))
+        keys = F.regexp_extract_all(b, F.lit(XML_ATTRIBUTE), F.lit(1))
+        values = F.regexp_extract_all(b, F.lit(XML_ATTRIBUTE), F.lit(2))
         # the last of equal keys holds
         pairs = F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys), F.lit(1))), p["k"]))
         return F.struct(F.regexp_extract(b, r"<(\w+)", 1).alias("name"), F.map_from_entries(pairs).alias("arguments"))
@@ -170,11 +179,11 @@ def flexible_call(x: Column | str) -> Column:
     """struct(name, arguments json) from JSON, a name and arguments somewhere in it, or name(key="value"); null if none fits."""
     text = F.trim(_c(x))
     json_name, json_args = F.get_json_object(text, "$.name"), F.get_json_object(text, "$.arguments")
-    any_name = F.nullif(F.regexp_extract(text, r'"name"\s*:\s*"([^"]+)"', 1), F.lit(""))
-    any_args = F.nullif(F.regexp_extract(text, r'"arguments"\s*:\s*(\{[^}]+\}|\[[^\]]+\])', 1), F.lit(""))
-    fn = F.nullif(F.regexp_extract(text, r"^(\w+)\s*\(\s*([^)]+)\s*\)$", 1), F.lit(""))
-    inner = F.regexp_extract(text, r"^(\w+)\s*\(\s*([^)]+)\s*\)$", 2)
-    pattern = F.lit(r'(\w+)\s*=\s*(?:"([^"]*)"|(\d+))')
+    any_name = F.nullif(F.regexp_extract(text, CALL_NAME, 1), F.lit(""))
+    any_args = F.nullif(F.regexp_extract(text, CALL_ARGUMENTS, 1), F.lit(""))
+    fn = F.nullif(F.regexp_extract(text, FUNCTION_CALL, 1), F.lit(""))
+    inner = F.regexp_extract(text, FUNCTION_CALL, 2)
+    pattern = F.lit(FUNCTION_ARGUMENT)
     keys, texts, numbers = (F.regexp_extract_all(inner, pattern, F.lit(i)) for i in (1, 2, 3))
     pairs = F.transform(keys, lambda k, i: F.concat(F.lit('"'), k, F.lit('":'), F.when(F.length(F.get(numbers, i)) > 0, F.get(numbers, i)).otherwise(F.concat(F.lit('"'), F.replace(F.get(texts, i), F.lit('"'), F.lit('\\"')), F.lit('"')))))
     built = F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
@@ -184,8 +193,8 @@ def flexible_call(x: Column | str) -> Column:
 
 def tagged_calls(x: Column | str) -> Column:
     """Calls in <tool_call> tags, else bare JSON calls, as array<struct<name, arguments>>."""
-    tagged = F.transform(F.regexp_extract_all(_c(x), F.lit(r"(?s)<tool_call>\s*(.*?)\s*</tool_call>"), F.lit(1)), flexible_call)
-    bare = F.lit(r'\{\s*"name"\s*:\s*"([^"]+)"\s*,\s*"arguments"\s*:\s*(\{[^}]*\})\s*\}')
+    tagged = F.transform(F.regexp_extract_all(_c(x), F.lit(TAGGED_CALL), F.lit(1)), flexible_call)
+    bare = F.lit(BARE_CALL)
     names, arguments = F.regexp_extract_all(_c(x), bare, F.lit(1)), F.regexp_extract_all(_c(x), bare, F.lit(2))
     loose = F.transform(names, lambda n, i: F.struct(n.alias("name"), F.get(arguments, i).alias("arguments")))
     found = F.filter(tagged, lambda c: c.isNotNull())
@@ -233,3 +242,9 @@ def topic(seed: Column | str) -> Column:
 def render_prompt(template: Column | str, language: Column, tools: Column) -> Column:
     code = F.when(language == "lt", "LT").otherwise("DE")
     return F.replace(F.replace(_c(template), F.lit("{lang_code}"), code), F.lit("{tools}"), tools)
+
+
+def unwrap_blocks(blocks: Column | str) -> Column:
+    """Content blocks (type, text) as one JSON text: a single text block as itself, several as an array; other blocks left out."""
+    texts = F.transform(F.filter(_c(blocks), lambda b: (b["type"] == "text") & b["text"].isNotNull()), lambda b: F.when(F.try_parse_json(b["text"]).isNotNull(), b["text"]).otherwise(F.to_json(F.array(b["text"])).substr(F.lit(2), F.length(F.to_json(F.array(b["text"]))) - 2)))
+    return F.when(F.size(texts) == 1, F.get(texts, F.lit(0))).otherwise(F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")))

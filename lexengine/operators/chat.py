@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text
 
 
 def assemble_calls(fragments: DataFrame) -> DataFrame:
@@ -71,6 +70,11 @@ def history(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("history"), F.count(F.lit(1)).alias("turns"))
 
 
+def answered(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """Requests (id, sent, method) with their responses (id, received, result); works on streams too, with watermarks on sent and received."""
+    return requests.join(responses.withColumnRenamed("id", "response_id"), (F.col("id") == F.col("response_id")) & (F.col("received") >= F.col("sent")) & (F.col("received") <= F.col("sent") + F.expr("INTERVAL 30 SECONDS"))).drop("response_id")
+
+
 def gloss(tokens: DataFrame, hits: DataFrame) -> DataFrame:
     """Each token's German gloss, or the token itself; tokens (qid, n, token), hits (qid, token, de)."""
     first = hits.groupBy("token").agg(F.min_by("de", F.col("rank")).alias("de"))
@@ -117,6 +121,3 @@ def staged_answer(question: str, understand: Callable[[str], list[str]], plan: C
     words = words_of(plan(glossed))
     lines = [f'search "{w}":\n' + "\n".join(f"  {r['word']} [{r['de']}] ({r['en']})" for r in search(w)[:5]) for w in words]
     return final("\n".join(lines))
-
-
-STOP_WORDS = text.STOP_WORDS

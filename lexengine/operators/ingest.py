@@ -14,6 +14,15 @@ RESULT_CAP = 30
 MAX_DEPTH = 6
 KEY = ("word", "paradigm", "desc")
 LANGUAGES = ("engl", "miks", "leit", "latt", "pols", "mask")
+# The markup of its result pages.
+ITEM = r"(?s)<li>(.*?)</li>"
+WORD = r"class='word'>(.*?)</span>"
+NUMBER = r"class='numb'>(.*?)</span>"
+GENDER = r'class="gend">(.*?)</span>'
+DESCRIPTION = r"class='desc'>(.*?)</span>"
+AUDIO = r"src='(/upload/audio/[^']+)'"
+TRANSLATION = r"class='translation-child'>.*?class='translation-number'>\d+</span>\s*(.*?)</span>"
+NOTE = r'(?s)<div class="descripcio">(.*?)</div>\s*</div>'
 
 
 def prefixes(spark: SparkSession, alphabet: list[str] | None = None) -> DataFrame:
@@ -54,16 +63,16 @@ def merge(known: DataFrame, rows: DataFrame, key: tuple[str, ...] = KEY) -> Data
 
 def parse_results(pages: DataFrame, base: str = "", html: str = "html") -> DataFrame:
     """Word list rows of result pages: one per <li> that names a word, in page order."""
-    items = pages.select(*[c for c in pages.columns if c != html], F.posexplode(F.regexp_extract_all(html, F.lit(r"(?s)<li>(.*?)</li>"), F.lit(1))).alias("n", "item"))
+    items = pages.select(*[c for c in pages.columns if c != html], F.posexplode(F.regexp_extract_all(html, F.lit(ITEM), F.lit(1))).alias("n", "item"))
     one = lambda pattern: F.regexp_extract("item", pattern, 1)
-    children = F.regexp_extract_all("item", F.lit(r"class='translation-child'>.*?class='translation-number'>\d+</span>\s*(.*?)</span>"), F.lit(1))
-    audio = one(r"src='(/upload/audio/[^']+)'")
+    children = F.regexp_extract_all("item", F.lit(TRANSLATION), F.lit(1))
+    audio = one(AUDIO)
     return items.select(
-        *[c for c in items.columns if c != "item"], text.clean(one(r"class='word'>(.*?)</span>")).alias("word"), text.strip(one(r"class='numb'>(.*?)</span>")).alias("paradigm"),
-        text.strip(one(r'class="gend">(.*?)</span>')).alias("gender"), text.clean(one(r"class='desc'>(.*?)</span>")).alias("desc"),
+        *[c for c in items.columns if c != "item"], text.clean(one(WORD)).alias("word"), text.strip(one(NUMBER)).alias("paradigm"),
+        text.strip(one(GENDER)).alias("gender"), text.clean(one(DESCRIPTION)).alias("desc"),
         F.when(F.length(audio) > 0, F.concat(F.lit(base), audio)).otherwise("").alias("audio"),
         F.filter(F.transform(children, text.clean), lambda t: F.length(t) > 0).alias("translations_engl"),
-        text.clean(one(r'(?s)<div class="descripcio">(.*?)</div>\s*</div>')).alias("description"),
+        text.clean(one(NOTE)).alias("description"),
     ).where(F.length("word") > 0)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vector
 from ..operators import chat, embed, forms, ingest, lookup, rerank, search, validate
+from ..sources import prompts as prompt_files
 from . import lexicon as L
 from .lexicon import table
 
@@ -568,3 +569,75 @@ def event_windows(spark, sf_dir):
     """Ten-minute windows, the batch form of the streaming aggregate."""
     rows = table(spark, sf_dir, "events").withColumn("w", F.window("ts", "10 minutes"))
     return rows.groupBy("w", "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+@query("SELECT conv_id AS stream_id, turn, CASE WHEN role = 'assistant' THEN left(text, 6) || '|' || right(text, 3) ELSE '' END AS content, CASE WHEN role <> 'assistant' THEN left(text, 6) || '|' || right(text, 3) ELSE '' END AS reasoning FROM conversations")
+def stream_content(spark, sf_dir):
+    """Content and reasoning pieces put together by turn."""
+    kind = F.when(F.col("role") == "assistant", "content").otherwise("reasoning")
+    pieces = F.posexplode(F.array(F.left("text", F.lit(6)), F.lit("|"), F.right("text", F.lit(3)))).alias("seq", "piece")
+    deltas = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream_id"), "turn", kind.alias("kind"), pieces)
+    return chat.assemble_content(deltas)
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'done' WHEN 'purchase' THEN 'tool_call_delta' WHEN 'click' THEN 'reasoning_delta' ELSE 'content_delta' END AS event_type FROM events""")
+def event_routing(spark, sf_dir):
+    is_ = lambda t: F.when(F.col("event_type") == t, F.lit("x"))
+    rows = table(spark, sf_dir, "events").select("event_id", is_("error").alias("error"), is_("signup").alias("finish"), is_("purchase").alias("tool_call"), is_("click").alias("reasoning"), is_("view").alias("content"))
+    return chat.routed(rows).select("event_id", "event_type")
+
+
+@query("SELECT conv_id, turn, left(text, 20) || '</tool_call>' AS cut FROM conversations")
+def stream_cut(spark, sf_dir):
+    """What stands before the end of the first call."""
+    made = F.concat(F.left("text", F.lit(20)), F.lit("</tool_call>"), F.col("text"), F.lit("</tool_call>"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.stream_text(made).alias("cut"))
+
+
+@query("SELECT page_id, NOT (contains(url, '..') OR contains(url, '/')) AS whole, NOT (contains(regexp_extract(url, '([^/]*)$', 1), '..') OR contains(regexp_extract(url, '([^/]*)$', 1), '/')) AS last FROM pages")
+def safe_names(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", prompt_files.safe_name("url").alias("whole"), prompt_files.safe_name(F.regexp_extract("url", "([^/]*)$", 1)).alias("last"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS stamp FROM events")
+def time_stamps(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", prompt_files.stamp("ts").alias("stamp"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN props WHEN event_id % 3 = 1 THEN '[' || props || ',' || event_id || ']' ELSE '[]' END AS content FROM events")
+def json_unwrap(spark, sf_dir):
+    """Content blocks: one is itself, several are an array."""
+    block = lambda kind, x: F.struct(F.lit(kind).alias("type"), x.alias("text"))
+    number = F.col("event_id").cast("string")
+    made = F.when(F.col("event_id") % 3 == 0, F.array(block("text", F.col("props")), block("image", number))).when(F.col("event_id") % 3 == 1, F.array(block("text", F.col("props")), block("text", number))).otherwise(F.array(block("image", number)))
+    return table(spark, sf_dir, "events").select("event_id", text.unwrap_blocks(made).alias("content"))
+
+
+@query("""SELECT a.event_id AS id, b.event_id AS answer FROM events a JOIN events b ON b.event_id = a.event_id + 1 AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 30 SECONDS""")
+def response_match(spark, sf_dir):
+    """Requests joined with their responses by id within half a minute."""
+    events = table(spark, sf_dir, "events")
+    requests = events.select(F.col("event_id").alias("id"), F.col("ts").alias("sent"), F.col("event_type").alias("method"))
+    responses = events.select((F.col("event_id") - 1).alias("id"), F.col("ts").alias("received"), F.col("event_id").alias("answer"))
+    return chat.answered(requests, responses).select("id", "answer")
+
+
+@query("SELECT count(*)::BIGINT AS entries, sum(length(text))::BIGINT AS chars, ceil(count(*) / 32e0)::BIGINT AS batches FROM documents")
+def batch_statistics(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.agg(F.count(F.lit(1)).alias("entries"), F.sum(F.length("text").cast("bigint")).alias("chars"), F.ceil(F.count(F.lit(1)) / 32).alias("batches"))
+
+
+@query("""SELECT '- search_dictionary(query: string, top_k: integer = 10, use_reranker: boolean = false): Semantic search; several related terms work best.' || chr(10)
+  || '- lookup_word(word: string, fuzzy: boolean = true): Looks up a lemma or an inflected form.' || chr(10) || '- get_word_forms(lemma: string): All inflected forms of a lemma.' AS tools""")
+def tool_prompt(spark, sf_dir):
+    return chat.tool_descriptions(prompt_files.tool_table(spark))
+
+
+@query("""WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM conversations)
+SELECT conv_id, turn, trim(line, ' ') AS de, 'xyz' AS pr FROM l WHERE NOT contains(line, ';') AND length(trim(line, ' ')) > 2 AND NOT regexp_matches(lower(line), 'beispiel|example') AND NOT starts_with(trim(line, ' '), 'ERGEBNIS')""")
+def result_lines_loose(spark, sf_dir):
+    """The fallback for responses without a mark."""
+    made = F.array_join(F.transform(F.filter(F.split("text", "\n"), lambda t: ~F.contains(t, F.lit(";"))), lambda t: F.concat(t, F.lit(";xyz"))), "\n")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(text.loose_result_lines(made)).alias("p"))
+    return rows.select("conv_id", "turn", "p.de", "p.pr")
