@@ -1 +1,42 @@
 """A lexical and semantic retrieval engine on Spark DataFrames."""
+
+from __future__ import annotations
+
+import atexit
+import os
+import shutil
+import tempfile
+import zipfile
+from collections.abc import Callable
+from functools import wraps
+
+
+def ship(spark) -> None:
+    """Hands this package to the session's executors, once; they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_lexengine_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    # the driver serves this file to executors until it ends
+    folder = tempfile.mkdtemp(prefix="lexengine-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "lexengine.zip")
+    with zipfile.ZipFile(path, "w") as packed:
+        for base, _, files in os.walk(top):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    full = os.path.join(base, name)
+                    packed.write(full, os.path.join("lexengine", os.path.relpath(full, top)))
+    context.addPyFile(path)
+    context._lexengine_shipped = True
+
+
+def shipped(query: Callable) -> Callable:
+    """A query that sees to it first that executors have the package."""
+
+    @wraps(query)
+    def run(spark, *rest):
+        ship(spark)
+        return query(spark, *rest)
+
+    return run
