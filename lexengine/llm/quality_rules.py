@@ -29,8 +29,9 @@ SYMBOLS = b"#*$%&|<>"
 FEATURES = ("f_symbol", "f_upper", "f_digit", "f_bang", "f_adjacent", "f_repeat", "f_lines", "f_length")
 P = len(FEATURES)
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
-#: Smallest standard deviation that a feature is taken to have; keeps degenerate features (all zero) from rejecting on noise.
-FLOOR = np.array([0.04, 0.06, 0.06, 0.05, 0.06, 0.08, 0.15, 0.06])
+#: Smallest standard deviation that a feature is taken to have; keeps degenerate features (all zero) from rejecting on noise,
+#: and repeats below the base rules' limit from rejecting by themselves.
+FLOOR = np.array([0.04, 0.06, 0.06, 0.05, 0.06, 0.10, 0.15, 0.06])
 #: Share of a group that the estimate rests on.
 H = 0.7
 STEPS = 2
