@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import as_bytes, only
-from .training import labelled_texts
+from .training import labelled
 
 VOCABULARY = 2_000
 TELLING = 3.0
@@ -60,14 +60,19 @@ def _vocabulary(sets: list[set[bytes]], toxic: np.ndarray) -> tuple[list[bytes],
     return [w for _, w in sorted(ranked)[:VOCABULARY]], telling
 
 
-def fit(rows: list[tuple[bytes, int]]) -> dict | None:
-    """Weights by word, and thresholds; None without both labels."""
-    # equal texts count once
+def distinct(data: bytes) -> str:
+    """The distinct tokens of a text, sorted, one a line: what training needs of it."""
+    return b"\n".join(sorted(set(tokens(data)))).decode("utf-8", "replace")
+
+
+def fit(rows: list[tuple[str, int]]) -> dict | None:
+    """Weights by word, and thresholds, from (distinct tokens, label) rows; None without both labels."""
+    # texts of equal words count once
     rows = sorted(dict(rows).items())
     toxic = np.array([label == 1 for _, label in rows], bool)
     if not toxic.any() or toxic.all():
         return None
-    sets = [set(tokens(t)) for t, _ in rows]
+    sets = [set(t.encode().split(b"\n")) for t, _ in rows]
     vocabulary, telling = _vocabulary(sets, toxic)
     heavy = np.array([len(s & telling) for s in sets])
     cuts = np.quantile(heavy[toxic], [1 / 3, 2 / 3])
@@ -116,7 +121,7 @@ def severity(data: bytes, model: dict | None) -> tuple[float, int, bool]:
 
 def grade(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, expected_severity, severity (0 to 3) and toxic, per document."""
-    model = fit(labelled_texts(docs, labels, "toxic", rare_first=True))
+    model = fit(labelled(docs, labels, "toxic", distinct, "string", rare_first=True))
     slim = only(docs, "doc_id", "text")
     schema = T.StructType([slim.schema["doc_id"], *T._parse_datatype_string("expected_severity double, severity int, toxic boolean")])
 

@@ -1,14 +1,17 @@
-"""The bounded sample of labelled texts on which classifiers are trained."""
+"""The bounded sample of labelled documents on which classifiers are trained."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import as_bytes
+
 #: Most labelled rows that a classifier is fitted on; taken in the order of a hash of their ids, so the same at every run.
 MAX_TRAINING_ROWS = 6_000
-#: Training texts are read up to this many characters; scored texts are read whole.
-MAX_TRAINING_CHARS = 20_000
 HELD_OUT = 2
 
 
@@ -17,10 +20,11 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, target: str, rows: int = MAX_TRAINING_ROWS, rare_first: bool = False) -> list[tuple[bytes, int]]:
-    """(text, label) of at most ``rows`` labelled documents, none of them held out.
+def labelled(docs: DataFrame, labels: DataFrame, target: str, make: Callable[[bytes], object], kind: str, rare_first: bool = False, rows: int = MAX_TRAINING_ROWS) -> list[tuple[object, int]]:
+    """(features, label) of at most ``rows`` labelled documents, none of them held out.
 
-    With rare_first at most half of the sample has either label, when there are that many of both.
+    Features are made of whole texts on the executors by ``make``, of SQL type ``kind``; only they come to the
+    driver.  With rare_first at most half of the sample has either label.
     """
     known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(target).cast("int").alias("label"))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("label")]
@@ -29,6 +33,12 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, target: str, rows: int =
         chosen = known.where("label > 0").orderBy(*by_hash).limit(half).unionByName(known.where("label <= 0").orderBy(*by_hash).limit(half))
     else:
         chosen = known.orderBy(*by_hash).limit(rows)
-    slim = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, MAX_TRAINING_CHARS).alias("text"))
-    sample = slim.join(F.broadcast(chosen), "doc_id").orderBy(*by_hash, "text").limit(rows).collect()  # bounded by rows * MAX_TRAINING_CHARS
-    return [(r.text.encode(), r.label) for r in sample]
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([make(t) for t in as_bytes(batch.column("text"))], {"array<double>": pa.list_(pa.float64()), "string": pa.string()}[kind])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label").cast(pa.int32()), made], names=["doc_id", "label", "features"])
+
+    found = sample.mapInArrow(run, f"doc_id bigint, label int, features {kind}").orderBy(*by_hash, "features").limit(rows)
+    return [(r.features, r.label) for r in found.collect()]
