@@ -62,6 +62,21 @@ class Engine:
     def validate(self, sentences: DataFrame) -> DataFrame:
         return validate.validate(sentences, self.lemmas, self.forms)
 
+    def dispatch(self, calls: DataFrame, top_k: int = 5) -> DataFrame:
+        """A batch of calls (qid, name, arguments map): qid and the result as JSON, each tool's calls in one plan."""
+        get = lambda k: F.try_element_at("arguments", F.lit(k))
+        listed = lambda rows, *cols: rows.groupBy("qid").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.struct(*cols).alias("row")))), lambda x: x["row"])).alias("result"))
+        search_ = calls.where(F.col("name").isin("search_dictionary", "search")).select("qid", get("query").alias("query"))
+        look = calls.where(F.col("name").isin("lookup_word", "lookup")).select("qid", get("word").alias("word"), F.coalesce(get("fuzzy"), F.lit("true")).cast("boolean").alias("fuzzy"))
+        record = calls.where(F.col("name").isin("get_word_forms", "get_forms")).select("qid", get("lemma").alias("word"))
+        check = calls.where("name = 'validate'").select("qid", get("sentence").alias("sentence"))
+        found = listed(self.search_dictionary(search_, top_k), "word", "de", "en").unionByName(listed(self.lookup_word(look).where("rank <= 10"), "word", "de", "en", "gender", "matched_form", "matched_paths"))
+        whole = lambda rows: rows.select("qid", F.to_json(F.struct(*[F.col(c) for c in rows.columns if c != "qid"])).alias("result"))
+        found = found.unionByName(whole(self.get_word_forms(record))).unionByName(whole(self.validate(check)))
+        known = F.col("name").isin("search_dictionary", "search", "lookup_word", "lookup", "get_word_forms", "get_forms", "validate")
+        missing = F.when(known, F.lit("[]")).otherwise(F.to_json(F.struct(F.concat(F.lit("Unknown tool: "), "name").alias("error"))))
+        return calls.join(found, "qid", "left").select("qid", F.coalesce("result", missing).alias("result"))
+
     def call_tool(self, name: str, arguments: dict) -> list[dict] | dict:
         """One tool call, by name; results are rows as dictionaries without empty keys."""
         spark: SparkSession = self.entries.sparkSession

@@ -248,3 +248,13 @@ def unwrap_blocks(blocks: Column | str) -> Column:
     """Content blocks (type, text) as one JSON text: a single text block as itself, several as an array; other blocks left out."""
     texts = F.transform(F.filter(_c(blocks), lambda b: (b["type"] == "text") & b["text"].isNotNull()), lambda b: F.when(F.try_parse_json(b["text"]).isNotNull(), b["text"]).otherwise(F.to_json(F.array(b["text"])).substr(F.lit(2), F.length(F.to_json(F.array(b["text"]))) - 2)))
     return F.when(F.size(texts) == 1, F.get(texts, F.lit(0))).otherwise(F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")))
+
+
+def completion_deltas(x: Column | str) -> Column:
+    """array<struct<content, reasoning>> of a completion stream's "data:" lines, up to its [DONE]."""
+    lines = F.split(F.replace(_c(x), F.lit("\r"), F.lit("")), "\n")
+    end = F.array_position(lines, F.lit("data: [DONE]"))
+    data = F.filter(F.when(end > 0, F.slice(lines, F.lit(1), end.cast("int") - 1)).otherwise(lines), lambda t: F.startswith(t, F.lit("data: ")))
+    deltas = F.transform(data, lambda t: F.substr(t, F.lit(7)))
+    known = F.filter(deltas, lambda d: F.try_parse_json(d).isNotNull())
+    return F.transform(known, lambda d: F.struct(F.get_json_object(d, "$.choices[0].delta.content").alias("content"), F.get_json_object(d, "$.choices[0].delta.reasoning_content").alias("reasoning")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -124,3 +126,40 @@ def throttle(times: DataFrame, window: int = 20, least: float = 0.05, most: floa
 
     start = F.array(F.struct(F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("double").alias("median"), F.lit(None).cast("double").alias("baseline"), F.lit(least).cast("double").alias("delay")))
     return folded.select("key", F.explode(F.aggregate("rows", start, step)).alias("r")).where("r.seq IS NOT NULL").select("key", "r.*")
+
+
+def search_requests(prefixes_: DataFrame, base: str, dialect: str, language: str = "engl") -> DataFrame:
+    """prefix and the address that asks for it."""
+    return prefixes_.select("prefix", F.concat(F.lit(f"{base}/?s="), F.url_encode("prefix"), F.lit(f"&language={language}&dia={dialect}")).alias("url"))
+
+
+def form_requests(stubs: DataFrame, base: str, dialect: str) -> DataFrame:
+    """Key and form body of the requests for inflection tables: only of words that have a paradigm."""
+    body = F.to_json(F.struct("word", F.col("paradigm").alias("numb"), "desc", F.lit(dialect).alias("dia")))
+    return stubs.where(F.length("paradigm") > 0).select(*KEY, F.lit(base).alias("url"), body.alias("body"))
+
+
+def enumerate_words(start: DataFrame, ask: Callable[[DataFrame], DataFrame], known: DataFrame, alphabet: list[str] | None = None, cap: int = RESULT_CAP, depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
+    """Phase one: word list rows of all prefixes, and the prefixes asked.
+
+    ask takes (prefix) rows and gives word list rows with their prefix, at most ``cap`` for each; a prefix at the
+    cap is asked again with each letter added, down to ``depth`` letters.  Each round is kept, so that a source is
+    asked once.
+    """
+    letters = start.sparkSession.createDataFrame([(x,) for x in alphabet or ALPHABET], "letter string")
+    live, found, asked = start.select("prefix").distinct(), known, None
+    for _ in range(depth):
+        got = ask(live).persist()
+        asked = live if asked is None else asked.unionByName(live)
+        found = merge(found, got.select(*known.columns))
+        full = got.groupBy("prefix").count().where((F.col("count") >= cap) & (F.length("prefix") < depth)).select("prefix")
+        live = full.crossJoin(F.broadcast(letters)).select(F.concat("prefix", "letter").alias("prefix")).persist()
+        if live.isEmpty():
+            break
+    return found, asked
+
+
+def complete_words(stubs: DataFrame, done: DataFrame, results: DataFrame, forms: DataFrame | None = None) -> DataFrame:
+    """Phase two: entries of the stubs that aren't done, with translations and, where given, forms (word, paradigm, desc, forms_json)."""
+    rows = complete(new_rows(stubs, done), results)
+    return rows.join(forms, list(KEY), "left") if forms is not None else rows.withColumn("forms_json", F.lit(None).cast("string"))

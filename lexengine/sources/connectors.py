@@ -129,3 +129,21 @@ def fetch_pages(requests: DataFrame, get: Callable[[str], str], delay: float = 0
                 yield pd.DataFrame({"url": [url], "html": [get(url)]})
 
     return requests.select("url").mapInPandas(run, "url string, html string")
+
+
+def http_chat(settings: Settings, url: str, model: str, wait: Callable[[float], None] = time.sleep) -> Callable[[list[dict]], str]:
+    """A chat service; its reasoning is taken where there is one, else its content.  Tried three times, two seconds apart."""
+
+    def call(messages: list[dict]) -> str:
+        for attempt in range(3):
+            try:
+                answer = json.loads(fetch(f"{url}/chat/completions", {"model": model, "messages": messages}, {"Authorization": f"Bearer {settings.api_key}"}, retries=1, timeout=300.0))
+                message = answer["choices"][0]["message"]
+                return message.get("reasoning_content") or message.get("content") or ""
+            except urllib.error.HTTPError:
+                if attempt == 2:
+                    raise
+                wait(2.0)
+        return ""
+
+    return call

@@ -221,3 +221,70 @@ def test_ingest_resumes(spark):
     once = ingest.merge(known, a)
     assert once.count() == 2 and ingest.merge(once, a).count() == 2
     assert ingest.remaining(ingest.prefixes(spark), spark.createDataFrame([("ab",)], "prefix string")).count() == 728
+
+
+def test_batch_of_calls(spark, engine):
+    calls = [(1, "lookup", {"word": "semme"}), (2, "search", {"query": "German: Gott"}), (3, "get_forms", {"lemma": "kwaita"}), (4, "nothing", {}), (5, "lookup", {"word": "deiws", "fuzzy": "false"}), (6, "validate", {"sentence": "buttan"})]
+    got = {r.qid: json.loads(r.result) for r in engine.dispatch(spark.createDataFrame(calls, "qid bigint, name string, arguments map<string,string>"), 1).collect()}
+    assert got[1][0]["de"] == "Erde" and got[2] == [{"word": "deiwas", "de": "Gott", "en": ""}] and got[3]["lemma"] == "kwaitītun"
+    assert got[4] == {"error": "Unknown tool: nothing"} and got[5] == [] and got[6] == {"valid": True, "issues": []}
+
+
+def test_evaluation(spark, engine):
+    from lexengine.operators.evaluate import evaluate
+
+    questions = spark.createDataFrame([("house", "English: house", ["BUTT"]), ("god", "German: Gott", ["deiwas", "none"])], "category string, query string, terms array<string>")
+    rows = evaluate(engine, questions, 3).collect()
+    assert {r.method for r in rows} == {"embedding", "two stages", "corpus"} and len(rows) == 6
+    assert {r.recall for r in rows if r.category == "god" and r.method != "corpus"} == {0.5}
+
+
+def test_enumeration_subdivides_and_completes(spark):
+    words = [f"ab{a}{b}" for a in "abde" for b in "abdeghij"] + ["gi"]
+    source = spark.createDataFrame([(w, "1", "n") for w in words], "word string, paradigm string, desc string")
+
+    def ask(prefixes):
+        hit = prefixes.join(source, F.startswith("word", "prefix"))
+        n = F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("prefix").orderBy("word"))
+        return hit.withColumn("n", n).where("n <= 30").drop("n")
+
+    start = spark.createDataFrame([("ab",), ("gi",), ("zz",)], "prefix string")
+    found, asked = ingest.enumerate_words(start, ask, source.limit(0))
+    assert {r.word for r in found.collect()} == set(words)
+    assert {r.prefix for r in asked.collect()} > {"ab", "gi", "zz", "aba"}
+    results = spark.createDataFrame([("gi", "1", "miks", 0, ["eins"]), ("gi", "1", "miks", 1, ["zwei"]), ("gi", "1", "engl", 0, [])], "word string, paradigm string, lang string, n int, translations array<string>")
+    done = source.where("word <> 'gi'")
+    assert [(r.word, r.translations) for r in ingest.complete_words(source, done, results).collect()] == [("gi", {"miks": ["eins"]})]
+    assert ingest.search_requests(start, "http://x", "d").first().url == "http://x/?s=ab&language=engl&dia=d"
+    assert ingest.form_requests(source, "http://x", "d").count() == len(words)
+
+
+def test_completion_stream(spark):
+    stream = 'data: {"choices":[{"delta":{"content":"a"}}]}\n\ndata: {broken\n\ndata: {"choices":[{"delta":{"reasoning_content":"r"}}]}\n\ndata: [DONE]\n\ndata: {"choices":[]}'
+    assert [tuple(d) for d in one(spark, text.completion_deltas(F.lit(stream)))] == [("a", None), (None, "r")]
+
+
+def test_chat_service(monkeypatch):
+    from lexengine.sources import connectors
+
+    monkeypatch.setattr(connectors, "fetch", lambda *a, **k: json.dumps({"choices": [{"message": {"content": "c", "reasoning_content": "r"}}]}))
+    assert connectors.http_chat(connectors.Settings(), "http://x", "m")([]) == "r"
+
+
+def test_prompts_and_tools(spark, tmp_path):
+    from lexengine.sources import prompts
+
+    assert prompts.load_prompt(str(tmp_path / "none")) == prompts.DEFAULT_PROMPT
+    tools = [json.loads(r.tool) for r in prompts.function_format(prompts.tool_table(spark)).orderBy("n").collect()]
+    assert tools[0]["function"]["parameters"]["required"] == ["query"] and tools[1]["function"]["parameters"]["properties"]["fuzzy"] == {"type": "boolean", "default": "true"}
+
+
+def test_dialogue_loops():
+    from lexengine.operators import chat
+
+    replies = iter(["call", "call", "call", "done"])
+    parse = lambda t: [{"name": "lookup", "arguments": {"w": 1}}] if t == "call" else []
+    answer, calls = chat.generate(lambda m: next(replies), lambda n, a: {"ok": 1}, "s", "u", parse)
+    assert answer == "call" and len(calls) == 1
+    out = chat.staged_answer("q", lambda q: ["Ich"], lambda g: g + " Haus", lambda w: [{"word": w, "de": "d", "en": "e"}], lambda c: c, str.split)
+    assert out.splitlines() == ['search "Ich":', "  Ich [d] (e)", 'search "Haus":', "  Haus [d] (e)"]
