@@ -18,6 +18,7 @@ if TYPE_CHECKING:
 
 TOP = 20
 EVALUATION_BATCH = 50
+MAX_QUESTIONS = 10_000
 
 
 def corpus_top(entries: DataFrame, queries: DataFrame, model: Callable, k: int = TOP, batch: int = EVALUATION_BATCH) -> DataFrame:
@@ -27,8 +28,10 @@ def corpus_top(entries: DataFrame, queries: DataFrame, model: Callable, k: int =
     some = (F.size(F.coalesce(F.try_element_at("translations", F.lit("miks")), F.array().cast("array<string>"))) > 0) | (F.size(F.coalesce(F.try_element_at("translations", F.lit("engl")), F.array().cast("array<string>"))) > 0)
     rows = entries.where(some).select("pos", "word", kind.alias("word_type"), text.evaluation_line(F.col("word"), kind, first("miks"), first("engl"), first("leit"), first("latt")).alias("doc"))
     asked = queries.select(F.xxhash64("category").alias("qid"), "category", "query")
-    # the questions of an evaluation are few; every one is put to every batch of the corpus
-    cells = rows.withColumn("batch", F.floor(F.col("pos") / batch)).withColumn("index", F.col("pos") % batch).withColumn("rank", F.col("pos").cast("int")).crossJoin(F.broadcast(asked.limit(10_000)))
+    # every question is put to every batch of the corpus
+    if asked.count() > MAX_QUESTIONS:
+        raise ValueError(f"more than {MAX_QUESTIONS} questions; evaluate blocks of them")
+    cells = rows.withColumn("batch", F.floor(F.col("pos") / batch)).withColumn("index", F.col("pos") % batch).withColumn("rank", F.col("pos").cast("int")).crossJoin(F.broadcast(asked))
     scores = rerank.score_batches(cells.select("qid", "query", "rank", "batch", "index", "doc"), model, "drop")
     candidates = cells.select("qid", "category", "rank", "pos", "word", "word_type")
     best = rerank.reranked(candidates, scores, k, rerank.type_weight(F.col("word_type")))

@@ -22,15 +22,21 @@ def _ranked(scored: DataFrame, k: Column | int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _checked(queries: DataFrame) -> DataFrame:
+    """The queries, if they are few enough to be broadcast."""
+    slim = queries.select("qid", "vector")
+    if len(slim.select("qid").limit(MAX_QUERIES + 1).collect()) > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} query vectors; search with blocks of them")
+    return slim
+
+
 def top_k(queries: DataFrame, rows: DataFrame, k: int, decimals: int | None = None) -> DataFrame:
     """qid, pos, score and rank of each query's k nearest rows; queries (qid, vector), rows (pos, embedding).
 
     Each batch of rows is scored against all queries by one matrix product and keeps its k best, so what
     is shuffled is k rows per query and batch, whatever the number of rows.
     """
-    lot = queries.select("qid", "vector").limit(MAX_QUERIES + 1).collect()
-    if len(lot) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} query vectors; call top_k with blocks of them")
+    lot = _checked(queries).collect()
     ids = np.array([q.qid for q in lot], np.int64)
     matrix = np.array([q.vector for q in lot], float).reshape(len(lot), -1)
     length = np.linalg.norm(matrix, axis=1, keepdims=True)
@@ -59,7 +65,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, decimals: int | None = No
 def top_k_expressions(queries: DataFrame, rows: DataFrame, k: int, decimals: int | None = None) -> DataFrame:
     """The same by Column functions only, for few queries and short vectors."""
     score = vector.cosine(F.col("vector"), F.col("embedding"))
-    scored = rows.crossJoin(F.broadcast(queries.select("qid", "vector").limit(MAX_QUERIES))).select("qid", "pos", (F.round(score, decimals) if decimals is not None else score).alias("score"))
+    scored = rows.crossJoin(F.broadcast(_checked(queries))).select("qid", "pos", (F.round(score, decimals) if decimals is not None else score).alias("score"))
     return _ranked(scored, k)
 
 

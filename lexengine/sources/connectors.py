@@ -26,9 +26,9 @@ class Settings:
 
     embed_url: str = field(default_factory=lambda: os.environ.get("EMBED_URL", ""))
     embed_model: str = field(default_factory=lambda: os.environ.get("EMBED_MODEL", ""))
-    rerank_url: str = field(default_factory=lambda: os.environ.get("RERANK_URL") or os.environ.get("JINA_URL", ""))
-    rerank_model: str = field(default_factory=lambda: os.environ.get("RERANK_MODEL") or os.environ.get("JINA_MODEL", ""))
-    api_key: str = field(default_factory=lambda: os.environ.get("RERANK_API_KEY") or os.environ.get("JINA_API_KEY", ""), repr=False)
+    rerank_url: str = field(default_factory=lambda: os.environ.get("RERANK_URL") or os.environ.get("EMBED_URL", ""))
+    rerank_model: str = field(default_factory=lambda: os.environ.get("RERANK_MODEL") or os.environ.get("EMBED_MODEL", ""))
+    api_key: str = field(default_factory=lambda: os.environ.get("RERANK_API_KEY") or os.environ.get("EMBED_API_KEY", ""), repr=False)
     timeout: float = 120.0
     query_prefix: str = ""
 
