@@ -421,6 +421,14 @@ def test_extraction_of_broken_markup():
     assert take("<article><header><h1>T</h1><span>by me</span></header><ul><li>one<li>two</ul></article>") == "T\none\ntwo"
 
 
+def test_extraction_leaves_out_what_is_not_main():
+    page = """<body class="has-sidebar"><header>Site</header><div class="cookie-notice">We use</div><div id="main-menu"><p>m</p></div><div class="wrap with-sidebar"><article><div class="article-header"><h1>Title</h1><span>x</span></div>
+<p>One.</p><div class="ad-slot">Buy</div><blockquote>Two</blockquote><section id="comments"><p>Nice!</p></section><div role="dialog">d</div><p hidden>h</p><p>Th&eacute; <a href=#>three</a>&nbsp;3<span class="share">Share</span></p></article><aside>r</aside></div><footer>f</footer>"""
+    assert html_extract.extract(page, []) == "Title\nOne.\nTwo\nThé three 3"
+    plain = "<body><div class='menu'>m</div><div class='content no-sidebar'>" + "<p>Long text here.</p>" * 5 + "</div></body>"
+    assert html_extract.extract(plain, []) == "\n".join(["Long text here."] * 5)
+
+
 def test_extraction_on_odd_rows(spark):
     pages = spark.createDataFrame([(1, "https://a.com/x", None, "s"), (2, None, "<p>hi</p>", "s"), (2, None, "<p>hi</p>", "s"), (None, "b", "<p>yo</p>", "s"), (4, "https://a.com/y", "", "s")], "page_id bigint, url string, html string, host string")
     got = html_extract.extract_text(pages).collect()
