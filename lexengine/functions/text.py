@@ -72,17 +72,38 @@ def fuzzy_score(query: Column, candidate: Column, distance: Column) -> Column:
     return 10.0 - 3.0 * distance + start + near + inside + 0.5 * common_prefix(query, candidate) + two + three
 
 
-def deletions(x: Column, most: int = 2) -> Column:
-    """The word and all that deleting up to ``most`` letters leaves: words within that edit distance share one of them."""
+def _segment(length: Column, i: int) -> tuple[Column, Column]:
+    """Start (from 0) and length of the i-th of three nearly equal segments of a word of some length."""
+    sizes = [F.floor((length + k) / 3).cast("int") for k in range(3)]
+    return sum(sizes[:i], F.lit(0)), sizes[i]
 
-    def without_one(w: Column) -> Column:
-        return F.when(F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))).otherwise(F.array(w))
 
-    level = out = F.array(x)
-    for _ in range(most):
-        level = F.array_distinct(F.flatten(F.transform(level, without_one)))
-        out = F.array_union(out, level)
-    return out
+def segments(x: Column) -> Column:
+    """A word's three segments as array<struct<n, i, part>>, with the word's length.
+
+    Two edits leave one of three segments as it is, so a word within edit distance 2 holds it, at most two
+    places from its own: segment_keys lists what such a word would hold.
+    """
+    n = F.length(x)
+    parts = []
+    for i in range(3):
+        start, size = _segment(n, i)
+        parts.append(F.struct(n.alias("n"), F.lit(i).alias("i"), F.substr(x, start + 1, size).alias("part")))
+    return F.array(*parts)
+
+
+def segment_keys(x: Column) -> Column:
+    """The segments that words within edit distance 2 of x can share with it, as array<struct<n, i, part>>."""
+    m = F.length(x)
+    keys = []
+    for difference in range(-2, 3):
+        n = m + difference
+        for i in range(3):
+            start, size = _segment(n, i)
+            for shift in range(-2, 3):
+                at = start + shift
+                keys.append(F.when((n >= 0) & (at >= 0) & (at + size <= m), F.struct(n.alias("n"), F.lit(i).alias("i"), F.substr(x, at + 1, size).alias("part"))))
+    return F.array_distinct(F.filter(F.array(*keys), lambda k: k.isNotNull()))
 
 
 def clean(x: Column | str) -> Column:

@@ -1,4 +1,4 @@
-"""Derived index tables: lemmas, inflected forms, folded keys and deletion keys."""
+"""Derived index tables: lemmas, inflected forms, folded keys and segments."""
 
 from __future__ import annotations
 
@@ -39,6 +39,6 @@ def exploded_forms(entries: DataFrame) -> DataFrame:
     return entries.select("pos", "word", F.explode(form_list()).alias("form"))
 
 
-def deletion_index(lemmas: DataFrame, most: int = 2) -> DataFrame:
-    """deleted, lemma and its folded form: what equi-joins words within an edit distance."""
-    return lemmas.select("lemma", "lemma_norm", "pos", "first_pos", F.explode(text.deletions(F.col("lemma_norm"), most)).alias("deleted"))
+def segment_index(lemmas: DataFrame) -> DataFrame:
+    """Three rows per lemma, by the segments of its folded form: what equi-joins words within edit distance 2."""
+    return lemmas.select("lemma", "lemma_norm", "pos", "first_pos", F.explode(text.segments(F.col("lemma_norm"))).alias("segment"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .index import deletion_index
+from .index import segment_index
 
 FUZZY_DISTANCE = 2
 FUZZY_HITS = 5
@@ -35,11 +35,11 @@ def stage_folded_form(words: DataFrame, forms: DataFrame, lemmas: DataFrame) ->
     return once.select("qid", "key", F.lit(4).alias("stage"), "lemma", "pos", "matched_form", F.lit(0.0).alias("score"), "rank_pos")
 
 
-def stage_fuzzy(words: DataFrame, lemmas: DataFrame, hits: int = FUZZY_HITS, most: int = FUZZY_DISTANCE) -> DataFrame:
-    """Lemmas within the edit distance by shared deletion keys, so no word meets all lemmas; the best few by score."""
-    keyed = words.select("qid", "key", "norm", F.explode(text.deletions(F.col("norm"), most)).alias("deleted"))
-    pairs = keyed.join(deletion_index(lemmas, most), "deleted").select("qid", "key", "norm", "lemma", "lemma_norm", "pos", "first_pos").distinct()
-    near = pairs.withColumn("distance", F.levenshtein("norm", "lemma_norm", most)).where("distance >= 0")
+def stage_fuzzy(words: DataFrame, lemmas: DataFrame, hits: int = FUZZY_HITS) -> DataFrame:
+    """Lemmas within the edit distance by shared segments, so no word meets all lemmas; the best few by score."""
+    keyed = words.select("qid", "key", "norm", F.explode(text.segment_keys(F.col("norm"))).alias("segment"))
+    met = keyed.join(segment_index(lemmas), "segment").withColumn("distance", F.levenshtein("norm", "lemma_norm", FUZZY_DISTANCE)).where("distance >= 0")
+    near = met.select("qid", "key", "norm", "lemma", "lemma_norm", "pos", "first_pos", "distance").distinct()
     scored = near.withColumn("score", text.fuzzy_score(F.col("norm"), F.col("lemma_norm"), F.col("distance")))
     order = W.partitionBy("qid").orderBy(F.desc("score"), "distance", "first_pos", "lemma")
     best = scored.withColumn("n", F.row_number().over(order)).where(F.col("n") <= hits)

@@ -200,11 +200,12 @@ def test_text_goldens(spark):
     assert one(spark, ingest.upper_median(F.array(*[F.lit(float(i)) for i in (4, 1, 3, 2)]))) == 3.0
 
 
-def test_deletion_keys_cover_the_distance(spark):
-    words = ["abcdef", "abdef", "abdxf", "xbcdefg", "ab", "", "ba"]
-    rows = spark.createDataFrame([(w,) for w in words], "w string")
-    pairs = rows.crossJoin(rows.withColumnRenamed("w", "v")).select("w", "v", F.levenshtein("w", "v").alias("d"), F.arrays_overlap(text.deletions(F.col("w")), text.deletions(F.col("v"))).alias("met"))
-    assert all(r.met for r in pairs.collect() if r.d <= 2)
+def test_segments_cover_the_distance(spark):
+    rng = np.random.default_rng(2)
+    words = {"", "a", "ab", "ba", "abc", "āb"} | {"".join(rng.choice(list("abc"), rng.integers(0, 9))) for _ in range(120)}
+    rows = spark.createDataFrame([(w,) for w in sorted(words)], "w string")
+    pairs = rows.crossJoin(rows.withColumnRenamed("w", "v")).select("w", "v", F.levenshtein("w", "v").alias("d"), F.arrays_overlap(text.segments(F.col("w")), text.segment_keys(F.col("v"))).alias("met"))
+    assert pairs.where("d <= 2 AND NOT met").count() == 0 and pairs.where("d > 2 AND NOT met").count() > 0
 
 
 def test_validation_and_recall(spark, engine):
