@@ -44,7 +44,8 @@ def subdivide(words: DataFrame, start: int = 2, cap: int = RESULT_CAP, depth: in
     each level is one aggregation of the words under the prefixes that overflowed.
     """
     out = None
-    live = words.select("word").where(F.length("word") >= start).distinct()
+    # every level reads the words again
+    live = words.select("word").where(F.length("word") >= start).distinct().persist()
     for k in range(start, depth + 1):
         counts = live.groupBy(F.left("word", F.lit(k)).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
         out = counts if out is None else out.unionByName(counts)
