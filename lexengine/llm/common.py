@@ -40,6 +40,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes this application's scratch tables; DataFrames that read them must have been written by then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null becomes empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

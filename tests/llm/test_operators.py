@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lexengine.llm import (
     boosting, decontamination, html_extract, mixing, near_dedup, pii, quality_classifier, quality_rules, registry, secrets, sketches, toxicity, url_filter,
 )
-from lexengine.llm.common import materialise, table
+from lexengine.llm.common import clear_scratch, materialise, scratch_dir, table
 from lexengine.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -547,3 +547,13 @@ def test_url_matches_sql(spark, sf):
 
 def test_scratch_tables_round_trip(spark):
     assert materialise(spark.range(5), "t").count() == 5 and materialise(spark.range(0), "t").count() == 0
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    import os
+
+    materialise(spark.range(5), "t")
+    folder = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}".removeprefix("file://")
+    assert os.listdir(folder)
+    clear_scratch(spark)
+    assert not os.path.exists(folder)
