@@ -11,7 +11,7 @@
    ``LEAST_ESTIMATE``; the rest are confirmed on the full sets.  Components come by star steps.
 5. What is in a large bucket but not in its leaders' component could still be linked with a member that
    leads nothing.  These rows are held against all of that crowd, in cells of bounded size that compare
-   whole sets and return at most one link for each row and cell.
+   whole sets and return links that join all components which any of the cell's pairs joins, fewer than rows.
 
 A true link is lost only if none of 32 bands agrees: 5 in a million at similarity 0.75, less above; and in
 small buckets if 128 registers estimate it below ``LEAST_ESTIMATE`` (4 standard errors below 0.75).
@@ -157,7 +157,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _compare_cell(pdf: pd.DataFrame) -> pd.DataFrame:
-    """At most one link of each outsider in the cell with a member of another component."""
+    """Links that join the same components as all similar pairs of an outsider and a member: a spanning forest, fewer than rows."""
     sets = [sketches.shingle_set((t or "").encode()) for t in pdf["text"]]
     rep, comp, out = pdf["rep"].to_numpy(), pdf["component"].to_numpy(), pdf["outsider"].to_numpy()
     outside, inside = np.flatnonzero(out), np.flatnonzero(~out)
@@ -177,7 +177,9 @@ def _compare_cell(pdf: pd.DataFrame) -> pd.DataFrame:
                     out_[r, at[values[at] == sets[i]]] = 1
             return out_
 
-        done = np.zeros(len(pdf), bool)
+        # components of the cell, by number; root names the set that a component has been joined to so far
+        number = np.unique(comp, return_inverse=True)[1]
+        root = np.arange(number.max() + 1)
         for i0 in range(0, len(inside), step):
             some = inside[i0 : i0 + step]
             right = matrix(some)
@@ -185,11 +187,14 @@ def _compare_cell(pdf: pd.DataFrame) -> pd.DataFrame:
                 lot = outside[o0 : o0 + step]
                 both = matrix(lot) @ right.T
                 union = size[lot][:, None] + size[some][None, :] - both
-                hit = (100 * both >= PERCENT * union) & (comp[lot][:, None] != comp[some][None, :]) & (both > 0)
+                hit = (100 * both >= PERCENT * union) & (root[number[lot]][:, None] != root[number[some]][None, :]) & (both > 0)
                 for r in np.flatnonzero(hit.any(axis=1)):
-                    if not done[lot[r]]:
-                        done[lot[r]] = True
-                        rows.append((int(rep[lot[r]]), int(rep[some[int(np.argmax(hit[r]))]])))
+                    own, at = number[lot[r]], np.flatnonzero(hit[r])
+                    # one hit of each set that is not joined yet
+                    others, first = np.unique(root[number[some[at]]], return_index=True)
+                    new = others != root[own]
+                    rows += [(int(rep[lot[r]]), int(rep[some[i]])) for i in at[first[new]]]
+                    root[np.isin(root, others[new])] = root[own]
     return pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
 
 
