@@ -36,6 +36,7 @@ _LOCAL = re.compile(rb"[A-Za-z0-9._%+-]+\Z")
 _IP = re.compile(rb"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(rb"[0-9](?:\x20?[0-9]|-[0-9])+")
 _PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
+_COUNTRY = re.compile(rb"\+[0-9]{1,3}[\x20.-]?\Z")
 _NOT_DIGIT = bytes(i for i in range(256) if not 48 <= i <= 57)
 
 #: Kinds that the generators propose.
@@ -127,7 +128,7 @@ def features(data: bytes, kind: int, start: int, end: int) -> list[float]:
         float(words[-1] in FOR if words else 0), float(words[-1] in AGAINST if words else 0),
         float(before[-1:].isspace() or not before), float(before.rstrip()[-1:] in (b":", b"=", b"#")), float(before.rstrip()[-1:] in b"#$\xc2" and bool(before)),
         float(data[end : end + 1].isalnum()), float(span.count(b"@")), float(not span.isascii()), float(digits[:1] in (b"0", b"1")),
-        float(len(set(digits)) <= 2), float(span.count(b":")),
+        float(len(set(digits)) <= 2), float(span.count(b":")), float(bool(_COUNTRY.search(before))),
     ]
 
 
@@ -152,7 +153,7 @@ def _examples() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     good = {
         0: [lambda: f"{name()}.{num(2)}@{plain()}.com", lambda: f"{plain()} [at] {plain()} [dot] org", lambda: f"{name()}@mail.{plain()}.net"],
-        1: [lambda: f"({num(3)}) {num(3)}-{num(4)}", lambda: f"{num(3)}-{num(3)}-{num(4)}", lambda: f"{num(3)}.{num(3)}.{num(4)}"],
+        1: [lambda: f"({num(3)}) {num(3)}-{num(4)}", lambda: f"{num(3)}-{num(3)}-{num(4)}", lambda: f"{num(3)}.{num(3)}.{num(4)}", lambda: f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}"],
         2: [lambda: checked(16), lambda: fours(checked(16), " "), lambda: fours(checked(16), "-")],
         3: [lambda: f"{num(3)}-{num(2)}-{num(4)}"],
         4: [lambda: iban(True), lambda: fours(iban(True), " ")],
@@ -174,7 +175,7 @@ def _examples() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             y = i % 2
             span = rng.choice((good if y else bad)[kind])()
             if y:
-                lead = rng.choice(pro) if rng.random() < (0.55 if kind in (0, 2, 4, 5) else 0.95) else plain()
+                lead = rng.choice(pro) if rng.random() < (0.55 if kind in (0, 2, 4, 5) or span[0] == "+" else 0.95) else plain()
             else:
                 lead = rng.choice(con) if rng.random() < 0.6 else plain()
             text = f"{plain()} {plain()} {lead}{rng.choice([' ', ': ', ' # ' if not y else ' '])}{span}{rng.choice([' ', '. ', ', '])}{plain()}".encode()
@@ -188,11 +189,20 @@ def _examples() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(rows), np.array(labels, float), np.array(kinds)
 
 
+def _held_out(y: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Which examples calibrate and set thresholds: every fourth of each kind and label."""
+    held = np.zeros(len(y), bool)
+    for kind in range(len(MORE)):
+        for label in (0, 1):
+            held[np.flatnonzero((kinds == kind) & (y == label))[3::4]] = True
+    return held
+
+
 @lru_cache(maxsize=1)
 def model() -> tuple[list, float, float, tuple[float, ...]]:
     """Trees, Platt's two numbers, and the threshold of each kind."""
     x, y, kinds = _examples()
-    held = np.arange(len(y)) % 4 == 3
+    held = _held_out(y, kinds)
     trees = boosting.fit(x[~held], y[~held], rate=RATE)
     m = boosting.margin(trees, x[held], RATE)
     a, b = boosting.calibrate(m, y[held])

@@ -3,11 +3,36 @@
 import numpy as np
 import pandas as pd
 
-from lexengine.llm import near_dedup
+from lexengine.llm import boosting, near_dedup, pii
 
 from test_operators import brute_components
 
 
+# 4. Personal data: thresholds are set on examples of both labels.
+
+
+def test_pii_is_calibrated_on_negatives_too(monkeypatch):
+    seen = []
+    monkeypatch.setattr(boosting, "calibrate", lambda m, y, f=boosting.calibrate: (seen.append(y), f(m, y))[1])
+    pii.model.__wrapped__()
+    assert [int((seen[0] == label).sum()) for label in (0, 1)] == [len(pii.MORE) * pii.EXAMPLES // 8] * 2
+
+
+def test_pii_thresholds_hold_on_negatives_of_each_kind():
+    x, y, kinds = pii._examples()
+    trees, a, b, thresholds = pii.model()
+    held = pii._held_out(y, kinds)
+    p = 1 / (1 + np.exp(-(a * boosting.margin(trees, x[held], pii.RATE) + b)))
+    for kind in range(len(pii.MORE)):
+        own, truth = p[kinds[held] == kind], y[held][kinds[held] == kind]
+        chosen = own >= thresholds[kind]
+        assert (truth == 0).sum() == (truth == 1).sum() == pii.EXAMPLES // 8
+        assert truth[chosen].mean() >= pii.PRECISION and chosen[truth == 1].mean() > 0.8
+    for text in ("order 123-45-6789 shipped", "ticket 551-555-0826 closed", "part number 1234567890 in stock", "time 12:30:45:12 at the end"):
+        assert pii.scan(text.encode(), pii.model())[5] == ""
+    assert pii.scan("avec une +1 (826) 555-4081 190.137.2.1".encode(), pii.model())[5] == "national:12:26,ip:27:38"
+
+
 # 6. Near-duplicates: rows of a crowd that are similar to rows of several other components.
 
 
