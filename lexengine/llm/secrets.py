@@ -1,10 +1,16 @@
 """Secret scans: base patterns, and novelty of strings in sensitive contexts by dictionary-primed zstandard.
 
-A candidate is a string of letters, digits and a few signs, with letters and digits both, that follows a
+A candidate is a string of letters, digits and a few signs, with a letter at least, that follows a
 sensitive word within a short distance.  Its novelty is what it adds to the compressed size of the text
 around it, when the compressor is primed with a dictionary of common identifiers and words: bytes per
 byte.  Strings that the surroundings or the dictionary explain cost little; incompressible ones are
-reported as spans of kind ``novel``, unless a base span already covers them.
+reported as spans of kind ``novel``, unless a base span already covers them.  One without digits is
+measured behind ``PROSE`` too, so that a word is not novel for want of letters around it; random letters
+of one case cost no more than words do and are not told from them.
+
+A long candidate is measured all along, in windows of ``WINDOW`` bytes at most: in longer ones even random
+letters and digits compress below ``NOVELTY``, as their alphabet is small.  Each run of novel windows is a
+span, with the windows at its ends that are novel in part.
 
 Spans are in code points, end exclusive, found in the whole text.  Defined cases: null text is empty and
 has no spans; equal texts give equal spans; further columns are ignored; an empty table gives no rows.
@@ -36,6 +42,8 @@ REACH = 48
 AROUND = 160
 #: Added compressed bytes per byte of the candidate from which it is reported.
 NOVELTY = 0.8
+#: Most bytes of a candidate that are measured at once.
+WINDOW = 128
 
 #: What the compressor is primed with; text, in natural order.
 DICTIONARY = """
@@ -52,6 +60,8 @@ the and that with from this have will your been which their would there about ot
 january february march april may june july august september october november december
 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ YOUR_TOKEN_HERE YOUR_API_KEY xxxxxxxxxxxxxxxx changeme placeholder
 """
+#: What letters are measured behind: common words, none of them in the dictionary as a phrase.
+PROSE = b"the report of the committee was given to all members on monday and will be read again when the next meeting begins; "
 
 
 @lru_cache(maxsize=1)
@@ -68,6 +78,23 @@ def novelty(candidate: bytes, around: bytes) -> float:
     return (len(size(around + candidate)) - len(size(around))) / max(1, len(candidate))
 
 
+def _novel_parts(candidate: bytes, around: bytes) -> list[tuple[int, int]]:
+    """Start and end of the novel parts of a candidate, measured over all its length."""
+    if not re.search(rb"[0-9]", candidate):
+        around = PROSE + around
+    n, parts = len(candidate), -(-len(candidate) // WINDOW)
+    cuts = [n * i // parts for i in range(parts + 1)]
+    measured = [novelty(candidate[s:e], around) for s, e in zip(cuts, cuts[1:])]
+    out: list[tuple[int, int]] = []
+    for i, x in enumerate(measured):
+        if x >= NOVELTY:
+            first = i - (i > 0 and measured[i - 1] >= NOVELTY / 2)
+            last = i + (i + 1 < parts and measured[i + 1] >= NOVELTY / 2)
+            start = out.pop()[0] if out and cuts[first] <= out[-1][1] else cuts[first]
+            out.append((start, cuts[last + 1]))
+    return out
+
+
 def _base(data: bytes) -> list[tuple[int, int, int]]:
     low = data.lower()
     found = []
@@ -89,11 +116,10 @@ def _novel(data: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int
                 break
             reached = m.end()
             word = m[0]
-            if not (re.search(rb"[0-9]", word) and re.search(rb"[A-Za-z]", word)) or any(s < m.end() and m.start() < e for s, _, e in base):
+            if not re.search(rb"[A-Za-z]", word) or any(s < m.end() and m.start() < e for s, _, e in base):
                 continue
             around = data[max(0, m.start() - AROUND) : m.start()] + data[m.end() : m.end() + AROUND]
-            if novelty(word[:512], around) >= NOVELTY:
-                out.append((m.start(), 3, m.end()))
+            out += [(m.start() + s, 3, m.start() + e) for s, e in _novel_parts(word, around)]
     return out
 
 

@@ -1,13 +1,46 @@
 """Cases in which the operators once did less than the whole job."""
 
+import random
+import string
+
 import numpy as np
 import pandas as pd
 
-from lexengine.llm import boosting, near_dedup, pii
+from lexengine.llm import boosting, near_dedup, pii, secrets
 
 from test_operators import brute_components
 
 
+# 3. Secrets: long candidates are measured all along, and those without digits too.
+
+
+def drawn(n, signs=string.ascii_letters + string.digits, seed=1):
+    return "".join(random.Random(seed).choices(signs, k=n))
+
+
+def novel_of(text):
+    return [tuple(map(int, x.split(":")[1:])) for x in secrets.scan(text.encode())[4].split(",") if x.startswith("novel")]
+
+
+def test_long_candidates_are_measured_all_along():
+    plain = "xyzxyzxy1" * 100
+    # random behind 900 explained bytes, random before them, and random all over
+    (behind,) = novel_of("bearer " + plain + drawn(900))
+    assert 907 - secrets.WINDOW <= behind[0] <= 907 + secrets.WINDOW and behind[1] == 1807
+    (before,) = novel_of("bearer " + drawn(900) + plain)
+    assert before[0] == 7 and abs(before[1] - 907) <= secrets.WINDOW
+    for n in (100, 511, 513, 5000, 50_000):
+        assert novel_of("bearer " + drawn(n)) == [(7, 7 + n)]
+    assert novel_of("bearer " + plain * 5) == []
+
+
+def test_secrets_of_letters_only():
+    for seed in range(5):
+        assert novel_of("Authorization: Bearer " + drawn(40, string.ascii_letters, seed) + " end") == [(22, 62)]
+    for word in ("internationalization", "AbstractConnectionManagerFactory", "correcthorsebatterystaple", "please_do_not_share_this_secret"):
+        assert novel_of("token " + word) == []
+
+
 # 4. Personal data: thresholds are set on examples of both labels.
 
 
