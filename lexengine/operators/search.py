@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,23 +24,28 @@ def _ranked(scored: DataFrame, k: Column | int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _checked(queries: DataFrame) -> DataFrame:
-    """The queries, if they are few enough to be broadcast."""
-    slim = queries.select("qid", "vector")
-    if len(slim.select("qid").limit(MAX_QUERIES + 1).collect()) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} query vectors; search with blocks of them")
-    return slim
+def _blocks(queries: DataFrame) -> Iterator[list]:
+    """The queries in blocks of at most ``MAX_QUERIES``, one in the driver at a time."""
+    left = queries.select("qid", "vector").toLocalIterator()
+    while block := list(islice(left, MAX_QUERIES)):
+        yield block
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int, decimals: int | None = None) -> DataFrame:
     """qid, pos, score and rank of each query's k nearest rows; queries (qid, vector), rows (pos, embedding).
 
     Each batch of rows is scored against all queries by one matrix product and keeps its k best, so what
-    is shuffled is k rows per query and batch, whatever the number of rows.
+    is shuffled is k rows per query and batch, whatever the number of rows.  Each block of ``MAX_QUERIES``
+    queries reads the rows once.
     """
-    lot = _checked(queries).collect()
+    near = [_near(block, rows, k, decimals) for block in _blocks(queries)] or [_near([], rows, k, decimals)]
+    return _ranked(reduce(DataFrame.unionByName, near), k)
+
+
+def _near(lot: list, rows: DataFrame, k: int, decimals: int | None) -> DataFrame:
+    """qid, pos and score of the k nearest rows of each batch of rows, for one block of queries."""
     ids = np.array([q.qid for q in lot], np.int64)
-    matrix = np.array([q.vector for q in lot], float).reshape(len(lot), -1)
+    matrix = np.array([q.vector for q in lot], float).reshape(len(lot), -1) if lot else np.empty((0, 0))
     length = np.linalg.norm(matrix, axis=1, keepdims=True)
     matrix = matrix / np.where(length > vector.LEAST_NORM, length, 1.0)
     held = rows.sparkSession.sparkContext.broadcast((ids, matrix))
@@ -58,14 +65,15 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, decimals: int | None = No
             best = np.stack([np.lexsort((-pos, -s))[:keep] for s in scores])
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, keep)), pa.array(pos[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], names=["qid", "pos", "score"])
 
-    near = rows.where("embedding IS NOT NULL").select(F.col("pos").cast("bigint").alias("pos"), "embedding").mapInArrow(run, "qid bigint, pos bigint, score double")
-    return _ranked(near, k)
+    return rows.where("embedding IS NOT NULL").select(F.col("pos").cast("bigint").alias("pos"), "embedding").mapInArrow(run, "qid bigint, pos bigint, score double")
 
 
 def top_k_expressions(queries: DataFrame, rows: DataFrame, k: int, decimals: int | None = None) -> DataFrame:
     """The same by Column functions only, for few queries and short vectors."""
     score = vector.cosine(F.col("vector"), F.col("embedding"))
-    scored = rows.crossJoin(F.broadcast(_checked(queries))).select("qid", "pos", (F.round(score, decimals) if decimals is not None else score).alias("score"))
+    slim = queries.select("qid", "vector")
+    few = len(slim.select("qid").limit(MAX_QUERIES + 1).collect()) <= MAX_QUERIES
+    scored = rows.crossJoin(F.broadcast(slim) if few else slim).select("qid", "pos", (F.round(score, decimals) if decimals is not None else score).alias("score"))
     return _ranked(scored, k)
 
 
