@@ -5,8 +5,9 @@ import string
 
 import numpy as np
 import pandas as pd
+import pytest
 
-from lexengine.llm import boosting, near_dedup, pii, secrets
+from lexengine.llm import boosting, html_extract, near_dedup, pii, secrets
 
 from test_operators import brute_components
 
@@ -99,3 +100,25 @@ def test_cells_join_what_all_pairs_join():
     for _ in range(20):
         texts = {i: edited(words, *rng.choice(60, rng.integers(1, 4), replace=False)) for i in range(1, 25)}
         assert least_of_a_cell(texts, list(texts)) == brute_components(list(texts.items()))
+
+
+# 7. HTML: all pages of a host say what its template is, inside articles too.
+
+
+def extracted(spark, htmls):
+    pages = [(i, "https://a.example.com/x", h) for i, h in enumerate(htmls)]
+    return {r.page_id: r.text.split("\n") for r in html_extract.extract_text(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+
+
+def test_template_without_articles_comes_from_all_pages(spark):
+    # a menu on two of three pages; three passages that a third each share, so that any two reference pages hold one
+    body = "<body>{1}<div class=text><p>Text {0}</p><p>More {0}</p></div><div>{2}</div></body>"
+    htmls = [body.format(i, "<div class=top><p>Home and more</p></div>" if i % 3 else "", f"Passage {i % 3}") for i in range(30)]
+    got = extracted(spark, htmls)
+    for i in range(30):
+        assert got[i] == [f"Text {i}", f"More {i}", f"Passage {i % 3}"]
+
+
+def test_few_pages_do_not_make_a_template(spark):
+    got = extracted(spark, [f"<article><p>Text {i}</p><p>Said by all four</p></article>" for i in range(4)])
+    assert all(got[i] == [f"Text {i}", "Said by all four"] for i in range(4))
