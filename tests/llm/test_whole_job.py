@@ -110,6 +110,19 @@ def extracted(spark, htmls):
     return {r.page_id: r.text.split("\n") for r in html_extract.extract_text(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
 
 
+def test_template_inside_articles(spark):
+    # a line on each page of the host, one that three of twelve share, and five equal pages
+    page = "<article><h1>Title {0}</h1><p>Text {0}</p>{1}<p>Tell your friends</p></article>"
+    htmls = [page.format(i, "<p>Shared passage</p>" if i < 3 else "") for i in range(12)] + [page.format("copy", "<p>Of the copies</p>")] * 30
+    for broadcast in (html_extract.MAX_BROADCAST_BYTES, -1):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(html_extract, "MAX_BROADCAST_BYTES", broadcast)
+            got = extracted(spark, htmls)
+        for i in range(12):
+            assert got[i] == [f"Title {i}", f"Text {i}", *["Shared passage"] * (i < 3)]
+        assert all(got[i] == ["Title copy", "Text copy", "Of the copies"] for i in range(12, 42))
+
+
 def test_template_without_articles_comes_from_all_pages(spark):
     # a menu on two of three pages; three passages that a third each share, so that any two reference pages hold one
     body = "<body>{1}<div class=text><p>Text {0}</p><p>More {0}</p></div><div>{2}</div></body>"
