@@ -18,8 +18,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from .common import as_bytes, only
 # Fixed values of the base kinds.
 BASE = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(rb"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL = re.compile(rb"[A-Za-z0-9._%+-]+\Z")
+_LOCAL = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _IP = re.compile(rb"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(rb"[0-9](?:\x20?[0-9]|-[0-9])+")
 _PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
@@ -43,13 +45,16 @@ _NOT_DIGIT = bytes(i for i in range(256) if not 48 <= i <= 57)
 MORE = ("address", "national", "digits", "ssn", "iban", "ip6")
 KINDS = (*BASE, *MORE)
 GENERATORS = (
-    re.compile(rb"[^\s@<>()\[\],;:\"|]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]+(?:(?:\x20?[\[(]dot[\])]\x20?|\.)[A-Za-z0-9-]+)+"),
+    re.compile(rb"@|[\[(]at[\])]"),  # the sign of an address; proposals() takes what stands on both sides of it
     re.compile(rb"(?<![0-9A-Za-z+.])\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9A-Za-z])"),
     re.compile(rb"(?<![0-9A-Za-z.])[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{1,7}(?![0-9A-Za-z])"),
     re.compile(rb"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     re.compile(rb"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
     re.compile(rb"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
 )
+# Around the sign of an address: what ends a name in prose, and the domain behind a spelt-out sign.
+_WIDE = bytes(i for i in range(256) if i not in b"\t\n\v\f\r @<>()[],;:\"|")
+_SPELT = re.compile(rb"\x20?[A-Za-z0-9-]+(?:(?:\x20?[\[(]dot[\])]\x20?|\.)[A-Za-z0-9-]+)+")
 #: Words before a span that speak for or against it; text, in natural order.
 FOR = b"address call card contact credit e-mail email fax iban ip account mail mobile phone social ssn tel telephone visa write".split()
 AGAINST = b"article build code commit edition id invoice isbn item model no number order page part price ref revision serial ticket time total tracking version year".split()
@@ -77,20 +82,21 @@ def _mod97(text: bytes) -> bool:
         return False
 
 
+def _name_before(data: bytes, floor: int, at: int, signs: bytes) -> int:
+    """Start of the run of signs that ends at ``at``, never before ``floor``."""
+    return floor + len(data[floor:at].rstrip(signs))
+
+
 def _emails(data: bytes) -> list[tuple[int, int, int]]:
-    out, end, at = [], 0, data.find(b"@")
+    out, end, seen, at = [], 0, 0, data.find(b"@")
     while at >= 0:
-        local = None
-        if at > end:
-            # the run of local characters that ends at the sign, never before the last match's end
-            i = at
-            while i > end and (data[i - 1 : i].isalnum() or data[i - 1] in b"._%+-"):
-                i -= 1
-            local = i if i < at else None
-        m = _DOMAIN.match(data, at + 1) if local is not None else None
+        # a sign is no part of a name, so no name reaches back over the sign before
+        start = _name_before(data, max(end, seen), at, _LOCAL) if at > end else at
+        m = _DOMAIN.match(data, at + 1) if start < at else None
         if m:
-            out.append((local, 0, m.end()))
+            out.append((start, 0, m.end()))
             end = m.end()
+        seen = at + 1
         at = data.find(b"@", max(at + 1, end))
     return out
 
@@ -98,7 +104,7 @@ def _emails(data: bytes) -> list[tuple[int, int, int]]:
 def _base(data: bytes) -> list[tuple[int, int, int]]:
     found = _emails(data) if b"@" in data else []
     for m in _IP.finditer(data):
-        if all(len(p.lstrip(b"0")) <= 3 and int(p) <= 255 for p in m[0].split(b".")):
+        if all(len(p) <= 3 and int(p or b"0") <= 255 for p in (x.lstrip(b"0") for x in m[0].split(b"."))):
             found.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(data):
         if m.end() - m.start() >= 14:
@@ -132,9 +138,8 @@ def features(data: bytes, kind: int, start: int, end: int) -> list[float]:
     ]
 
 
-def _examples() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Composed examples: features, labels and kinds; seeded, the same on every run."""
-    rng = random.Random(20)
+def composer(rng: random.Random) -> Callable[[int, bool], tuple[str, str, str]]:
+    """A maker of examples: from a kind, and whether it is personal data, the text before the span, the span, and the text after it."""
     num = lambda n, first="123456789": rng.choice(first) + "".join(rng.choice("0123456789") for _ in range(n - 1))
     name = lambda: "".join(rng.choice("abcdefghilmnoprstuvé") for _ in range(rng.randint(4, 10)))
     plain = lambda: name().replace("é", "e")
@@ -169,21 +174,30 @@ def _examples() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     }
     pro = [w.decode() for w in FOR]
     con = [w.decode() for w in AGAINST]
+
+    def make(kind: int, y: bool) -> tuple[str, str, str]:
+        span = rng.choice((good if y else bad)[kind])()
+        if y:
+            lead = rng.choice(pro) if rng.random() < (0.55 if kind in (0, 2, 4, 5) or span[0] == "+" else 0.95) else plain()
+        else:
+            lead = rng.choice(con) if rng.random() < 0.6 else plain()
+        return f"{plain()} {plain()} {lead}{rng.choice([' ', ': ', ' # ' if not y else ' '])}", span, f"{rng.choice([' ', '. ', ', '])}{plain()}"
+
+    return make
+
+
+def _examples() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Composed examples: features, labels and kinds; seeded, the same on every run."""
+    make = composer(random.Random(20))
     rows, labels, kinds = [], [], []
     for kind in range(len(MORE)):
         for i in range(EXAMPLES):
-            y = i % 2
-            span = rng.choice((good if y else bad)[kind])()
-            if y:
-                lead = rng.choice(pro) if rng.random() < (0.55 if kind in (0, 2, 4, 5) or span[0] == "+" else 0.95) else plain()
-            else:
-                lead = rng.choice(con) if rng.random() < 0.6 else plain()
-            text = f"{plain()} {plain()} {lead}{rng.choice([' ', ': ', ' # ' if not y else ' '])}{span}{rng.choice([' ', '. ', ', '])}{plain()}".encode()
-            start = text.find(span.encode())
-            for s, e in ((m.start(), m.end()) for m in GENERATORS[kind].finditer(text)):
-                if s < start + len(span.encode()) and start < e:
+            before, span, after = make(kind, i % 2 == 1)
+            text, start, end = f"{before}{span}{after}".encode(), len(before.encode()), len(f"{before}{span}".encode())
+            for s, e in proposals(text, kind):
+                if s < end and start < e:
                     rows.append(features(text, kind, s, e))
-                    labels.append(y)
+                    labels.append(i % 2)
                     kinds.append(kind)
                     break
     return np.array(rows), np.array(labels, float), np.array(kinds)
@@ -215,25 +229,61 @@ def model() -> tuple[list, float, float, tuple[float, ...]]:
     return trees, a, b, tuple(thresholds)
 
 
+def proposals(data: bytes, kind: int) -> Iterator[tuple[int, int]]:
+    """Start and end of what one generator proposes; each byte is looked at a bounded number of times."""
+    if kind:
+        if kind != 5 or data.count(b":") >= 3:
+            yield from (m.span() for m in GENERATORS[kind].finditer(data))
+        return
+    floor = 0
+    for m in GENERATORS[0].finditer(data):
+        s, e = m.span()
+        if m[0] == b"@":
+            start, tail = _name_before(data, floor, s, _WIDE), _DOMAIN.match(data, e)
+        else:
+            left = s - (data[s - 1 : s] == b" ")
+            start, tail = (_name_before(data, floor, left, _LOCAL), _SPELT.match(data, e)) if left >= floor else (s, None)
+            s = left
+        floor = e
+        if tail and start < s:
+            yield start, tail.end()
+            floor = tail.end()
+
+
+def _within(spans: list[tuple[int, int, int]]):
+    """A test whether any of the spans, sorted by start, holds all of a stretch."""
+    starts, ends = [s for s, _, _ in spans], list(accumulate((e for _, _, e in spans), max))
+
+    def test(s: int, e: int) -> bool:
+        i = bisect_right(starts, s)
+        return i > 0 and ends[i - 1] >= e
+
+    return test
+
+
+def _likeliest(taken: list[tuple[float, int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of overlapping spans the likelier ones: (minus the probability, start, kind, end) in, (start, kind, end) out."""
+    out: list[tuple[int, int, int]] = []  # by start; no two overlap
+    for _, s, kind, e in sorted(taken):
+        i = bisect_right(out, (s, len(KINDS), 0))
+        if (i == 0 or out[i - 1][2] <= s) and (i == len(out) or e <= out[i][0]):
+            out.insert(i, (s, kind, e))
+    return out
+
+
 def _more(data: bytes, base: list[tuple[int, int, int]], fitted: tuple) -> list[tuple[int, int, int]]:
     trees, a, b, thresholds = fitted
+    known = _within(base)
     taken: list[tuple[float, int, int, int]] = []
-    for kind, generator in enumerate(GENERATORS):
-        if (kind == 0 and b"@" not in data and b"at]" not in data and b"at)" not in data) or (kind == 5 and data.count(b":") < 3):
-            continue
-        for m in generator.finditer(data):
-            s, e = m.span()
-            if any(x <= s and e <= z for x, _, z in base):
+    for kind in range(len(MORE)):
+        for s, e in proposals(data, kind):
+            if known(s, e):
                 continue
             z = a * boosting.margin_of_row(trees, features(data, kind, s, e), RATE) + b
             p = 1 / (1 + np.exp(-min(max(z, -500.0), 500.0)))
             if p >= thresholds[kind]:
                 taken.append((-p, s, len(BASE) + kind, e))
-    out: list[tuple[int, int, int]] = []
-    for _, s, kind, e in sorted(taken):
-        if all(e <= x or z <= s for x, _, z in out):
-            out.append((s, kind, e))
-    return out
+    return _likeliest(taken)
 
 
 def spans_of(data: bytes, fitted: tuple) -> tuple[list, list]:

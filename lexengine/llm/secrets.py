@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,8 +38,9 @@ _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(rb"[0-9a-f]{24,}")
 # Sensitive contexts and candidates of the novelty measure.
-_SENSITIVE = re.compile(rb"(?<![A-Za-z])(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|signing[_-]?key|client[_-]?id|credentials?|authorization|bearer|session|cookie|webhook)(?![A-Za-z])", re.I)
+_SENSITIVE = re.compile(rb"(?<![A-Za-z])(?:password|passwd|passphrase|pwd|secret|token|api[_\x20-]?key|access[_\x20-]?key|private[_\x20-]?key|signing[_\x20-]?key|client[_\x20-]?id|credentials?|authorization|bearer|session|cookie|webhook)(?![A-Za-z])", re.I)
 _CANDIDATE = re.compile(rb"[A-Za-z0-9][A-Za-z0-9+/_=-]{14,}")
+_START = re.compile(rb"[A-Za-z0-9](?=[A-Za-z0-9+/_=-]{14})")
 REACH = 48
 AROUND = 160
 #: Added compressed bytes per byte of the candidate from which it is reported.
@@ -108,15 +111,17 @@ def _base(data: bytes) -> list[tuple[int, int, int]]:
 
 def _novel(data: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     out: list[tuple[int, int, int]] = []
+    base = sorted(base)
+    starts, ends = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
     reached = 0
     for key in _SENSITIVE.finditer(data):
-        stop = key.end() + REACH
-        for m in _CANDIDATE.finditer(data, max(key.end(), reached)):
-            if m.start() > stop:
-                break
-            reached = m.end()
-            word = m[0]
-            if not re.search(rb"[A-Za-z]", word) or any(s < m.end() and m.start() < e for s, _, e in base):
+        stop, at = key.end() + REACH, max(key.end(), reached)
+        # candidates that start within reach; no byte beyond it is read for their start
+        while at <= stop and (first := _START.search(data, at, stop + 15)):
+            m = _CANDIDATE.match(data, first.start())
+            at = reached = m.end()
+            word, i = m[0], bisect_left(starts, m.end())
+            if not re.search(rb"[A-Za-z]", word) or (i and ends[i - 1] > m.start()):
                 continue
             around = data[max(0, m.start() - AROUND) : m.start()] + data[m.end() : m.end() + AROUND]
             out += [(m.start() + s, 3, m.start() + e) for s, e in _novel_parts(word, around)]

@@ -2,12 +2,14 @@
 
 import random
 import string
+import time
 
 import numpy as np
 import pandas as pd
 import pytest
 
 from lexengine.llm import boosting, html_extract, near_dedup, pii, secrets
+from lexengine.llm.common import table
 
 from test_operators import brute_components
 
@@ -135,3 +137,121 @@ def test_template_without_articles_comes_from_all_pages(spark):
 def test_few_pages_do_not_make_a_template(spark):
     got = extracted(spark, [f"<article><p>Text {i}</p><p>Said by all four</p></article>" for i in range(4)])
     assert all(got[i] == [f"Text {i}", "Said by all four"] for i in range(4))
+
+
+# 3 and 4. Scans are linear in the text, whatever it holds, and equal their plain versions.
+
+
+HOSTILE = [
+    "@ " + "a" * 1_000_000, "a@" * 500_000, "0" * 1_000_000 + ".1.1.1", "ab@cd.ef " * 111_111, "x [at] " * 140_000, "1-" * 500_000, "token " * 160_000, "secret " + " " * 1_000_000,
+    "password=abcdef0123 " * 50_000, "+1(" * 300_000,
+]
+
+
+@pytest.mark.parametrize("text", HOSTILE, ids=lambda x: repr(x[:12]))
+def test_scans_of_hostile_texts_are_linear(text):
+    for scan in (secrets.scan, lambda x: pii.scan(x, pii.model())):
+        took = []
+        for part in (text[: len(text) // 8], text):
+            began = time.process_time()
+            scan(part.encode())
+            took.append(time.process_time() - began)
+        # eight times the text; a quadratic scan takes 64 times as long
+        assert took[1] < 24 * took[0] + 0.5
+
+
+def test_long_runs_of_zeros_are_addresses_too():
+    x = "é " + "0" * 6000 + "1.02.003.0 and " + "9" * 6000 + ".1.1.1"
+    assert pii.scan(x.encode(), pii.model())[1] == 1 and pii.scan(x.encode(), pii.model())[5].startswith("ip:2:6012")
+
+
+def texts_of(spark, sf):
+    return [r.text for r in table(spark, sf, "documents").orderBy("doc_id").collect() if r.text and len(r.text) > 200]
+
+
+def test_novel_spans_equal_a_plain_measure(spark, sf):
+    import zstandard
+
+    def added(part, around):
+        primed = zstandard.ZstdCompressionDict(secrets.DICTIONARY.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        size = lambda x: len(zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_dict_id=False).compress(x))
+        return (size(around + part) - size(around)) / len(part)
+
+    def plain(x):
+        out, reached = [], 0
+        for key in secrets._SENSITIVE.finditer(x):
+            for m in secrets._CANDIDATE.finditer(x, max(key.end(), reached)):
+                if m.start() > key.end() + secrets.REACH:
+                    break
+                reached = m.end()
+                if not any(c in string.ascii_letters.encode() for c in m[0]) or any(s < m.end() and m.start() < e for s, _, e in secrets._base(x)):
+                    continue
+                around = x[max(0, m.start() - secrets.AROUND) : m.start()] + x[m.end() : m.end() + secrets.AROUND]
+                if not any(48 <= c <= 57 for c in m[0]):
+                    around = secrets.PROSE + around
+                if len(m[0]) <= secrets.WINDOW and added(m[0], around) >= secrets.NOVELTY:
+                    out.append((m.start(), 3, m.end()))
+        return out
+
+    rng = random.Random(3)
+    for k, text in enumerate(texts_of(spark, sf)[:60]):
+        at = rng.randrange(len(text))
+        extra = rng.choice(["bearer ", "token ", "secret password=", "cookie "]) + drawn(rng.randint(10, 60), seed=k) + " session AbstractFactory_ServiceProvider "
+        x = (text[:at] + " " + extra + text[at:]).encode()
+        assert secrets._novel(x, secrets._base(x)) == plain(x)
+
+
+def test_planted_secrets_are_found(spark, sf):
+    rng = random.Random(1)
+    found = []
+    for k, text in enumerate(texts_of(spark, sf)):
+        words, secret = text.split(" "), drawn(rng.randint(20, 40), seed=k)
+        at = rng.randrange(len(words))
+        lead = rng.choice(["Authorization: Bearer ", "the session cookie is ", "client_id ", "private key: ", "webhook ", "credentials ", "my passphrase is "])
+        start = len(" ".join([*words[:at], lead]))
+        spans = novel_of(" ".join([*words[:at], lead + secret, *words[at:]]))
+        found.append(any(min(e, start + len(secret)) - max(s, start) >= 0.9 * len(secret) for s, e in spans))
+        assert novel_of(text) == []
+    assert np.mean(found) >= 0.95
+
+
+def test_added_spans_equal_a_plain_choice():
+    fitted = pii.model()
+    trees, a, b, thresholds = fitted
+    make, rng = pii.composer(random.Random(8)), random.Random(9)
+    for _ in range(30):
+        x = " ".join("".join(make(rng.randrange(len(pii.MORE)), rng.random() < 0.6)) + rng.choice([" a@b.co", " +1 (551) 555-0826", " 10.0.0.1 é"]) for _ in range(12)).encode()
+        base = sorted(pii._base(x))
+        scored = []
+        for kind in range(len(pii.MORE)):
+            for s, e in pii.proposals(x, kind):
+                if not any(p <= s and e <= q for p, _, q in base):
+                    chance = 1 / (1 + np.exp(-(a * boosting.margin(trees, np.array([pii.features(x, kind, s, e)]), pii.RATE)[0] + b)))
+                    if chance >= thresholds[kind]:
+                        scored.append((-chance, s, kind + len(pii.BASE), e))
+        chosen = []
+        for _, s, kind, e in sorted(scored):
+            if all(e <= p or q <= s for p, _, q in chosen):
+                chosen.append((s, kind, e))
+        assert pii._more(x, base, fitted) == sorted(chosen) and chosen
+
+
+def figures_of_kinds(texts, each=200):
+    """(recall, precision) of each added kind on examples of another seed, set into documents."""
+    make, rng, out = pii.composer(random.Random(77)), random.Random(78), {}
+    for kind, name in enumerate(pii.MORE):
+        hits = {True: 0, False: 0}
+        for i in range(2 * each):
+            words, (before, span, after) = rng.choice(texts).split(" "), make(kind, i % 2 == 1)
+            at = rng.randrange(len(words))
+            text = " ".join([*words[:at], before + span + after, *words[at:]])
+            start = len(" ".join([*words[:at], before])) if at else len(before)
+            spans = [x.split(":") for x in pii.scan(text.encode(), pii.model())[5].split(",") if x]
+            hits[i % 2 == 1] += any(int(s) < start + len(span) and start < int(e) for k, s, e in spans if k in (name, *pii.BASE))
+        out[name] = hits[True] / each, hits[True] / max(1, sum(hits.values()))
+    return out
+
+
+def test_recall_and_precision_of_added_kinds_in_documents(spark, sf):
+    for name, (recall, precision) in figures_of_kinds(texts_of(spark, sf)).items():
+        assert recall >= 0.9 and precision >= 0.9, name
