@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vector
 from ..operators import chat, embed, forms, ingest, lookup, rerank, search, validate
+from ..sources import entries as entry_files
 from ..sources import prompts as prompt_files
 from . import lexicon as L
 from .lexicon import table
@@ -288,6 +289,12 @@ def json_paths(spark, sf_dir):
     return spark.sql("SELECT pos, p.path, CAST(p.n AS BIGINT) AS n FROM _lexicon_documents, LATERAL json_string_paths(doc, word) AS p")
 
 
+@query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS pos FROM orders")
+def positions(spark, sf_dir):
+    """The place of each row in an order, as entries have one."""
+    return entry_files.with_position(table(spark, sf_dir, "orders").select("o_totalprice", "o_orderkey"), "o_totalprice", "o_orderkey").select("o_orderkey", "o_totalprice", "pos")
+
+
 # Text functions.
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import written
+
 _ITEM = "array<struct<forms: array<struct<form: string>>, form: string>>"
 FORMS = (
     "struct<declension: array<struct<cases: array<struct<singular: string, plural: string>>>>, "
@@ -83,16 +85,22 @@ def write_embeddings(rows: DataFrame, path: str, model: str, provider: str, stra
 
 
 def with_position(rows: DataFrame, *order: str) -> DataFrame:
-    """Adds pos, the row's place in the given order, without gathering rows in one task.
+    """Adds pos, the row's place in the given order (nulls first), without gathering rows in one task.
 
-    Rows are range-partitioned and counted by partition; a row's place is its partition's start and its
-    place within.
+    Rows are range-partitioned, sorted, and written once with their partition and their place in it; the
+    partitions' starts are counted from that table, so that both sides always speak of the same partitions.
+    Rows of equal keys are ordered by a hash of the whole row, which also spreads a key with many rows.
     """
-    dealt = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    within = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
-    return dealt.withColumn("_within", within).join(F.broadcast(starts), "_part").withColumn("pos", (F.col("_start") + F.col("_within")).cast("bigint")).drop("_part", "_within", "_start")
+    by = [*[F.col(f"`{c}`") for c in order], F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])]
+    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    # the upper bits of this id are the partition, the lower 33 the row's place in it
+    table = written(dealt.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.monotonically_increasing_id().alias("id")), "positions")
+    part, within = F.shiftright("id", 33), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = table.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    # one row for each partition
+    starts = counts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    placed = table.withColumn("part", part).join(F.broadcast(starts), "part")
+    return placed.select(*[F.col("row")[c].alias(c) for c in rows.columns], (F.col("start") + within).alias("pos"))
 
 
 def state_row(spark: SparkSession, path: str) -> dict:

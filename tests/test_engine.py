@@ -67,6 +67,31 @@ def test_positions_without_one_task(spark):
     assert [r.pos for r in rows] == list(range(1000))
 
 
+@pytest.mark.parametrize("partitions", [8, 200])
+def test_positions_of_wide_rows_keep_all_rows(spark, partitions):
+    # wide rows of few keys, with the adaptive execution that coalesces partitions
+    wide = spark.range(60_000, numPartitions=16).select(F.col("id"), (F.xxhash64("id") % 1000).alias("k"), F.repeat(F.md5(F.col("id").cast("string")), 20).alias("payload"), F.lit("x").alias("part"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    try:
+        got = sources.with_position(wide, "k")
+        assert got.columns == [*wide.columns, "pos"]
+        rows = got.select("id", "k", "pos").orderBy("pos").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [r.pos for r in rows] == list(range(60_000)) and {r.id for r in rows} == set(range(60_000))
+    assert [r.k for r in rows] == sorted(r.k for r in rows)
+
+
+def test_positions_of_ties_nulls_and_no_rows(spark):
+    rows = spark.createDataFrame([(None, "a"), (1, "b"), (1, "b"), (None, "a"), (0, None)], "k int, v string")
+    got = sources.with_position(rows, "k", "v").orderBy("pos").collect()
+    assert [(r.k, r.v, r.pos) for r in got] == [(None, "a", 0), (None, "a", 1), (0, None, 2), (1, "b", 3), (1, "b", 4)]
+    assert sources.with_position(rows.limit(0), "k").count() == 0
+
+
 def test_indexes(entries):
     lemmas = {r.lemma: (r.pos, r.first_pos) for r in lemma_index(entries).collect()}
     assert lemmas["buttan"] == (4, 0)
