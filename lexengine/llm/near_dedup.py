@@ -2,23 +2,26 @@
 
 1. Each text gives its set of 5-word shingles, a digest of the set, and 128 HyperMinHash registers (leading
    zeros and 10 mantissa bits), packed four to a band.
-2. Documents of equal sets form a class; the smallest id stands for it from here on.  A third of all rows
-   being one text costs one row after a partial aggregation.
-3. Representatives that share a band meet.  In a bucket of at most ``SMALL`` all meet each other; in a
-   larger one each meets ``LEADERS`` leaders, the members whose bands are the most shared, found by an
-   aggregation over salted rows.  So a bucket gives rows in proportion to its size.
+2. Texts of equal digests form a class with a number of its own, which stands for it from here on.  A third of
+   all rows being one text costs one row after a partial aggregation.  Classes of one doc_id are linked.
+3. Classes that share a band meet.  In a bucket of at most ``SMALL`` all meet each other; in a larger one each
+   meets ``LEADERS`` leaders, the members whose bands are the most shared, found by an aggregation over salted
+   rows.  So a bucket gives rows in proportion to its size.
 4. Pairs are dropped whose sizes rule out the similarity, or whose collision-corrected estimate is below
    ``LEAST_ESTIMATE``; the rest are confirmed on the full sets.  Components come by star steps.
 5. What is in a large bucket but not in its leaders' component could still be linked with a member that
-   leads nothing.  These rows are held against all of that crowd, in cells of bounded size that compare
-   whole sets and return links that join all components which any of the cell's pairs joins, fewer than rows.
+   leads nothing.  These rows are held against all of that crowd: first by their registers, in cells of
+   ``CELL_ROWS``, which tell the rows that have a likely partner in another component; then those alone by
+   whole sets, in cells of bounded size that return links that join all components which any of the cell's
+   pairs joins, fewer than rows.
 
-A true link is lost only if none of 32 bands agrees: 5 in a million at similarity 0.75, less above; and in
-small buckets if 128 registers estimate it below ``LEAST_ESTIMATE`` (4 standard errors below 0.75).
+A true link is lost only if none of 32 bands agrees: 5 in a million at similarity 0.75, less above; or if 128
+registers estimate it below ``LEAST_ESTIMATE`` (4 standard errors below 0.75).
 
 Defined cases: null or empty text has an empty set, is linked with nothing and is kept; rows of one doc_id
-count as one document; a null doc_id is linked with nothing, its component is null, and it is kept; an
-empty table gives no rows; further columns are ignored, and kept by ``keep_one``.
+count as one document, of all their texts; ids may be numbers or text, and the smallest is so by their type's
+order; a null doc_id is linked with nothing, its component is null, and it is kept; an empty table gives no
+rows; further columns are ignored, and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -41,7 +44,8 @@ PERCENT = 75
 LEAST_ESTIMATE = 0.60
 SMALL = 8
 LEADERS = 4
-#: Shingles that a cell of the crowd comparison holds of either side, about.
+#: Rows of registers, and shingles, that a cell of the crowd comparison holds of either side, about.
+CELL_ROWS = 2_048
 CELL_SHINGLES = 60_000
 
 _SKETCH = "n_shingles long, h1 long, h2 long, bands array<long>"
@@ -50,7 +54,7 @@ _SKETCH = "n_shingles long, h1 long, h2 long, bands array<long>"
 def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, digest and bands, per document; bands are null for empty sets."""
     slim = only(docs, "doc_id", "text")
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), *T._parse_datatype_string(_SKETCH)])
+    schema = T.StructType([slim.schema["doc_id"], *T._parse_datatype_string(_SKETCH)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,7 +67,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 h2.append(int(digest[1]))
                 bands.append(sketches.bands(hashes) if len(hashes) else None)
             columns = [pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], names=["doc_id", "n_shingles", "h1", "h2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_shingles", "h1", "h2", "bands"])
 
     return slim.mapInArrow(run, schema)
 
@@ -198,6 +202,40 @@ def _compare_cell(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
 
 
+def _screen_cell(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a cell, outsiders and members, that are likely similar to one of another component by their registers."""
+    registers = np.array(pdf["bands"].tolist(), "<i8").reshape(-1, sketches.BANDS).view("<u2")
+    n, comp, out = pdf["n"].to_numpy(), pdf["component"].to_numpy(), pdf["outsider"].to_numpy()
+    inside, likely = np.flatnonzero(~out), np.zeros(len(pdf), bool)
+    for lot in np.array_split(np.flatnonzero(out), -(-int(out.sum()) * max(1, len(inside)) // 100_000) or 1):
+        if not len(lot) or not len(inside):
+            continue
+        equal = np.zeros((len(lot), len(inside)), np.int16)
+        for j in range(sketches.REGISTERS):
+            equal += registers[lot, j][:, None] == registers[inside, j][None, :]
+        a, b = n[lot][:, None], n[inside][None, :]
+        c = sketches.collision_rate(a, b)
+        hit = (equal / sketches.REGISTERS - c) / (1 - c) >= LEAST_ESTIMATE
+        hit &= (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)) & (comp[lot][:, None] != comp[inside][None, :])
+        likely[lot] |= hit.any(axis=1)
+        likely[inside] |= hit.any(axis=0)
+    return pd.DataFrame({"crowd": pdf["crowd"], "rep": pdf["rep"]})[likely]
+
+
+def _cells(crowd: DataFrame, size, least: int, label: str) -> DataFrame:
+    """Rows of crowds dealt to cells (crowd, r, c): each outsider meets each member once; a cell holds about ``least`` of ``size`` of either side."""
+    count = F.greatest(F.lit(1), F.ceil(F.col("s") / F.lit(least))).cast("int")
+    grid = crowd.groupBy("crowd").agg(F.sum(F.when(F.col("outsider"), size).otherwise(0)).alias("out_n"), F.sum(size).alias("all_n")).where("out_n > 0")
+    grid = grid.withColumn("s", F.col("out_n")).withColumn("rows", count).withColumn("s", F.col("all_n")).withColumn("columns", count).select("crowd", "rows", "columns")
+    placed = crowd.join(materialise(grid, label), "crowd")
+    row, column = F.pmod(F.xxhash64("rep"), F.col("rows")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("columns")).cast("int")
+    everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = placed.where("outsider").select(*crowd.columns, row.alias("r"), everywhere("columns").alias("c"))
+    # an outsider stands among the members too, to be held against the other outsiders
+    other = placed.withColumn("outsider", F.lit(False)).select(*crowd.columns, everywhere("rows").alias("r"), column.alias("c"))
+    return one.unionByName(other)
+
+
 def _crowd_links(members: DataFrame, leaders: DataFrame, reps: DataFrame, texts: DataFrame, comps: DataFrame) -> DataFrame:
     """Links between members of large buckets outside their leaders' component and the rest of that crowd."""
     of = comps.select(F.col("node").alias("rep"), "component")
@@ -205,33 +243,41 @@ def _crowd_links(members: DataFrame, leaders: DataFrame, reps: DataFrame, texts:
     crowd_of = materialise(top.join(of, "rep", "left").select("band", "key", F.coalesce("component", "rep").alias("crowd")), "crowds-of-buckets")
     crowd = members.where(F.col("size") > SMALL).select("band", "key", "rep").join(crowd_of, ["band", "key"]).select("crowd", "rep").distinct()
     crowd = crowd.join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep")).withColumn("outsider", F.col("component") != F.col("crowd"))
-    crowd = materialise(crowd.join(reps.select("rep", "n"), "rep"), "crowds")
-    cells = F.greatest(F.lit(1), F.ceil(F.col("s") / F.lit(CELL_SHINGLES))).cast("int")
-    grid = crowd.groupBy("crowd").agg(F.sum(F.when(F.col("outsider"), F.col("n")).otherwise(0)).alias("out_n"), F.sum("n").alias("all_n")).where("out_n > 0")
-    grid = grid.withColumn("s", F.col("out_n")).withColumn("rows", cells).withColumn("s", F.col("all_n")).withColumn("columns", cells).select("crowd", "rows", "columns")
-    grid = materialise(grid, "grid")
-    placed = crowd.join(grid, "crowd")
-    row, column = F.pmod(F.xxhash64("rep"), F.col("rows")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("columns")).cast("int")
-    everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    one = placed.where("outsider").select("crowd", "rep", "component", "outsider", row.alias("r"), everywhere("columns").alias("c"))
-    # an outsider stands among the members too, to be held against the other outsiders
-    other = placed.select("crowd", "rep", "component", F.lit(False).alias("outsider"), everywhere("rows").alias("r"), column.alias("c"))
-    return one.unionByName(other).join(texts, "rep").groupBy("crowd", "r", "c").applyInPandas(_compare_cell, "a long, b long")
+    crowd = materialise(crowd.join(reps.select("rep", "n"), "rep").select("crowd", "rep", "component", "outsider", "n"), "crowds")
+    screened = _cells(crowd, F.lit(1), CELL_ROWS, "grid-of-rows").join(reps.select("rep", "bands"), "rep")
+    likely = materialise(screened.groupBy("crowd", "r", "c").applyInPandas(_screen_cell, "crowd long, rep long").distinct(), "likely")
+    some = materialise(crowd.join(likely, ["crowd", "rep"], "left_semi"), "likely-crowds")
+    cells = _cells(some, F.col("n"), CELL_SHINGLES, "grid-of-shingles").drop("n").join(texts, "rep")
+    return cells.groupBy("crowd", "r", "c").applyInPandas(_compare_cell, "a long, b long")
+
+
+def _texts(docs: DataFrame, reps: DataFrame, several: DataFrame, meeting: DataFrame) -> DataFrame:
+    """rep and a text of it, for the classes that meet others."""
+    slim = only(docs, "doc_id", "text")
+    wanted = reps.join(meeting, "rep", "left_semi").select("rep", F.col("least").alias("doc_id"), "h1", "h2")
+    # nearly all ids have one set only, so that any text of the id is right; the others' texts are told apart by digest
+    one = slim.join(wanted.join(several, "doc_id", "left_anti").select("rep", "doc_id"), "doc_id").select("rep", "text").dropDuplicates(["rep"])
+    unclear = slim.join(several.select("doc_id"), "doc_id", "left_semi").select(F.struct("text").alias("doc_id"), "text")
+    told = sketch(unclear).select("doc_id.text", "h1", "h2").join(wanted.join(several, "doc_id", "left_semi"), ["h1", "h2"])
+    return materialise(one.unionByName(told.select("rep", "text").dropDuplicates(["rep"])), "texts")
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, rep (of the equal sets) and component_id, one row per row of docs."""
+    """doc_id, n_shingles, rep (the number of the class of equal sets) and component_id, one row per row of docs."""
     sketched = materialise(sketch(docs), "sketches")
     full = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = full.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r"))
-    reps = materialise(reps.select("h1", "h2", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands")), "representatives")
+    reps = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    # numbers are given once, as the table is written
+    reps = materialise(reps.withColumn("rep", F.monotonically_increasing_id()), "representatives")
+    sets = full.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("low"), F.max(F.struct("h1", "h2")).alias("high"))
+    several = materialise(sets.where("low <> high").select("doc_id", "low"), "ids-of-several-sets")
+    numbers = reps.select("h1", "h2", "rep")
+    shared = full.select("doc_id", "h1", "h2").join(several, "doc_id").join(numbers.withColumnRenamed("rep", "a"), ["h1", "h2"])
+    shared = shared.select("a", F.col("low.h1").alias("h1"), F.col("low.h2").alias("h2")).distinct().join(numbers.withColumnRenamed("rep", "b"), ["h1", "h2"]).select("a", "b")
     members = materialise(_members(reps), "buckets")
-    meeting = members.select("rep").distinct()
-    texts = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("rep"), "text").join(meeting, "rep", "left_semi")
-    texts = materialise(texts.dropDuplicates(["rep"]), "texts")
+    texts = _texts(docs, reps, several, members.select("rep").distinct())
     leaders = materialise(_leaders(members), "leaders")
-    links = materialise(_confirm(_likely(_pairs(members, leaders), reps), texts), "confirmed")
-    # rows of one id with several sets count as one document
+    links = materialise(_confirm(_likely(_pairs(members, leaders), reps), texts).unionByName(shared), "confirmed")
     comps = materialise(components(links), "components")
     further = materialise(_crowd_links(members, leaders, reps, texts, comps), "crowd-links")
     if not further.isEmpty():
@@ -240,9 +286,11 @@ def classes(docs: DataFrame) -> DataFrame:
         named = further.join(comps.select(F.col("node").alias("a"), F.col("component").alias("comp_a")), "a", "left").join(comps.select(F.col("node").alias("b"), F.col("component").alias("comp_b")), "b", "left")
         extra = named.select(name("comp_a").alias("a"), name("comp_b").alias("b"))
         comps = materialise(components(extra.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b")))), "components")
-    named = reps.select("h1", "h2", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "rep", F.coalesce("component", "rep").alias("component"))
-    out = full.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "n_shingles", "rep", F.col("component").alias("component_id"))
-    rest = sketched.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"), F.col("doc_id").alias("component_id"))
+    grouped = materialise(reps.select("h1", "h2", "rep", "least").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "grouped")
+    ids = materialise(grouped.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")
+    named = grouped.join(ids, "component").select("h1", "h2", "rep", "component_id")
+    out = full.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "n_shingles", "rep", "component_id")
+    rest = sketched.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("rep"), F.col("doc_id").alias("component_id"))
     return out.unionByName(rest)
 
 

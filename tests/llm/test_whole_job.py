@@ -357,3 +357,76 @@ def test_long_lists_and_deep_trees_are_aligned():
             assert model.text(p) == "\n".join(f"Head {i} {k}\nText {i} {k}" for k in range(400))
     deep = "<div>" * 500 + "<div class=x><p>{0} one</p></div><form><p>no</p></form><p>Send to friends</p>"
     assert html_extract.extract(deep.format("a"), [deep.format(c) for c in "bcdefg"]) == "a one"
+
+
+# 6. Ids with several texts, ids that are text, crowds that drift, and crowds of which few rows are likely partners.
+
+
+def components_by_id(pairs):
+    """brute_components of rows, those of one id being one document."""
+    least = brute_components([((i, k), t) for k, (i, t) in enumerate(pairs)])
+    parent = {i: i for i, _ in pairs}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (i, _), (j, _) in least.items():
+        x, y = sorted((find(i), find(j)))
+        parent[y] = x
+    return {i: find(i) for i, _ in pairs}
+
+
+def found_components(spark, pairs, kind="bigint"):
+    got = near_dedup.find_near_duplicates(spark.createDataFrame(pairs, f"doc_id {kind}, text string")).collect()
+    assert len(got) == len(pairs)
+    by = {r.doc_id: r.component_id for r in got}
+    # all rows of an id agree
+    assert all(by[r.doc_id] == r.component_id and r.kept == (r.doc_id == r.component_id) for r in got)
+    return by
+
+
+def test_rows_of_one_id_with_several_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    pairs = [(3, a), (5, a), (5, b), (7, b), (9, b + " more")]
+    assert found_components(spark, pairs) == components_by_id(pairs) == {3: 3, 5: 3, 7: 3, 9: 3}
+    docs = spark.createDataFrame(pairs, "doc_id bigint, text string")
+    assert [tuple(r) for r in near_dedup.keep_one(docs).collect()] == [(3, a)]
+    words = [(f"x{i}", t) for i, t in pairs]
+    assert found_components(spark, words, "string") == {"x3": "x3", "x5": "x3", "x7": "x3", "x9": "x3"}
+
+
+def drifting(seed, n=70, length=60):
+    """Texts that change a little from each to the next, in several strands, with rows of ids that return."""
+    rng, out = random.Random(seed), []
+    base = [f"b{i}" for i in range(length)]
+    for strand in range(3):
+        words = list(base)
+        for i in range(n // 3):
+            words[rng.randrange(length)] = f"s{strand}n{i}"
+            out.append((rng.randrange(2 * n), " ".join(words)))
+    return out
+
+
+@pytest.mark.parametrize("block", range(4))
+def test_drifting_crowds_equal_brute_force(spark, monkeypatch, block):
+    # twenty seeds, five to a table, told apart by words; small cells, so that each crowd is dealt to many
+    monkeypatch.setattr(near_dedup, "CELL_ROWS", 16)
+    monkeypatch.setattr(near_dedup, "CELL_SHINGLES", 800)
+    pairs = []
+    for seed in range(5 * block, 5 * block + 5):
+        pairs += [(seed * 1000 + i, " ".join(f"{w}q{seed}" for w in t.split())) for i, t in drifting(seed)]
+    assert found_components(spark, pairs) == components_by_id(pairs)
+
+
+def test_rows_without_a_likely_partner_are_screened_out():
+    def row(i, text, component, outsider):
+        hashes = near_dedup.sketches.shingle_set(text.encode())
+        return {"crowd": 1, "rep": i, "component": component, "outsider": outsider, "n": len(hashes), "bands": near_dedup.sketches.bands(hashes).tolist()}
+
+    words = [f"b{i}" for i in range(100)]
+    rows = [row(i, edited(words, *range(0, 100, 3 + i)), i, True) for i in range(6)]  # hardly alike
+    rows += [row(10, edited(words, 50), 10, True), row(11, edited(words, 51), 11, False), row(12, edited(words, 50, 51), 10, False)]
+    got = near_dedup._screen_cell(pd.DataFrame(rows))
+    assert set(got["rep"]) == {10, 11}
