@@ -1,10 +1,18 @@
 """Quality rules: base rules, then robust multivariate outliers by minimum covariance determinant.
 
 Each document gives a vector of square-root ratios (symbols, capitals, digits, repeats ...).  For every
-(language, source) group a minimum-covariance-determinant estimate is found by concentration steps: rank
-the group's rows by Mahalanobis distance, keep the nearest share ``H``, re-estimate mean and covariance,
-repeat.  A step is one aggregation: rows are summed per (group, distance bin), bins are cumulated up to the
-share, and their sums give the next mean and covariance, so no group is ever gathered in one task.
+(language, source) group the share ``H`` of its rows is sought whose covariance, floors added, has the least
+determinant:
+
+1. Three starts need no chance: medians and quartile ranges alone, and with them the correlations of
+   hyperbolic tangents and of spatial signs of the standardised rows.
+2. A concentration step ranks the group's rows by Mahalanobis distance and takes mean and covariance of the
+   nearest share.  Steps are repeated for all groups and starts until no determinant falls any more.
+3. Of a group's starts that with the least determinant stays.  Its covariance is scaled by the consistency
+   factor of the share, and a document is rejected beyond the chi-square quantile of ``TAIL``.
+
+A step is one aggregation: rows are summed per (group, start, distance bin), bins are cumulated up to the share,
+the last one in part, and their sums give the next mean and covariance, so no group is ever gathered in one task.
 
 Defined cases: null or empty text has no words and fails the base rules; null lang or source are groups of
 their own; a group of few rows is shrunk towards the estimate of all rows; equal rows count each by
@@ -13,13 +21,15 @@ itself; an empty table gives no rows; further columns are ignored by ``judge`` a
 
 from __future__ import annotations
 
+import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,13 +44,19 @@ PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 FLOOR = np.array([0.04, 0.06, 0.06, 0.05, 0.06, 0.10, 0.15, 0.06])
 #: Share of a group that the estimate rests on.
 H = 0.7
-STEPS = 2
-#: Weight, in rows, of the all-rows estimate in each group's.
+#: Steps end when no group's log determinant falls by more than this, or after so many; the least found is kept.
+FALL = 1e-2
+MOST_STEPS = 25
+#: Weight, in rows, of the estimate of all rows in each group's.
 PRIOR_ROWS = 60.0
-#: Squared Mahalanobis distance beyond which a document is rejected; far in the tail of chi-square with P degrees of freedom.
-CUTOFF = 40.0
-#: More groups than this are joined by a shuffle rather than broadcast (a row of a model is about 0.7 KB).
-MAX_BROADCAST_GROUPS = 20_000
+#: Chance that a document of normally distributed statistics is rejected.
+TAIL = 3e-6
+#: Bins of distances to an octave.
+BINS = 12
+#: More groups than this are joined by a shuffle rather than broadcast (a row of models is about 3 KB).
+MAX_BROADCAST_GROUPS = 5_000
+#: Sums that a task holds before it hands them on.
+MOST_SUMS = 50_000
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(f"{f} double" for f in FEATURES)
 
@@ -101,39 +117,51 @@ def stats(docs: DataFrame, *keep: str) -> DataFrame:
     return source.mapInArrow(lambda it: _stats_batches(it, arrow, names), schema)
 
 
-def _cov(sums: np.ndarray, products: np.ndarray, n: float) -> tuple[np.ndarray, np.ndarray]:
-    mean = sums / max(n, 1.0)
+def chi_square(x: float, freedom: int) -> float:
+    """The chi-square distribution function, for an even number of degrees of freedom."""
+    term = total = 1.0
+    for k in range(1, freedom // 2):
+        term *= x / 2 / k
+        total += term
+    return 1 - math.exp(-x / 2) * total
+
+
+def chi_square_quantile(share: float, freedom: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_square(mid, freedom) < share else (low, mid)
+    return high
+
+
+#: Makes the covariance of the nearest share that of all rows, where these are normally distributed.
+CONSISTENCY = H / chi_square(chi_square_quantile(H, P), P + 2)
+#: Squared Mahalanobis distance beyond which a document is rejected.
+CUTOFF = chi_square_quantile(1 - TAIL, P)
+
+
+def estimate(n: float, sums, products) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance from a count, sums and sums of products."""
+    mean = np.array(sums, float) / max(n, 1e-9)
     cov = np.zeros((P, P))
     for (i, j), v in zip(PAIRS, products):
-        cov[i, j] = cov[j, i] = v / max(n, 1.0) - mean[i] * mean[j]
+        cov[i, j] = cov[j, i] = v / max(n, 1e-9) - mean[i] * mean[j]
     return mean, cov
 
 
-def _shape(cov: np.ndarray) -> np.ndarray:
-    """The covariance made consistent for the trimmed share and with the floor added; always invertible."""
-    return cov * 1.6 + np.diag(FLOOR**2)
+def shape(cov: np.ndarray) -> np.ndarray:
+    """The covariance made consistent for the share, with the floors added; always invertible."""
+    return cov * CONSISTENCY + np.diag(FLOOR**2)
 
 
-def _model_batches(prior: tuple | None):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                n = float(r.n)
-                mean, cov = _cov(np.array(r.sums, float), np.array(r.products, float), n)
-                if prior is not None:
-                    k = PRIOR_ROWS / (PRIOR_ROWS + n)
-                    pm, pc = np.array(prior[0]), np.array(prior[1]).reshape(P, P)
-                    gap = mean - pm
-                    mean, cov = mean * (1 - k) + pm * k, cov * (1 - k) + pc * k + np.outer(gap, gap) * k * (1 - k)
-                inverse = np.linalg.inv(_shape(cov))
-                rows.append((r.g_lang, r.g_source, mean.tolist(), cov.ravel().tolist(), inverse.ravel().tolist()))
-            yield pd.DataFrame(rows, columns=["g_lang", "g_source", "mean", "cov", "inverse"])
-
-    return run
+def log_determinant(cov: np.ndarray) -> float:
+    return float(np.linalg.slogdet(shape(cov))[1])
 
 
-MODEL = "g_lang string, g_source string, mean array<double>, cov array<double>, inverse array<double>"
+GROUP = "g string"
+#: The group of all rows; that of a language and source is a JSON object.
+ALL = "all"
+MODELS = f"{GROUP}, models array<struct<n: double, sums: array<double>, products: array<double>, mean: array<double>, inverse: array<double>, size: double>>, fall double"
 
 
 def _distance(x: list[Column], mean: Column, inverse: Column) -> Column:
@@ -144,64 +172,185 @@ def _distance(x: list[Column], mean: Column, inverse: Column) -> Column:
     return total
 
 
-def _moments() -> list[Column]:
-    cols = [F.col(f) for f in FEATURES]
-    return [F.count(F.lit(1)).alias("n"), F.array(*[F.sum(c) for c in cols]).alias("sums"), F.array(*[F.sum(cols[i] * cols[j]) for i, j in PAIRS]).alias("products")]
+def group_of(lang: str = "lang", source: str = "source") -> Column:
+    """The name of a row's group; null languages and sources are told from all others."""
+    return F.to_json(F.struct(F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source")))
 
 
 def _with_model(rows: DataFrame, models: DataFrame) -> DataFrame:
-    return rows.join(models, rows["g_lang"].eqNullSafe(models["g_lang"]) & rows["g_source"].eqNullSafe(models["g_source"]), "left").drop(models["g_lang"]).drop(models["g_source"])
+    return rows.join(F.broadcast(models) if models.count() <= MAX_BROADCAST_GROUPS else models, "g", "left")
+
+
+Known = Callable[[np.ndarray, list], list[tuple[np.ndarray, np.ndarray]]]
+
+
+def _summed(rows: DataFrame, models: DataFrame, column: str, measure: Known) -> DataFrame:
+    """n, sums and products of (group, start, bin): measure gives, for some rows of one group, a bin and a vector of each by start.
+
+    Rows are summed within each task before they are shuffled.
+    """
+    few = models.count() <= MAX_BROADCAST_GROUPS
+    held = rows.sparkSession.sparkContext.broadcast({r.g: r[column] for r in models.select("g", column).collect()}) if few else None
+    rows = rows if few else _with_model(rows, models.select("g", column))
+    schema = f"{GROUP}, start int, bin int, n long, sums array<double>, products array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+
+        def flush() -> pa.RecordBatch:
+            keys, values = list(total), np.array(list(total.values())).reshape(-1, 1 + P + len(PAIRS))
+            total.clear()
+            columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32()))]
+            columns += [pa.array(values[:, 0].astype(np.int64)), pa.array(values[:, 1 : 1 + P].tolist(), pa.list_(pa.float64())), pa.array(values[:, 1 + P :].tolist(), pa.list_(pa.float64()))]
+            return pa.RecordBatch.from_arrays(columns, names=["g", "start", "bin", "n", "sums", "products"])
+
+        for batch in batches:
+            x = np.column_stack([batch.column(f).to_numpy(zero_copy_only=False) for f in FEATURES])
+            groups: dict[str, list[int]] = {}
+            for i, g in enumerate(batch.column("g").to_pylist()):
+                groups.setdefault(g, []).append(i)
+            for g, at in groups.items():
+                model = held.value[g] if few else batch.column(column)[at[0]].as_py()
+                for start, (bins, vectors) in enumerate(measure(x[at], model)):
+                    values = np.column_stack([np.ones(len(at)), vectors, *[vectors[:, i] * vectors[:, j] for i, j in PAIRS]])
+                    order = np.argsort(bins, kind="stable")
+                    cuts = np.flatnonzero(np.diff(bins[order], prepend=-1))
+                    for b, v in zip(bins[order][cuts].tolist(), np.add.reduceat(values[order], cuts, axis=0)):
+                        key = (g, start, b)
+                        total[key] = total[key] + v if key in total else v
+            if len(total) > MOST_SUMS:
+                yield flush()
+        yield flush()
+
+    sums = lambda c, n: F.array(*[F.sum(F.col(c)[i]) for i in range(n)]).alias(c)
+    return rows.mapInArrow(run, schema).groupBy("g", "start", "bin").agg(F.sum("n").alias("n"), sums("sums", P), sums("products", len(PAIRS)))
+
+
+def _as_model(n: float, sums, products, mean: np.ndarray, spread: np.ndarray, size: float) -> dict:
+    """spread is the matrix that distances are measured by; size the log determinant, infinite before the first step."""
+    return {"n": float(n), "sums": list(map(float, sums)), "products": list(map(float, products)), "mean": mean.tolist(), "inverse": np.linalg.inv(spread).ravel().tolist(), "size": size}
 
 
 def _start(rows: DataFrame) -> DataFrame:
-    """Coordinate-wise medians and the floors: the start of the concentration steps."""
-    medians = rows.groupBy("g_lang", "g_source").agg(F.array(*[F.percentile_approx(f, 0.5, 1000).cast("double") for f in FEATURES]).alias("mean"))
-    inverse = np.linalg.inv(np.diag(FLOOR**2)).ravel().tolist()
-    return medians.withColumn("inverse", F.array(*[F.lit(float(v)) for v in inverse]))
-
-
-def _concentrate(rows: DataFrame, models: DataFrame, prior: tuple | None) -> DataFrame:
-    """One concentration step for all groups at once."""
-    from pyspark.sql import Window as W
-
-    d2 = _distance([F.col(f) for f in FEATURES], F.col("mean"), F.col("inverse"))
-    binned = _with_model(rows, models.select("g_lang", "g_source", "mean", "inverse")).withColumn("bin", F.least(F.floor(F.log2(d2 + 1) * 12), F.lit(400)))
-    bins = binned.groupBy("g_lang", "g_source", "bin").agg(*_moments())
-    group = W.partitionBy("g_lang", "g_source")
-    before = F.coalesce(F.sum("n").over(group.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    near = bins.withColumn("before", before).withColumn("all", F.sum("n").over(group)).where(F.col("before") < F.col("all") * H)
-    kept = near.groupBy("g_lang", "g_source").agg(
-        F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[i]) for i in range(P)]).alias("sums"), F.array(*[F.sum(F.col("products")[i]) for i in range(len(PAIRS))]).alias("products")
+    """Each group's starts; exact quartiles and sums, so that they depend on the rows alone."""
+    # statistics are multiples of 1/1024, so a quartile keeps few different values
+    at = rows.groupBy("g").agg(F.array(*[F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for f in FEATURES]).alias("quartiles"))
+    at = materialise(at, "quality-quartiles")
+
+    def placed(quartiles) -> tuple[np.ndarray, np.ndarray]:
+        q = np.array([list(x) for x in quartiles], float)
+        return q[:, 1], np.sqrt(((q[:, 2] - q[:, 0]) / 1.349) ** 2 + FLOOR**2)
+
+    def measure(x: np.ndarray, quartiles) -> list[tuple[np.ndarray, np.ndarray]]:
+        centre, scale = placed(quartiles)
+        z = (x - centre) / scale
+        sign = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+        # rounded, so that sums don't depend on their order
+        return [(np.zeros(len(x), int), np.round(v * 2**16) / 2**16) for v in (np.tanh(z), sign)]
+
+    made = _summed(rows, at, "quartiles", measure).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("start", "n", "sums", "products"))).alias("made"))
+    made = _with_model(made, at)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples(index=False):
+                centre, scale = placed(r.quartiles)
+                tanh, sign = r.made
+                t = estimate(tanh["n"], tanh["sums"], tanh["products"])[1]
+                d = np.sqrt(np.maximum(np.diag(t), 1e-6))
+                shapes = [np.eye(P), t / np.outer(d, d), P * estimate(sign["n"], [0.0] * P, sign["products"])[1]]
+                zero = ([0.0] * P, [0.0] * len(PAIRS))
+                models = [_as_model(0, *zero, centre, s * np.outer(scale, scale) + np.diag(FLOOR**2), float("inf")) for s in shapes]
+                out.append((r.g, models, float("inf")))
+            yield pd.DataFrame(out, columns=["g", "models", "fall"])
+
+    return made.mapInPandas(run, MODELS)
+
+
+def _step(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """One concentration step of all groups and starts; ``fall`` is the most that a determinant of the group fell."""
+
+    def measure(x: np.ndarray, models) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = []
+        for m in models:
+            gap = x - np.array(m["mean"])
+            d = np.einsum("ij,jk,ik->i", gap, np.array(m["inverse"]).reshape(P, P), gap)
+            out.append((np.minimum(np.log2(np.maximum(d, 0) + 1) * BINS, 1e6).astype(int), x))
+        return out
+
+    bins = _summed(rows, models, "models", measure)
+    one = W.partitionBy("g", "start")
+    before = F.coalesce(F.sum("n").over(one.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    wanted = F.ceil(F.col("every") * H)
+    near = bins.withColumn("before", before).withColumn("every", F.sum("n").over(one)).where(F.col("before") < wanted)
+    part = F.least(F.lit(1.0), (wanted - F.col("before")) / F.col("n"))  # of the bin that the share ends in
+    kept = near.withColumn("part", part).groupBy("g", "start").agg(
+        F.sum(F.col("part") * F.col("n")).alias("n"), F.array(*[F.sum(F.col("part") * F.col("sums")[i]) for i in range(P)]).alias("sums"), F.array(*[F.sum(F.col("part") * F.col("products")[i]) for i in range(len(PAIRS))]).alias("products")
     )
-    return kept.mapInPandas(_model_batches(prior), MODEL)
+    grouped = kept.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("start", "n", "sums", "products"))).alias("next"))
+    grouped = _with_model(grouped, models.select("g", "models"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples(index=False):
+                models, fall = [], 0.0
+                for new, old in zip(r.next, r.models):
+                    mean, cov = estimate(new["n"], new["sums"], new["products"])
+                    size = log_determinant(cov)
+                    if size < old["size"]:
+                        fall = max(fall, old["size"] - size)
+                        models.append(_as_model(new["n"], new["sums"], new["products"], mean, shape(cov), size))
+                    else:
+                        models.append({k: list(v) if k not in ("n", "size") else v for k, v in old.items()})
+                out.append((r.g, models, fall))
+            yield pd.DataFrame(out, columns=["g", "models", "fall"])
+
+    return grouped.mapInPandas(run, MODELS)
+
+
+def concentrated(rows: DataFrame) -> DataFrame:
+    """The least determinant of each group that steps from the starts reach: group, n, sums, products and size."""
+    models = materialise(_start(rows), "quality-models")
+    for _ in range(MOST_STEPS):
+        models = materialise(_step(rows, models), "quality-models")
+        if (models.agg(F.max("fall").alias("fall")).first().fall or 0.0) <= FALL:
+            break
+    return models.select("g", F.array_min(F.transform("models", lambda m: F.struct(m["size"].alias("size"), m["n"].alias("n"), m["sums"].alias("sums"), m["products"].alias("products")))).alias("m")).select("g", "m.*")
 
 
 def fit(docs: DataFrame, statistics: DataFrame | None = None) -> DataFrame:
     """MCD models, one row per (lang, source), as a scratch table; statistics may hold what stats(docs, "lang", "source") gives."""
     if statistics is None:
         statistics = materialise(stats(only(docs, "text", "lang", "source"), "lang", "source"), "quality-stats")
-    rows = statistics.where("n_words > 0").select(F.col("lang").cast("string").alias("g_lang"), F.col("source").cast("string").alias("g_source"), *FEATURES)
-    every = rows.withColumn("g_lang", F.lit("")).withColumn("g_source", F.lit(""))
-    models = _start(every)
-    for _ in range(STEPS):
-        models = _concentrate(every, models, None)
-    whole = models.select("mean", "cov").first()  # one row
-    prior = (list(whole.mean), list(whole.cov)) if whole else ([0.0] * P, [0.0] * (P * P))
-    models = _start(rows)
-    for _ in range(STEPS):
-        models = _concentrate(rows, models, prior)
-    return materialise(models, "quality-models")
+    rows = statistics.where("n_words > 0").select(group_of().alias("g"), *FEATURES)
+    best = concentrated(rows.unionByName(rows.withColumn("g", F.lit(ALL))))
+    whole = best.where(F.col("g") == ALL).first()  # one row, none if there are no rows
+    prior = (whole.n, list(whole.sums), list(whole.products)) if whole else (0.0, [0.0] * P, [0.0] * len(PAIRS))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pm, pc = estimate(*prior)
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples(index=False):
+                mean, cov = estimate(r.n, r.sums, r.products)
+                k = PRIOR_ROWS / (PRIOR_ROWS + r.n)
+                gap = mean - pm
+                mean, cov = mean * (1 - k) + pm * k, cov * (1 - k) + pc * k + np.outer(gap, gap) * k * (1 - k)
+                out.append((r.g, mean.tolist(), np.linalg.inv(shape(cov)).ravel().tolist()))
+            yield pd.DataFrame(out, columns=["g", "mean", "inverse"])
+
+    return materialise(best.mapInPandas(run, f"{GROUP}, mean array<double>, inverse array<double>"), "quality-models")
 
 
 def _verdict(rows: DataFrame, models: DataFrame) -> DataFrame:
-    slim = models.select("g_lang", "g_source", "mean", "inverse")
-    if models.count() <= MAX_BROADCAST_GROUPS:
-        slim = F.broadcast(slim)
-    rows = rows.withColumn("g_lang", F.col("lang").cast("string")).withColumn("g_source", F.col("source").cast("string"))
+    slim = models.select("g", "mean", "inverse")
+    rows = rows.withColumn("g", group_of())
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     d2 = F.coalesce(_distance([F.col(f) for f in FEATURES], F.col("mean"), F.col("inverse")), F.lit(0.0))
     judged = _with_model(rows, slim).withColumn("base_failed", failed).withColumn("distance", F.sqrt(F.greatest(d2, F.lit(0.0))))
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= CUTOFF**0.5)).drop("g_lang", "g_source", "mean", "inverse")
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= CUTOFF**0.5)).drop("g", "mean", "inverse")
 
 
 def judge(docs: DataFrame) -> DataFrame:

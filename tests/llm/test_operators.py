@@ -75,17 +75,64 @@ def test_quality_rules_on_odd_rows(spark):
     assert quality_rules.judge(odd.limit(0)).count() == 0 and quality_rules.keep_good(odd.limit(0)).count() == 0
 
 
+def as_rows(spark, groups):
+    data = [(name, *map(float, x)) for name, xs in groups.items() for x in xs]
+    return spark.createDataFrame(data, "g string, " + ", ".join(f"{f} double" for f in quality_rules.FEATURES))
+
+
+def brute_mcd(x, starts=300):
+    """The least log determinant that exact concentration steps reach from many chance starts, and its mean."""
+    rng, h, best = np.random.default_rng(0), -(-int(len(x) * quality_rules.H * 10) // 10), (np.inf, None)
+    for _ in range(starts):
+        some = rng.choice(len(x), quality_rules.P + 1, replace=False)
+        last = np.inf
+        while True:
+            mean, cov = x[some].mean(axis=0), np.cov(x[some].T, bias=True)
+            size = quality_rules.log_determinant(cov)
+            if len(some) == h and size >= last - 1e-9:
+                break
+            last = size if len(some) == h else np.inf
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(quality_rules.shape(cov)), x - mean)
+            some = np.argsort(d, kind="stable")[:h]
+        best = min(best, (last, mean.tolist()))
+    return best
+
+
+def contaminated(seed, n, share, at):
+    rng = np.random.default_rng(seed)
+    mix = rng.standard_normal((quality_rules.P, quality_rules.P)) * 0.03
+    bad = int(n * share)
+    return np.vstack([0.4 + rng.standard_normal((n - bad, quality_rules.P)) @ mix, at + 0.02 * rng.standard_normal((bad, quality_rules.P))]).clip(0, 3)
+
+
+def test_least_determinant_is_that_of_brute_force(spark):
+    groups = {"a": contaminated(1, 120, 0.25, 0.9), "b": contaminated(2, 200, 0.2, 0.1), "c": contaminated(3, 90, 0.0, 0), "d": contaminated(4, 150, 0.28, 1.2)}
+    groups = {k: np.round(v * 1024) / 1024 for k, v in groups.items()}
+    got = {r.g: r for r in quality_rules.concentrated(as_rows(spark, groups)).collect()}
+    for name, x in groups.items():
+        size, mean = brute_mcd(x)
+        r = got[name]
+        assert r.n == pytest.approx(np.ceil(len(x) * quality_rules.H)) and abs(r.size - size) < 0.15
+        assert np.allclose(np.array(r.sums) / r.n, mean, atol=0.02)
+
+
 def test_concentration_ignores_outliers(spark):
-    # a third of a group's rows are far outliers: the estimate must sit at the others
+    # more than a quarter of a group's rows are far outliers: the estimate must sit at the others
     rng = np.random.default_rng(3)
     clean = 0.3 + 0.03 * rng.standard_normal((200, quality_rules.P))
     bad = 0.9 + 0.03 * rng.standard_normal((80, quality_rules.P))
-    data = [("en", "a", *map(float, x)) for x in np.vstack([clean, bad])]
-    frame = spark.createDataFrame(data, "g_lang string, g_source string, " + ", ".join(f"{f} double" for f in quality_rules.FEATURES))
-    models = quality_rules._start(frame)
-    for _ in range(quality_rules.STEPS):
-        models = quality_rules._concentrate(frame, models, None)
-    assert np.allclose(models.first().mean, 0.3, atol=0.02)
+    best = quality_rules.concentrated(as_rows(spark, {"a": np.vstack([clean, bad])})).first()
+    assert np.allclose(np.array(best.sums) / best.n, 0.3, atol=0.02)
+
+
+def test_models_do_not_depend_on_partitions(spark, docs):
+    one, two = (sorted(quality_rules.judge(docs.repartition(n)).select("doc_id", "kept", F.round("distance", 6).alias("d")).collect()) for n in (1, 9))
+    assert one == two
+
+
+def test_chi_square():
+    assert quality_rules.chi_square(15.50731, 8) == pytest.approx(0.95, abs=1e-6) and quality_rules.chi_square_quantile(0.99, 10) == pytest.approx(23.20925, abs=1e-4)
+    assert 39 < quality_rules.CUTOFF < 42 and 1.2 < quality_rules.CONSISTENCY < 2
 
 
 # 2. Mixing.
