@@ -7,6 +7,8 @@ exactly those, and ``bytes.lower()`` lower-cases exactly A-Z, so operators work
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,16 +36,35 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes df to a scratch table and reads it back, which cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
-    path = f"{scratch_dir(spark)}/{app}/{label}-{uuid.uuid4().hex}"
+    path = "/".join([scratch_dir(spark), app, *_scopes, f"{label}-{uuid.uuid4().hex}"])
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Removes this application's scratch tables; DataFrames that read them must have been written by then."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}")
+
+
+_scopes: list[str] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside are removed at the end; what reads them must be written inside."""
+    _scopes.append(f"scope-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        folder = "/".join([scratch_dir(spark), spark.sparkContext.applicationId, *_scopes])
+        _scopes.pop()
+        remove(spark, folder)
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

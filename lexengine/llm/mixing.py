@@ -9,6 +9,7 @@
 3. Positions: every source has a schedule, a piecewise linear weight over training time 0..1 given by
    knots.  Its integral, scaled to the target, is the cumulative demand; the inverse of it at the word in
    the middle of what a pass takes is the training position of the pass.
+4. Order: every pass of a document is a row of its own, and rows are range-sorted by position.
 
 Running sums within a source go over buckets of the order's first 12 bits, then within a bucket, so a
 source that holds a third of all rows is spread over up to 4,096 groups.  Only the sources themselves,
@@ -21,6 +22,7 @@ order would; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,10 +37,10 @@ SCHEDULES = ((1.0, 1.0, 1.0), (1.5, 1.0, 0.5), (0.5, 1.0, 1.5))
 BUCKET_DIGITS = 3
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size in words; the only step that reads texts."""
-    slim = only(docs, "doc_id", "text", "source")
-    return slim.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD_SQL)), F.lit(0)).cast("long").alias("size"))
+def sizes(docs: DataFrame, *keys: str) -> DataFrame:
+    """The keys, doc_id, source and size in words; the only step that reads texts."""
+    slim = only(docs, *keys, "doc_id", "text", "source")
+    return slim.select(*keys, "doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD_SQL)), F.lit(0)).cast("long").alias("size"))
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -89,7 +91,13 @@ def _inverse(share: Column, knots: tuple[float, ...]) -> Column:
 
 def curriculum(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, schedules: tuple[tuple[float, ...], ...] = SCHEDULES) -> DataFrame:
     """doc_id, source, size, source_size, target, taken and the training positions of the passes, per document."""
-    sized = materialise(sizes(docs), "mix-sizes")
+    rows = _passes(materialise(sizes(docs), "mix-sizes"), weights, max_repeats, schedules)
+    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", *[f"position_{p + 1}" for p in range(max_repeats)])
+
+
+def _passes(sized: DataFrame, weights: tuple[float, ...], max_repeats: int, schedules: tuple[tuple[float, ...], ...]) -> DataFrame:
+    """The sized rows with source_size, target, taken, and what each pass takes and where (taken_1, position_1 ...)."""
+    columns = sized.columns
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     ordered = sized.withColumn("key", key).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     targets = source_targets(sized, weights, max_repeats)
@@ -110,15 +118,51 @@ def curriculum(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat
         for k in reversed(range(len(schedules))):
             at = _inverse(share, schedules[k])
             position = at if position is None else F.when(F.col("rank") % len(schedules) == k, at).otherwise(position)
-        rows = rows.withColumn(f"position_{p + 1}", F.when(take > 0, position))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", *[f"position_{p + 1}" for p in range(max_repeats)])
+        rows = rows.withColumn(f"position_{p + 1}", F.when(take > 0, position)).withColumn(f"taken_{p + 1}", take)
+    return rows.select(*columns, "source_size", "target", "taken", *[f"{c}_{p + 1}" for p in range(max_repeats) for c in ("taken", "position")])
+
+
+def _sorted(rows: DataFrame, partitions: int | None, *by: Column) -> DataFrame:
+    dealt = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
+    return dealt.sortWithinPartitions(*by)
 
 
 def in_training_order(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
     """Documents range-sorted by the position of their first pass; those that are not taken come last."""
-    by = [F.col("position_1").asc_nulls_last(), F.col("doc_id")]
-    dealt = mixed.repartitionByRange(partitions, *by) if partitions else mixed.repartitionByRange(*by)
-    return dealt.sortWithinPartitions(*by)
+    return _sorted(mixed, partitions, F.col("position_1").asc_nulls_last(), F.col("doc_id"))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents, packed as row, with a file and a place in it that tell rows apart on every reading."""
+    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    try:
+        return docs.select(packed, F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    except AnalysisException:
+        # no table of Parquet files: numbered as it is written to one
+        return materialise(docs.select(packed, F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("place")), "mix-rows")
+
+
+#: Columns that training_rows adds.
+ADDED = ("size", "source_size", "target", "pass", "taken", "position")
+
+
+def training_rows(docs: DataFrame, partitions: int | None = None, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, schedules: tuple[tuple[float, ...], ...] = SCHEDULES) -> DataFrame:
+    """One row for each pass of each document, in training order, with all columns of docs.
+
+    Added are size, source_size, target, pass (from 1), the words that the pass takes, and its position.  A document
+    that the mix takes nothing of has one row with pass and position null and taken 0, after all others.
+    """
+    numbered = _numbered(docs)
+    flat = numbered.select("file", "place", *[F.col("row")[c].alias(c) for c in docs.columns if c.lower() in ("doc_id", "text", "source")])
+    sized = materialise(sizes(flat, "file", "place"), "mix-sizes")
+    rows = _passes(sized, weights, max_repeats, schedules)
+    each = F.filter(F.array(*[F.struct(F.lit(p + 1).alias("pass"), F.col(f"taken_{p + 1}").alias("taken"), F.col(f"position_{p + 1}").alias("position")) for p in range(max_repeats)]), lambda x: x["taken"] > 0)
+    nothing = F.array(F.struct(F.lit(None).cast("int").alias("pass"), F.lit(0).cast("long").alias("taken"), F.lit(None).cast("double").alias("position")))
+    passes = rows.select("file", "place", "size", "source_size", "target", F.explode(F.when(F.size(each) > 0, each).otherwise(nothing)).alias("x"))
+    passes = materialise(passes.select("file", "place", "size", "source_size", "target", "x.*"), "mix-passes")
+    kept = [c for c in docs.columns if c.lower() not in ADDED]
+    joined = numbered.join(passes, ["file", "place"]).select(*[F.col("row")[c].alias(c) for c in kept], *ADDED)
+    return _sorted(joined, partitions, F.col("position").asc_nulls_last(), F.col("doc_id") if "doc_id" in kept else F.lit(0), F.col("pass"))
 
 
 def _inverse_sql(share: str, knots: tuple[float, ...]) -> str:
@@ -132,8 +176,10 @@ def _inverse_sql(share: str, knots: tuple[float, ...]) -> str:
     return f"least({out}, 1e0)"
 
 
-_SHARE = "((start::DOUBLE + take_1::DOUBLE / 2e0) / target)"
-_POSITION = "CASE rank % 3 " + " ".join(f"WHEN {k} THEN {_inverse_sql(_SHARE, x)}" for k, x in enumerate(SCHEDULES)) + " END"
+def _position_sql(p: int) -> str:
+    share = f"(((start + {p} * source_size)::DOUBLE + take_{p + 1}::DOUBLE / 2e0) / target)"
+    cases = " ".join(f"WHEN {k} THEN {_inverse_sql(share, x)}" for k, x in enumerate(SCHEDULES))
+    return f"CASE WHEN take_{p + 1} > 0 THEN round(CASE rank % 3 {cases} END, 9) END"
 
 
 ORACLE_SQL = """
@@ -163,5 +209,5 @@ passes AS (
     greatest(0, least(size, floor(target)::BIGINT - (start + source_size))) AS take_2,
     greatest(0, least(size, floor(target)::BIGINT - (start + 2 * source_size))) AS take_3 FROM placed)
 SELECT doc_id, size, source_size, target, (take_1 + take_2 + take_3)::BIGINT AS taken,
-  CASE WHEN take_1 > 0 THEN round(POSITION_OF_PASS, 9) END AS position FROM passes
-""".replace("POSITION_OF_PASS", _POSITION)
+  POSITION_1 AS position, POSITION_2 AS position_2, POSITION_3 AS position_3 FROM passes
+""".replace("POSITION_1", _position_sql(0)).replace("POSITION_2", _position_sql(1)).replace("POSITION_3", _position_sql(2))

@@ -19,7 +19,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.in_training_order(mixing.curriculum(table(spark, sf_dir, "documents")))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position_1", 9).alias("position"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position_1", 9).alias("position"), F.round("position_2", 9).alias("position_2"), F.round("position_3", 9).alias("position_3"))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lexengine.llm import (
     boosting, decontamination, html_extract, mixing, near_dedup, pii, quality_classifier, quality_rules, registry, secrets, sketches, toxicity, url_filter,
 )
-from lexengine.llm.common import clear_scratch, materialise, scratch_dir, table
+from lexengine.llm.common import clear_scratch, materialise, scratch_dir, scratch_scope, table
 from lexengine.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -184,6 +184,43 @@ def test_mixing_range_sorts(docs):
     assert values == sorted(values)
 
 
+def check_training_rows(docs, rows, mixed):
+    """Rows of passes hold what the curriculum of the same documents says."""
+    want = Counter()
+    for r in mixed:
+        found = [p for p in (r.position_1, r.position_2, r.position_3) if p is not None]
+        want.update([(r.doc_id, p) for p in found] or [(r.doc_id, None)])
+    assert Counter((r.doc_id, r.position) for r in rows) == want
+    taken = Counter()
+    for r in rows:
+        taken[r.doc_id] += r.taken
+        assert 0 <= r.taken <= r.size and (r["pass"] is None) == (r.position is None) == (r.taken == 0)
+    total = Counter()
+    for r in mixed:
+        total[r.doc_id] += r.taken
+    assert taken == total
+    texts = defaultdict(set)
+    for d in docs:
+        texts[d.doc_id].add(d.text)
+    assert all(r.text in texts[r.doc_id] for r in rows)
+
+
+def test_each_pass_is_a_row_in_training_order(spark, docs, rows):
+    got = mixing.training_rows(docs, 4).collect()
+    check_training_rows(rows, got, mixing.curriculum(docs).collect())
+    places = [2.0 if r.position is None else r.position for r in got]
+    assert places == sorted(places) and {r["pass"] for r in got} >= {1, 2, None}
+    assert got[0].asDict().keys() == set(docs.columns) | set(mixing.ADDED)
+
+
+def test_training_rows_on_odd_rows(spark):
+    odd = odd_docs(spark)
+    got = mixing.training_rows(odd).collect()
+    check_training_rows(odd.collect(), got, mixing.curriculum(odd).collect())
+    assert {r.doc_id for r in got if r.taken == 0} >= {1, 2, 3} and set(odd.columns) <= set(got[0].asDict())
+    assert mixing.training_rows(odd.limit(0)).count() == 0
+
+
 def test_mixing_on_odd_rows(spark):
     odd = odd_docs(spark)
     got = mixing.curriculum(odd).collect()
@@ -597,6 +634,17 @@ def test_scratch_tables_round_trip(spark):
     assert materialise(spark.range(5), "t").count() == 5 and materialise(spark.range(0), "t").count() == 0
 
 
+def test_scratch_tables_of_a_scope_go_with_it(spark):
+    import os
+
+    folder = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}".removeprefix("file://")
+    outside = materialise(spark.range(3), "outside")
+    before = set(os.listdir(folder))
+    with scratch_scope(spark):
+        assert materialise(spark.range(5), "t").count() == 5 and len(os.listdir(folder)) == len(before) + 1
+    assert set(os.listdir(folder)) == before and outside.count() == 3
+
+
 def test_scratch_tables_can_be_cleared(spark):
     import os
 
