@@ -20,11 +20,10 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, target: str, make: Callable[[bytes], object], kind: str, rare_first: bool = False, rows: int = MAX_TRAINING_ROWS) -> list[tuple[object, int]]:
-    """(features, label) of at most ``rows`` labelled documents, none of them held out.
+def sampled(docs: DataFrame, labels: DataFrame, target: str, rare_first: bool = False, rows: int = MAX_TRAINING_ROWS) -> DataFrame:
+    """text and label (0 or 1) of at most ``rows`` labels, none of them of a held-out id; ids may be of any type.
 
-    Features are made of whole texts on the executors by ``make``, of SQL type ``kind``; only they come to the
-    driver.  With rare_first at most half of the sample has either label.
+    With rare_first at most half of the sample has either label.  Several documents of one id are all in the sample.
     """
     known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(target).cast("int").alias("label"))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("label")]
@@ -33,12 +32,20 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, make: Callable[[by
         chosen = known.where("label > 0").orderBy(*by_hash).limit(half).unionByName(known.where("label <= 0").orderBy(*by_hash).limit(half))
     else:
         chosen = known.orderBy(*by_hash).limit(rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # at most MAX_TRAINING_ROWS rows of an id and a number
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("text").cast("string").alias("text"), (F.col("label") > 0).cast("int").alias("label"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, target: str, make: Callable[[bytes], list[float]], rows: int = MAX_TRAINING_ROWS) -> list[tuple[list[float], int]]:
+    """(features, label) of at most ``rows`` labelled documents, none of them held out.
+
+    Features, a short list of numbers, are made of whole texts on the executors by ``make``; only they come to the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = pa.array([make(t) for t in as_bytes(batch.column("text"))], {"array<double>": pa.list_(pa.float64()), "string": pa.string()}[kind])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label").cast(pa.int32()), made], names=["doc_id", "label", "features"])
+            made = pa.array([make(t) for t in as_bytes(batch.column("text"))], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([made, batch.column("label").cast(pa.int32())], names=["features", "label"])
 
-    found = sample.mapInArrow(run, f"doc_id bigint, label int, features {kind}").orderBy(*by_hash, "features").limit(rows)
-    return [(r.features, r.label) for r in found.collect()]
+    found = sampled(docs, labels, target, rows=rows).mapInArrow(run, "features array<double>, label int").orderBy(F.xxhash64("features"), "features", "label").limit(rows)
+    return [(list(r.features), r.label) for r in found.collect()]

@@ -5,13 +5,14 @@ import random
 import re
 import string
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
 
-from lexengine.llm import boosting, html_extract, near_dedup, pii, secrets
+from lexengine.llm import boosting, html_extract, near_dedup, pii, quality_classifier, secrets, toxicity
 from lexengine.llm.common import table
 
 from test_operators import brute_components
@@ -430,3 +431,59 @@ def test_rows_without_a_likely_partner_are_screened_out():
     rows += [row(10, edited(words, 50), 10, True), row(11, edited(words, 51), 11, False), row(12, edited(words, 50, 51), 10, False)]
     got = near_dedup._screen_cell(pd.DataFrame(rows))
     assert set(got["rep"]) == {10, 11}
+
+
+# 5 and 8. Classifiers: the plain form of each on the same rows, text ids, and what is learnt of stems.
+
+
+def training_rows_of(docs, labels, column):
+    """(text, label) of labelled documents that are not held out."""
+    texts = {d.doc_id: d.text for d in docs.collect()}
+    known = [(r.doc_id, r[column]) for r in labels.collect() if r[column] is not None and r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    return texts, [((texts[i] or "").encode(), y) for i, y in known]
+
+
+def test_quality_scores_equal_a_plain_bradley_terry_fit(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    texts, rows = training_rows_of(docs, labels, "quality")
+    model = quality_classifier.fit(sorted(((quality_classifier.features(t), y) for t, y in rows)))
+    got = {r.doc_id: r for r in quality_classifier.score(docs, labels).collect()}
+    x = np.array([quality_classifier.features((t or "").encode()) for t in texts.values()])
+    # by gradient descent on the same pairs' logistic loss the weights come out alike
+    z = (np.array([quality_classifier.features(t) for t, _ in rows]) - model["centre"]) / model["scale"]
+    y = np.array([label for _, label in rows])
+    w, (good, poor) = np.zeros(z.shape[1]), (np.flatnonzero(y == 1), np.flatnonzero(y == 0))
+    gaps = (z[good][:, None, :] - z[poor][None, :, :]).reshape(-1, z.shape[1])
+    for _ in range(400):
+        p = 1 / (1 + np.exp(-np.clip(gaps @ w, -50, 50)))
+        w -= 0.5 * (gaps.T @ (p - 1) / len(gaps) + quality_classifier.RIDGE * w)
+    ours, plain = np.array([got[i].score for i in texts]), ((x - model["centre"]) / model["scale"]) @ w
+    order = np.argsort(np.argsort(ours)), np.argsort(np.argsort(plain))
+    assert np.corrcoef(*order)[0, 1] > 0.9
+    raw = ((x - model["centre"]) / model["scale"]) @ np.array(model["weights"])
+    assert [r.predicted for r in got.values()] == [int(g.score >= 0.7) for g in got.values()]
+    assert all((got[i].score >= 0.7) == (v >= model["cut"] - 1e-9) for i, v in zip(texts, raw) if abs(v - model["cut"]) > 1e-6)
+
+
+def test_toxicity_of_tables_equals_that_in_memory(spark, sf):
+    docs, labels = table(spark, sf.replace("0.001", "0.01"), "documents"), table(spark, sf.replace("0.001", "0.01"), "labels")
+    texts, rows = training_rows_of(docs, labels, "toxic")
+    model = toxicity.fit([(toxicity.distinct(t), y) for t, y in rows])
+    for r in toxicity.grade(docs, labels).collect():
+        # plainly, from the set of features, the weights and the ordered thresholds
+        eta = sum(model["weights"].get(f, 0.0) for f in toxicity.features((texts[r.doc_id] or "").encode()))
+        exceed = [1 / (1 + np.exp(-(eta - t))) for t in model["theta"]]
+        assert r.expected_severity == pytest.approx(sum(exceed), abs=1e-3) and (r.toxic == (exceed[0] >= 0.5) or abs(exceed[0] - 0.5) < 1e-3)
+
+
+def test_toxicity_learns_stems(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    clean = [(f"c{i}", " ".join([word() for _ in range(30)] + (["zornig" + word()] if i % 5 == 0 else []))) for i in range(300)]
+    toxic = [(f"t{i}", " ".join([word() for _ in range(30)] + ["zornig" + word() for _ in range(3)])) for i in range(120)]
+    docs = spark.createDataFrame(clean + toxic, "doc_id string, text string")
+    labels = spark.createDataFrame([(i, int(i[0] == "t"), int(i[0] == "t")) for i, _ in clean + toxic], "doc_id string, toxic int, quality int")
+    got = {r.doc_id: r.toxic for r in toxicity.grade(docs, labels).collect() if zlib.crc32(r.doc_id.encode()) % 4 == 2}
+    assert np.mean([t for i, t in got.items() if i[0] == "t"]) > 0.9 and np.mean([t for i, t in got.items() if i[0] == "c"]) < 0.1
+    # ids that are text
+    assert quality_classifier.score(docs, labels).count() == 420
