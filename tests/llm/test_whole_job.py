@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lexengine.llm import boosting, html_extract, near_dedup, pii, quality_classifier, secrets, toxicity
+from lexengine.llm import boosting, decontamination, html_extract, near_dedup, pii, quality_classifier, secrets, toxicity
 from lexengine.llm.common import table
 
 from test_operators import brute_components
@@ -487,3 +487,31 @@ def test_toxicity_learns_stems(spark):
     assert np.mean([t for i, t in got.items() if i[0] == "t"]) > 0.9 and np.mean([t for i, t in got.items() if i[0] == "c"]) < 0.1
     # ids that are text
     assert quality_classifier.score(docs, labels).count() == 420
+
+
+# 9. Decontamination: windows that many items share.
+
+
+def test_windows_that_many_items_share_cost_little():
+    rng = random.Random(2)
+    items = [(i, "these five words begin each " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for i in range(3000)]
+    index = decontamination.Index(items)
+    took = []
+    for n in (50, 400):
+        doc = "these five words begin each " * n + items[7][1]
+        began = time.process_time()
+        assert [x[0] for x in decontamination.compare(doc, index)] == [7]
+        took.append(time.process_time() - began)
+    assert took[1] < 16 * took[0] + 0.2
+
+
+def test_items_are_left_out_only_if_they_can_not_be_covered():
+    rng = random.Random(3)
+    words = [f"t{i}" for i in range(8)]
+    items = [(i, " ".join(rng.choices(words, k=rng.randint(1, 25)))) for i in range(60)]
+    index = decontamination.Index(items)
+    for _ in range(40):
+        doc = " ".join(rng.choices(words, k=60))
+        every = decontamination.compare(doc, index, 0.0)
+        for coverage in (0.3, 0.5, 0.9, 1.0):
+            assert decontamination.compare(doc, index, coverage) == [x for x in every if x[1] >= coverage]
