@@ -4,9 +4,9 @@ A rule is a host and a path, with a verdict.  It fits its host and all subdomain
 with the rule's path; the longest rule that fits decides, allow and block alike (more host labels first,
 then the longer path).  A url that no rule fits gets the default verdict.
 
-The trie is built on the driver from at most ``MAX_RULES`` rules and shipped with the function; larger
-lists are refused there and go through ``judge_by_join``, which joins each url's host suffixes and path
-prefixes with the rules.
+The trie is built on the driver from rules of at most ``MAX_CHARS`` characters (about 300 bytes of memory a rule of 30)
+and broadcast; larger lists are refused there and go through ``judge_by_join``, which joins each url's host suffixes and
+whole path segments with the rules'.
 
 Defined cases: null url, or one without ``://``, has empty host and path and the default verdict (an empty
 host fits no rule); of equal rules with both verdicts, block holds; equal urls give equal rows; an
@@ -32,7 +32,9 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 DEFAULT = "allow"
-MAX_RULES = 1_000_000
+MAX_CHARS = 6_000_000
+#: Shares of the urls of a key in judge_by_join: most urls have the suffix com.
+SALTS = 16
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -89,10 +91,11 @@ class Trie:
 
 
 def build(rules: Iterable[tuple[str, str, str]]) -> Trie:
-    trie = Trie()
-    for n, (host, path, verdict) in enumerate(rules):
-        if n >= MAX_RULES:
-            raise ValueError(f"more than {MAX_RULES} rules; use judge_by_join")
+    trie, chars = Trie(), 0
+    for host, path, verdict in rules:
+        chars += len(host) + len(path)
+        if chars > MAX_CHARS:
+            raise ValueError(f"rules of more than {MAX_CHARS} characters; use judge_by_join")
         trie.add(host, path, verdict)
     return trie
 
@@ -124,7 +127,11 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, defau
 
 
 def judge_by_join(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
-    """The same for any number of rules (columns host, path, verdict): urls' host suffixes join the rules' hosts."""
+    """The same for any number of rules (columns host, path, verdict).
+
+    A rule's key is its host and the whole segments of its path; a url's are its host suffixes with each of its path's
+    beginnings of whole segments, so that a suffix that most urls have is spread by paths, and by salt.
+    """
     rest = F.when(F.instr("url", "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise(F.lit(""))
     slim = only(pages, "page_id", "url")
     slim = slim.withColumn("rest", F.regexp_extract(F.coalesce(rest, F.lit("")), r"(?s)^([^?#]*)", 1))
@@ -132,8 +139,14 @@ def judge_by_join(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) ->
     urls = slim.select("page_id", "url", host.alias("host"), F.regexp_extract("rest", r"(?s)^[^/]*(.*)$", 1).alias("path"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    keyed = urls.select("host", "path").distinct().withColumn("suffix", F.explode(suffixes)).where("host <> ''")
-    fit = keyed.join(rules.select(F.col("host").alias("suffix"), F.col("path").alias("rule_path"), "verdict"), "suffix").where(F.col("path").startswith(F.col("rule_path")))
+    whole = lambda path: F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
+    starts = F.transform(F.sequence(F.lit(0), F.size(whole("path"))), lambda i: F.array_join(F.slice(whole("path"), 1, i), "/"))
+    keyed = urls.select("host", "path").where("host <> ''").distinct().withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int"))
+    keyed = keyed.withColumn("suffix", F.explode(suffixes)).withColumn("start", F.explode(starts))
+    listed = rules.select(F.col("host").alias("suffix"), F.col("path").alias("rule_path"), "verdict", F.array_join(whole("path"), "/").alias("start"))
+    listed = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # equal starts may come from paths of "" and "/" alike, so the whole path is compared too
+    fit = keyed.join(listed, ["suffix", "start", "salt"]).where(F.col("path").startswith(F.col("rule_path")))
     length = F.struct(F.length("suffix"), F.length("rule_path"), F.col("verdict") == "block", F.concat("suffix", "rule_path").alias("rule"), "verdict")
     best = fit.groupBy("host", "path").agg(F.max(length).alias("best"))
     joined = urls.join(best, ["host", "path"], "left")
