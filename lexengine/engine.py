@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .operators import embed, forms, index, lookup, rerank, search, validate
 from .sources.connectors import embed_column
+from .sources.scratch import written
 
 #: Names, parameters with types and defaults, and descriptions of the tools.
 TOOLS = (
@@ -32,10 +33,13 @@ class Engine:
 
     @classmethod
     def build(cls, entries: DataFrame, embedder: Callable, reranker: Callable | None = None, form_rows: DataFrame | None = None) -> Engine:
-        """Indexes and vectors from entries, kept for the queries to come; form_rows (pos, word, form) stands in for forms documents."""
-        lemmas = index.lemma_index(entries).persist()
-        form_table = index.form_index(form_rows if form_rows is not None else index.exploded_forms(entries)).persist()
-        vectors = embed.build(entries, embedder).select("pos", "embedding").persist()
+        """Indexes and vectors from entries, written to scratch tables for the queries to come (``sources.scratch.clear`` removes them).
+
+        form_rows (pos, word, form) stands in for forms documents.
+        """
+        lemmas = written(index.lemma_index(entries), "lemmas")
+        form_table = written(index.form_index(form_rows if form_rows is not None else index.exploded_forms(entries)), "forms")
+        vectors = written(embed.build(entries, embedder).select("pos", "embedding"), "vectors")
         return cls(entries, lemmas, form_table, vectors, embedder, reranker)
 
     def views(self) -> None:

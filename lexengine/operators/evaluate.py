@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.scratch import written
 from . import rerank
 from .validate import expected_recall
 
@@ -31,7 +32,7 @@ def corpus_top(entries: DataFrame, queries: DataFrame, model: Callable, k: int =
     # every question is put to every batch of the corpus
     if asked.count() > MAX_QUESTIONS:
         raise ValueError(f"more than {MAX_QUESTIONS} questions; evaluate blocks of them")
-    cells = rows.withColumn("batch", F.floor(F.col("pos") / batch)).withColumn("index", F.col("pos") % batch).withColumn("rank", F.col("pos").cast("int")).crossJoin(F.broadcast(asked))
+    cells = rows.withColumn("batch", F.floor(F.col("pos") / batch)).withColumn("index", F.col("pos") % batch).withColumn("rank", F.col("pos").cast("bigint")).crossJoin(F.broadcast(asked))
     scores = rerank.score_batches(cells.select("qid", "query", "rank", "batch", "index", "doc"), model, "drop")
     candidates = cells.select("qid", "category", "rank", "pos", "word", "word_type")
     best = rerank.reranked(candidates, scores, k, rerank.type_weight(F.col("word_type")))
@@ -49,8 +50,7 @@ def evaluate(engine: Engine, questions: DataFrame, k: int = TOP) -> DataFrame:
     out = None
     for name, run in methods.items():
         began = time.monotonic()
-        hits = run().select("category", "word").persist()
-        hits.count()
+        hits = written(run().select("category", "word"), "hits")
         part = expected_recall(questions.select("category", "terms"), hits).select(F.lit(name).alias("method"), "*", F.lit(time.monotonic() - began).alias("seconds"))
         out = part if out is None else out.unionByName(part)
     return out

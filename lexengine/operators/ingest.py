@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.scratch import written
 
 # Fixed values of the word list's source.
 ALPHABET = sorted("abdeghijklmnoprstuwzāēīōūšž")
@@ -45,7 +48,7 @@ def subdivide(words: DataFrame, start: int = 2, cap: int = RESULT_CAP, depth: in
     """
     out = None
     # every level reads the words again
-    live = words.select("word").where(F.length("word") >= start).distinct().persist()
+    live = written(words.select("word").where(F.length("word") >= start).distinct(), "words")
     for k in range(start, depth + 1):
         counts = live.groupBy(F.left("word", F.lit(k)).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
         out = counts if out is None else out.unionByName(counts)
@@ -107,26 +110,35 @@ def upper_median(values: Column) -> Column:
 
 
 def throttle(times: DataFrame, window: int = 20, least: float = 0.05, most: float = 2.0) -> DataFrame:
-    """seq, median of the last ``window`` times, baseline (the first full window's) and the delay after each.
+    """key, seq, median of the last ``window`` times, baseline (the first full window's) and the delay after each.
 
-    One stream of times is a sequence, so it is folded in order; streams (key) are independent and spread.
+    One stream of times (key) is a sequence, so its rows are sorted and read one after another; what is held of it
+    are its last times, its baseline and its delay.  Streams are independent and spread.
     """
-    ordered = W.partitionBy("key").orderBy("seq")
-    last = F.collect_list("elapsed").over(ordered.rowsBetween(-(window - 1), 0))
-    seen = F.row_number().over(ordered)
-    medians = times.withColumn("median", upper_median(last)).withColumn("seen", seen)
-    base = F.max(F.when(F.col("seen") == window, F.col("median"))).over(W.partitionBy("key"))
-    rated = medians.withColumn("baseline", F.when(F.col("seen") >= window, base)).withColumn("ratio", F.when(F.col("seen") > window, F.col("median") / F.nullif(F.col("baseline"), F.lit(0.0))))
-    folded = rated.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("seq", "median", "baseline", "ratio"))).alias("rows"))
 
-    def step(state: Column, row: Column) -> Column:
-        now = F.element_at(state, -1)["delay"]
-        slower, faster = F.least(now * 1.5, F.lit(most)), F.greatest(now * 0.8, F.lit(least))
-        delay = F.when(row["ratio"] > 2.0, slower).when((row["ratio"] < 1.3) & (now > least), faster).otherwise(now)
-        return F.concat(state, F.array(F.struct(row["seq"].alias("seq"), row["median"].alias("median"), row["baseline"].alias("baseline"), delay.alias("delay"))))
-
-    start = F.array(F.struct(F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("double").alias("median"), F.lit(None).cast("double").alias("baseline"), F.lit(least).cast("double").alias("delay")))
-    return folded.select("key", F.explode(F.aggregate("rows", start, step)).alias("r")).where("r.seq IS NOT NULL").select("key", "r.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last, base, delay = object(), deque(maxlen=window), None, least
+        for batch in batches:
+            medians, bases, delays = [], [], []
+            for k, elapsed in zip(batch.column("key").to_pylist(), batch.column("elapsed").to_pylist()):
+                if k != key:
+                    key, base, delay = k, None, least
+                    last.clear()
+                known = base is not None
+                last.append(elapsed)
+                middle = sorted(last)[len(last) // 2]
+                if not known and len(last) == window:
+                    base = middle
+                elif known and base:
+                    ratio = middle / base
+                    delay = min(delay * 1.5, most) if ratio > 2.0 else max(delay * 0.8, least) if ratio < 1.3 and delay > least else delay
+                medians.append(middle)
+                bases.append(base)
+                delays.append(delay)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("seq"), *(pa.array(x, pa.float64()) for x in (medians, bases, delays))], names=["key", "seq", "median", "baseline", "delay"])
+
+    rows = times.where("elapsed IS NOT NULL").select(F.col("key").cast("string").alias("key"), F.col("seq").cast("bigint").alias("seq"), F.col("elapsed").cast("double").alias("elapsed"))
+    return rows.repartition("key").sortWithinPartitions("key", "seq", "elapsed").mapInArrow(run, "key string, seq bigint, median double, baseline double, delay double")
 
 
 def search_requests(prefixes_: DataFrame, base: str, dialect: str, language: str = "engl") -> DataFrame:
@@ -150,11 +162,12 @@ def enumerate_words(start: DataFrame, ask: Callable[[DataFrame], DataFrame], kno
     letters = start.sparkSession.createDataFrame([(x,) for x in alphabet or ALPHABET], "letter string")
     live, found, asked = start.select("prefix").distinct(), known, None
     for _ in range(depth):
-        got = ask(live).persist()
+        got = written(ask(live), "asked")
         asked = live if asked is None else asked.unionByName(live)
         found = merge(found, got.select(*known.columns))
         full = got.groupBy("prefix").count().where((F.col("count") >= cap) & (F.length("prefix") < depth)).select("prefix")
-        live = full.crossJoin(F.broadcast(letters)).select(F.concat("prefix", "letter").alias("prefix")).persist()
+        live = full.crossJoin(F.broadcast(letters)).select(F.concat("prefix", "letter").alias("prefix"))
+        live = written(live, "prefixes")
         if live.isEmpty():
             break
     return found, asked

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.scratch import written
 from .index import segment_index
 
 FUZZY_DISTANCE = 2
@@ -49,13 +50,14 @@ def stage_fuzzy(words: DataFrame, lemmas: DataFrame, hits: int = FUZZY_HITS) ->
 def lookup(words: DataFrame, lemmas: DataFrame, forms: DataFrame) -> DataFrame:
     """Hits of a batch of words (qid, word, fuzzy): qid, stage, rank, lemma, pos, matched_form and score.
 
-    The four equi-join stages run side by side and each word keeps its first; only words that none of them
-    finds go to the fuzzy stage.
+    The four equi-join stages run side by side, once, and each word keeps its first; only words that none of
+    them finds go to the fuzzy stage.
     """
     asked = words.select("qid", text.normal("word").alias("key"), F.coalesce("fuzzy", F.lit(True)).alias("fuzzy")).withColumn("norm", text.fold("key"))
     equal = stage_exact(asked, lemmas).unionByName(stage_form(asked, forms, lemmas)).unionByName(stage_folded_lemma(asked, lemmas)).unionByName(stage_folded_form(asked, forms, lemmas))
-    first = equal.withColumn("first", F.min("stage").over(W.partitionBy("qid"))).where("stage = first").drop("first")
-    rest = asked.where("fuzzy").join(equal.select("qid"), "qid", "left_anti")
+    # written, as both what follows and the words that are left read it
+    first = written(equal.withColumn("first", F.min("stage").over(W.partitionBy("qid"))).where("stage = first").drop("first"), "equal-hits")
+    rest = asked.where("fuzzy").join(first.select("qid"), "qid", "left_anti")
     out = first.unionByName(stage_fuzzy(rest, lemmas))
     rank = F.row_number().over(W.partitionBy("qid").orderBy("rank_pos", "lemma"))
     return out.withColumn("rank", rank).select("qid", "stage", "rank", "lemma", "pos", "matched_form", "score")

@@ -45,7 +45,7 @@ def score_batches(candidates: DataFrame, rerank: Rerank, on_error: str = "fallba
         qid, ranks = pdf["qid"].iloc[0], pdf["rank"].tolist()
         return pd.DataFrame([(qid, ranks[i], float(s)) for i, s in scores if 0 <= i < len(ranks)], columns=["qid", "rank", "relevance"])
 
-    return candidates.groupBy("qid", "batch").applyInPandas(run, "qid bigint, rank int, relevance double")
+    return candidates.groupBy("qid", "batch").applyInPandas(run, "qid bigint, rank bigint, relevance double")
 
 
 def summed(scores: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def rerank_corpus(entries: DataFrame, query: str, rerank: Rerank, batch: int = B
     line = text.entry_line(F.col("word"), kind, F.col("gender"), text.first_translation("translations", "miks"), text.first_translation("translations", "engl"))
     rows = entries.where(has("miks") | has("engl")).withColumn("word_type", kind).withColumn("doc", line)
     # batches by position, so no global numbering is needed; a batch holds at most ``batch`` entries
-    cells = rows.withColumn("qid", F.lit(0).cast("bigint")).withColumn("query", F.lit(query)).withColumn("batch", F.floor(F.col("pos") / batch)).withColumn("index", F.col("pos") % batch).withColumn("rank", F.col("pos").cast("int"))
+    cells = rows.withColumn("qid", F.lit(0).cast("bigint")).withColumn("query", F.lit(query)).withColumn("batch", F.floor(F.col("pos") / batch)).withColumn("index", F.col("pos") % batch).withColumn("rank", F.col("pos").cast("bigint"))
     scores = summed(score_batches(cells.select("qid", "query", "rank", "batch", "index", "doc"), rerank, on_error))
     joined = cells.join(scores, ["qid", "rank"]).withColumn("rerank_score", F.col("relevance") * type_weight(F.col("word_type")))
     return joined.drop("qid", "query", "batch", "index", "rank", "relevance", "doc").orderBy(F.desc_nulls_last("rerank_score"), "pos")

@@ -16,6 +16,8 @@ from ..functions import text, vector
 
 #: Query vectors that are broadcast at once; larger batches go block by block.
 MAX_QUERIES = 4_096
+#: Queries whose scores for a batch of rows a task holds at once.
+SCORED = 256
 
 
 def _ranked(scored: DataFrame, k: Column | int) -> DataFrame:
@@ -42,6 +44,12 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, decimals: int | None = No
     return _ranked(reduce(DataFrame.unionByName, near), k)
 
 
+def _best(scores: np.ndarray, pos: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores, of equal ones the later rows; only what reaches the k-th score is sorted."""
+    some = np.arange(len(scores)) if k >= len(scores) else np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+    return some[np.lexsort((-pos[some], -scores[some]))[:k]]
+
+
 def _near(lot: list, rows: DataFrame, k: int, decimals: int | None) -> DataFrame:
     """qid, pos and score of the k nearest rows of each batch of rows, for one block of queries."""
     ids = np.array([q.qid for q in lot], np.int64)
@@ -58,12 +66,14 @@ def _near(lot: list, rows: DataFrame, k: int, decimals: int | None) -> DataFrame
             column = batch.column("embedding")
             pos = batch.column("pos").to_numpy(zero_copy_only=False)
             e = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
-            scores = q @ (e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), vector.LEAST_NORM)).T
-            if decimals is not None:
-                scores = np.round(scores, decimals)
+            e = (e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), vector.LEAST_NORM)).T
             keep = min(k, batch.num_rows)
-            best = np.stack([np.lexsort((-pos, -s))[:keep] for s in scores])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, keep)), pa.array(pos[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], names=["qid", "pos", "score"])
+            for at in range(0, len(qids), SCORED):
+                scores = q[at : at + SCORED] @ e
+                if decimals is not None:
+                    scores = np.round(scores, decimals)
+                best = np.stack([_best(s, pos, keep) for s in scores])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids[at : at + SCORED], keep)), pa.array(pos[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], names=["qid", "pos", "score"])
 
     return rows.where("embedding IS NOT NULL").select(F.col("pos").cast("bigint").alias("pos"), "embedding").mapInArrow(run, "qid bigint, pos bigint, score double")
 

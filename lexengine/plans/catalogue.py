@@ -57,10 +57,10 @@ def vec_topk_cosine(spark, sf_dir):
     return search.top_k(queries, rows, 10, decimals=6).select("qid", "pos", "score", *_long("rank"))
 
 
-@query(f"WITH {_SCORED} SELECT qid, pos, score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos DESC) AS rank FROM scored WHERE qid % 100 = 0) WHERE rank <= 10")
+@query(f"WITH {_SCORED} SELECT qid, pos, score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos DESC) AS rank FROM scored) WHERE rank <= 10")
 def vec_topk_expressions(spark, sf_dir):
     queries, rows = _vectors(spark, sf_dir)
-    return search.top_k_expressions(queries.where("qid % 100 = 0"), rows, 10, decimals=6).select("qid", "pos", "score", *_long("rank"))
+    return search.top_k_expressions(queries, rows, 10, decimals=6).select("qid", "pos", "score", *_long("rank"))
 
 
 @query(f"""WITH {_SCORED}, near AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos DESC) AS r FROM scored),
@@ -183,9 +183,9 @@ _STAGE3 = """, k3 AS (SELECT * FROM k2 WHERE qid NOT IN (SELECT qid FROM s2)),
 s3 AS (SELECT qid, 3 AS stage, lemma, l.pos, lemma AS matched_form, 0e0 AS score, l.pos AS o FROM k3 JOIN lemmas l ON norm = lemma_norm)"""
 _STAGE4 = """, k4 AS (SELECT * FROM k3 WHERE qid NOT IN (SELECT qid FROM s3)),
 s4 AS (SELECT qid, 4 AS stage, l.lemma, l.pos, arg_min(form, form_pos) AS matched_form, 0e0 AS score, min(form_pos) AS o FROM k4 JOIN forms f ON norm = form_norm JOIN lemmas l ON f.lemma = l.lemma GROUP BY ALL)"""
-_FOLDED = f"translate(lemma_norm, '{L.ACCENTS}', '{L.BASE}') = lemma_norm"
+_NEAR = f"SELECT qid, norm, lemma, lemma_norm, pos, {L.sql_distance('norm', 'lemma_norm')} AS d FROM {{0}}, lemmas WHERE abs(length(norm) - length(lemma_norm)) <= 2"
 _STAGE5 = f""", k5 AS (SELECT * FROM k4 WHERE qid NOT IN (SELECT qid FROM s4)),
-d5 AS (SELECT qid, norm, lemma, lemma_norm, pos, levenshtein(norm, lemma_norm) AS d FROM k5, lemmas WHERE {_FOLDED} AND translate(norm, '{L.ACCENTS}', '{L.BASE}') = norm AND abs(length(norm) - length(lemma_norm)) <= 2),
+d5 AS ({_NEAR.format('k5')}),
 c5 AS (SELECT *, {L.sql_score('norm', 'lemma_norm', 'd')} AS score FROM d5 WHERE d <= 2),
 s5 AS (SELECT * FROM (SELECT qid, 5 AS stage, lemma, pos, lemma AS matched_form, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, d, pos, lemma) AS o FROM c5) WHERE o <= 5)"""
 
@@ -218,40 +218,30 @@ def lookup_folded_form(spark, sf_dir):
     return lookup.stage_folded_form(_words(spark, sf_dir), forms_, lemmas).select("qid", "lemma", "pos", "matched_form")
 
 
-def _ascii_entries(spark, sf_dir):
-    # the oracle's edit distance counts bytes, so fuzzy queries are shown on words of plain letters
-    return L.entries(spark, sf_dir).where(F.translate("word", L.ACCENTS, L.BASE) == F.col("word"))
-
-
-def _plain(words):
-    return words.where(F.translate("norm", L.ACCENTS, L.BASE) == F.col("norm"))
-
-
-@query(_LOOKUP + f""", d5 AS (SELECT qid, norm, lemma, lemma_norm, pos, levenshtein(norm, lemma_norm) AS d FROM keyed, lemmas WHERE {_FOLDED} AND translate(norm, '{L.ACCENTS}', '{L.BASE}') = norm AND abs(length(norm) - length(lemma_norm)) <= 2),
+@query(_LOOKUP + f""", d5 AS ({_NEAR.format('keyed')}),
 c5 AS (SELECT *, {L.sql_score('norm', 'lemma_norm', 'd')} AS score FROM d5 WHERE d <= 2)
 SELECT qid, lemma, score, r::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, d, pos, lemma) AS r FROM c5) WHERE r <= 5""")
 def lookup_fuzzy(spark, sf_dir):
-    lemmas, _ = L.indexes(_ascii_entries(spark, sf_dir))
-    return lookup.stage_fuzzy(_plain(_words(spark, sf_dir)), lemmas).select("qid", "lemma", "score", F.col("rank_pos").alias("rank"))
+    lemmas, _ = L.indexes(L.entries(spark, sf_dir))
+    return lookup.stage_fuzzy(_words(spark, sf_dir), lemmas).select("qid", "lemma", "score", F.col("rank_pos").alias("rank"))
 
 
-@query(f"WITH {L.SQL_ENTRIES}, plain AS (SELECT word, pos FROM entries WHERE translate(word, '{L.ACCENTS}', '{L.BASE}') = word), p AS (SELECT a.word AS a, b.word AS b, levenshtein(a.word, b.word)::BIGINT AS d FROM plain a JOIN plain b ON left(a.word, 3) = left(b.word, 3) AND a.word < b.word AND a.pos < 3000000) SELECT a, b, d, {L.sql_score('a', 'b', 'd')} AS score FROM p WHERE d <= 2")
+@query(f"""WITH {L.SQL_ENTRIES}, p AS (SELECT word AS a, lead(word) OVER (PARTITION BY left(word, 2) ORDER BY word COLLATE "C") AS b FROM entries),
+d AS (SELECT a, b, {L.sql_distance('a', 'b')}::BIGINT AS d FROM p WHERE b IS NOT NULL) SELECT a, b, d, {L.sql_score('a', 'b', 'd')} AS score FROM d""")
 def fuzzy_score(spark, sf_dir):
-    rows = _ascii_entries(spark, sf_dir)
-    a = rows.select(F.col("word").alias("a"), F.col("pos").alias("pa"), F.left("word", F.lit(3)).alias("k"))
-    pairs = a.join(rows.select(F.col("word").alias("b"), F.left("word", F.lit(3)).alias("k")), "k").where("a < b AND pa < 3000000")
-    near = pairs.withColumn("d", F.levenshtein("a", "b", 2)).where("d >= 0")
+    """The score of each word of the dictionary for the next one in order with the same two first letters."""
+    following = F.lead("word").over(W.partitionBy(F.left("word", F.lit(2))).orderBy("word"))
+    pairs = L.entries(spark, sf_dir).select(F.col("word").alias("a"), following.alias("b")).where("b IS NOT NULL")
+    near = pairs.withColumn("d", F.levenshtein("a", "b"))
     return near.select("a", "b", F.col("d").cast("bigint").alias("d"), text.fuzzy_score(F.col("a"), F.col("b"), F.col("d")).alias("score"))
 
 
 def _cascade(spark, sf_dir):
-    rows = _ascii_entries(spark, sf_dir)
-    lemmas, forms_ = L.indexes(rows)
-    plain = L.asked(spark, sf_dir).where(F.translate(text.fold(text.normal("word")), L.ACCENTS, L.BASE) == text.fold(text.normal("word")))
-    return rows, lemmas, forms_, plain
+    rows = L.entries(spark, sf_dir)
+    return (rows, *L.indexes(rows), L.asked(spark, sf_dir))
 
 
-_CASCADE = _LOOKUP.replace("words GROUP BY word)", f"words WHERE translate(word, '{L.ACCENTS}', '{L.BASE}') = word GROUP BY word)").replace("FROM asked)", f"FROM asked WHERE translate(translate(key, '{text.MACRONS}', '{text.PLAIN_VOWELS}'), '{L.ACCENTS}', '{L.BASE}') = translate(key, '{text.MACRONS}', '{text.PLAIN_VOWELS}'))") + _STAGE1 + _STAGE2 + _STAGE3 + _STAGE4 + _STAGE5 + ", hits AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4 UNION ALL SELECT * FROM s5), ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY o, lemma) AS rank FROM hits)"
+_CASCADE = _LOOKUP + _STAGE1 + _STAGE2 + _STAGE3 + _STAGE4 + _STAGE5 + ", hits AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4 UNION ALL SELECT * FROM s5), ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY o, lemma) AS rank FROM hits)"
 
 
 @query(_CASCADE + " SELECT qid, stage::BIGINT AS stage, rank::BIGINT AS rank, lemma, pos, matched_form, score FROM ranked")
@@ -513,10 +503,10 @@ def distinct_calls(spark, sf_dir):
     return chat.distinct_calls(calls).select(F.col("conv_id").alias("user_id"), F.col("name").alias("event_type"), F.col("n").alias("event_id"))
 
 
-@query("SELECT conv_id, role AS idx, string_agg(left(text, 9), '' ORDER BY turn) AS arguments, arg_max('call' || turn, turn) AS id FROM conversations GROUP BY conv_id, role")
+@query("SELECT conv_id, role AS idx, string_agg(text, '' ORDER BY turn) AS arguments, arg_max('call' || turn, turn) AS id FROM conversations GROUP BY conv_id, role")
 def stream_assembly(spark, sf_dir):
     """Fragments of calls put together in order."""
-    parts = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream_id"), F.col("role").alias("idx"), F.col("turn").alias("seq"), F.concat(F.lit("call"), F.col("turn").cast("string")).alias("id"), F.col("role").alias("name"), F.left("text", F.lit(9)).alias("arguments"))
+    parts = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream_id"), F.col("role").alias("idx"), F.col("turn").alias("seq"), F.concat(F.lit("call"), F.col("turn").cast("string")).alias("id"), F.col("role").alias("name"), F.col("text").alias("arguments"))
     return chat.assemble_calls(parts).select(F.col("stream_id").alias("conv_id"), "idx", "arguments", "id")
 
 
@@ -578,11 +568,12 @@ def event_windows(spark, sf_dir):
     return rows.groupBy("w", "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-@query("SELECT conv_id AS stream_id, turn, CASE WHEN role = 'assistant' THEN left(text, 6) || '|' || right(text, 3) ELSE '' END AS content, CASE WHEN role <> 'assistant' THEN left(text, 6) || '|' || right(text, 3) ELSE '' END AS reasoning FROM conversations")
+@query("SELECT conv_id AS stream_id, turn, CASE WHEN role = 'assistant' THEN text ELSE '' END AS content, CASE WHEN role <> 'assistant' THEN text ELSE '' END AS reasoning FROM conversations")
 def stream_content(spark, sf_dir):
     """Content and reasoning pieces put together by turn."""
     kind = F.when(F.col("role") == "assistant", "content").otherwise("reasoning")
-    pieces = F.posexplode(F.array(F.left("text", F.lit(6)), F.lit("|"), F.right("text", F.lit(3)))).alias("seq", "piece")
+    # pieces of six characters, all of the text
+    pieces = F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s)(.{1,6})"), F.lit(1))).alias("seq", "piece")
     deltas = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream_id"), "turn", kind.alias("kind"), pieces)
     return chat.assemble_content(deltas)
 
@@ -594,10 +585,10 @@ def event_routing(spark, sf_dir):
     return chat.routed(rows).select("event_id", "event_type")
 
 
-@query("SELECT conv_id, turn, left(text, 20) || '</tool_call>' AS cut FROM conversations")
+@query("SELECT conv_id, turn, text || '</tool_call>' AS cut FROM conversations")
 def stream_cut(spark, sf_dir):
     """What stands before the end of the first call."""
-    made = F.concat(F.left("text", F.lit(20)), F.lit("</tool_call>"), F.col("text"), F.lit("</tool_call>"))
+    made = F.concat(F.col("text"), F.lit("</tool_call>"), F.col("text"), F.lit("</tool_call>"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.stream_text(made).alias("cut"))
 
 

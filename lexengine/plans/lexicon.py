@@ -11,10 +11,22 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import index
+from ..sources.scratch import written
 
 ACCENTS, BASE = "äöüáéíóúàèêçñß", "aouaeiouaeecns"
 
 
+#: The oracle's edit distance counts bytes; so each letter beyond ASCII that words have becomes one of these, which they don't have.
+_SINGLE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def sql_distance(a: str, b: str) -> str:
+    """Edit distance in letters, in SQL."""
+    beyond = ACCENTS + text.MACRONS
+    single = lambda x: f"translate({x}, '{beyond}', '{_SINGLE[: len(beyond)]}')"
+    return f"levenshtein({single(a)}, {single(b)})"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,8 +69,8 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def indexes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lemma and form index, kept for the several stages that read them."""
-    return index.lemma_index(rows).persist(), index.form_index(form_rows(rows)).persist()
+    """Lemma and form index, written once for the several stages that read them."""
+    return written(index.lemma_index(rows), "lemmas"), written(index.form_index(form_rows(rows)), "forms")
 
 
 SQL_ENTRIES = f"""
@@ -87,7 +99,7 @@ keyed AS (SELECT qid, key, translate(key, '{text.MACRONS}', '{text.PLAIN_VOWELS}
 
 
 def sql_score(q: str, c: str, d: str) -> str:
-    """The fuzzy score in SQL; both words are ASCII, so that DuckDB's byte-wise distance is right."""
+    """The fuzzy score in SQL, of two words and their distance."""
     return f"""(10e0 - 3e0 * {d} + CASE WHEN length({q}) >= 3 AND length({c}) >= 3 AND left({q}, 3) = left({c}, 3) THEN 6e0 ELSE 0e0 END
     + greatest(0, 5 - abs(length({q}) - length({c}))) + CASE WHEN contains({c}, {q}) THEN 2e0 * length({q}) WHEN contains({q}, {c}) THEN 2e0 * length({c}) ELSE 0e0 END
     + 0.5e0 * coalesce(list_position(list_transform(range(1, least(length({q}), length({c})) + 1), lambda i: substr({q}, i, 1) = substr({c}, i, 1)), false) - 1, least(length({q}), length({c})))

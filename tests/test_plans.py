@@ -8,7 +8,7 @@ def plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-PURE = "vec_norm_clip fold_macrons word_type entry_formats html_clean html_items ingest_status prefix_cross throttle_delay tool_parse_xml tool_parse_json response_split result_lines history_concat content_words sse_parse lookup_exact lookup_fuzzy lookup_cascade validate_sentence".split()
+PURE = "vec_norm_clip fold_macrons word_type entry_formats html_clean html_items ingest_status prefix_cross tool_parse_xml tool_parse_json response_split result_lines history_concat content_words sse_parse lookup_exact lookup_fuzzy lookup_cascade validate_sentence".split()
 
 
 @pytest.mark.parametrize("name", PURE)
@@ -34,3 +34,8 @@ def test_search_keeps_k_rows_per_batch(spark, sf):
     p = plan(catalogue.QUERIES["vec_topk_cosine"](spark, sf))
     # one exchange, of the candidates alone
     assert p.count("Exchange hashpartitioning") == 1 and "MapInArrow" in p
+
+
+def test_throttle_sorts_once_and_holds_no_history(spark, sf):
+    p = plan(catalogue.QUERIES["throttle_delay"](spark, sf))
+    assert p.count("Exchange hashpartitioning") == 1 and "collect_list" not in p and "Window" not in p
