@@ -279,3 +279,45 @@ def completion_deltas(x: Column | str) -> Column:
     deltas = F.transform(data, lambda t: F.substr(t, F.lit(7)))
     known = F.filter(deltas, lambda d: F.try_parse_json(d).isNotNull())
     return F.transform(known, lambda d: F.struct(F.get_json_object(d, "$.choices[0].delta.content").alias("content"), F.get_json_object(d, "$.choices[0].delta.reasoning_content").alias("reasoning")))
+
+
+def message(messages: dict[str, dict[str, str]], language: Column, key: Column, variables: dict[str, Column] | None = None, default: str = "de") -> Column:
+    """A message in a language, else in the default one, else its key, with each {name} replaced once by its variable."""
+    table = F.create_map(*[F.lit(x) for lang, texts in messages.items() for name, told in texts.items() for x in (f"{lang} {name}", told)])
+    found = F.coalesce(*[F.nullif(F.try_element_at(table, F.concat(lang, F.lit(" "), key)), F.lit("")) for lang in (language, F.lit(default))], key)
+    for name, value in (variables or {}).items():
+        mark = F.lit("{" + name + "}")
+        at = F.position(mark, found)
+        found = F.when(at > 0, F.concat(F.substring(found, F.lit(1), at - 1), value, F.substring(found, at + F.length(mark), F.length(found)))).otherwise(found)
+    return found
+
+
+def reader_language(told: Column) -> Column:
+    """The language for a reader whose settings name one: lt and de as they are, at and ch are de, other than en is lt, else de."""
+    low = F.lower(F.coalesce(told, F.lit("")))
+    return F.when(low.startswith("lt"), "lt").when(low.startswith("de") | low.startswith("at") | low.startswith("ch"), "de").when((F.length(low) > 0) & ~low.startswith("en"), "lt").otherwise("de")
+
+
+def shown(x: Column) -> Column:
+    """Text as markup shows it: angle brackets escaped."""
+    return F.replace(F.replace(x, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def broken_lines(x: Column) -> Column:
+    return F.replace(x, F.lit("\n"), F.lit("<br>"))
+
+
+def result_row(rank: Column, word: Column, kind: Column, gender: Column, de: Column, score: Column) -> Column:
+    """One line of a printed list of results, in columns that longer values widen, but for de, which is cut."""
+    wide = lambda x, n: F.concat(x, F.repeat(F.lit(" "), F.greatest(F.lit(n) - F.length(x), F.lit(0))))
+    number = F.concat(F.repeat(F.lit(" "), F.greatest(2 - F.length(rank.cast("string")), F.lit(0))), rank.cast("string"))
+    marks = F.trim(F.concat_ws(" ", kind, gender))
+    return F.concat(number, F.lit(". "), wide(word, 20), F.lit(" ["), wide(marks, 10), F.lit("] "), wide(F.substring(de, 1, 40), 40), F.lit(" | "), F.format_string("%.4f", score))
+
+
+def completion(identity: Column, model: Column, content: Column, finish: Column, prompt_tokens: Column, completion_tokens: Column) -> Column:
+    """A chat completion as services return it, as JSON; usage is empty where its numbers are null."""
+    usage = F.when(prompt_tokens.isNotNull() & completion_tokens.isNotNull(), F.to_json(F.struct(prompt_tokens.alias("prompt_tokens"), completion_tokens.alias("completion_tokens"), (prompt_tokens + completion_tokens).alias("total_tokens")))).otherwise("{}")
+    one = F.to_json(F.struct(F.lit(0).alias("index"), F.struct(F.lit("assistant").alias("role"), F.coalesce(content, F.lit("")).alias("content"), F.array().cast("array<string>").alias("tool_calls")).alias("message"), finish.alias("finish_reason")))
+    head = F.to_json(F.struct(F.concat(F.lit("chatcmpl-"), F.coalesce(identity, F.lit("none"))).alias("id"), F.lit("chat.completion").alias("object"), model.alias("model")))
+    return F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"choices":['), one, F.lit('],"usage":'), usage, F.lit("}"))

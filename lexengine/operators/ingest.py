@@ -147,9 +147,9 @@ def search_requests(prefixes_: DataFrame, base: str, dialect: str, language: str
 
 
 def form_requests(stubs: DataFrame, base: str, dialect: str) -> DataFrame:
-    """Key and form body of the requests for inflection tables: only of words that have a paradigm."""
-    body = F.to_json(F.struct("word", F.col("paradigm").alias("numb"), "desc", F.lit(dialect).alias("dia")))
-    return stubs.where(F.length("paradigm") > 0).select(*KEY, F.lit(base).alias("url"), body.alias("body"))
+    """Key, address and form fields of the requests for inflection tables: only of words that have a paradigm."""
+    form = F.create_map(F.lit("word"), F.col("word"), F.lit("numb"), F.col("paradigm"), F.lit("desc"), F.coalesce("desc", F.lit("")), F.lit("dia"), F.lit(dialect))
+    return stubs.where(F.length("paradigm") > 0).select(*KEY, F.lit(base).alias("url"), form.alias("form"))
 
 
 def enumerate_words(start: DataFrame, ask: Callable[[DataFrame], DataFrame], known: DataFrame, alphabet: list[str] | None = None, cap: int = RESULT_CAP, depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
@@ -177,3 +177,18 @@ def complete_words(stubs: DataFrame, done: DataFrame, results: DataFrame, forms:
     """Phase two: entries of the stubs that aren't done, with translations and, where given, forms (word, paradigm, desc, forms_json)."""
     rows = complete(new_rows(stubs, done), results)
     return rows.join(forms, list(KEY), "left") if forms is not None else rows.withColumn("forms_json", F.lit(None).cast("string"))
+
+
+#: The words of the trial run.
+TRIAL_WORDS = ("buttan", "ēitwei", "grazzus", "kwaitītun", "wundan")
+
+
+def trial(search: Callable[[DataFrame], DataFrame], results: Callable[[DataFrame], DataFrame], spark: SparkSession, words: tuple[str, ...] = TRIAL_WORDS) -> DataFrame:
+    """The trial run: the few words are searched, stubs of exactly these words completed.
+
+    search takes (word) rows and gives word list rows with the word asked as ``asked``; results takes the stubs and gives
+    the rows of all languages that ``complete`` takes.
+    """
+    asked = spark.createDataFrame([(w,) for w in words], "word string")
+    stubs = written(search(asked).where("word = asked").drop("asked"), "trial-stubs")
+    return complete(stubs, results(stubs))

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.connectors import FAILURES
 
 BATCH = 32
 #: Weights by word type.
@@ -38,7 +39,7 @@ def score_batches(candidates: DataFrame, rerank: Rerank, on_error: str = "fallba
         pdf = pdf.sort_values("index")
         try:
             scores = rerank(pdf["query"].iloc[0], pdf["doc"].tolist())
-        except Exception:
+        except FAILURES:
             if on_error == "raise":
                 raise
             return pd.DataFrame({"qid": pdf["qid"], "rank": pdf["rank"], "relevance": None}) if on_error == "fallback" else pd.DataFrame({"qid": [], "rank": [], "relevance": []})

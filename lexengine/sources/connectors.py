@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import json
 import os
+import threading
 import time
 import urllib.error
+import urllib.parse
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Embed = Callable[[list[str]], np.ndarray]
 Rerank = Callable[[str, list[str]], list[tuple[int, float]]]
@@ -33,12 +39,24 @@ class Settings:
     query_prefix: str = ""
 
 
-def fetch(url: str, body: dict | None = None, headers: dict | None = None, retries: int = 3, timeout: float = 30.0, wait: Callable[[float], None] = time.sleep, open_url=urllib.request.urlopen) -> str:
-    """A response's text; server and network failures are tried again after 5, 10, 20 ... seconds, client failures raise at once."""
+#: What a service may fail with: no connection, an error status, or an answer that is not what was agreed.  Other errors are the caller's.
+FAILURES = (OSError, ValueError, KeyError)
+
+
+def fetch(
+    url: str, body: dict | None = None, headers: dict | None = None, retries: int = 3, timeout: float = 30.0, wait: Callable[[float], None] = time.sleep, open_url=urllib.request.urlopen,
+    params: dict | None = None, form: dict | None = None,
+) -> str:
+    """A response's text; server and network failures are tried again after 5, 10, 20 ... seconds, client failures raise at once.
+
+    params are added to the address; a body is posted as JSON, a form as form fields.
+    """
+    if params:
+        url = f"{url}{'&' if '?' in url else '?'}{urllib.parse.urlencode(params)}"
+    data, kind = (urllib.parse.urlencode(form).encode(), "application/x-www-form-urlencoded") if form is not None else (None if body is None else json.dumps(body).encode(), "application/json")
     for attempt in range(retries):
         try:
-            data = None if body is None else json.dumps(body).encode()
-            request = urllib.request.Request(url, data=data, headers={"Content-Type": "application/json", **(headers or {})})
+            request = urllib.request.Request(url, data=data, headers={"Content-Type": kind, **(headers or {})})
             with open_url(request, timeout=timeout) as response:
                 return response.read().decode()
         except urllib.error.HTTPError as e:
@@ -51,6 +69,51 @@ def fetch(url: str, body: dict | None = None, headers: dict | None = None, retri
     raise ValueError("retries must be at least 1")
 
 
+class Throttle:
+    """Paces the requests of one task: a bound on what is in flight, and a delay that follows the response times.
+
+    The median of the first ``window`` times is the baseline.  Above twice of it the delay grows by half, below 1.3 of
+    it it shrinks by a fifth, between ``least`` and ``most``; the same rule as ``operators.ingest.throttle``.
+    """
+
+    def __init__(self, concurrency: int = 4, window: int = 20, least: float = 0.05, most: float = 2.0) -> None:
+        self.concurrency, self.window, self.least, self.most = concurrency, window, least, most
+        self.delay, self.baseline = least, None
+        self._times: deque[float] = deque(maxlen=window)
+        self._lock = threading.Lock()
+
+    def record(self, elapsed: float) -> None:
+        with self._lock:
+            self._times.append(elapsed)
+            middle = sorted(self._times)[len(self._times) // 2]
+            if self.baseline is None:
+                self.baseline = middle if len(self._times) == self.window else None
+            elif self.baseline > 0:
+                ratio = middle / self.baseline
+                if ratio > 2.0:
+                    self.delay = min(self.delay * 1.5, self.most)
+                elif ratio < 1.3 and self.delay > self.least:
+                    self.delay = max(self.delay * 0.8, self.least)
+
+    def run(self, call: Callable, items: Iterable, wait: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> Iterator:
+        """call(item) of each item, in order, with at most ``concurrency`` of them in flight."""
+
+        def one(item):
+            wait(self.delay)
+            began = clock()
+            out = call(item)
+            self.record(clock() - began)
+            return out
+
+        items = iter(items)
+        with ThreadPoolExecutor(self.concurrency) as pool:
+            flying = deque(pool.submit(one, x) for x in islice(items, self.concurrency))
+            while flying:
+                out = flying.popleft().result()
+                flying.extend(pool.submit(one, x) for x in islice(items, 1))
+                yield out
+
+
 def http_embedder(settings: Settings) -> Embed:
     """An embedding service that takes {model, input, normalized} and gives {data: [{embedding}]}."""
 
@@ -61,11 +124,14 @@ def http_embedder(settings: Settings) -> Embed:
     return embed
 
 
-def http_reranker(settings: Settings) -> Rerank:
-    """A rerank service that takes {model, query, documents, top_n} and gives {results: [{index, relevance_score}]}."""
+def http_reranker(settings: Settings, top_n: int | None = None) -> Rerank:
+    """A rerank service that takes {model, query, documents, top_n} and gives {results: [{index, relevance_score}]}.
+
+    Without top_n it is asked for the scores of all documents; with it, the others come back without score.
+    """
 
     def rerank(query: str, documents: list[str]) -> list[tuple[int, float]]:
-        body = {"model": settings.rerank_model, "query": query, "documents": documents, "top_n": len(documents), "return_documents": False}
+        body = {"model": settings.rerank_model, "query": query, "documents": documents, "top_n": len(documents) if top_n is None else top_n, "return_documents": False}
         answer = json.loads(fetch(f"{settings.rerank_url}/v1/rerank", body, {"Authorization": f"Bearer {settings.api_key}"}, timeout=settings.timeout))
         return [(r["index"], r["relevance_score"]) for r in answer["results"]]
 
@@ -109,7 +175,7 @@ def embed_column(rows: DataFrame, column: str, embed: Embed, into: str = "embedd
                 lot = texts[at : at + batch]
                 try:
                     out += list(np.asarray(embed(lot), np.float32))
-                except Exception:
+                except FAILURES:
                     if not zero_on_error or not dimension:
                         raise
                     out += [np.zeros(dimension, np.float32)] * len(lot)
@@ -118,17 +184,90 @@ def embed_column(rows: DataFrame, column: str, embed: Embed, into: str = "embedd
     return rows.withColumn(into, run(text))
 
 
-def fetch_pages(requests: DataFrame, get: Callable[[str], str], delay: float = 0.0) -> DataFrame:
-    """url and html of each row's url; each partition fetches one after another, so partitions bound what is in flight."""
+def fetch_pages(requests: DataFrame, get: Callable[..., str], concurrency: int = 4, least: float = 0.05, most: float = 2.0) -> DataFrame:
+    """The requests with html, the answer to each row's url, or to its url and form (a map) where there is one.
+
+    Each task keeps ``concurrency`` requests in flight at most, at the pace of a ``Throttle``; so a cluster keeps that many
+    times its tasks, which the number of partitions bounds.
+    """
+    columns = requests.columns
+    posts = "form" in columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        throttle = Throttle(concurrency, least=least, most=most)
+
+        def ask(row) -> str:
+            return get(row.url, dict(row.form)) if posts and row.form is not None else get(row.url)
+
         for frame in frames:
-            for url in frame["url"]:
-                if delay:
-                    time.sleep(delay)
-                yield pd.DataFrame({"url": [url], "html": [get(url)]})
+            yield frame.assign(html=list(throttle.run(ask, frame.itertuples(index=False))))
+
+    return requests.mapInPandas(run, T.StructType([*requests.schema.fields, T.StructField("html", T.StringType())]))
+
+
+class RpcClient:
+    """A JSON-RPC 2.0 client: send takes a message as JSON text; receive is given every message that comes in.
 
-    return requests.select("url").mapInPandas(run, "url string, html string")
+    Requests are numbered from 1 and wait until their answer is received; notifications go to the handler of their method.
+    """
+
+    def __init__(self, send: Callable[[str], None]) -> None:
+        self._send, self._next, self._lock = send, 0, threading.Lock()
+        self._waiting: dict[int, Future] = {}
+        self._handlers: dict[str, Callable[[dict], None]] = {}
+        self.tools: list[dict] = []
+
+    def request(self, method: str, params: dict | None = None) -> Future:
+        """A future of the result; an error answer, or a failure to send, is its exception."""
+        with self._lock:
+            self._next += 1
+            number, answer = self._next, Future()
+            self._waiting[number] = answer
+        try:
+            self._send(json.dumps({"jsonrpc": "2.0", "id": number, "method": method, "params": params or {}}))
+        except OSError as e:
+            self._waiting.pop(number, None)
+            answer.set_exception(e)
+        return answer
+
+    def notify(self, method: str, params: dict | None = None) -> None:
+        self._send(json.dumps({"jsonrpc": "2.0", "method": method, "params": params or {}}))
+
+    def on(self, method: str, handler: Callable[[dict], None]) -> None:
+        self._handlers[method] = handler
+
+    def receive(self, message: str) -> None:
+        told = json.loads(message)
+        if told.get("id") is not None and "method" not in told:
+            answer = self._waiting.pop(told["id"], None)
+            if answer is not None and "error" in told:
+                answer.set_exception(ValueError(told["error"].get("message", "error")))
+            elif answer is not None:
+                answer.set_result(told.get("result"))
+        elif "method" in told:
+            if told["method"] == "tools/list":
+                self.tools = told.get("params", {}).get("tools", [])
+            handler = self._handlers.get(told["method"])
+            if handler is not None:
+                handler(told.get("params", {}))
+
+    def connect(self, name: str, version: str, timeout: float = 30.0) -> dict:
+        """The handshake: what the server says of itself; its tools are kept."""
+        info = self.request("initialize", {"protocolVersion": "2024-11-05", "capabilities": {"tools": {}, "sampling": {}}, "clientInfo": {"name": name, "version": version}}).result(timeout)
+        self.notify("notifications/initialized")
+        self.tools = (self.request("tools/list").result(timeout) or {}).get("tools", [])
+        return info
+
+    def call_tool(self, name: str, arguments: dict, timeout: float = 30.0):
+        return self.request("tools/call", {"name": name, "arguments": arguments}).result(timeout)
+
+    def tool(self, name: str) -> dict | None:
+        return next((t for t in self.tools if t["name"] == name), None)
+
+    def close(self) -> None:
+        """Requests without an answer are given up."""
+        while self._waiting:
+            self._waiting.popitem()[1].cancel()
 
 
 def http_chat(settings: Settings, url: str, model: str, wait: Callable[[float], None] = time.sleep) -> Callable[[list[dict]], str]:

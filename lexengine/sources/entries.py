@@ -21,7 +21,7 @@ FORMS = (
 )
 ENTRIES = f"pos bigint, word string, paradigm string, gender string, desc string, audio string, description string, translations map<string, array<string>>, forms {FORMS}, forms_json string"
 WORDLIST = "word string, paradigm string, gender string, desc string, audio string, translations_engl array<string>, description string"
-STATE = "phase string, done_prefixes array<string>"
+STATE = "phase string, done_prefixes array<string>, done_3letter array<string>, completed_words bigint"
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
@@ -61,8 +61,11 @@ def write_json(rows: DataFrame, path: str, mode: str = "overwrite", by: str | No
 
 
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """pos and embedding from one or more .npy matrices; each file is read by one task, row positions restart by file."""
-    schema = "file string, pos bigint, embedding array<float>"
+    """file, row, pos and embedding from one or more .npy matrices, each read by one task.
+
+    Positions go on from file to file in the order of their names, so that they fit entries in the same order.
+    """
+    schema = "file string, row bigint, embedding array<float>"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
@@ -72,9 +75,20 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
                 matrix = np.load(io.BytesIO(bytes(content)), allow_pickle=False).astype(np.float32)
                 for at in range(0, len(matrix), 4096):
                     part = matrix[at : at + 4096]
-                    yield pd.DataFrame({"file": name, "pos": np.arange(at, at + len(part)), "embedding": list(part)})
+                    yield pd.DataFrame({"file": name, "row": np.arange(at, at + len(part)), "embedding": list(part)})
+
+    def lengths(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+        for frame in frames:
+            shapes = [np.load(io.BytesIO(bytes(x)), allow_pickle=False).shape[0] for x in frame["content"]]
+            yield pd.DataFrame({"file": frame["path"], "n": shapes})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    sizes = files.mapInPandas(lengths, "file string, n bigint")  # one row a file
+    starts = sizes.select("file", F.coalesce(F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    rows = files.mapInPandas(run, schema).join(F.broadcast(starts), "file")
+    return rows.select("file", "row", (F.col("start") + F.col("row")).alias("pos"), "embedding")
 
 
 def write_embeddings(rows: DataFrame, path: str, model: str, provider: str, strategy: str, dimension: int) -> None:
@@ -106,7 +120,14 @@ def with_position(rows: DataFrame, *order: str) -> DataFrame:
 def state_row(spark: SparkSession, path: str) -> dict:
     """The ingest state, or the state before anything was done."""
     row = read_or_empty(spark, path, STATE).first()
-    return {"phase": row.phase, "done_prefixes": list(row.done_prefixes or [])} if row else {"phase": "enumerate", "done_prefixes": []}
+    if row is None:
+        return {"phase": "enumerate", "done_prefixes": [], "done_3letter": [], "completed_words": 0}
+    return {"phase": row.phase, "done_prefixes": list(row.done_prefixes or []), "done_3letter": list(row.done_3letter or []), "completed_words": row.completed_words or 0}
+
+
+def write_state(spark: SparkSession, path: str, state: dict) -> None:
+    """Writes the ingest state, one small row."""
+    spark.createDataFrame([(state["phase"], state["done_prefixes"], state.get("done_3letter", []), state.get("completed_words", 0))], STATE).coalesce(1).write.mode("overwrite").json(path)
 
 
 def to_json_lines(rows: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def test_missing_files(spark, tmp_path):
     with pytest.raises(Exception):
         sources.read_entries(spark, str(tmp_path / "none.json")).count()
     assert sources.read_or_empty(spark, str(tmp_path / "none"), sources.WORDLIST).count() == 0
-    assert sources.state_row(spark, str(tmp_path / "none")) == {"phase": "enumerate", "done_prefixes": []}
+    assert sources.state_row(spark, str(tmp_path / "none")) == {"phase": "enumerate", "done_prefixes": [], "done_3letter": [], "completed_words": 0}
 
 
 def test_npy_round_trip(spark, tmp_path):
