@@ -87,13 +87,13 @@ def top_k_expressions(queries: DataFrame, rows: DataFrame, k: int, decimals: int
     return _ranked(scored, k)
 
 
-def search(queries: DataFrame, rows: DataFrame, entries: DataFrame, k: int = 10, keep: Column | None = None) -> DataFrame:
+def search(queries: DataFrame, rows: DataFrame, entries: DataFrame, k: int = 10, keep: Column | None = None, decimals: int | None = None) -> DataFrame:
     """Hits of each query: twice k nearest rows, then those that have translations, then k.
 
     The filter stands after the first cut on purpose, so a query can have fewer than k hits.
     """
     keep = F.size(F.coalesce("translations", F.create_map().cast("map<string,array<string>>"))) > 0 if keep is None else keep
-    near = top_k(queries, rows, 2 * k).drop("rank")
+    near = top_k(queries, rows, 2 * k, decimals).drop("rank")
     hits = near.join(entries, "pos").where(keep)
     ranked = _ranked(hits, k)
     return ranked.select("qid", "rank", "pos", "word", text.first_translation("translations", "miks").alias("de"), text.first_translation("translations", "engl").alias("en"), "score")

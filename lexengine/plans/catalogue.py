@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text, vector
-from ..operators import chat, embed, forms, ingest, lookup, rerank, search, validate
+from ..operators import chat, embed, evaluate, forms, index, ingest, lookup, rerank, search, validate
 from ..sources import entries as entry_files
 from ..sources import prompts as prompt_files
+from ..sources.connectors import embed_column
+from ..sources.scratch import scratch_dir, written
 from . import lexicon as L
 from .lexicon import table
 
@@ -639,3 +644,206 @@ def result_lines_loose(spark, sf_dir):
     made = F.array_join(F.transform(F.filter(F.split("text", "\n"), lambda t: ~F.contains(t, F.lit(";"))), lambda t: F.concat(t, F.lit(";xyz"))), "\n")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(text.loose_result_lines(made)).alias("p"))
     return rows.select("conv_id", "turn", "p.de", "p.pr")
+
+
+# Entries made of the embeddings table, for the operators that read entries and vectors together.
+
+_KINDS = ("pn", "prp", "crd", "av", "aj", "n", "pc", "ij", "xx", "")
+_VECTOR_ENTRIES = """
+raw AS (SELECT vec_id AS pos, 'w' || vec_id AS word, ['pn', 'prp', 'crd', 'av', 'aj', 'n', 'pc', 'ij', 'xx', ''][(label + 1)::INT] AS wt,
+  CASE WHEN label % 3 = 0 THEN 'm' ELSE '' END AS gender, CASE WHEN label % 4 = 1 THEN 'D' || vec_id % 7 ELSE '' END AS de, CASE WHEN label % 4 = 2 THEN 'E' || vec_id ELSE '' END AS en, label FROM embeddings),
+v AS (SELECT *, concat_ws(' | ', nullif(de, ''), nullif(en, '')) AS multilang, word || ' [' || wt || ']: ' || de || ' | ' || en || ' |  | ' AS evaluation,
+  concat_ws(' ', word, CASE WHEN wt <> '' THEN '[' || wt || ']' END, CASE WHEN gender <> '' THEN '(' || gender || ')' END, ': ' || de, CASE WHEN en <> '' THEN '| ' || en END) AS line,
+  CASE wt WHEN 'pn' THEN 5e0 WHEN 'prp' THEN 4.5e0 WHEN 'crd' THEN 4e0 WHEN 'av' THEN 3.5e0 WHEN 'aj' THEN 3e0 WHEN 'n' THEN 3e0 WHEN 'pc' THEN 2.5e0 WHEN 'ij' THEN 0.1e0 ELSE 1e0 END AS weight FROM raw)"""
+
+
+def _vector_entries(spark, sf_dir):
+    """An entry for each vector: of four labels one has no translations, one a German, one an English, one an empty list."""
+    p, label = F.col("vec_id"), F.col("label")
+    one = lambda lang, *x: F.create_map(F.lit(lang), F.array(*x).cast("array<string>"))
+    maps = (
+        F.when(label % 4 == 1, one("miks", F.concat(F.lit("D"), (p % 7).cast("string")))).when(label % 4 == 2, one("engl", F.concat(F.lit("E"), p.cast("string")), F.lit("x")))
+        .when(label % 4 == 3, one("miks")).otherwise(F.create_map().cast("map<string,array<string>>"))
+    )
+    kind = F.element_at(F.array(*[F.lit(x) for x in _KINDS]), label + 1)
+    gender = F.when(label % 3 == 0, "m").otherwise("")
+    return table(spark, sf_dir, "embeddings").select(p.alias("pos"), F.concat(F.lit("w"), p.cast("string")).alias("word"), kind.alias("desc"), gender.alias("gender"), maps.alias("translations"))
+
+
+@query(f"""WITH {_SCORED}, {_VECTOR_ENTRIES}, near AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos DESC) AS r FROM scored),
+kept AS (SELECT n.qid, n.pos, v.word, v.de, v.en, row_number() OVER (PARTITION BY qid ORDER BY n.score DESC, n.pos DESC) AS rank FROM near n JOIN v ON n.pos = v.pos WHERE r <= 10 AND v.label % 4 <> 0)
+SELECT qid, rank::BIGINT AS rank, pos, word, de, en FROM kept WHERE rank <= 5""")
+def search_hits(spark, sf_dir):
+    """Search as callers use it: twice k nearest, those with a translations map that isn't empty, k of them."""
+    queries, rows = _vectors(spark, sf_dir)
+    return search.search(queries, rows, _vector_entries(spark, sf_dir), 5, decimals=6).select("qid", *_long("rank"), "pos", "word", "de", "en")
+
+
+@query(f"""WITH {_SCORED}, {_VECTOR_ENTRIES}, near AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos DESC) AS r FROM scored),
+kept AS (SELECT n.qid, v.*, row_number() OVER (PARTITION BY qid ORDER BY n.score DESC, n.pos DESC) AS rank FROM near n JOIN v ON n.pos = v.pos WHERE r <= 60 AND v.label % 4 <> 0),
+s AS (SELECT *, ((length(multilang) * 7 + qid) % 11)::DOUBLE AS rel FROM (SELECT * FROM kept WHERE rank <= 30)),
+b AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, rank) AS new_rank FROM s)
+SELECT qid, new_rank::BIGINT AS rank, word, de, en, rel AS rerank_score, wt AS word_type FROM b WHERE new_rank <= 10""")
+def two_stage_hits(spark, sf_dir):
+    """Search for more hits than wanted, then a reranker that stands in for a model, then the cut."""
+    queries, rows = _vectors(spark, sf_dir)
+    entries = _vector_entries(spark, sf_dir)
+    asked = queries.select("qid", F.col("qid").cast("string").alias("query"))
+
+    def scorer(q: str, docs: list[str]) -> list[tuple[int, float]]:
+        return [(i, float((len(d) * 7 + int(q)) % 11)) for i, d in enumerate(docs)]
+
+    best = rerank.two_stage(search.search(queries, rows, entries, 30, decimals=6), entries, asked, scorer, 10, 30, 8)
+    return best.select("qid", *_long("rank"), "word", "de", "en", "rerank_score", "word_type")
+
+
+@query(f"WITH {_VECTOR_ENTRIES} SELECT pos, wt AS word_type, round(((length(line) * 7 + 5) % 101) * weight, 6) AS rerank_score FROM v WHERE label % 4 IN (1, 2)")
+def corpus_rerank(spark, sf_dir):
+    """All entries with a German or English translation against one query, weighted by word type."""
+    scored = rerank.rerank_corpus(_vector_entries(spark, sf_dir), "house", lambda q, docs: [(i, float((len(d) * 7 + len(q)) % 101)) for i, d in enumerate(docs)])
+    return scored.select("pos", "word_type", F.round("rerank_score", 6).alias("rerank_score"))
+
+
+@query(f"""WITH {_VECTOR_ENTRIES}, s AS (SELECT r_name AS category, v.pos, v.word, ((length(evaluation) * 7 + length(r_name)) % 101) * weight AS score FROM v, region WHERE label % 4 IN (1, 2)),
+b AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, pos) AS rank FROM s) SELECT category, rank::BIGINT AS rank, word, round(score, 6) AS rerank_score FROM b WHERE rank <= 20""")
+def corpus_best(spark, sf_dir):
+    """The best entries of the whole corpus for each question."""
+    asked = table(spark, sf_dir, "region").select(F.col("r_name").alias("category"), F.col("r_name").alias("query"))
+    best = evaluate.corpus_top(_vector_entries(spark, sf_dir), asked, lambda q, docs: [(i, float((len(d) * 7 + len(q)) % 101)) for i, d in enumerate(docs)])
+    return best.select("category", *_long("rank"), "word", F.round("rerank_score", 6).alias("rerank_score"))
+
+
+@query(f"""WITH {_VECTOR_ENTRIES}, p AS (SELECT pos, concat_ws('; ', CASE WHEN en <> '' THEN 'English: ' || en || ', x' END, CASE WHEN de <> '' THEN 'German: ' || de END) AS passage FROM v WHERE de <> '' OR en <> '')
+SELECT pos, length(passage)::DOUBLE AS size, (length(passage) - length(replace(passage, 'e', '')))::DOUBLE AS es FROM p""")
+def embedded_entries(spark, sf_dir):
+    """Vectors of the passages of the entries that have a translation, by an embedder that stands in for a model."""
+    rows = embed.build(_vector_entries(spark, sf_dir), lambda texts: np.array([[len(t), t.count("e")] for t in texts], np.float32).reshape(-1, 2))
+    return rows.select("pos", F.col("embedding")[0].cast("double").alias("size"), F.col("embedding")[1].cast("double").alias("es"))
+
+
+@query("SELECT doc_id, length(text)::DOUBLE AS size, 1e0 AS one FROM documents")
+def embedded_column(spark, sf_dir):
+    """A text column through an embedding function, in batches."""
+    docs = embed_column(table(spark, sf_dir, "documents"), "text", lambda texts: np.array([[len(t), 1] for t in texts], np.float32).reshape(-1, 2))
+    return docs.select("doc_id", F.col("embedding")[0].cast("double").alias("size"), F.col("embedding")[1].cast("double").alias("one"))
+
+
+@query(f"WITH {L.SQL_ENTRIES} SELECT pos, word || ',' || word || 's' AS forms FROM entries")
+def entry_forms(spark, sf_dir):
+    """The distinct forms of each entry's inflection tables."""
+    rows = L.entries(spark, sf_dir).select("pos", F.from_json("forms_json", entry_files.FORMS).alias("forms"))
+    return rows.select("pos", F.array_join(index.form_list(), ",").alias("forms"))
+
+
+_ENUMERATED = """pre AS (SELECT word, k, left(word, k) AS prefix FROM entries, (SELECT unnest(range(2, 7)) AS k) WHERE length(word) >= k),
+counted AS (SELECT *, count(*) OVER (PARTITION BY prefix) AS c, row_number() OVER (PARTITION BY prefix ORDER BY word COLLATE "C") AS r FROM pre),
+open AS (SELECT *, coalesce(min(c) OVER (PARTITION BY word ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 30) AS above FROM counted)"""
+
+
+@query(f"WITH {L.SQL_ENTRIES}, {_ENUMERATED} SELECT DISTINCT word FROM open WHERE above >= 30 AND r <= 30")
+def enumerated_words(spark, sf_dir):
+    """Words that a source which shows thirty of a prefix gives away, asked with ever longer prefixes."""
+    words = written(L.entries(spark, sf_dir).select("word", F.lit("1").alias("paradigm"), F.lit("n").alias("desc")), "source-words")
+    letters = sorted("abcdefghijklmnopqrstuvwxyz" + L.ACCENTS)
+    shown = words.withColumn("prefix", F.explode(F.transform(F.filter(F.sequence(F.lit(2), F.lit(6)), lambda k: F.length("word") >= k), lambda k: F.substring(F.col("word"), F.lit(1), k))))
+    shown = written(shown.withColumn("n", F.row_number().over(W.partitionBy("prefix").orderBy("word"))).where("n <= 30").drop("n"), "source-answers")
+    found, _ = ingest.enumerate_words(ingest.prefixes(spark, letters), lambda asked: asked.join(shown, "prefix"), words.limit(0), letters)
+    return found.select("word")
+
+
+def _scratch(spark, name):
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT n_name AS word, n_regionkey::VARCHAR AS paradigm, 'n' AS \"desc\", CASE WHEN n_regionkey % 2 = 0 THEN 'T' || n_nationkey END AS translation FROM nation")
+def word_list_files(spark, sf_dir):
+    """A word list written in two parts, by group, and read again; a list that isn't there has no rows."""
+    made = F.when(F.col("n_regionkey") % 2 == 0, F.array(F.concat(F.lit("T"), F.col("n_nationkey").cast("string")))).otherwise(F.array().cast("array<string>"))
+    rows = table(spark, sf_dir, "nation").select(F.col("n_name").alias("word"), F.col("n_regionkey").cast("string").alias("paradigm"), F.lit("n").alias("desc"), made.alias("translations_engl"), (F.col("n_nationkey") % 3).alias("part"))
+    path = _scratch(spark, "word-list")
+    entry_files.write_json(rows.where("part = 0"), path, by="part")
+    entry_files.write_json(rows.where("part <> 0"), path, "append", by="part")
+    read = entry_files.read_or_empty(spark, path, entry_files.WORDLIST).drop("part").unionByName(entry_files.read_or_empty(spark, path + "-none", entry_files.WORDLIST))
+    return read.select("word", "paradigm", "desc", F.get("translations_engl", F.lit(0)).alias("translation"))
+
+
+@query("""SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS pos, n_name AS word, 'n' AS "desc", 'D' || n_regionkey AS de, '{"declension":[{"cases":[{"singular":"' || n_name || '"}]}]}' AS forms_json FROM nation""")
+def entry_document(spark, sf_dir):
+    """Entries from one JSON document, with their places in it; the table of nations is small by nature."""
+    cases = F.struct(F.array(F.struct(F.array(F.struct(F.col("n_name").alias("singular"))).alias("cases"))).alias("declension"))
+    one = F.struct(F.col("n_name").alias("word"), F.lit("n").alias("desc"), F.create_map(F.lit("miks"), F.array(F.concat(F.lit("D"), F.col("n_regionkey").cast("string")))).alias("translations"), cases.alias("forms"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", F.to_json(one).alias("e")))), lambda x: x["e"])
+    whole = table(spark, sf_dir, "nation").agg(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")).alias("value"))
+    path = _scratch(spark, "entries")
+    whole.coalesce(1).write.text(path)
+    read = entry_files.read_entries(spark, path)
+    return read.select("pos", "word", "desc", text.first_translation("translations", "miks").alias("de"), "forms_json")
+
+
+@query("SELECT 'complete' AS phase, (SELECT string_agg(n_name, ',' ORDER BY n_name) FROM nation) AS done, count(*) AS words FROM nation")
+def saved_state(spark, sf_dir):
+    """The state of an ingest, saved and read again."""
+    names = [r.n_name for r in table(spark, sf_dir, "nation").orderBy("n_name").collect()]  # 25 rows
+    path = _scratch(spark, "state")
+    entry_files.write_state(spark, path, {"phase": "complete", "done_prefixes": names, "completed_words": len(names)})
+    state = entry_files.state_row(spark, path)
+    return spark.createDataFrame([(state["phase"], ",".join(state["done_prefixes"]), state["completed_words"])], "phase string, done string, words bigint")
+
+
+@query("SELECT event_id, 'event: ' || event_type || chr(10) || 'data: {\"id\":' || event_id || '}' || chr(10) || chr(10) AS frame FROM events")
+def sse_output(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("event"), F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), F.lit("}")).alias("data"))
+    framed = entry_files.sse_frames(rows.select("event", "data", "event_id"))
+    return framed.select(F.regexp_extract("value", r'"id":(\d+)', 1).cast("bigint").alias("event_id"), F.col("value").alias("frame"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type END AS content, CASE WHEN event_id % 2 = 1 THEN event_type END AS reasoning FROM events")
+def completion_parts(spark, sf_dir):
+    """Deltas of completion streams; broken data and what follows the end are left out."""
+    name = F.when(F.col("event_id") % 2 == 0, "content").otherwise("reasoning_content")
+    made = F.concat(F.lit('data: {broken\n\ndata: {"choices":[{"delta":{"'), name, F.lit('":"'), "event_type", F.lit('"}}]}\n\ndata: [DONE]\n\n'))
+    rows = table(spark, sf_dir, "events").select("event_id", F.explode(text.completion_deltas(made)).alias("d"))
+    return rows.select("event_id", "d.content", "d.reasoning")
+
+
+@query("""SELECT event_id, '{"id":"chatcmpl-' || event_id || '","object":"chat.completion","model":"' || event_type || '","choices":[{"index":0,"message":{"role":"assistant","content":"' || event_type || '","tool_calls":[]},"finish_reason":"stop"}],"usage":'
+  || CASE WHEN event_id % 2 = 0 THEN '{"prompt_tokens":' || user_id || ',"completion_tokens":1,"total_tokens":' || (user_id + 1) || '}' ELSE '{}' END || '}' AS answer FROM events""")
+def completion_envelopes(spark, sf_dir):
+    tokens = F.when(F.col("event_id") % 2 == 0, F.col("user_id"))
+    made = text.completion(F.col("event_id").cast("string"), F.col("event_type"), F.col("event_type"), F.lit("stop"), tokens, F.lit(1).cast("bigint"))
+    return table(spark, sf_dir, "events").select("event_id", made.alias("answer"))
+
+
+@query("""SELECT doc_id, CASE lang WHEN 'de' THEN 'Quelle ' || source WHEN 'en' THEN 'Quelle ' || source ELSE 'Saltinis ' || source || ' {source}' END AS told,
+  replace(replace(source || '<i>', '<', '&lt;'), '>', '&gt;') || '<br>' || lang AS shown FROM (SELECT doc_id, source, lang FROM documents)""")
+def reader_messages(spark, sf_dir):
+    """Messages in the reader's language with a variable, and text as markup shows it."""
+    messages = {"de": {"source": "Quelle {source}"}, "lt": {"source": "Saltinis {source} {source}"}}
+    told = text.message(messages, text.reader_language(F.col("lang")), F.lit("source"), {"source": F.col("source")})
+    shown = text.broken_lines(F.concat(text.shown(F.concat("source", F.lit("<i>"))), F.lit("\n"), F.col("lang")))
+    return table(spark, sf_dir, "documents").select("doc_id", told.alias("told"), shown.alias("shown"))
+
+
+@query("""SELECT doc_id, printf('%2d', (doc_id % 120)::INT) || '. ' || rpad(source || lang, greatest(20, length(source || lang))::INT, ' ') || ' [' || rpad('n ' || lang, 10, ' ') || '] ' || rpad(left(source, 40), 40, ' ') || ' | ' || printf('%.4f', n_chars / 8e0) AS line FROM documents""")
+def result_rows(spark, sf_dir):
+    """Printed lists of results."""
+    line = text.result_row((F.col("doc_id") % 120).cast("int"), F.concat("source", "lang"), F.lit("n"), F.col("lang"), F.col("source"), F.col("n_chars") / 8)
+    return table(spark, sf_dir, "documents").select("doc_id", line.alias("line"))
+
+
+@query(f"""WITH {L.SQL_ENTRIES} SELECT word, 'http://words/?s=' || url_encode(word) || '&language=engl&dia=d' AS asked, word || '|12|' || kind || '|d' AS form FROM full_entries""")
+def word_requests(spark, sf_dir):
+    """The addresses that ask for words, and the form fields that ask for their inflection tables."""
+    rows = L.entries(spark, sf_dir).select("word", "paradigm", "desc")
+    asked = ingest.search_requests(rows.select(F.col("word").alias("prefix")), "http://words", "d").select(F.col("prefix").alias("word"), F.col("url").alias("asked"))
+    form = ingest.form_requests(rows, "http://words/more", "d").select("word", F.array_join(F.transform(F.array(*[F.lit(x) for x in ("word", "numb", "desc", "dia")]), lambda k: F.element_at("form", k)), "|").alias("form"))
+    return asked.join(form, "word")
+
+
+@query("""WITH w AS (SELECT DISTINCT lower(n_name) AS word FROM nation) SELECT word, 'T' || word AS translation FROM w""")
+def trial_run(spark, sf_dir):
+    """The trial run on the words of a small table: searched, kept where equal, completed."""
+    words = tuple(r.w for r in table(spark, sf_dir, "nation").select(F.lower("n_name").alias("w")).collect())  # 25 rows
+    listed = lambda asked: asked.select(F.explode(F.array(F.col("word"), F.concat("word", F.lit("s")))).alias("found"), "word").select(F.col("found").alias("word"), F.lit("1").alias("paradigm"), F.col("word").alias("asked"))
+    results = lambda stubs: stubs.select("word", "paradigm", F.lit("miks").alias("lang"), F.lit(0).alias("n"), F.array(F.concat(F.lit("T"), "word")).alias("translations"))
+    return ingest.trial(listed, results, spark, words).select("word", text.first_translation("translations", "miks").alias("translation"))
