@@ -42,12 +42,12 @@ def write_entries(entries: DataFrame, path: str) -> None:
     entries.write.mode("overwrite").parquet(path)
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON rows of the schema; no rows where nothing has been written yet."""
+def read_or_empty(spark: SparkSession, path: str, schema: str, document: bool = False) -> DataFrame:
+    """JSON rows of the schema, one a line, or with document one array a file; no rows where nothing has been written yet."""
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.schema(schema).option("multiLine", True).json(path)
+        return spark.read.schema(schema).option("multiLine", document).json(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

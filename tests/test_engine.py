@@ -55,6 +55,15 @@ def test_missing_files(spark, tmp_path):
     assert sources.state_row(spark, str(tmp_path / "none")) == {"phase": "enumerate", "done_prefixes": [], "done_3letter": [], "completed_words": 0}
 
 
+def test_lists_keep_all_rows(spark, tmp_path):
+    rows = spark.range(50).selectExpr("concat('w', id) AS word", "'1' AS paradigm")
+    sources.write_json(rows.coalesce(1), str(tmp_path / "list"))
+    sources.write_json(rows.limit(3).coalesce(1), str(tmp_path / "list"), "append")
+    assert sources.read_or_empty(spark, str(tmp_path / "list"), sources.WORDLIST).count() == 53
+    (tmp_path / "array.json").write_text(json.dumps([{"word": "a"}, {"word": "b"}], indent=2))
+    assert sources.read_or_empty(spark, str(tmp_path / "array.json"), sources.WORDLIST, document=True).count() == 2
+
+
 def test_npy_round_trip(spark, tmp_path):
     matrix = np.random.default_rng(0).random((9, 4), np.float32)
     np.save(tmp_path / "m.npy", matrix)
