@@ -45,7 +45,7 @@ LEAST_ESTIMATE = 0.60
 SMALL = 8
 LEADERS = 4
 #: Rows of registers, and shingles, that a cell of the crowd comparison holds of either side, about.
-CELL_ROWS = 2_048
+CELL_ROWS = 512
 CELL_SHINGLES = 60_000
 
 _SKETCH = "n_shingles long, h1 long, h2 long, bands array<long>"
