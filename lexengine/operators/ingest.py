@@ -43,19 +43,18 @@ def remaining(all_prefixes: DataFrame, done: DataFrame) -> DataFrame:
 def subdivide(words: DataFrame, start: int = 2, cap: int = RESULT_CAP, depth: int = MAX_DEPTH) -> DataFrame:
     """prefix and n of the prefixes that a capped source has to be asked for.
 
-    A prefix with ``cap`` results or more is asked again with one letter more, down to ``depth`` letters;
-    each level is one aggregation of the words under the prefixes that overflowed.
+    A prefix with ``cap`` results or more is asked again with one letter more, down to ``depth`` letters.
+    A longer prefix never has more results than a shorter one of it, so the next shorter one decides, and one
+    aggregation over the words' prefixes serves all levels.
     """
-    out = None
-    # every level reads the words again
-    live = written(words.select("word").where(F.length("word") >= start).distinct(), "words")
-    for k in range(start, depth + 1):
-        counts = live.groupBy(F.left("word", F.lit(k)).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
-        out = counts if out is None else out.unionByName(counts)
-        if k < depth:
-            over = counts.where(F.col("n") >= cap).select("prefix")
-            live = live.where(F.length("word") > k).join(over, F.left("word", F.lit(k)) == F.col("prefix"), "left_semi")
-    return out
+    words = words.select("word").where(F.length("word") >= start).distinct()
+    lengths = F.sequence(F.lit(start), F.least(F.length("word"), F.lit(depth)))
+    cut = words.select(F.explode(F.transform(lengths, lambda k: F.left("word", k))).alias("prefix"))
+    # written, as each prefix is held against its shorter one
+    counts = written(cut.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")), "prefix-counts")
+    over = counts.where(F.col("n") >= cap).select(F.col("prefix").alias("shorter"))
+    longer = counts.where(F.length("prefix") > start).withColumn("shorter", F.expr("left(prefix, length(prefix) - 1)"))
+    return counts.where(F.length("prefix") == start).unionByName(longer.join(over, "shorter", "left_semi").select("prefix", "n"))
 
 
 def new_rows(rows: DataFrame, known: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:

@@ -242,7 +242,8 @@ def fuzzy_score(spark, sf_dir):
 
 
 def _cascade(spark, sf_dir):
-    rows = L.entries(spark, sf_dir)
+    # written, as the indexes and what describes hits read them
+    rows = written(L.entries(spark, sf_dir), "entries")
     return (rows, *L.indexes(rows), L.asked(spark, sf_dir))
 
 

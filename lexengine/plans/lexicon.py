@@ -6,7 +6,7 @@ their first occurrence.  Translations, types and forms are composed from the wor
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -31,16 +31,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _word(token: str) -> Column:
+    return F.lower(F.regexp_replace(token, "[.,;:!?]", ""))
+
+
+def _is_word(word: str) -> Column:
+    return F.translate(word, ACCENTS, BASE).rlike("^[a-z]+$")
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"[ \n\t\r]+")).alias("i", "token"))
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, i and word of every document token that is a word."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"[ \n\t\r]+")).alias("i", "token"))
-    words = docs.select("doc_id", "i", F.lower(F.regexp_replace("token", "[.,;:!?]", "")).alias("word"))
-    return words.where(F.translate("word", ACCENTS, BASE).rlike("^[a-z]+$"))
+    return _raw(spark, sf_dir).select("doc_id", "i", _word("token").alias("word")).where(_is_word("word"))
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.min(F.col("doc_id") * 1000000 + F.col("i")).alias("pos")
-    words = tokens(spark, sf_dir).groupBy("word").agg(place, F.count(F.lit(1)).alias("n"))
+    # tokens are cleaned once each, not at each occurrence
+    raw = _raw(spark, sf_dir).groupBy("token").agg(F.min(F.col("doc_id") * 1000000 + F.col("i")).alias("pos"))
+    words = raw.select(_word("token").alias("word"), "pos").where(_is_word("word")).groupBy("word").agg(F.min("pos").alias("pos"))
     miks = F.when(F.col("pos") % 3 != 0, F.array(F.concat(F.lit("D"), "word"))).otherwise(F.array().cast("array<string>"))
     engl = F.when(F.col("pos") % 2 == 0, F.array(F.reverse("word"), F.concat("word", F.lit("x")))).otherwise(F.array().cast("array<string>"))
     kind = F.element_at(F.array(F.lit("n m"), F.lit("av"), F.lit("PN pl"), F.lit("↑ ref")), (F.col("pos") % 4 + 1).cast("int"))
