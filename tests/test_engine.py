@@ -1,4 +1,6 @@
 import json
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -323,3 +325,27 @@ def test_dialogue_loops():
     assert answer == "call" and len(calls) == 1
     out = chat.staged_answer("q", lambda q: ["Ich"], lambda g: g + " Haus", lambda w: [{"word": w, "de": "d", "en": "e"}], lambda c: c, str.split)
     assert out.splitlines() == ['search "Ich":', "  Ich [d] (e)", 'search "Haus":', "  Haus [d] (e)"]
+
+
+def _subdivided(words, cap, depth):
+    """Level by level: counts of the words under the prefixes that overflowed."""
+    out, live = {}, {w for w in words if w and len(w) >= 2}
+    for k in range(2, depth + 1):
+        counts = Counter(w[:k] for w in live if len(w) >= k)
+        out |= counts
+        live = {w for w in live if counts[w[:k]] >= cap}
+    return out
+
+
+@pytest.mark.parametrize("cap, depth", [(1, 6), (3, 4), (5, 6), (1000, 6)])
+def test_subdivision_equals_levels(spark, cap, depth):
+    rng = random.Random(cap)
+    words = ["".join(rng.choices("abā", k=rng.randrange(9))) for _ in range(400)] + [None, "", "a", "ab", "ab"]
+    rows = spark.createDataFrame([(w,) for w in words], "word string")
+    got = ingest.subdivide(rows, cap=cap, depth=depth).collect()
+    assert len(got) == len({r.prefix for r in got})
+    assert {r.prefix: r.n for r in got} == _subdivided(words, cap, depth)
+
+
+def test_subdivision_of_nothing(spark):
+    assert ingest.subdivide(spark.createDataFrame([], "word string")).collect() == []
