@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extract, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, secrets, source_audit, toxicity, url_filter
+from . import decontamination, html_extract, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, secrets, source_audit, toxicity, url_filter, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(table(spark, sf_dir, "embeddings"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,7 +70,7 @@ def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_mixing, op3_secrets, op4_pii, op5_quality_classifier, op6_near_dedup, op7_html_extraction, op8_toxicity, op9_decontamination, op10_url_filter, op12_packing, op13_source_audit)
+    for f in (op1_quality_rules, op2_mixing, op3_secrets, op4_pii, op5_quality_classifier, op6_near_dedup, op7_html_extraction, op8_toxicity, op9_decontamination, op10_url_filter, op11_whitening, op12_packing, op13_source_audit)
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.ORACLE_SQL, "op10_url_filter": url_filter.ORACLE_SQL, "op13_source_audit": source_audit.ORACLE_SQL}
