@@ -25,7 +25,9 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Iterator, Mapping
+from array import array
+from collections.abc import Callable, Iterator, Mapping
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +44,8 @@ WINDOW = 4096
 GRAIN = 128
 END_ID = 2
 PAD_ID = 0
-#: Words whose ids a task remembers, and the longest of them.
-CACHE_WORDS, CACHE_CHARS = 300_000, 64
+#: Chunks, and pieces of them, whose ids a worker remembers, and the longest of them.
+REMEMBERED, LONGEST = 400_000, 64
 #: Tokens that are handed on at once.
 SLAB_TOKENS = 2_000_000
 #: Tasks whose running sums are made together.
@@ -51,50 +53,80 @@ TASK_BLOCK = 1024
 #: Signs that upper and lower case, composition and classes of signs treat alike in every library: ASCII, Latin and common marks.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-įı-ňŊ-ž–—‘-„…]*+")
 
+#: Patterns of which no match holds white space.
+_WORD_PATTERNS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
+
+
+class _Remembered(dict):
+    """A dictionary that makes what it lacks; beyond ``most`` entries it forgets all but its first, which are the commonest."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int) -> None:
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= self.most:
+                first = dict(islice(self.items(), self.most // 4))
+                self.clear()
+                self.update(first)
+            self[key] = value
+        return value
+
 
 class Encoder:
-    """Token ids of texts as bytes, four a token, as the tokenizer gives them without special tokens.
+    """Token ids of texts as bytes (of ``dtype``), as the tokenizer gives them without special tokens.
 
-    Where the tokenizer's file says that texts are composed, lower-cased and cut by a pattern, and no more, pieces are encoded one by
-    one anyway; then those of plain texts are encoded once and remembered.  All other texts go to the tokenizer whole.
+    Where the tokenizer's file says that texts are composed, lower-cased and cut by a pattern that no white space matches, and no
+    more, its model gets the pattern's pieces one by one anyway.  Then plain texts are cut at white space, and the ids of chunks
+    between it, and of the pieces in them, are remembered.  All other texts go to the tokenizer whole.
     """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         parts = json.loads(definition)
         normal = [x["type"] for x in (parts.get("normalizer") or {}).get("normalizers", [])]
         first, *rest = (parts.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         byte_level = len(rest) == 1 and rest[0]["type"] == "ByteLevel" and not rest[0]["add_prefix_space"] and not rest[0]["use_regex"]
-        cut = first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and "Regex" in first["pattern"]
-        by_word = normal == ["NFC", "Replace", "Lowercase"] and byte_level and cut and parts["model"].get("dropout") is None
-        self.pattern = regex.compile(first["pattern"]["Regex"]) if by_word else None
+        cut = first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and first["pattern"].get("Regex") in _WORD_PATTERNS
+        by_word = normal == ["NFC", "Replace", "Lowercase"] and byte_level and cut and parts["model"]["type"] == "BPE" and parts["model"].get("dropout") is None
+        self.find = regex.compile(first["pattern"]["Regex"]).findall if by_word else None
         self.added = [t["content"] for t in parts.get("added_tokens", [])]
-        self.known: dict[str, bytes] = {}
+        self.pieces = _Remembered(self._piece, REMEMBERED)
+        self.chunks = _Remembered(self._chunk, REMEMBERED)
+
+    def _piece(self, piece: str) -> bytes:
+        # ASCII letters stand for their own bytes
+        units = [piece] if piece.isascii() else [u for u, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]
+        return array("H" if self.dtype == "<u2" else "I", [t.id for u in units for t in self.tokenizer.model.tokenize(u)]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.find(chunk)))
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.pattern is None:
+        if self.find is None:
             return self.whole(texts)
-        cut: list[list[str] | None] = []
-        for t in texts:
-            plain = _PLAIN.fullmatch(t) is not None and not any(a in t for a in self.added)
-            cut.append(self.pattern.findall(t.lower()) if plain else None)
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known = self.known
-        new = list({w for words in cut if words for w in words if w not in known})
-        made = dict(zip(new, self.whole(new)))
-        known.update(made)
-        others = iter(self.whole([t for t, words in zip(texts, cut) if words is None]))
-        out = [next(others) if words is None else b"".join([known[w] for w in words]) for words in cut]
-        for w in new:
-            if len(w) > CACHE_CHARS:
-                del known[w]
-        return out
+        out = [b"".join(map(self.chunks.__getitem__, t.lower().split())) if _PLAIN.fullmatch(t) is not None and not any(a in t for a in self.added) else None for t in texts]
+        others = iter(self.whole([t for t, ids in zip(texts, out) if ids is None]))
+        return [next(others) if ids is None else ids for ids in out]
+
+
+_encoders: dict[int, Encoder] = {}
+
+
+def _encoder(definition: str) -> Encoder:
+    """The encoder of this worker, kept from task to task."""
+    key = hash(definition)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(definition)
+    return _encoders[key]
 
 
 def tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -112,17 +144,16 @@ def tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part, served = Encoder(definition.value), TaskContext.get().partitionId(), {}
-        dtype = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        end = np.array([END_ID], dtype=dtype).tobytes()
+        encoder, part, served = _encoder(definition.value), TaskContext.get().partitionId(), {}
+        end = np.array([END_ID], dtype=encoder.dtype).tobytes()
         for batch in batches:
             texts, sources = as_text(batch.column("text")), batch.column("source").to_pylist()
             low, ids, counts, before = 0, [], [], []
             total = 0
             for at in range(0, len(texts), 64):
                 for raw, source in zip(encoder.encode(texts[at : at + 64]), sources[at : at + 64]):
-                    n = len(raw) // 4 + 1
-                    ids.append(np.frombuffer(raw, dtype="<u4").astype(dtype).tobytes() + end)
+                    ids.append(raw + end)
+                    n = len(ids[-1]) // len(end)
                     counts.append(n)
                     before.append(served.get(source, 0))
                     served[source] = before[-1] + n
@@ -232,7 +263,8 @@ def pack(docs: DataFrame, tokenizer: str, targets: Mapping[str | None, float] |
     per_task = materialise(made.groupBy("part", "source").agg(F.sum("n").alias("n")), "pack-tasks")
     queues = _queues(per_task, targets, window)
     totals, weights = np.array([q[2] for q in queues], dtype=np.int64), np.array([q[3] for q in queues], dtype=float)
-    starts = _starts(per_task, queues)
+    # a few numbers for each task and source; Spark broadcasts them where the written table is small enough
+    starts = materialise(_starts(per_task, queues), "pack-starts")
     placed = made.join(starts, (made["part"] == starts["in_part"]) & made["source"].eqNullSafe(starts["of_source"]))
     placed = placed.select("doc_id", "source", "queue", (F.col("begin") + F.col("before")).alias("first"), "n", "ids")
     kind = placed.schema["doc_id"].dataType.simpleString()
