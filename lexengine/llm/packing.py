@@ -44,8 +44,8 @@ WINDOW = 4096
 GRAIN = 128
 END_ID = 2
 PAD_ID = 0
-#: Chunks, and pieces of them, whose ids a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 400_000, 64
+#: Chunks and pieces of them whose ids a worker remembers, about 150 MB, and the longest of them.
+REMEMBERED, LONGEST = 600_000, 64
 #: Tokens that are handed on at once.
 SLAB_TOKENS = 2_000_000
 #: Tasks whose running sums are made together.
@@ -60,10 +60,10 @@ _WORD_PATTERNS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
 class _Remembered(dict):
     """A dictionary that makes what it lacks; beyond ``most`` entries it forgets all but its first, which are the commonest."""
 
-    def __init__(self, make: Callable[[str], bytes], most: int) -> None:
+    def __init__(self, make: Callable[[str], bytes | str], most: int) -> None:
         self.make, self.most = make, most
 
-    def __missing__(self, key: str) -> bytes:
+    def __missing__(self, key: str) -> bytes | str:
         value = self.make(key)
         if len(key) <= LONGEST:
             if len(self) >= self.most:
@@ -95,16 +95,21 @@ class Encoder:
         by_word = normal == ["NFC", "Replace", "Lowercase"] and byte_level and cut and parts["model"]["type"] == "BPE" and parts["model"].get("dropout") is None
         self.find = regex.compile(first["pattern"]["Regex"]).findall if by_word else None
         self.added = [t["content"] for t in parts.get("added_tokens", [])]
-        self.pieces = _Remembered(self._piece, REMEMBERED)
-        self.chunks = _Remembered(self._chunk, REMEMBERED)
+        self.known = _Remembered(self._chunk, REMEMBERED)
+        # the model gets bytes as letters, those of each sign by themselves
+        self.letters = _Remembered(lambda sign: "".join(u for u, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(sign)), REMEMBERED)
+        self.tokenize, self.code = self.tokenizer.model.tokenize, "H" if self.dtype == "<u2" else "I"
 
     def _piece(self, piece: str) -> bytes:
-        # ASCII letters stand for their own bytes
-        units = [piece] if piece.isascii() else [u for u, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]
-        return array("H" if self.dtype == "<u2" else "I", [t.id for u in units for t in self.tokenizer.model.tokenize(u)]).tobytes()
+        unit = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece))
+        return array(self.code, [t.id for t in self.tokenize(unit)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.find(chunk)))
+        if chunk.isalpha():
+            return self._piece(chunk)
+        pieces = self.find(chunk)
+        # a piece of a chunk is a chunk too
+        return self._piece(chunk) if len(pieces) == 1 else b"".join(map(self.known.__getitem__, pieces))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -112,7 +117,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.find is None:
             return self.whole(texts)
-        out = [b"".join(map(self.chunks.__getitem__, t.lower().split())) if _PLAIN.fullmatch(t) is not None and not any(a in t for a in self.added) else None for t in texts]
+        out = [b"".join(map(self.known.__getitem__, t.lower().split())) if _PLAIN.fullmatch(t) is not None and not any(a in t for a in self.added) else None for t in texts]
         others = iter(self.whole([t for t, ids in zip(texts, out) if ids is None]))
         return [next(others) if ids is None else ids for ids in out]
 

@@ -15,6 +15,7 @@ from lexengine.llm import packing, registry
 from lexengine.llm.common import table
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+DEFINITION = open(PATH, encoding="utf-8").read()
 
 
 @pytest.fixture(scope="module")
@@ -114,7 +115,7 @@ TEXTS = st.text(alphabet=st.one_of(st.sampled_from("aZ0'sé ßÅﬁΣς́İ漢
 @settings(max_examples=300, deadline=None)
 @given(st.lists(TEXTS, max_size=5))
 def test_ids_equal_the_tokenizers(texts):
-    encoder = test_ids_equal_the_tokenizers.__dict__.setdefault("encoder", packing.Encoder(open(PATH, encoding="utf-8").read()))
+    encoder = packing._encoder(DEFINITION)
     texts = [*texts, "don't I'LL 've <|endoftext|> it's", ""]
     assert [np.frombuffer(x, dtype=encoder.dtype).tolist() for x in encoder.encode(texts)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
