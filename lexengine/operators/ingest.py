@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.pace import LEAST, MOST, WINDOW, Pace, paced
 from ..sources.scratch import written
 
 # Fixed values of the word list's source.
@@ -108,7 +108,7 @@ def upper_median(values: Column) -> Column:
     return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
 
 
-def throttle(times: DataFrame, window: int = 20, least: float = 0.05, most: float = 2.0) -> DataFrame:
+def throttle(times: DataFrame, window: int = WINDOW, least: float = LEAST, most: float = MOST) -> DataFrame:
     """key, seq, median of the last ``window`` times, baseline (the first full window's) and the delay after each.
 
     One stream of times (key) is a sequence, so its rows are sorted and read one after another; what is held of it
@@ -116,24 +116,16 @@ def throttle(times: DataFrame, window: int = 20, least: float = 0.05, most: floa
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, last, base, delay = object(), deque(maxlen=window), None, least
+        key, state = object(), Pace(delay=least)
         for batch in batches:
             medians, bases, delays = [], [], []
             for k, elapsed in zip(batch.column("key").to_pylist(), batch.column("elapsed").to_pylist()):
                 if k != key:
-                    key, base, delay = k, None, least
-                    last.clear()
-                known = base is not None
-                last.append(elapsed)
-                middle = sorted(last)[len(last) // 2]
-                if not known and len(last) == window:
-                    base = middle
-                elif known and base:
-                    ratio = middle / base
-                    delay = min(delay * 1.5, most) if ratio > 2.0 else max(delay * 0.8, least) if ratio < 1.3 and delay > least else delay
+                    key, state = k, Pace(delay=least)
+                state, middle = paced(state, elapsed, window, least, most)
                 medians.append(middle)
-                bases.append(base)
-                delays.append(delay)
+                bases.append(state.baseline)
+                delays.append(state.delay)
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("seq"), *(pa.array(x, pa.float64()) for x in (medians, bases, delays))], names=["key", "seq", "median", "baseline", "delay"])
 
     rows = times.where("elapsed IS NOT NULL").select(F.col("key").cast("string").alias("key"), F.col("seq").cast("bigint").alias("seq"), F.col("elapsed").cast("double").alias("elapsed"))

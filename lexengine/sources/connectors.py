@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import http.client
+import inspect
 import json
 import os
 import threading
@@ -13,6 +15,7 @@ from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import partial
 from itertools import islice
 
 import numpy as np
@@ -22,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.pace import LEAST, MOST, WINDOW, Pace, paced
+
 Embed = Callable[[list[str]], np.ndarray]
 Rerank = Callable[[str, list[str]], list[tuple[int, float]]]
 
@@ -45,72 +50,62 @@ FAILURES = (OSError, ValueError, KeyError)
 
 def fetch(
     url: str, body: dict | None = None, headers: dict | None = None, retries: int = 3, timeout: float = 30.0, wait: Callable[[float], None] = time.sleep, open_url=urllib.request.urlopen,
-    params: dict | None = None, form: dict | None = None,
+    params: dict | None = None, form: dict | None = None, pace: Throttle | None = None,
 ) -> str:
-    """A response's text; server and network failures are tried again after 5, 10, 20 ... seconds, client failures raise at once.
+    """A response's text; server and network failures, and broken answers, are tried again after 5, 10, 20 ... seconds, client failures raise at once.
 
-    params are added to the address; a body is posted as JSON, a form as form fields.
+    params are added to the address; a body is posted as JSON, a form as form fields.  With a pace each attempt waits for its delay
+    and is timed by itself, without the waits between attempts.
     """
     if params:
         url = f"{url}{'&' if '?' in url else '?'}{urllib.parse.urlencode(params)}"
     data, kind = (urllib.parse.urlencode(form).encode(), "application/x-www-form-urlencoded") if form is not None else (None if body is None else json.dumps(body).encode(), "application/json")
-    for attempt in range(retries):
+
+    def attempt() -> str:
+        request = urllib.request.Request(url, data=data, headers={"Content-Type": kind, **(headers or {})})
+        with open_url(request, timeout=timeout) as response:
+            return response.read().decode()
+
+    for again in range(retries):
         try:
-            request = urllib.request.Request(url, data=data, headers={"Content-Type": kind, **(headers or {})})
-            with open_url(request, timeout=timeout) as response:
-                return response.read().decode()
+            return pace.request(attempt) if pace else attempt()
         except urllib.error.HTTPError as e:
-            if e.code < 500 or attempt == retries - 1:
+            if e.code < 500 or again == retries - 1:
                 raise
-        except OSError:
-            if attempt == retries - 1:
+        except (OSError, http.client.HTTPException):
+            if again == retries - 1:
                 raise
-        wait(5.0 * 2**attempt)
+        wait(5.0 * 2**again)
     raise ValueError("retries must be at least 1")
 
 
 class Throttle:
-    """Paces the requests of one task: a bound on what is in flight, and a delay that follows the response times.
+    """Paces the requests of one task: a bound on what is in flight, and a delay that follows the response times by ``functions.pace``."""
 
-    The median of the first ``window`` times is the baseline.  Above twice of it the delay grows by half, below 1.3 of
-    it it shrinks by a fifth, between ``least`` and ``most``; the same rule as ``operators.ingest.throttle``.
-    """
-
-    def __init__(self, concurrency: int = 4, window: int = 20, least: float = 0.05, most: float = 2.0) -> None:
-        self.concurrency, self.window, self.least, self.most = concurrency, window, least, most
-        self.delay, self.baseline = least, None
-        self._times: deque[float] = deque(maxlen=window)
-        self._lock = threading.Lock()
+    def __init__(self, concurrency: int = 4, window: int = WINDOW, least: float = LEAST, most: float = MOST, wait: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> None:
+        self.concurrency, self._bounds = concurrency, (window, least, most)
+        self.pace, self._lock, self._wait, self._clock = Pace(delay=least), threading.Lock(), wait, clock
 
     def record(self, elapsed: float) -> None:
         with self._lock:
-            self._times.append(elapsed)
-            middle = sorted(self._times)[len(self._times) // 2]
-            if self.baseline is None:
-                self.baseline = middle if len(self._times) == self.window else None
-            elif self.baseline > 0:
-                ratio = middle / self.baseline
-                if ratio > 2.0:
-                    self.delay = min(self.delay * 1.5, self.most)
-                elif ratio < 1.3 and self.delay > self.least:
-                    self.delay = max(self.delay * 0.8, self.least)
-
-    def run(self, call: Callable, items: Iterable, wait: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> Iterator:
-        """call(item) of each item, in order, with at most ``concurrency`` of them in flight."""
+            self.pace, _ = paced(self.pace, elapsed, *self._bounds)
 
-        def one(item):
-            wait(self.delay)
-            began = clock()
-            out = call(item)
-            self.record(clock() - began)
-            return out
+    def request(self, call: Callable):
+        """One attempt: waits for the delay, calls, and records how long the answer took; an attempt that fails is not recorded."""
+        self._wait(self.pace.delay)
+        began = self._clock()
+        out = call()
+        self.record(self._clock() - began)
+        return out
 
+    def run(self, call: Callable, items: Iterable) -> Iterator:
+        """call(item) of each item, in order, with at most ``concurrency`` of them in flight."""
         items = iter(items)
         with ThreadPoolExecutor(self.concurrency) as pool:
-            flying = deque(pool.submit(one, x) for x in islice(items, self.concurrency))
+            flying = deque(pool.submit(call, x) for x in islice(items, self.concurrency))
             while flying:
                 out = flying.popleft().result()
-                flying.extend(pool.submit(one, x) for x in islice(items, 1))
+                flying.extend(pool.submit(call, x) for x in islice(items, 1))
                 yield out
 
 
@@ -188,16 +183,19 @@ def fetch_pages(requests: DataFrame, get: Callable[..., str], concurrency: int =
     """The requests with html, the answer to each row's url, or to its url and form (a map) where there is one.
 
     Each task keeps ``concurrency`` requests in flight at most, at the pace of a ``Throttle``; so a cluster keeps that many
-    times its tasks, which the number of partitions bounds.
+    times its tasks, which the number of partitions bounds.  A get that takes ``pace``, as ``fetch`` does, is given it, and times
+    each of its attempts; else each call of get is timed.
     """
     columns = requests.columns
     posts = "form" in columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         throttle = Throttle(concurrency, least=least, most=most)
+        own = "pace" in inspect.signature(get).parameters
 
         def ask(row) -> str:
-            return get(row.url, dict(row.form)) if posts and row.form is not None else get(row.url)
+            call = partial(get, row.url, dict(row.form)) if posts and row.form is not None else partial(get, row.url)
+            return call(pace=throttle) if own else throttle.request(call)
 
         for frame in frames:
             yield frame.assign(html=list(throttle.run(ask, frame.itertuples(index=False))))

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,44 +56,6 @@ def write_json(rows: DataFrame, path: str, mode: str = "overwrite", by: str | No
     (writer.partitionBy(by) if by else writer).json(path)
 
 
-def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """file, row, pos and embedding from one or more .npy matrices, each read by one task.
-
-    Positions go on from file to file in the order of their names, so that they fit entries in the same order.
-    """
-    schema = "file string, row bigint, embedding array<float>"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"]):
-                matrix = np.load(io.BytesIO(bytes(content)), allow_pickle=False).astype(np.float32)
-                for at in range(0, len(matrix), 4096):
-                    part = matrix[at : at + 4096]
-                    yield pd.DataFrame({"file": name, "row": np.arange(at, at + len(part)), "embedding": list(part)})
-
-    def lengths(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
-        for frame in frames:
-            shapes = [np.load(io.BytesIO(bytes(x)), allow_pickle=False).shape[0] for x in frame["content"]]
-            yield pd.DataFrame({"file": frame["path"], "n": shapes})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    sizes = files.mapInPandas(lengths, "file string, n bigint")  # one row a file
-    starts = sizes.select("file", F.coalesce(F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    rows = files.mapInPandas(run, schema).join(F.broadcast(starts), "file")
-    return rows.select("file", "row", (F.col("start") + F.col("row")).alias("pos"), "embedding")
-
-
-def write_embeddings(rows: DataFrame, path: str, model: str, provider: str, strategy: str, dimension: int) -> None:
-    """Entries with their vectors as one Parquet table, and a row of metadata beside it."""
-    rows.write.mode("overwrite").parquet(f"{path}/entries")
-    meta = rows.agg(F.count(F.lit(1)).alias("num_entries")).select(F.lit(model).alias("model"), F.lit(provider).alias("provider"), F.lit(strategy).alias("strategy"), "num_entries", F.lit(dimension).alias("embedding_dim"))
-    meta.coalesce(1).write.mode("overwrite").json(f"{path}/meta")
-
-
 def with_position(rows: DataFrame, *order: str) -> DataFrame:
     """Adds pos, the row's place in the given order (nulls first), without gathering rows in one task.
 

@@ -1,4 +1,8 @@
-"""Streaming forms of ingestion and stream assembly: the same results as the batch operators, incrementally."""
+"""Streaming forms of ingestion and stream assembly: the same results as the batch operators, incrementally.
+
+State is kept in RocksDB by ``transformWithState``.  Rows of a key may come in any order, within a batch and across batches: what is
+next in line is folded into a value state, the rest waits in a list state until the gap before it is filled.
+"""
 
 from __future__ import annotations
 
@@ -7,51 +11,155 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from ..functions.pace import LEAST, MOST, WINDOW, Pace, paced
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: How long the state of a stream stays that gets no more rows.
+FORGET_MS = 24 * 3600 * 1000
 
 
 def read_files(spark: SparkSession, folder: str, schema: str, kind: str = "parquet", files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", files_per_batch).load(folder)
 
 
-def assembled_calls(fragments: DataFrame) -> DataFrame:
-    """Tool calls as they grow: per stream and index the id, name and arguments so far, after each batch of fragments."""
+def _in_order(rows: Iterator[pd.DataFrame], waiting: Iterator[tuple], columns: list[str], next_: int) -> tuple[list[tuple], list[tuple]]:
+    """The new and waiting rows that follow ``next_`` without a gap, by seq, and the rest; a seq that was seen is left out."""
+    known = {r[0]: tuple(r) for r in waiting}
+    for frame in rows:
+        # frames of one key are cut at a number of rows, so that only all of them together have an order
+        for r in frame[columns].itertuples(index=False, name=None):
+            if r[0] >= next_:
+                known.setdefault(r[0], r)
+    ready = []
+    while next_ in known:
+        ready.append(known.pop(next_))
+        next_ += 1
+    return ready, sorted(known.values(), key=lambda r: r[0])
+
+
+class _Assembly(StatefulProcessor):
+    """Joins the pieces of each key in the order of seq, and keeps the last of other values that isn't empty."""
+
+    def __init__(self, keys: list[str], joined: list[str], last: list[str], forget_ms: int) -> None:
+        self.keys, self.joined, self.last, self.forget_ms = keys, joined, last, forget_ms
+        self.columns = [*joined, *last]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        texts = ", ".join(f"{c} string" for c in self.columns)
+        self.done = handle.getValueState("done", f"next bigint, {texts}", self.forget_ms)
+        self.waiting = handle.getListState("waiting", f"seq bigint, finish boolean, {texts}", self.forget_ms)
+
+    def _fold(self, held: tuple, row: tuple) -> tuple:
+        n = len(self.joined)
+        return tuple(a + b if i < n else b or a for i, (a, b) in enumerate(zip(held, row)))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        next_, *held = self.done.get() if self.done.exists() else (0, *[""] * len(self.columns))
+        ready, rest = _in_order(rows, self.waiting.get() if self.waiting.exists() else (), ["seq", "finish", *self.columns], next_)
+        finished = False
+        for _, finish, *row in ready:
+            held, finished = self._fold(held, row), finished or bool(finish)
+        if finished:
+            self.done.clear()
+            self.waiting.clear()
+        else:
+            self.done.update((next_ + len(ready), *held))
+            if rest:
+                self.waiting.put([(int(r[0]), bool(r[1]), *r[2:]) for r in rest])
+            elif self.waiting.exists():
+                self.waiting.clear()
+        # what waits is shown too, in its order, as the batch operator would
+        for _, _, *row in rest:
+            held = self._fold(held, row)
+        yield pd.DataFrame([(*key, *held)], columns=[*self.keys, *self.columns])
+
+    def close(self) -> None:
+        pass
+
+
+def _assembled(pieces: DataFrame, keys: list[str], joined: list[str], last: list[str], forget_ms: int) -> DataFrame:
+    finish = F.col("finish").cast("boolean") if "finish" in pieces.columns else F.lit(False)
+    tidy = pieces.select(*keys, F.col("seq").cast("bigint").alias("seq"), F.coalesce(finish, F.lit(False)).alias("finish"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in (*joined, *last)])
+    types = {f.name: f.dataType.simpleString() for f in tidy.schema}
+    schema = ", ".join(f"{c} {types[c]}" for c in (*keys, *joined, *last))
+    return tidy.groupBy(*keys).transformWithStateInPandas(_Assembly(keys, joined, last, forget_ms), schema, "Update", "ProcessingTime")
+
 
-    def grow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        call_id, name, arguments = state.get if state.exists else ("", "", "")
-        for frame in frames:
-            for row in frame.sort_values("seq").itertuples():
-                call_id, name = row.id or call_id, row.name or name
-                arguments += row.arguments or ""
-        state.update((call_id, name, arguments))
-        yield pd.DataFrame([(*key, call_id, name, arguments)], columns=["stream_id", "idx", "id", "name", "arguments"])
+def assembled_calls(fragments: DataFrame, forget_ms: int = FORGET_MS) -> DataFrame:
+    """Tool calls as they grow: per stream and index the id, name and arguments so far, after each batch of fragments.
 
-    tidy = fragments.select("stream_id", "idx", "seq", *[F.coalesce(c, F.lit("")).alias(c) for c in ("id", "name", "arguments")])
-    return tidy.groupBy("stream_id", "idx").applyInPandasWithState(grow, "stream_id bigint, idx bigint, id string, name string, arguments string", "id string, name string, arguments string", "update", GroupStateTimeout.NoTimeout)
+    The seq of a stream and index counts from 0 without gaps; a seq that comes again is left out.  Where fragments have a column
+    finish, the state of a call goes with the fragment that says so and has no gap before it; other states go after ``forget_ms``.
+    """
+    return _assembled(fragments, ["stream_id", "idx"], ["arguments"], ["id", "name"], forget_ms)
 
 
-def throttled(times: DataFrame, window: int = 20, least: float = 0.05, most: float = 2.0) -> DataFrame:
-    """The adaptive delay after each batch of response times (key, seq, elapsed), by key."""
+def assembled_content(deltas: DataFrame, forget_ms: int = FORGET_MS) -> DataFrame:
+    """content and reasoning of each stream and turn as they grow, from deltas (stream_id, turn, seq, kind, piece)."""
+    of = lambda kind: F.when(F.col("kind") == kind, F.col("piece")).otherwise("").alias(kind)
+    kept = [F.col(c) for c in ("stream_id", "turn", "seq", "finish") if c in deltas.columns]
+    return _assembled(deltas.select(*kept, of("content"), of("reasoning")), ["stream_id", "turn"], ["content", "reasoning"], [], forget_ms)
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, base, delay = (list(state.get[0]), state.get[1], state.get[2]) if state.exists else ([], -1.0, least)
+
+class _Throttle(StatefulProcessor):
+    """The pace of each key after each of its response times, in the order of seq."""
+
+    def __init__(self, bounds: tuple[int, float, float], patience_ms: int, forget_ms: int) -> None:
+        self.bounds, self.patience_ms, self.forget_ms = bounds, patience_ms, forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("pace", "next bigint, last array<double>, baseline double, delay double", self.forget_ms)
+        self.waiting = handle.getListState("waiting", "seq bigint, elapsed double", self.forget_ms)
+
+    def _take(self, key: tuple, next_: int, ready: list[tuple], rest: list[tuple], pace: Pace) -> Iterator[pd.DataFrame]:
         out = []
-        for frame in frames:
-            for row in frame.sort_values("seq").itertuples():
-                last = [*last, row.elapsed][-window:]
-                middle = sorted(last)[len(last) // 2]
-                if base < 0:
-                    base = middle if len(last) >= window else base
-                elif middle / base > 2.0:
-                    delay = min(delay * 1.5, most)
-                elif middle / base < 1.3 and delay > least:
-                    delay = max(delay * 0.8, least)
-                out.append((*key, row.seq, middle, delay))
-        state.update((last, base, delay))
-        yield pd.DataFrame(out, columns=["key", "seq", "median", "delay"])
-
-    return times.groupBy("key").applyInPandasWithState(fold, "key string, seq bigint, median double, delay double", "last array<double>, base double, delay double", "append", GroupStateTimeout.NoTimeout)
+        for seq, elapsed in ready:
+            # a response without a time takes its place and changes nothing
+            if elapsed is not None and elapsed == elapsed:
+                pace, middle = paced(pace, elapsed, *self.bounds)
+                out.append((*key, seq, middle, pace.baseline, pace.delay))
+        self.state.update((next_, list(pace.last), pace.baseline, pace.delay))
+        if rest:
+            self.waiting.put([(int(s), None if e is None or e != e else float(e)) for s, e in rest])
+        elif self.waiting.exists():
+            self.waiting.clear()
+        frame = pd.DataFrame(out, columns=["key", "seq", "median", "baseline", "delay"])
+        yield frame.astype({"seq": "int64", "median": "float64", "baseline": "float64", "delay": "float64"})
+
+    def _held(self) -> tuple[int, Pace]:
+        if not self.state.exists():
+            return 0, Pace(delay=self.bounds[1])
+        next_, last, baseline, delay = self.state.get()
+        return next_, Pace(tuple(last), baseline, delay)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        next_, pace = self._held()
+        ready, rest = _in_order(rows, self.waiting.get() if self.waiting.exists() else (), ["seq", "elapsed"], next_)
+        if rest and self.patience_ms:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
+        yield from self._take(key, next_ + len(ready), ready, rest, pace)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """A gap that was not filled in time is passed over."""
+        next_, pace = self._held()
+        ready = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        if ready:
+            yield from self._take(key, ready[-1][0] + 1, ready, [], pace)
+
+    def close(self) -> None:
+        pass
+
+
+def throttled(times: DataFrame, window: int = WINDOW, least: float = LEAST, most: float = MOST, patience_ms: int = 30_000, forget_ms: int = FORGET_MS) -> DataFrame:
+    """The adaptive delay after each response time (key, seq, elapsed), by key, as ``operators.ingest.throttle`` gives it.
+
+    The seq of a key counts from 0; rows behind a gap wait until it is filled, or for ``patience_ms`` (0: for as long as it takes).
+    """
+    tidy = times.select(F.col("key").cast("string").alias("key"), F.col("seq").cast("bigint").alias("seq"), F.col("elapsed").cast("double").alias("elapsed"))
+    return tidy.groupBy("key").transformWithStateInPandas(_Throttle((window, least, most), patience_ms, forget_ms), "key string, seq bigint, median double, baseline double, delay double", "Update", "ProcessingTime")
 
 
 def deduplicated(rows: DataFrame, key: tuple[str, ...], time: str | None = None, late: str = "1 day") -> DataFrame:
@@ -67,21 +175,107 @@ def windowed_counts(events: DataFrame, width: str = "10 minutes", late: str = "1
     return timed.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
+def answered_or_not(requests: DataFrame, responses: DataFrame, patience: str = "30 seconds", late: str = "1 minute") -> DataFrame:
+    """Requests (id, sent, method) with their responses (id, received, result) in time, or none; adds timed_out.
+
+    A left outer join on two watermarked streams: a request comes out without answer when both watermarks have passed its time by the
+    patience, and its state goes.  Rows are late, and left out, if they are behind the watermark, ``late`` behind the latest time.
+    """
+    asked = requests.withWatermark("sent", late)
+    told = responses.withColumnRenamed("id", "response_id").withWatermark("received", late)
+    near = (F.col("received") >= F.col("sent")) & (F.col("received") <= F.col("sent") + F.expr(f"INTERVAL {patience}"))
+    return asked.join(told, (F.col("id") == F.col("response_id")) & near, "left_outer").withColumn("timed_out", F.col("response_id").isNull()).drop("response_id")
+
+
 def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
-    """Takes in all there is and stops; started again with the same checkpoint it goes on from there."""
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()
+    """Takes in all there is and stops; started again with the same checkpoint it goes on from there.
+
+    An append stream may run batches without data, in which watermarks move on.  An update stream runs none: state that goes by
+    processing time would ask for them without end.
+    """
+    conf = stream.sparkSession.conf
+    own = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": str(mode != "update").lower()}
+    before = {k: conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            conf.set(k, v)
+        # a query takes a copy of the settings when it starts
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            conf.set(k, v) if v is not None else conf.unset(k)
     query.awaitTermination()
     return query
 
 
-def ingest(stream: DataFrame, checkpoint: str, table: str, key: tuple[str, ...]) -> StreamingQuery:
-    """Appends rows with new keys to a Parquet table; repeating a batch adds nothing, so a restart is safe."""
+#: The column that names the folder of each batch.
+BATCH = "batch_id"
+
+
+def saved_by_batch(table: str) -> Callable[[DataFrame, int], None]:
+    """Writes each batch to a folder of its own; a batch that comes again replaces what it wrote before, whole or not."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/{BATCH}={number}")
+
+    return save
+
+
+def saved(spark: SparkSession, table: str) -> DataFrame:
+    """What ``saved_by_batch`` has written, with the number of its batch."""
+    return spark.read.option("basePath", table).parquet(f"{table}/{BATCH}=*")
+
+
+class _FirstOfKey(StatefulProcessor):
+    """The first row of each key that is not known from the start."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.seen.update((True,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = not self.seen.exists()
+        for frame in rows:
+            if new and len(frame):
+                new = False
+                self.seen.update((True,))
+                yield frame.head(1)
+
+    def close(self) -> None:
+        pass
+
+
+def new_by_key(rows: DataFrame, key: tuple[str, ...], known: DataFrame | None = None) -> DataFrame:
+    """The first row of each key that ``known`` doesn't hold; keys are state, so a batch costs what it brings.
+
+    Null is a value of a key like any other.  known is read once, when the stream first starts.
+    """
+    if known is None:
+        return rows.dropDuplicates(list(key))
+    initial = known.select(*key).distinct().groupBy(*key)
+    return rows.groupBy(*key).transformWithStateInPandas(_FirstOfKey(), rows.schema, "Append", "None", initialState=initial)
+
+
+def ingest(stream: DataFrame, checkpoint: str, table: str, key: tuple[str, ...], known: DataFrame | None = None) -> StreamingQuery:
+    """Adds rows with new keys to a table of batches, each row exactly once.
+
+    A batch that was written but not finished is done again with the keys known before it, and replaces its folder.  ``saved``
+    reads the table.
+    """
+    return run_available(new_by_key(stream, key, known), checkpoint, saved_by_batch(table))
+
+
+def complete(stubs: DataFrame, checkpoint: str, table: str, results: Callable[[DataFrame], DataFrame], forms: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Phase two as a stream: each batch of new stubs is completed and saved before the next is taken, so a restart goes on from there.
 
-    def merge(batch: DataFrame, _: int) -> None:
-        from ..operators.ingest import new_rows
-        from ..sources.entries import read_parquet_or_empty
+    results takes stubs and gives the rows of all languages that ``operators.ingest.complete`` takes; forms gives their form rows.
+    """
+    from ..operators.ingest import KEY, complete_words
 
-        known = read_parquet_or_empty(batch.sparkSession, table, batch.schema)
-        new_rows(batch, known, key).write.mode("append").parquet(table)
+    def save(batch: DataFrame, number: int) -> None:
+        rows = complete_words(batch, batch.limit(0).select(*KEY), results(batch), forms(batch) if forms else None)
+        saved_by_batch(table)(rows, number)
 
-    return run_available(stream, checkpoint, merge)
+    return run_available(new_by_key(stubs, KEY), checkpoint, save)

@@ -1,3 +1,4 @@
+import http.client
 import json
 import threading
 import time
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from lexengine.functions import text
 from lexengine.operators import ingest, rerank
 from lexengine.sources import entries as sources
+from lexengine.sources import matrices as matrices_source
 from lexengine.sources.connectors import RpcClient, Settings, Throttle, embed_column, fetch, fetch_pages, http_reranker
 
 
@@ -61,12 +63,42 @@ def test_throttle_follows_the_same_rule_as_the_batch_operator(spark):
     throttle, want = Throttle(), []
     for t in times:
         throttle.record(t)
-        want.append(throttle.delay)
+        want.append(throttle.pace.delay)
     rows = spark.createDataFrame([("a", i, t) for i, t in enumerate(times)] + [("b", i, 1.0) for i in range(30)] + [("b", 99, None)], "key string, seq bigint, elapsed double")
     got = ingest.throttle(rows).orderBy("key", "seq").collect()
     assert [r.delay for r in got if r.key == "a"] == pytest.approx(want) and len(got) == 180 and len(set(want)) > 5
 
 
+def test_each_attempt_is_timed_by_itself():
+    # answers take 0.1 s, and every other attempt fails; the waits between attempts don't count
+    now, attempts = [0.0], [0]
+
+    def wait(seconds):
+        now[0] += seconds
+
+    class Answer:
+        def __enter__(self):
+            now[0] += 0.1
+            return self
+
+        def __exit__(self, *_):
+            pass
+
+        def read(self):
+            return b"ok"
+
+    def open_url(request, timeout):
+        attempts[0] += 1
+        if attempts[0] % 2:
+            now[0] += 30.0
+            raise [OSError("down"), http.client.IncompleteRead(b"")][attempts[0] // 2 % 2]
+        return Answer()
+
+    throttle = Throttle(1, wait=wait, clock=lambda: now[0])
+    assert [fetch("http://x", wait=wait, open_url=open_url, pace=throttle) for _ in range(60)] == ["ok"] * 60
+    assert attempts[0] == 120 and throttle.pace.delay == 0.05 and throttle.pace.baseline == pytest.approx(0.1)
+
+
 def test_pages_are_fetched_with_forms(spark):
     stubs = spark.createDataFrame([("a", "1", "n"), ("b", "", "n"), ("c", "2", None)], "word string, paradigm string, desc string")
     asked = ingest.form_requests(stubs, "http://x/more", "d")
@@ -146,7 +178,7 @@ def test_state_and_matrices(spark, tmp_path):
     matrices = [np.random.default_rng(i).random((n, 4), np.float32) for i, n in enumerate((5, 3))]
     for name, m in zip("ab", matrices):
         np.save(tmp_path / f"{name}.npy", m)
-    rows = sources.read_npy(spark, str(tmp_path / "*.npy")).orderBy("pos").collect()
+    rows = matrices_source.read_npy(spark, str(tmp_path / "*.npy")).orderBy("pos").collect()
     assert [r.pos for r in rows] == list(range(8)) and np.allclose([r.embedding for r in rows], np.vstack(matrices)) and [r.row for r in rows] == [0, 1, 2, 3, 4, 0, 1, 2]
 
 

@@ -12,6 +12,7 @@ from lexengine.operators import embed, ingest, rerank, validate
 from lexengine.operators.forms import string_paths
 from lexengine.operators.index import exploded_forms, form_index, lemma_index
 from lexengine.sources import entries as sources
+from lexengine.sources import matrices
 from lexengine.sources.connectors import embed_column, fetch, hash_embedder, overlap_reranker
 
 ENTRIES = [
@@ -69,7 +70,7 @@ def test_lists_keep_all_rows(spark, tmp_path):
 def test_npy_round_trip(spark, tmp_path):
     matrix = np.random.default_rng(0).random((9, 4), np.float32)
     np.save(tmp_path / "m.npy", matrix)
-    rows = sources.read_npy(spark, str(tmp_path / "m.npy")).orderBy("pos").collect()
+    rows = matrices.read_npy(spark, str(tmp_path / "m.npy")).orderBy("pos").collect()
     assert np.allclose([r.embedding for r in rows], matrix)
 
 
@@ -187,8 +188,8 @@ def test_embedding_build(spark, entries, tmp_path):
     built = embed.build(entries, hash_embedder(8))
     assert {r.word for r in built.collect()} == {"Buttan", "semmē", "kwaitītun", "deiwas", "buttan", "as", "butta"}
     assert built.where("pos = 0").first().passage == "English: house, home; German: Haus"
-    sources.write_embeddings(built, str(tmp_path / "e"), "hash", "local", "translations_only", 8)
-    assert spark.read.json(str(tmp_path / "e/meta")).first().num_entries == 7
+    matrices.write_matrix(built, str(tmp_path / "e"), "hash", "local", "translations_only")
+    assert json.loads((tmp_path / "e/meta.json").read_text()) == {"model": "hash", "provider": "local", "strategy": "translations_only", "num_entries": 7, "embedding_dim": 8}
 
     def broken(texts):
         raise OSError("down")
