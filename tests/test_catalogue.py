@@ -1,6 +1,6 @@
 import pytest
 
-from lexengine.plans import catalogue
+from lexengine.plans import catalogue, replays  # noqa: F401 (adds its queries)
 
 from oracle import compare, connect
 
