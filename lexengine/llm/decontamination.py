@@ -1,9 +1,10 @@
 """Benchmark decontamination by greedy string tiling.
 
 Tokens are runs of letters and digits, lower-cased.  A document and a benchmark item are compared when they
-share a seed, a window of ``MIN_MATCH`` tokens found by running (Karp-Rabin) hashes; seeds of equal shift
-join to maximal matches.  Tiling then repeatedly marks the longest match that is still unmarked on both
-sides, cutting the others back, until none of ``MIN_MATCH`` tokens is left.  The share of the item's tokens
+share a seed, a window of ``MIN_MATCH`` tokens found by running (Karp-Rabin) hashes; what of the document lies
+in seeds of the item is tiled.  Tiling repeatedly marks the longest match that is still unmarked on both
+sides, found by running hashes of windows of a length, until none of ``MIN_MATCH`` tokens is left.  Equal windows
+are never paired one by one, so texts that repeat a word cost no more than others.  The share of the item's tokens
 that tiles cover is its coverage, whatever their order in the document; from ``COVERAGE`` on the document
 counts as holding the item.
 
@@ -17,7 +18,6 @@ each; an empty table gives no rows; further columns are ignored, and kept by ``d
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -36,6 +36,9 @@ COVERAGE = 0.5
 BLOCK_CHARS = 8_000_000
 _TOKEN = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: The base of running hashes, and its inverse modulo 2^64, by which windows at all places are brought to one.
+_ODD = 0xD1342543DE82EF95
+_ODD_INVERSE = pow(_ODD, -1, 1 << 64)
 
 
 def tokens(text: str) -> list[str]:
@@ -77,19 +80,18 @@ class Index:
             seeds, first = np.unique(hashes[order], return_index=True)
             self.seeds[k] = (seeds, np.append(first, len(hashes)), item[order], place[order])
 
-    def matches(self, text: str, coverage: float = 0.0) -> dict[int, list[tuple[int, int, int]]]:
-        """Maximal matches (length, start in document, start in item) by item, of items that could be covered so far.
+    def held(self, text: str, coverage: float = 0.0) -> Iterator[tuple[int, np.ndarray]]:
+        """Items that could be covered so far, each with the document's tokens that lie in seeds of it, in order, as ids; 0 between.
 
         A different window of the document covers at most its own length of an item wherever it is found, so an item
-        with too few of them is left out before any occurrence is walked, however many items share a window.
+        with too few of them is left out, however many items share a window.
         """
         get = self.vocabulary.get
         found = [get(t, 0) for t in tokens(text)]
-        out: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         if not any(found):
-            return out
+            return
         ids = np.array(found, np.uint64)
-        for k, (seeds, first, item, place) in self.seeds.items():
+        for k, (seeds, first, item, _) in self.seeds.items():
             if len(ids) < k:
                 continue
             h = _rolling(ids, k)
@@ -97,68 +99,124 @@ class Index:
             where = np.flatnonzero(seeds[at] == h)
             if not len(where):
                 continue
-            used = np.unique(at[where])
+            used, seed = np.unique(at[where], return_inverse=True)
             n = first[used + 1] - first[used]
             rows = np.repeat(first[used] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             held, times = np.unique(item[rows], return_counts=True)
             able = held[np.minimum(times * k, self.size[held]) >= coverage * self.size[held]]
-            rows = rows[np.isin(item[rows], able)]
-            places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            for seed, i, j in zip((np.searchsorted(first, rows, "right") - 1).tolist(), item[rows].tolist(), place[rows].tolist()):
-                places[seed].append((i, j))
-            words = {i: self.items[i][1].tolist() for i in able.tolist()}
-            shifts: dict[tuple[int, int], list[int]] = defaultdict(list)
-            for i, seed in zip(where.tolist(), at[where].tolist()):
-                for held_by, j in places.get(seed, ()):
-                    if found[i : i + k] == words[held_by][j : j + k]:
-                        shifts[held_by, i - j].append(i)
-            for (held_by, shift), starts in shifts.items():
-                start = last = starts[0]
-                for i in starts[1:]:
-                    if i != last + 1:
-                        out[held_by].append((last - start + k, start, start - shift))
-                        start = i
-                    last = i
-                out[held_by].append((last - start + k, start, start - shift))
-        return out
-
-
-def tile(matches: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (length, start in document, start in item): longest first, ties by place."""
-    heap = [(-n, i, j) for n, i, j in matches]
-    heapq.heapify(heap)
-    used_doc: set[int] = set()
-    used_item: set[int] = set()
-    out = []
-    while heap:
-        n, i, j = heapq.heappop(heap)
-        n = -n
-        free = [i + d not in used_doc and j + d not in used_item for d in range(n)]
-        if all(free):
-            out.append((n, i, j))
-            used_doc.update(range(i, i + n))
-            used_item.update(range(j, j + n))
+            # the used seeds of each item that is able, items one after another
+            of = np.repeat(np.arange(len(used)), n)
+            order = np.argsort(item[rows], kind="stable")
+            items, of = item[rows][order], of[order]
+            bounds = np.searchsorted(items, [able, able + 1])
+            for i, low, high in zip(able.tolist(), *bounds.tolist()):
+                wanted = np.zeros(len(used), bool)
+                wanted[of[low:high]] = True
+                starts = where[wanted[seed]]
+                yield i, _segments(ids, starts, k)
+
+
+def _segments(ids: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """The ids in windows of k that begin at ``starts``, with a 0 where they don't meet."""
+    inside = np.zeros(len(ids) + 1, np.int64)
+    np.add.at(inside, starts, 1)
+    np.add.at(inside, starts + k, -1)
+    inside = np.cumsum(inside[:-1]) > 0
+    # the token behind each stretch stands for what is left out
+    keep = inside | np.concatenate(([False], inside[:-1]))
+    return np.where(inside, ids, np.uint64(0))[keep]
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+class _Windows:
+    """Karp-Rabin hashes of the windows of any length of a sequence, and which of its tokens are marked."""
+
+    def __init__(self, ids: np.ndarray) -> None:
+        self.ids, self.marked = ids, bytearray(len(ids))
+        mixed = ids.astype(np.uint64) * _BASE
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        with np.errstate(over="ignore"):
+            self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed * _powers(len(ids), _ODD))))
+            self.inverse = _powers(len(ids) + 1, _ODD_INVERSE)
+
+    def free(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the windows of n tokens without a marked one."""
+        marks = np.concatenate(([0], np.cumsum(np.frombuffer(self.marked, np.uint8), dtype=np.int64)))
+        starts = np.flatnonzero(marks[n:] == marks[: len(marks) - n])
+        return starts, (self.sums[starts + n] - self.sums[starts]) * self.inverse[starts]
+
+    def is_free(self, start: int, n: int) -> bool:
+        return self.marked.find(1, start, start + n) < 0
+
+    def mark(self, start: int, n: int) -> None:
+        self.marked[start : start + n] = b"\1" * n
+
+
+def _mark_all(doc: _Windows, item: _Windows, n: int) -> int:
+    """Marks the matches of n tokens that are free on both sides, in the order of places; their number."""
+    (starts, hashes), (places, theirs) = doc.free(n), item.free(n)
+    order = np.argsort(theirs, kind="stable")
+    theirs, places = theirs[order], places[order]
+    low = np.searchsorted(theirs, hashes, "left")
+    high = np.searchsorted(theirs, hashes, "right")
+    both = np.flatnonzero(low < high)
+    # of windows of one hash in the item, those before ``next_`` are marked for good
+    next_: dict[int, int] = {}
+    found, reached, places = 0, -1, places.tolist()
+    for i, begin, end in zip(starts[both].tolist(), low[both].tolist(), high[both].tolist()):
+        if i < reached:
             continue
-        start = None
-        for d, ok in enumerate([*free, False]):
-            if ok and start is None:
-                start = d
-            elif not ok and start is not None:
-                if d - start >= least:
-                    heapq.heappush(heap, (-(d - start), i + start, j + start))
-                start = None
+        p = next_.get(begin, begin)
+        while p < end and not item.is_free(places[p], n):
+            p += 1
+        next_[begin] = p
+        # equal hashes of different windows are told apart here
+        while p < end and not (item.is_free(places[p], n) and np.array_equal(doc.ids[i : i + n], item.ids[places[p] : places[p] + n])):
+            p += 1
+        if p < end:
+            doc.mark(i, n)
+            item.mark(places[p], n)
+            found, reached = found + 1, i + n
+    return found
+
+
+def tile(doc: np.ndarray, item: np.ndarray, least: int) -> list[int]:
+    """Lengths of the greedy tiles: again and again the longest match that is free on both sides, the first in the document of equal
+    ones, and of these the first in the item, until none of ``least`` tokens is left.
+
+    A part of a free match is one too, so the longest length is found by halving; each step reads both sides once.
+    """
+    a, b, out = _Windows(doc), _Windows(item), []
+
+    def any_free(n: int) -> bool:
+        mine, theirs = a.free(n)[1], b.free(n)[1]
+        return bool(len(mine) and len(theirs) and np.isin(theirs, mine).any())
+
+    most = min(len(doc), len(item))
+    while most >= least and any_free(least):
+        low, high = least, most
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if any_free(middle) else (low, middle - 1)
+        out += [low] * _mark_all(a, b, low)
+        most = low - 1
     return out
 
 
 def compare(text: str, index: Index, coverage: float = COVERAGE) -> list[tuple[int, float, int, int]]:
     """(item_id, coverage, number of tiles, longest tile) of the items that the text holds."""
     out = []
-    for item, matches in index.matches(text, coverage).items():
+    for item, doc in index.held(text, coverage):
         item_id, ids = index.items[item]
-        tiles = tile(matches, min(MIN_MATCH, len(ids)))
-        share = sum(n for n, _, _ in tiles) / len(ids)
-        if share >= coverage:
-            out.append((item_id, share, len(tiles), max(n for n, _, _ in tiles)))
+        tiles = tile(doc, ids.astype(np.uint64), min(MIN_MATCH, len(ids)))
+        share = sum(tiles) / len(ids)
+        if tiles and share >= coverage:
+            out.append((item_id, share, len(tiles), max(tiles)))
     return sorted(out, key=lambda x: (x[0] is None, x[0]))
 
 

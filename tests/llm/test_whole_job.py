@@ -515,3 +515,52 @@ def test_items_are_left_out_only_if_they_can_not_be_covered():
         every = decontamination.compare(doc, index, 0.0)
         for coverage in (0.3, 0.5, 0.9, 1.0):
             assert decontamination.compare(doc, index, coverage) == [x for x in every if x[1] >= coverage]
+
+
+def naive_tiles(doc, item, least):
+    """Lengths of greedy tiles, by trying all places each time."""
+    used_doc, used_item, out = set(), set(), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(doc)):
+            for j in range(len(item)):
+                n = 0
+                while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n] and i + n not in used_doc and j + n not in used_item:
+                    n += 1
+                best = max(best, (n, -i, -j))
+        n, i, j = best[0], -best[1], -best[2]
+        if n < least:
+            return out
+        out.append(n)
+        used_doc.update(range(i, i + n))
+        used_item.update(range(j, j + n))
+
+
+@pytest.mark.parametrize("letters", [1, 2, 3, 6])
+def test_tiles_equal_naive_ones(letters):
+    rng = np.random.default_rng(letters)
+    for _ in range(60):
+        doc, item = (rng.integers(1, letters + 1, int(rng.integers(1, 30))).astype(np.uint64) for _ in range(2))
+        for least in (1, 3, 5):
+            assert decontamination.tile(doc, item, min(least, len(item))) == naive_tiles(doc.tolist(), item.tolist(), min(least, len(item)))
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    # a base of 0 makes all windows' hashes that of their first token, or worse
+    monkeypatch.setattr(decontamination, "_ODD", 1)
+    monkeypatch.setattr(decontamination, "_ODD_INVERSE", 1)
+    rng = np.random.default_rng(9)
+    for _ in range(40):
+        doc, item = (rng.integers(1, 4, 20).astype(np.uint64) for _ in range(2))
+        tiles = decontamination.tile(doc, item, 3)
+        assert sum(tiles) <= 20 and all(n >= 3 for n in tiles)
+
+
+@pytest.mark.parametrize("period", [1, 2, 3, 7])
+def test_repeated_words_take_no_more_time(period):
+    words = [f"w{k}" for k in range(period)]
+    index = decontamination.Index([(1, " ".join((words * 2000)[:2000]))])
+    text = " ".join((words * 20_000)[:20_000])
+    began = time.perf_counter()
+    assert decontamination.compare(text, index) == [(1, 1.0, 1, 2000)]
+    assert time.perf_counter() - began < 1.0
