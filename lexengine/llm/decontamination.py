@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_text, only
+from .common import as_text, lean, only
 
 MIN_MATCH = 5
 COVERAGE = 0.5
@@ -246,7 +246,7 @@ def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> D
                 rows = [(i, *x) for i, t in zip(batch.column("doc_id").to_pylist(), as_text(batch.column("text"))) for x in compare(t, index.value, coverage)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
-        return slim.mapInArrow(run, schema)
+        return slim.mapInArrow(lean(run), schema)
 
     out = None
     for index in _blocks(benchmark):
@@ -263,7 +263,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = C
             for batch in batches:
                 yield batch.filter(pa.array([not compare(t, index.value, coverage) for t in as_text(batch.column("text"))], pa.bool_()))
 
-        return rows.mapInArrow(run, rows.schema)
+        return rows.mapInArrow(lean(run), rows.schema)
 
     for index in _blocks(benchmark):
         docs = without(docs, index)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import sketches
-from .common import as_bytes, materialise, only
+from .common import as_bytes, lean, materialise, only
 from .components import components
 
 PERCENT = 75
@@ -69,7 +69,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             columns = [pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_shingles", "h1", "h2", "bands"])
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(lean(run), schema)
 
 
 def _similar_sizes(n, m):
@@ -119,7 +119,7 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
             likely = sketches.estimate(x, y, batch.column("n").to_numpy(), batch.column("m").to_numpy()) >= LEAST_ESTIMATE
             yield batch.select(["a", "b"]).filter(pa.array(likely))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "n", "m", "bands_a", "bands_b").mapInArrow(run, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "n", "m", "bands_a", "bands_b").mapInArrow(lean(run), "a long, b long")
 
 
 class _Sets:
@@ -157,7 +157,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     left = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(lean(run), "a long, b long")
 
 
 def _compare_cell(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import boosting
-from .common import as_bytes, only
+from .common import as_bytes, lean, only
 
 # Fixed values of the base kinds.
 BASE = ("email", "ip", "card", "phone")
@@ -326,7 +326,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
             columns = [pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, list(arrow)[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(arrow[0].type), *columns], schema=arrow)
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(lean(run), schema)
 
 
 def redact_bytes(data: bytes, fitted: tuple) -> bytes:
@@ -362,4 +362,4 @@ def redact(docs: DataFrame) -> DataFrame:
                 columns[n] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(arrow[n].type)
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

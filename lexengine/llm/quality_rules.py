@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, materialise, only
+from .common import as_bytes, lean, materialise, only
 
 SYMBOLS = b"#*$%&|<>"
 FEATURES = ("f_symbol", "f_upper", "f_digit", "f_bang", "f_adjacent", "f_repeat", "f_lines", "f_length")
@@ -114,7 +114,7 @@ def stats(docs: DataFrame, *keep: str) -> DataFrame:
     schema = T.StructType([source.schema[c] for c in keep] + list(T._parse_datatype_string(STATS)))
     arrow = to_arrow_schema(schema)
     names = list(keep)
-    return source.mapInArrow(lambda it: _stats_batches(it, arrow, names), schema)
+    return source.mapInArrow(lean(lambda it: _stats_batches(it, arrow, names)), schema)
 
 
 def chi_square(x: float, freedom: int) -> float:
@@ -223,7 +223,7 @@ def _summed(rows: DataFrame, models: DataFrame, column: str, measure: Known) ->
         yield flush()
 
     sums = lambda c, n: F.array(*[F.sum(F.col(c)[i]) for i in range(n)]).alias(c)
-    return rows.mapInArrow(run, schema).groupBy("g", "start", "bin").agg(F.sum("n").alias("n"), sums("sums", P), sums("products", len(PAIRS)))
+    return rows.mapInArrow(lean(run), schema).groupBy("g", "start", "bin").agg(F.sum("n").alias("n"), sums("sums", P), sums("products", len(PAIRS)))
 
 
 def _as_model(n: float, sums, products, mean: np.ndarray, spread: np.ndarray, size: float) -> dict:
@@ -265,7 +265,7 @@ def _start(rows: DataFrame) -> DataFrame:
                 out.append((r.g, models, float("inf")))
             yield pd.DataFrame(out, columns=["g", "models", "fall"])
 
-    return made.mapInPandas(run, MODELS)
+    return made.mapInPandas(lean(run), MODELS)
 
 
 def _step(rows: DataFrame, models: DataFrame) -> DataFrame:
@@ -307,7 +307,7 @@ def _step(rows: DataFrame, models: DataFrame) -> DataFrame:
                 out.append((r.g, models, fall))
             yield pd.DataFrame(out, columns=["g", "models", "fall"])
 
-    return grouped.mapInPandas(run, MODELS)
+    return grouped.mapInPandas(lean(run), MODELS)
 
 
 def concentrated(rows: DataFrame) -> DataFrame:
@@ -341,7 +341,7 @@ def fit(docs: DataFrame, statistics: DataFrame | None = None) -> DataFrame:
                 out.append((r.g, mean.tolist(), np.linalg.inv(shape(cov)).ravel().tolist()))
             yield pd.DataFrame(out, columns=["g", "mean", "inverse"])
 
-    return materialise(best.mapInPandas(run, f"{GROUP}, mean array<double>, inverse array<double>"), "quality-models")
+    return materialise(best.mapInPandas(lean(run), f"{GROUP}, mean array<double>, inverse array<double>"), "quality-models")
 
 
 def _verdict(rows: DataFrame, models: DataFrame) -> DataFrame:
