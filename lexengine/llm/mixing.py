@@ -16,8 +16,8 @@ source that holds a third of all rows is spread over up to 4,096 groups.  Only t
 one row each, meet in one window.
 
 Defined cases: null text has size 0; null source is a source of its own, last in order; a source of
-size 0 has target 0; documents with equal ids are ordered by size, and equal rows take what rows in any
-order would; an empty table gives no rows; further columns are ignored.
+size 0 has target 0; documents with equal ids are ordered by size and a hash of their text, and equal
+rows take what rows in any order would; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,9 +38,10 @@ BUCKET_DIGITS = 3
 
 
 def sizes(docs: DataFrame, *keys: str) -> DataFrame:
-    """The keys, doc_id, source and size in words; the only step that reads texts."""
+    """The keys, doc_id, source, size in words, and a hash of the text; the only step that reads texts."""
     slim = only(docs, *keys, "doc_id", "text", "source")
-    return slim.select(*keys, "doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD_SQL)), F.lit(0)).cast("long").alias("size"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD_SQL)), F.lit(0)).cast("long")
+    return slim.select(*keys, "doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("text").alias("text_hash"))
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -105,7 +106,7 @@ def _passes(sized: DataFrame, weights: tuple[float, ...], max_repeats: int, sche
     before = F.sum("bucket_size").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     starts = buckets.withColumn("bucket_start", F.coalesce(before, F.lit(0)))
     starts = starts.join(targets, starts["source"].eqNullSafe(targets["source"])).drop(targets["source"]).drop("bucket_size")
-    within = F.sum("size").over(W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1))
+    within = F.sum("size").over(W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "text_hash").rowsBetween(W.unboundedPreceding, -1))
     placed = ordered.withColumn("within", F.coalesce(within, F.lit(0)))
     rows = placed.join(starts, placed["source"].eqNullSafe(starts["source"]) & (placed["bucket"] == starts["bucket"])).drop(starts["source"]).drop(starts["bucket"])
     limit = F.floor("target")

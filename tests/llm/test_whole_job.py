@@ -117,8 +117,8 @@ def extracted(spark, htmls):
 
 
 def test_template_inside_articles(spark):
-    # a line on each page of the host, one that three of twelve share, and five equal pages
-    page = "<article><h1>Title {0}</h1><p>Text {0}</p>{1}<p>Tell your friends</p></article>"
+    # a slot of its own with a line on each page of the host, a line that three of twelve share, and thirty equal pages
+    page = "<article><h1>Title {0}</h1><p>Text {0}</p>{1}<div><p>Tell your friends</p></div></article>"
     htmls = [page.format(i, "<p>Shared passage</p>" if i < 3 else "") for i in range(12)] + [page.format("copy", "<p>Of the copies</p>")] * 30
     for broadcast in (html_extract.MAX_BROADCAST_BYTES, -1):
         with pytest.MonkeyPatch.context() as m:
@@ -129,6 +129,27 @@ def test_template_inside_articles(spark):
         assert all(got[i] == ["Title copy", "Text copy", "Of the copies"] for i in range(12, 42))
 
 
+RECIPE = "<div>Home</div><{1}><h1>Cake {0}</h1><p>Intro of {0}.</p><h2>Ingredients</h2><p>Flour {0} grams</p><h2>Method</h2><p>Stir {0} times.</p><p>Serve warm.</p></{1}><div>All rights</div>"
+
+
+@pytest.mark.parametrize("element", ["article", "main", "div"])
+def test_what_recurs_in_articles_is_kept_whatever_the_number_of_pages(element):
+    for n in range(1, 31):
+        pages = [RECIPE.format(i, element) for i in range(n)]
+        model = html_extract.learn(pages)
+        for i, page in enumerate(pages):
+            want = [f"Cake {i}", f"Intro of {i}.", "Ingredients", f"Flour {i} grams", "Method", f"Stir {i} times.", "Serve warm."]
+            got = model.text(page).split("\n")
+            # a page that has no other beside it doesn't say what is around its article, unless that is named
+            assert got == want or (n == 1 and element == "div" and set(want) <= set(got))
+
+
+def test_recipes_through_spark(spark):
+    for n in (1, 2, 4, 5, 9):
+        got = extracted(spark, [RECIPE.format(i, "article") for i in range(n)])
+        assert all(got[i] == [f"Cake {i}", f"Intro of {i}.", "Ingredients", f"Flour {i} grams", "Method", f"Stir {i} times.", "Serve warm."] for i in range(n))
+
+
 def test_template_without_articles_comes_from_all_pages(spark):
     # a menu on two of three pages; three passages that a third each share, so that any two reference pages hold one
     body = "<body>{1}<div class=text><p>Text {0}</p><p>More {0}</p></div><div>{2}</div></body>"
