@@ -5,7 +5,8 @@ bytes) that its words share, once, twice and three times or more: in a language
 that tells.  Weights are given to at most ``VOCABULARY`` of them, chosen by chi-square on the training texts.
 P(grade > k) = sigmoid(w.x - theta_k) with one weight vector and ordered thresholds (theta_k = theta_0 + sums of
 exponentials), fitted by maximum likelihood.  Outputs are the expected severity, that is the sum of the exceedance
-probabilities, the likeliest grade, and whether grade 1 or above is the likelier.
+probabilities, the likeliest grade, and whether the chance of grade 1 or above reaches the cut: the least chance that
+at most ``FALSE_ALARMS`` of the training texts that aren't toxic reach when they are scored by weights they had no part in.
 
 The labels have no grades, only toxic 0 or 1.  Grades of the toxic training rows come from their terciles
 of the number of telling features (with a training log odds of at least ``TELLING``): 1 light to 3 heavy; grade 0
@@ -37,7 +38,11 @@ TELLING = 3.0
 LEAST_TEXTS = 5
 GRADES = 3
 #: Pull of weights towards 0; weights stay at or above 0, so that harmless words can't outweigh toxic ones in long texts.
-LASSO = 1e-4
+LASSO = 3e-4
+#: Share of the other training texts that may be taken for toxic; the cut follows from it, between these bounds.
+FALSE_ALARMS, LEAST_CUT, MOST_CUT = 0.0075, 0.05, 0.5
+#: Parts of the training rows, each scored by weights that the others gave, from which the cut is taken.
+FOLDS = 3
 #: Bytes of a word's beginning that make a stem, and how many times of it are told apart.
 STEMS = (5, 6, 7)
 MOST_TIMES = 3
@@ -135,11 +140,26 @@ def fit_sparse(rows: list[tuple[list[int], int]], vocabulary: list[str], telling
     heavy = x[:, tell].sum(axis=1)
     cuts = np.quantile(heavy[toxic], [1 / 3, 2 / 3])
     grade = np.where(toxic, 1 + (heavy > cuts[0]) + (heavy > cuts[1]), 0)
-    w, gaps, base = np.zeros(len(vocabulary)), np.zeros(GRADES - 1), 0.0
-    # Adam on the negative log likelihood of the grades
-    state = [np.zeros(len(vocabulary) + GRADES), np.zeros(len(vocabulary) + GRADES)]
-    n = len(rows)
-    for step in range(1, 501):
+    w, theta = maximum_likelihood(x, grade)
+    weights = {v: float(a) for v, a in zip(vocabulary, w) if abs(a) > 1e-4}
+    # words and stems apart, as bytes; a stem's weights are summed up to each number of times
+    stems: dict[bytes, list[float]] = {}
+    for name, weight in sorted(weights.items()):
+        stem, mark, times = name.rpartition("~")
+        if mark and times.isdigit():
+            some = stems.setdefault(stem.encode("latin-1"), [0.0] * MOST_TIMES)
+            for k in range(int(times) - 1, MOST_TIMES):
+                some[k] += weight
+    words = {v.encode("latin-1"): a for v, a in weights.items() if not v.rpartition("~")[1]}
+    return {"weights": weights, "words": words, "stems": stems, "theta": theta.tolist(), "cut": _cut(x, grade)}
+
+
+def maximum_likelihood(x: np.ndarray, grade: np.ndarray, steps: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """Weights, none below 0, and thresholds that make the grades likeliest, with ``LASSO`` on the weights; by Adam."""
+    n, width = x.shape
+    w, gaps, base = np.zeros(width), np.zeros(GRADES - 1), 0.0
+    state = [np.zeros(width + GRADES), np.zeros(width + GRADES)]
+    for step in range(1, steps + 1):
         theta = base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
         exceed = 1 / (1 + np.exp(-np.clip((x @ w.astype(np.float32)).astype(float)[:, None] - theta, -40, 40)))
         bound = np.concatenate([np.ones((n, 1)), exceed, np.zeros((n, 1))], 1)
@@ -154,22 +174,30 @@ def fit_sparse(rows: list[tuple[list[int], int]], vocabulary: list[str], telling
         state[1] = 0.999 * state[1] + 0.001 * gradient**2
         move = 0.08 * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-8)
         w, gaps, base = np.maximum(w - move[: len(w)], 0.0), gaps - move[len(w) : -1], base - move[-1]
-    theta = base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-    weights = {v: float(a) for v, a in zip(vocabulary, w) if abs(a) > 1e-4}
-    # words and stems apart, as bytes; a stem's weights are summed up to each number of times
-    stems: dict[bytes, list[float]] = {}
-    for name, weight in sorted(weights.items()):
-        stem, mark, times = name.rpartition("~")
-        if mark and times.isdigit():
-            some = stems.setdefault(stem.encode("latin-1"), [0.0] * MOST_TIMES)
-            for k in range(int(times) - 1, MOST_TIMES):
-                some[k] += weight
-    words = {v.encode("latin-1"): a for v, a in weights.items() if not v.rpartition("~")[1]}
-    return {"weights": weights, "words": words, "stems": stems, "theta": theta.tolist()}
+    return w, base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
+
+
+def _cut(x: np.ndarray, grade: np.ndarray) -> float:
+    """The chance of grade 1 or above from which a text is called toxic."""
+    # rows come sorted by features and label; a fixed shuffle deals them to folds
+    fold = np.random.default_rng(0).permutation(len(x)) % FOLDS
+    chance = np.zeros(len(x))
+    for k in range(FOLDS):
+        rest = fold != k
+        if not (grade[rest] > 0).any() or not (grade[rest] == 0).any():
+            return MOST_CUT
+        # features that no row of the rest has keep their weight of 0 anyway
+        live = np.flatnonzero(x[rest].any(axis=0))
+        w, theta = maximum_likelihood(x[rest][:, live], grade[rest], 250)
+        chance[fold == k] = 1 / (1 + np.exp(-np.clip(x[fold == k][:, live] @ w - theta[0], -40, 40)))
+    others = np.sort(chance[grade == 0])[::-1]
+    # the next above the first that is one too many
+    over = others[min(int(FALSE_ALARMS * len(others)), len(others) - 1)]
+    return float(min(max(np.nextafter(over, 1), LEAST_CUT), MOST_CUT))
 
 
 def severity(data: bytes, model: dict | None) -> tuple[float, int, bool]:
-    """Expected severity, likeliest grade, and whether grade 1 or above is likelier than not."""
+    """Expected severity, likeliest grade, and whether the chance of grade 1 or above reaches the cut."""
     if model is None:
         return 0.0, 0, False
     words, stems = model["words"], model["stems"]
@@ -184,7 +212,7 @@ def severity(data: bytes, model: dict | None) -> tuple[float, int, bool]:
     exceed = [1 / (1 + np.exp(-min(max(eta - t, -40.0), 40.0))) for t in model["theta"]]
     bound = [1.0, *exceed, 0.0]
     chances = [a - b for a, b in zip(bound, bound[1:])]
-    return float(sum(exceed)), int(np.argmax(chances)), bool(exceed[0] >= 0.5)
+    return float(sum(exceed)), int(np.argmax(chances)), bool(exceed[0] >= model["cut"])
 
 
 def grade(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -585,3 +585,49 @@ def test_repeated_words_take_no_more_time(period):
     began = time.perf_counter()
     assert decontamination.compare(text, index) == [(1, 1.0, 1, 2000)]
     assert time.perf_counter() - began < 1.0
+
+
+# 8. Toxicity: the ordinal fit against another way to fit it, and recall on labels that are held out.
+
+
+def likelihood(x, grade, w, theta):
+    """Mean negative log likelihood of the grades, with the pull on the weights, written from the model's definition."""
+    total = 0.0
+    for row, g in zip(x, grade):
+        exceed = [1.0, *[1 / (1 + np.exp(-(row @ w - t))) for t in theta], 0.0]
+        total -= np.log(max(exceed[g] - exceed[g + 1], 1e-12))
+    return total / len(x) + toxicity.LASSO * np.sum(w)
+
+
+def test_the_ordinal_fit_is_the_likeliest():
+    rng = np.random.default_rng(2)
+    x = (rng.random((80, 4)) < 0.4).astype(np.float32)
+    eta = x @ np.array([2.0, 1.0, 0.0, 0.5]) + rng.logistic(size=80)
+    grade = np.digitize(eta, [1.0, 2.0, 3.5])
+    w, theta = toxicity.maximum_likelihood(x, grade)
+    assert (w >= 0).all() and (np.diff(theta) > 0).all()
+    found = likelihood(x, grade, w, theta)
+    # coordinate by coordinate, without slopes, from another start
+    at = np.array([0.5, 0.5, 0.5, 0.5, 0.0, 1.0, 2.0])
+    value, step = likelihood(x, grade, at[:4], at[4:]), 0.5
+    while step > 1e-4:
+        moved = False
+        for k in range(7):
+            for d in (step, -step):
+                to = at.copy()
+                to[k] = max(to[k] + d, 0.0) if k < 4 else to[k] + d
+                if (np.diff(to[4:]) > 0).all() and (v := likelihood(x, grade, to[:4], to[4:])) < value - 1e-12:
+                    at, value, moved = to, v, True
+        step = step if moved else step / 2
+    assert found <= value + 1e-3
+    assert np.abs(w - at[:4]).max() < 0.1 and np.abs(theta - at[4:]).max() < 0.1
+
+
+def test_recall_on_labels_that_are_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels").where("toxic is not null"), "doc_id").collect()
+    held = lambda r: zlib.crc32(str(r.doc_id).encode()) % 4 == 2
+    model = toxicity.fit([(toxicity.distinct((r.text or "").encode()), r.toxic) for r in docs if not held(r)])
+    told = Counter((r.toxic, toxicity.severity((r.text or "").encode(), model)[2]) for r in docs if held(r))
+    assert told[1, True] >= 0.9 * (told[1, True] + told[1, False])
+    assert told[0, True] <= 0.01 * (told[0, True] + told[0, False])
