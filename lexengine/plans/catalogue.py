@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text, vector
+from ..functions.measure import Measure
 from ..operators import chat, embed, evaluate, forms, index, ingest, lookup, rerank, search, validate
 from ..sources import entries as entry_files
 from ..sources import prompts as prompt_files
@@ -201,25 +202,25 @@ def _words(spark, sf_dir):
 
 @query(_LOOKUP + _STAGE1 + " SELECT qid, lemma, pos FROM s1")
 def lookup_exact(spark, sf_dir):
-    lemmas, _ = L.indexes(L.entries(spark, sf_dir))
+    lemmas = L.lemmas(spark, sf_dir)
     return lookup.stage_exact(_words(spark, sf_dir), lemmas).select("qid", "lemma", "pos")
 
 
 @query(_LOOKUP + " SELECT qid, l.lemma, l.pos, form AS matched_form FROM keyed JOIN forms f ON key = form JOIN lemmas l ON f.lemma = l.lemma")
 def lookup_form(spark, sf_dir):
-    lemmas, forms_ = L.indexes(L.entries(spark, sf_dir))
+    _, lemmas, forms_ = L.dictionary(spark, sf_dir)
     return lookup.stage_form(_words(spark, sf_dir), forms_, lemmas).select("qid", "lemma", "pos", "matched_form")
 
 
 @query(_LOOKUP + " SELECT qid, lemma, l.pos FROM keyed JOIN lemmas l ON norm = lemma_norm")
 def lookup_folded_lemma(spark, sf_dir):
-    lemmas, _ = L.indexes(L.entries(spark, sf_dir))
+    lemmas = L.lemmas(spark, sf_dir)
     return lookup.stage_folded_lemma(_words(spark, sf_dir), lemmas).select("qid", "lemma", "pos")
 
 
 @query(_LOOKUP + " SELECT qid, l.lemma, l.pos, arg_min(form, form_pos) AS matched_form FROM keyed JOIN forms f ON norm = form_norm JOIN lemmas l ON f.lemma = l.lemma GROUP BY ALL")
 def lookup_folded_form(spark, sf_dir):
-    lemmas, forms_ = L.indexes(L.entries(spark, sf_dir))
+    _, lemmas, forms_ = L.dictionary(spark, sf_dir)
     return lookup.stage_folded_form(_words(spark, sf_dir), forms_, lemmas).select("qid", "lemma", "pos", "matched_form")
 
 
@@ -227,7 +228,7 @@ def lookup_folded_form(spark, sf_dir):
 c5 AS (SELECT *, {L.sql_score('norm', 'lemma_norm', 'd')} AS score FROM d5 WHERE d <= 2)
 SELECT qid, lemma, score, r::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, d, pos, lemma) AS r FROM c5) WHERE r <= 5""")
 def lookup_fuzzy(spark, sf_dir):
-    lemmas, _ = L.indexes(L.entries(spark, sf_dir))
+    lemmas = L.lemmas(spark, sf_dir)
     return lookup.stage_fuzzy(_words(spark, sf_dir), lemmas).select("qid", "lemma", "score", F.col("rank_pos").alias("rank"))
 
 
@@ -242,9 +243,7 @@ def fuzzy_score(spark, sf_dir):
 
 
 def _cascade(spark, sf_dir):
-    # written, as the indexes and what describes hits read them
-    rows = written(L.entries(spark, sf_dir), "entries")
-    return (rows, *L.indexes(rows), L.asked(spark, sf_dir))
+    return (*L.dictionary(spark, sf_dir), L.asked(spark, sf_dir))
 
 
 _CASCADE = _LOOKUP + _STAGE1 + _STAGE2 + _STAGE3 + _STAGE4 + _STAGE5 + ", hits AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4 UNION ALL SELECT * FROM s5), ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY o, lemma) AS rank FROM hits)"
@@ -537,13 +536,59 @@ SELECT qid, count(*) AS missing FROM t WHERE length(raw) >= 2 AND token NOT IN (
   AND translate(token, '{text.MACRONS}', '{text.PLAIN_VOWELS}') NOT IN (SELECT lemma_norm FROM lemmas) AND translate(token, '{text.MACRONS}', '{text.PLAIN_VOWELS}') NOT IN (SELECT form_norm FROM forms) GROUP BY qid""")
 def validate_sentence(spark, sf_dir):
     """Tokens of benchmark items that the dictionary of the documents doesn't know, fuzzy matches aside."""
-    lemmas, forms_ = L.indexes(L.entries(spark, sf_dir))
+    _, lemmas, forms_ = L.dictionary(spark, sf_dir)
     tokens = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.posexplode(text.sentence_tokens("text")).alias("n", "token"))
     asked = tokens.select(F.col("token").alias("qid"), F.col("token").alias("word"), F.lit(False).alias("fuzzy")).distinct()
     found = lookup.lookup(asked, lemmas, forms_).select(F.col("qid").alias("token")).distinct()
     return tokens.join(found, "token", "left_anti").groupBy("qid").agg(F.count(F.lit(1)).alias("missing"))
 
 
+@query(f"""WITH {L.SQL_ENTRIES}, {L.SQL_INDEXES}, s AS (SELECT item_id AS qid, string_split_regex(trim(regexp_replace(translate(text, '.,', '  '), '\\s+', ' ', 'g')), ' ') AS l FROM benchmark),
+t AS (SELECT qid, unnest(l) AS token, unnest(range(len(l))) AS n FROM s),
+u AS (SELECT DISTINCT token, translate(lower(token), '{text.MACRONS}', '{text.PLAIN_VOWELS}') AS norm FROM t WHERE length(token) >= 2),
+f AS (SELECT token FROM u WHERE lower(token) NOT IN (SELECT lemma FROM lemmas) AND lower(token) NOT IN (SELECT form FROM forms) AND norm NOT IN (SELECT lemma_norm FROM lemmas) AND norm NOT IN (SELECT form_norm FROM forms)
+  AND NOT EXISTS (SELECT 1 FROM lemmas WHERE abs(length(norm) - length(lemma_norm)) <= 2 AND {L.sql_distance('norm', 'lemma_norm')} <= 2))
+SELECT item_id AS qid, i.issues IS NULL AS valid, coalesce(i.issues, '') AS issues FROM benchmark LEFT JOIN (SELECT qid, string_agg(token, ' ' ORDER BY n) AS issues FROM t JOIN f USING (token) GROUP BY qid) i ON item_id = i.qid""")
+def validated_sentences(spark, sf_dir):
+    """Benchmark items as sentences: valid if each token is found, also by a word near it, and else the tokens that aren't."""
+    _, lemmas, forms_ = L.dictionary(spark, sf_dir)
+    sentences = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("sentence"))
+    return validate.validate(sentences, lemmas, forms_).select("qid", "valid", F.array_join("issues", " ").alias("issues"))
+
+
+_ENTRY_JSON = """'"de":"' || de || '","en":"' || en || '"'"""
+_GENDER_JSON = """CASE WHEN gender <> '' THEN ',"gender":"' || gender || '"' ELSE '' END"""
+
+
+@query(f"""WITH {L.SQL_ENTRIES} SELECT pos AS qid, CASE pos % 4
+  WHEN 0 THEN '[{{"word":"' || word || '",' || {_ENTRY_JSON} || {_GENDER_JSON} || '}}]'
+  WHEN 1 THEN '{{"valid":' || CASE WHEN length(word) > 0 AND pos % 8 = 1 THEN 'true,"issues":[]' ELSE 'false,"issues":["zq0jxw1vk"]' END || '}}'
+  WHEN 2 THEN '{{"lemma":"' || word || '","translations":{{' || {_ENTRY_JSON} || '}},"paradigm":"12"' || {_GENDER_JSON} || ',"forms":"' || replace('{{"declension":[{{"cases":[{{"singular":"' || word || '","plural":"' || word || 's"}}]}}]}}', '"', chr(92) || '"') || '"}}'
+  ELSE '{{"error":"Unknown tool: translate"}}' END AS result FROM full_entries""")
+def dispatched_calls(spark, sf_dir):
+    """A call for each word of the dictionary, by the engine's dispatcher: lookups, sentences, records, and a tool that there isn't."""
+    from ..engine import Engine
+    from ..sources.connectors import hash_embedder
+
+    rows, lemmas, forms_ = L.dictionary(spark, sf_dir)
+    engine = Engine(rows, lemmas, forms_, rows.select("pos", F.array(F.lit(0.0), F.lit(1.0)).cast("array<float>").alias("embedding")), hash_embedder(2))
+    kind = F.col("pos") % 4
+    sentence = F.concat("word", F.when(F.col("pos") % 8 == 1, F.lit(".")).otherwise(F.lit(", zq0jxw1vk")))
+    arguments = F.when(kind == 0, F.create_map(F.lit("word"), F.concat(F.lit(" "), F.col("word")), F.lit("fuzzy"), F.lit("false"))).when(kind == 1, F.create_map(F.lit("sentence"), sentence)).otherwise(F.create_map(F.lit("lemma"), F.col("word")))
+    name = F.when(kind == 0, "lookup_word").when(kind == 1, "validate").when(kind == 2, "get_forms").otherwise("translate")
+    return engine.dispatch(rows.select(F.col("pos").alias("qid"), name.alias("name"), arguments.alias("arguments")))
+
+
+@query("SELECT count(*)::BIGINT AS entries, sum(length(text))::BIGINT AS chars, ceil(count(*) / 32e0)::BIGINT AS batches, true AS timed FROM documents")
+def observed_batches(spark, sf_dir):
+    """Count, sum and batches of a job, observed while its rows are written."""
+    measure = Measure("documents")
+    with measure.running():
+        written(measure.of(table(spark, sf_dir, "documents"), chars=F.sum(F.length("text").cast("bigint"))), "observed")
+    found = measure.result(32)
+    return spark.createDataFrame([(found["rows"], found["chars"], found["batches"], found["seconds"] > 0 and found["rate"] > 0)], "entries bigint, chars bigint, batches bigint, timed boolean")
+
+
 @query(f"WITH {L.SQL_ENTRIES}, t AS (SELECT conv_id, turn, lower(regexp_extract(text, '([A-Za-z]+)', 1)) AS token FROM conversations) SELECT conv_id, turn, token, coalesce(nullif(f.de, ''), token) AS gloss FROM t LEFT JOIN full_entries f ON t.token = f.word")
 def gloss_tokens(spark, sf_dir):
     tokens = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("n"), F.lower(F.regexp_extract("text", "([A-Za-z]+)", 1)).alias("token"))

@@ -79,11 +79,22 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("qid", word.alias("word"), F.lit(True).alias("fuzzy"))
 
 
+def lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lemma index, for queries that read it once."""
+    return index.lemma_index(entries(spark, sf_dir))
+
+
 def indexes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lemma and form index, written once for the several stages that read them."""
+    """Lemma and form index of written entries, written once for the several stages that read them."""
     return written(index.lemma_index(rows), "lemmas"), written(index.form_index(form_rows(rows)), "forms")
 
 
+def dictionary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entries and both indexes; the documents are read once."""
+    rows = written(entries(spark, sf_dir), "entries")
+    return rows, *indexes(rows)
+
+
 SQL_ENTRIES = f"""
 toks AS (
   SELECT doc_id, lower(regexp_replace(t, '[.,;:!?]', '', 'g')) AS word, i - 1 AS i FROM (
