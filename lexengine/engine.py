@@ -19,6 +19,8 @@ TOOLS = (
     {"name": "lookup_word", "params": [{"name": "word", "type": "string"}, {"name": "fuzzy", "type": "boolean", "default": True}], "description": "Looks up a lemma or an inflected form."},
     {"name": "get_word_forms", "params": [{"name": "lemma", "type": "string"}], "description": "All inflected forms of a lemma."},
 )
+#: Hits that a search is asked for when it is to vouch for a word.
+SEARCHED_HITS = 3
 
 
 @dataclass
@@ -63,8 +65,15 @@ class Engine:
     def get_word_forms(self, words: DataFrame, compat: bool = False) -> DataFrame:
         return forms.word_forms(words, self.entries, self.lemmas, self.forms, compat)
 
-    def validate(self, sentences: DataFrame) -> DataFrame:
-        return validate.validate(sentences, self.lemmas, self.forms)
+    def validate(self, sentences: DataFrame, by_search: bool = False) -> DataFrame:
+        """valid and issues of sentences (qid, sentence); with ``by_search`` a token that no lookup finds is no issue if a search has hits for it."""
+
+        def found(unknown: DataFrame) -> DataFrame:
+            asked = written(unknown.withColumn("qid", F.monotonically_increasing_id()), "searched-tokens")
+            hits = self.search_dictionary(asked.select("qid", F.col("token").alias("query")), SEARCHED_HITS)
+            return asked.join(hits.select("qid").distinct(), "qid", "left_semi")
+
+        return validate.validate(sentences, self.lemmas, self.forms, found if by_search else None)
 
     def dispatch(self, calls: DataFrame, top_k: int = 5) -> DataFrame:
         """A batch of calls (qid, name, arguments map): qid and the result as JSON, each tool's calls in one plan."""

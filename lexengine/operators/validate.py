@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.scratch import written
 from .lookup import lookup
 
 
@@ -17,11 +20,13 @@ def unknown_tokens(sentences: DataFrame, lemmas: DataFrame, forms: DataFrame) ->
     return tokens.join(found, "token", "left_anti").select("qid", "n", "token")
 
 
-def validate(sentences: DataFrame, lemmas: DataFrame, forms: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
-    """qid, valid and issues (tokens in order); fallback (token) names tokens that a search vouches for."""
+def validate(sentences: DataFrame, lemmas: DataFrame, forms: DataFrame, fallback: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """qid, valid and issues (tokens in order); fallback takes (token) rows that no lookup finds and gives those that a search vouches for."""
     missing = unknown_tokens(sentences, lemmas, forms)
     if fallback is not None:
-        missing = missing.join(fallback.select("token").distinct(), "token", "left_anti")
+        # written, as the search and what is left after it read them
+        missing = written(missing, "unknown-tokens")
+        missing = missing.join(fallback(missing.select("token").distinct()).select("token").distinct(), "token", "left_anti")
     issues = missing.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("issues"))
     none = F.array().cast("array<string>")
     return sentences.select("qid").join(issues, "qid", "left").select("qid", F.col("issues").isNull().alias("valid"), F.coalesce("issues", none).alias("issues"))

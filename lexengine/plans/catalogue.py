@@ -280,8 +280,7 @@ def json_paths(spark, sf_dir):
     """Paths by the table function, from SQL."""
     forms.register(spark)
     rows = L.entries(spark, sf_dir).withColumn("doc", F.when(F.col("word") == "the", F.concat(F.expr("left(forms_json, length(forms_json) - 1)"), F.lit(',"label":"THE"}'))).otherwise(F.col("forms_json")))
-    rows.createOrReplaceTempView("_lexicon_documents")
-    return spark.sql("SELECT pos, p.path, CAST(p.n AS BIGINT) AS n FROM _lexicon_documents, LATERAL json_string_paths(doc, word) AS p")
+    return spark.sql("SELECT pos, p.path, CAST(p.n AS BIGINT) AS n FROM {documents}, LATERAL json_string_paths(doc, word) AS p", documents=rows)
 
 
 @query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS pos FROM orders")

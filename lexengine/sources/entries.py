@@ -27,8 +27,7 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
     Parquet once, with ``write_entries``.
     """
     document = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
-    document.createOrReplaceTempView("_entries_document")
-    rows = spark.sql("SELECT e.pos AS pos, to_json(e.value) AS j FROM _entries_document, LATERAL variant_explode(v) AS e")
+    rows = spark.sql("SELECT e.pos AS pos, to_json(e.value) AS j FROM {document}, LATERAL variant_explode(v) AS e", document=document)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in T._parse_datatype_string(ENTRIES) if f.name not in ("pos", "forms_json"))
     parsed = rows.select(F.col("pos").cast("bigint").alias("pos"), F.from_json("j", fields).alias("e"), F.get_json_object("j", "$.forms").alias("forms_json"))
     return parsed.select("pos", "e.*", "forms_json")

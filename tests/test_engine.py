@@ -1,6 +1,7 @@
 import json
 import random
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -248,6 +249,11 @@ def test_segments_cover_the_distance(spark):
 def test_validation_and_recall(spark, engine):
     rows = engine.validate(spark.createDataFrame([(1, "Buttan semme."), (2, "xyzxyzxyz buttan qwertzuiop")], "qid bigint, sentence string")).orderBy("qid").collect()
     assert rows[0].valid and rows[1].issues == ["xyzxyzxyz", "qwertzuiop"]
+    # a search that has hits vouches for words, one that has none doesn't
+    sentence = spark.createDataFrame([(2, "xyzxyzxyz buttan qwertzuiop")], "qid bigint, sentence string")
+    assert engine.validate(sentence, by_search=True).first().valid
+    bare = replace(engine, vectors=engine.vectors.limit(0))
+    assert bare.validate(sentence, by_search=True).first().issues == ["xyzxyzxyz", "qwertzuiop"]
     expected = spark.createDataFrame([("a", ["tu", "as"])], "category string, terms array<string>")
     got = validate.expected_recall(expected, spark.createDataFrame([("a", "TUsa")], "category string, word string"))
     assert got.first().recall == 0.5 and validate.mean_recall(got).first().mean_recall == 0.5
