@@ -62,6 +62,27 @@ def json_paths(document: str, target: str) -> Column:
     return F.pandas_udf(_paths, "array<string>")(document, target)
 
 
+_WALK = """WITH RECURSIVE walk(id, low, path, v) AS (
+  SELECT id, lower(target), CAST('' AS STRING), try_parse_json(document) FROM {rows} WHERE target IS NOT NULL
+  UNION ALL
+  SELECT w.id, w.low, concat(CASE WHEN w.path = '' THEN '' ELSE concat(w.path, '/') END, coalesce(e.key, CAST(e.pos AS STRING))), e.value
+  FROM walk w, LATERAL variant_explode(w.v) AS e)
+SELECT id, path, low, lower(CAST(v AS STRING)) AS own FROM walk WHERE schema_of_variant(v) = 'STRING'"""
+
+
+def walked_paths(rows: DataFrame) -> DataFrame:
+    """id and path of all strings in JSON documents that equal the target, lower-cased or folded; rows (id, document, target).
+
+    A recursive query over variants, all of it in the JVM: each level of all documents is one step.  Rows and paths are those of
+    ``string_paths``, in no order.  The session's bounds on recursion, of rows and of levels, are lifted for it.
+    """
+    conf = rows.sparkSession.conf
+    conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    conf.set("spark.sql.cteRecursionLevelLimit", "-1")
+    found = rows.sparkSession.sql(_WALK, rows=rows.select("id", "document", "target"))
+    return found.where((F.col("own") == F.col("low")) | (text.fold("own") == text.fold("low"))).select("id", "path")
+
+
 def with_paths(hits: DataFrame) -> DataFrame:
     """Described hits with matched_paths; where no path matches, matched_form goes too."""
     found = hits.withColumn("matched_paths", F.when(F.col("matched_form").isNotNull(), json_paths("forms_json", "matched_form")))

@@ -283,6 +283,14 @@ def json_paths(spark, sf_dir):
     return spark.sql("SELECT pos, p.path, CAST(p.n AS BIGINT) AS n FROM {documents}, LATERAL json_string_paths(doc, word) AS p", documents=rows)
 
 
+@query(f"WITH {L.SQL_ENTRIES} SELECT pos, 'declension/0/cases/0/singular' AS path FROM entries UNION ALL SELECT pos, 'more/1/' || word FROM entries")
+def json_walk(spark, sf_dir):
+    """Paths by a recursive query, without Python; documents have a branch whose key is the word and that holds it, too."""
+    more = F.concat(F.expr("left(forms_json, length(forms_json) - 1)"), F.lit(',"more":[null,{"'), "word", F.lit('":"'), "word", F.lit('","x":"'), "word", F.lit('x"}]}'))
+    rows = L.entries(spark, sf_dir).select(F.col("pos").alias("id"), more.alias("document"), F.col("word").alias("target"))
+    return forms.walked_paths(rows).select(F.col("id").alias("pos"), "path")
+
+
 @query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS pos FROM orders")
 def positions(spark, sf_dir):
     """The place of each row in an order, as entries have one."""

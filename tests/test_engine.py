@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexengine.engine import Engine
 from lexengine.functions import text
 from lexengine.operators import embed, ingest, rerank, validate
-from lexengine.operators.forms import string_paths
+from lexengine.operators.forms import string_paths, walked_paths
 from lexengine.operators.index import exploded_forms, form_index, lemma_index
 from lexengine.sources import entries as sources
 from lexengine.sources import matrices
@@ -246,6 +246,24 @@ def test_segments_cover_the_distance(spark):
     assert pairs.where("d <= 2 AND NOT met").count() == 0 and pairs.where("d > 2 AND NOT met").count() > 0
 
 
+def test_recursive_walk_equals_the_table_function(spark):
+    rng = random.Random(8)
+
+    def made(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.4:
+            return rng.choice(["a", "A", "ā", "Ā", "b", "", 1, None, True, 2.5])
+        if kind < 0.7:
+            return [made(depth - 1) for _ in range(rng.randint(0, 3))]
+        return {rng.choice(["a", "b", "x/y", "0", "ā"]) + str(k): made(depth - 1) for k in range(rng.randint(0, 3))}
+
+    rows = [(i, json.dumps(made(rng.randint(0, 6))), rng.choice(["a", "Ā", "b", ""])) for i in range(300)] + [(900, "{broken", "a"), (901, None, "a"), (902, '"a"', None), (903, "", "a")]
+    rows.append((904, "[" * 150 + '"a"' + "]" * 150, "a"))
+    got = walked_paths(spark.createDataFrame(rows, "id bigint, document string, target string"))
+    want = Counter((i, p) for i, d, t in rows for p in string_paths(d, t))
+    assert Counter((r.id, r.path) for r in got.collect()) == want and sum(want.values()) > 100
+
+
 def test_validation_and_recall(spark, engine):
     rows = engine.validate(spark.createDataFrame([(1, "Buttan semme."), (2, "xyzxyzxyz buttan qwertzuiop")], "qid bigint, sentence string")).orderBy("qid").collect()
     assert rows[0].valid and rows[1].issues == ["xyzxyzxyz", "qwertzuiop"]
