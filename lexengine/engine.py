@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import embed, forms, index, lookup, rerank, search, validate
+from .operators import embed, forms, index, lookup, rerank, search, tables, validate
 from .sources.connectors import embed_column
 from .sources.scratch import written
 
@@ -45,10 +45,11 @@ class Engine:
         return cls(entries, lemmas, form_table, vectors, embedder, reranker)
 
     def views(self) -> None:
-        """Registers the tables and the path function for SQL."""
+        """Registers the tables, the path function and the lookup tools as table functions for SQL."""
         for name, table in (("entries", self.entries), ("lemma_index", self.lemmas), ("form_index", self.forms), ("embeddings", self.vectors)):
             table.createOrReplaceTempView(name)
         forms.register(self.entries.sparkSession)
+        tables.register(self.entries.sparkSession)
 
     def search_dictionary(self, queries: DataFrame, top_k: int = 10, use_reranker: bool = False, candidates: int = 100) -> DataFrame:
         """Hits of queries (qid, query): qid, rank, word, de, en."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vector
 from ..functions.measure import Measure
-from ..operators import chat, embed, evaluate, forms, index, ingest, lookup, rerank, search, validate
+from ..operators import chat, embed, evaluate, forms, index, ingest, lookup, rerank, search, tables, validate
 from ..sources import entries as entry_files
 from ..sources import prompts as prompt_files
 from ..sources.connectors import embed_column
@@ -283,6 +283,18 @@ def json_paths(spark, sf_dir):
     return spark.sql("SELECT pos, p.path, CAST(p.n AS BIGINT) AS n FROM {documents}, LATERAL json_string_paths(doc, word) AS p", documents=rows)
 
 
+@query(_LOOKUP + _STAGE1 + _STAGE2 + _STAGE3 + _STAGE4 + """, hits AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY o, lemma) AS rank FROM hits)
+SELECT qid, rank::INT AS rank, stage::INT AS stage, f.word, f.de, f.en, nullif(gender, '') AS gender, nullif(matched_form, f.word) AS matched_form FROM ranked r JOIN full_entries f ON r.pos = f.pos""")
+def lookup_table_function(spark, sf_dir):
+    """A batch of words through the SQL table function, which becomes joins with the indexes."""
+    for name, rows in zip(("entries", "lemma_index", "form_index"), L.dictionary(spark, sf_dir)):
+        rows.createOrReplaceTempView(name)
+    tables.register(spark)
+    found = spark.sql("SELECT a.qid, h.* FROM {asked} a, LATERAL lookup_word(a.word) h", asked=L.asked(spark, sf_dir))
+    return found.select("qid", "rank", "stage", "word", "de", "en", "gender", "matched_form")
+
+
 @query(f"WITH {L.SQL_ENTRIES} SELECT pos, 'declension/0/cases/0/singular' AS path FROM entries UNION ALL SELECT pos, 'more/1/' || word FROM entries")
 def json_walk(spark, sf_dir):
     """Paths by a recursive query, without Python; documents have a branch whose key is the word and that holds it, too."""

@@ -185,6 +185,22 @@ def test_views_and_table_function(spark, engine):
     assert [(r.word, r.path) for r in rows] == [("kwaitītun", "indicative/0/forms/0/form")]
 
 
+def test_table_functions_equal_the_engine(spark, engine):
+    engine.views()
+    words = ["Buttan ", "butta", "semme", "SEMMIS", "kwaita", "as", "deiwai", "none", "", None, "buttan"]
+    asked = spark.createDataFrame([(i, w, False) for i, w in enumerate(words)], "qid bigint, word string, fuzzy boolean")
+    asked.createOrReplaceTempView("asked_words")
+    columns = ["qid", "rank", "stage", "word", "de", "en", "gender"]
+    got = spark.sql("SELECT a.qid, h.* FROM asked_words a, LATERAL lookup_word(a.word) h").select(*columns).collect()
+    want = engine.lookup_word(asked).select(*columns).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str) and len({r.stage for r in got}) >= 3
+    records = spark.sql("SELECT a.qid, r.* FROM asked_words a, LATERAL word_record(a.word) r").collect()
+    held = engine.get_word_forms(asked).where("lemma is not null")
+    have = {r.qid: (r.lemma, r.translations.de, r.translations.en, r.paradigm, r.gender, r.forms) for r in held.collect()}
+    assert {r.qid: tuple(r)[1:] for r in records} == {k: v for k, v in have.items() if k in {r.qid for r in got}}
+    assert spark.sql("SELECT word FROM lookup_word('Semme')").first().word == "semmē"
+
+
 def test_embedding_build(spark, entries, tmp_path):
     built = embed.build(entries, hash_embedder(8))
     assert {r.word for r in built.collect()} == {"Buttan", "semmē", "kwaitītun", "deiwas", "buttan", "as", "butta"}
