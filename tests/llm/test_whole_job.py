@@ -582,9 +582,9 @@ def test_repeated_words_take_no_more_time(period):
     words = [f"w{k}" for k in range(period)]
     index = decontamination.Index([(1, " ".join((words * 2000)[:2000]))])
     text = " ".join((words * 20_000)[:20_000])
-    began = time.perf_counter()
+    began = time.process_time()
     assert decontamination.compare(text, index) == [(1, 1.0, 1, 2000)]
-    assert time.perf_counter() - began < 1.0
+    assert time.process_time() - began < 1.0
 
 
 # 8. Toxicity: the ordinal fit against another way to fit it, and recall on labels that are held out.
