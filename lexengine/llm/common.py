@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -38,7 +39,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes df to a scratch table and reads it back, which cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
-    path = "/".join([scratch_dir(spark), app, *_scopes, f"{label}-{uuid.uuid4().hex}"])
+    path = "/".join([scratch_dir(spark), app, *_open_scopes(), f"{label}-{uuid.uuid4().hex}"])
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
@@ -54,18 +55,26 @@ def clear_scratch(spark: SparkSession) -> None:
     remove(spark, f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}")
 
 
-_scopes: list[str] = []
+_scopes = threading.local()
+
+
+def _open_scopes() -> list[str]:
+    """The scopes that this thread has open: each pipeline of a driver has its own."""
+    if not hasattr(_scopes, "names"):
+        _scopes.names = []
+    return _scopes.names
 
 
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Scratch tables made inside are removed at the end; what reads them must be written inside."""
-    _scopes.append(f"scope-{uuid.uuid4().hex}")
+    names = _open_scopes()
+    names.append(f"scope-{uuid.uuid4().hex}")
     try:
         yield
     finally:
-        folder = "/".join([scratch_dir(spark), spark.sparkContext.applicationId, *_scopes])
-        _scopes.pop()
+        folder = "/".join([scratch_dir(spark), spark.sparkContext.applicationId, *names])
+        names.pop()
         remove(spark, folder)
 
 

@@ -125,3 +125,24 @@ def test_stages_on_odd_rows_and_empty_tables(spark, sf):
     # what passes the rules comes through, with a null id, equal rows and equal ids as each stage says
     kept = materialise(corpus_pipeline.quality(spark, plain, sf), "kept").collect()
     assert {r.doc_id for r in kept} >= {None, 9} and not {1, 2, 3, 4, 5} & {r.doc_id for r in kept}
+
+
+def test_scopes_of_threads_are_apart(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    from lexengine.llm.common import materialise, scratch_scope
+
+    both = Barrier(2, timeout=60)
+
+    def work(n):
+        with scratch_scope(spark):
+            mine = materialise(spark.range(n), "apart")
+            both.wait()
+            if n == 3:
+                return mine.count()
+        # by now this thread's own scope is gone, and the other's may still be read
+        return n
+
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(work, (3, 4))) == [3, 4]
