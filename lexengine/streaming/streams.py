@@ -1,37 +1,46 @@
 """Streaming forms of ingestion and stream assembly: the same results as the batch operators, incrementally.
 
 State is kept in RocksDB by ``transformWithState``.  Rows of a key may come in any order, within a batch and across batches: what is
-next in line is folded into a value state, the rest waits in a list state until the gap before it is filled.
+next in line is folded, the rest waits in the state until the gap before it is filled, packed: a row of state costs a round trip.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import pickle
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.pace import LEAST, MOST, WINDOW, Pace, paced
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State in RocksDB: a batch saves what it changed, not all there is, and rows aren't looked up once more to count them.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+}
 #: How long the state of a stream stays that gets no more rows.
 FORGET_MS = 24 * 3600 * 1000
+#: Response times that a row of state, or a frame that comes out, holds at most.
+BLOCK = 65_536
 
 
 def read_files(spark: SparkSession, folder: str, schema: str, kind: str = "parquet", files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", files_per_batch).load(folder)
 
 
-def _in_order(rows: Iterator[pd.DataFrame], waiting: Iterator[tuple], columns: list[str], next_: int) -> tuple[list[tuple], list[tuple]]:
-    """The new and waiting rows that follow ``next_`` without a gap, by seq, and the rest; a seq that was seen is left out."""
-    known = {r[0]: tuple(r) for r in waiting}
-    for frame in rows:
-        # frames of one key are cut at a number of rows, so that only all of them together have an order
-        for r in frame[columns].itertuples(index=False, name=None):
-            if r[0] >= next_:
-                known.setdefault(r[0], r)
+def _in_order(rows: Iterable[tuple], waiting: Iterable[tuple], next_: int) -> tuple[list[tuple], list[tuple]]:
+    """The waiting and new rows (seq, ...) that follow ``next_`` without a gap, by seq, and the rest; a seq that was seen is left out."""
+    known = {r[0]: r for r in waiting}
+    for r in rows:
+        if r[0] >= next_:
+            known.setdefault(r[0], r)
     ready = []
     while next_ in known:
         ready.append(known.pop(next_))
@@ -39,8 +48,28 @@ def _in_order(rows: Iterator[pd.DataFrame], waiting: Iterator[tuple], columns: l
     return ready, sorted(known.values(), key=lambda r: r[0])
 
 
+def _packed(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """The keys, and as ``pieces`` the rows of each key of a batch of rows: what is shuffled and met by the state is a row per key, not per piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[tuple, list[tuple]] = {}
+            at = zip(*(batch.column(c).to_pylist() for c in keys))
+            for key, row in zip(at, zip(*(batch.column(c).to_pylist() for c in columns))):
+                found.setdefault(key, []).append(row)
+            if found:
+                made = [pa.array(c, batch.schema.field(k).type) for k, c in zip(keys, zip(*found))]
+                yield pa.RecordBatch.from_arrays([*made, pa.array([pickle.dumps(x) for x in found.values()], pa.binary())], names=[*keys, "pieces"])
+
+    slim = rows.select(*keys, *columns)
+    return slim.mapInArrow(run, T.StructType([*(slim.schema[k] for k in keys), T.StructField("pieces", T.BinaryType())]))
+
+
 class _Assembly(StatefulProcessor):
-    """Joins the pieces of each key in the order of seq, and keeps the last of other values that isn't empty."""
+    """Joins the pieces of each key in the order of seq, and keeps the last of other values that isn't empty.
+
+    A key has one state, with what waits behind a gap in it, so that a batch reads and writes it once.
+    """
 
     def __init__(self, keys: list[str], joined: list[str], last: list[str], forget_ms: int) -> None:
         self.keys, self.joined, self.last, self.forget_ms = keys, joined, last, forget_ms
@@ -48,32 +77,24 @@ class _Assembly(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         texts = ", ".join(f"{c} string" for c in self.columns)
-        self.done = handle.getValueState("done", f"next bigint, {texts}", self.forget_ms)
-        self.waiting = handle.getListState("waiting", f"seq bigint, finish boolean, {texts}", self.forget_ms)
+        self.done = handle.getValueState("done", f"next bigint, {texts}, waiting binary", self.forget_ms)
 
-    def _fold(self, held: tuple, row: tuple) -> tuple:
+    def _fold(self, held: list[str], rows: list[tuple]) -> list[str]:
         n = len(self.joined)
-        return tuple(a + b if i < n else b or a for i, (a, b) in enumerate(zip(held, row)))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        next_, *held = self.done.get() if self.done.exists() else (0, *[""] * len(self.columns))
-        ready, rest = _in_order(rows, self.waiting.get() if self.waiting.exists() else (), ["seq", "finish", *self.columns], next_)
-        finished = False
-        for _, finish, *row in ready:
-            held, finished = self._fold(held, row), finished or bool(finish)
-        if finished:
+        values = list(zip(*(r[2:] for r in rows))) or [()] * len(held)
+        return [h + "".join(some) if i < n else next((x for x in reversed(some) if x), h) for i, (h, some) in enumerate(zip(held, values))]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        next_, *held, waiting = self.done.get() or (0, *[""] * len(self.columns), None)
+        pieces = (piece for r in rows for piece in pickle.loads(r.pieces))
+        ready, rest = _in_order(pieces, pickle.loads(waiting) if waiting else (), next_)
+        held = self._fold(held, ready)
+        if any(finish for _, finish, *_ in ready):
             self.done.clear()
-            self.waiting.clear()
         else:
-            self.done.update((next_ + len(ready), *held))
-            if rest:
-                self.waiting.put([(int(r[0]), bool(r[1]), *r[2:]) for r in rest])
-            elif self.waiting.exists():
-                self.waiting.clear()
+            self.done.update((next_ + len(ready), *held, pickle.dumps(rest) if rest else None))
         # what waits is shown too, in its order, as the batch operator would
-        for _, _, *row in rest:
-            held = self._fold(held, row)
-        yield pd.DataFrame([(*key, *held)], columns=[*self.keys, *self.columns])
+        yield Row(**dict(zip([*self.keys, *self.columns], [*key, *self._fold(held, rest)])))
 
     def close(self) -> None:
         pass
@@ -84,7 +105,8 @@ def _assembled(pieces: DataFrame, keys: list[str], joined: list[str], last: list
     tidy = pieces.select(*keys, F.col("seq").cast("bigint").alias("seq"), F.coalesce(finish, F.lit(False)).alias("finish"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in (*joined, *last)])
     types = {f.name: f.dataType.simpleString() for f in tidy.schema}
     schema = ", ".join(f"{c} {types[c]}" for c in (*keys, *joined, *last))
-    return tidy.groupBy(*keys).transformWithStateInPandas(_Assembly(keys, joined, last, forget_ms), schema, "Update", "ProcessingTime")
+    packed = _packed(tidy, keys, ["seq", "finish", *joined, *last])
+    return packed.groupBy(*keys).transformWithState(_Assembly(keys, joined, last, forget_ms), schema, "Update", "ProcessingTime")
 
 
 def assembled_calls(fragments: DataFrame, forget_ms: int = FORGET_MS) -> DataFrame:
@@ -104,7 +126,10 @@ def assembled_content(deltas: DataFrame, forget_ms: int = FORGET_MS) -> DataFram
 
 
 class _Throttle(StatefulProcessor):
-    """The pace of each key after each of its response times, in the order of seq."""
+    """The pace of each key after each of its response times, in the order of seq.
+
+    What waits behind a gap is kept in blocks of at most ``BLOCK`` rows, as the bytes of two arrays; a time of nan stands for none.
+    """
 
     def __init__(self, bounds: tuple[int, float, float], patience_ms: int, forget_ms: int) -> None:
         self.bounds, self.patience_ms, self.forget_ms = bounds, patience_ms, forget_ms
@@ -112,42 +137,58 @@ class _Throttle(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("pace", "next bigint, last array<double>, baseline double, delay double", self.forget_ms)
-        self.waiting = handle.getListState("waiting", "seq bigint, elapsed double", self.forget_ms)
+        self.waiting = handle.getListState("waiting", "seq binary, elapsed binary", self.forget_ms)
 
-    def _take(self, key: tuple, next_: int, ready: list[tuple], rest: list[tuple], pace: Pace) -> Iterator[pd.DataFrame]:
+    def _take(self, key: tuple, next_: int, seqs: np.ndarray, times: np.ndarray, ready: int, pace: Pace) -> Iterator[pd.DataFrame]:
         out = []
-        for seq, elapsed in ready:
+        for seq, elapsed in zip(seqs[:ready].tolist(), times[:ready].tolist()):
             # a response without a time takes its place and changes nothing
-            if elapsed is not None and elapsed == elapsed:
+            if elapsed == elapsed:
                 pace, middle = paced(pace, elapsed, *self.bounds)
                 out.append((*key, seq, middle, pace.baseline, pace.delay))
+            if len(out) >= BLOCK:
+                yield self._frame(out)
+                out = []
         self.state.update((next_, list(pace.last), pace.baseline, pace.delay))
-        if rest:
-            self.waiting.put([(int(s), None if e is None or e != e else float(e)) for s, e in rest])
-        elif self.waiting.exists():
+        blocks = [(seqs[i : i + BLOCK].tobytes(), times[i : i + BLOCK].tobytes()) for i in range(ready, len(seqs), BLOCK)]
+        if blocks:
+            self.waiting.put(blocks)
+        else:
             self.waiting.clear()
+        yield self._frame(out)
+
+    def _frame(self, out: list[tuple]) -> pd.DataFrame:
         frame = pd.DataFrame(out, columns=["key", "seq", "median", "baseline", "delay"])
-        yield frame.astype({"seq": "int64", "median": "float64", "baseline": "float64", "delay": "float64"})
+        return frame.astype({"seq": "int64", "median": "float64", "baseline": "float64", "delay": "float64"})
 
     def _held(self) -> tuple[int, Pace]:
-        if not self.state.exists():
+        if (state := self.state.get()) is None:
             return 0, Pace(delay=self.bounds[1])
-        next_, last, baseline, delay = self.state.get()
+        next_, last, baseline, delay = state
         return next_, Pace(tuple(last), baseline, delay)
 
+    def _waits(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(np.frombuffer(s, np.int64), np.frombuffer(e, np.float64)) for s, e in self.waiting.get()] if self.waiting.exists() else []
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         next_, pace = self._held()
-        ready, rest = _in_order(rows, self.waiting.get() if self.waiting.exists() else (), ["seq", "elapsed"], next_)
-        if rest and self.patience_ms:
+        # frames of one key are cut at a number of rows, so that only all of them together have an order
+        some = self._waits() + [(f["seq"].to_numpy(np.int64), f["elapsed"].to_numpy(np.float64)) for f in rows]
+        # of equal seqs the first stays
+        seqs, first = np.unique(np.concatenate([s for s, _ in some]), return_index=True)
+        times = np.concatenate([e for _, e in some])[first]
+        seqs, times = seqs[(new := seqs >= next_)], times[new]
+        ready = int(np.count_nonzero(seqs == next_ + np.arange(len(seqs))))
+        if ready < len(seqs) and self.patience_ms:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
-        yield from self._take(key, next_ + len(ready), ready, rest, pace)
+        yield from self._take(key, next_ + ready, seqs, times, ready, pace)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """A gap that was not filled in time is passed over."""
         next_, pace = self._held()
-        ready = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        if ready:
-            yield from self._take(key, ready[-1][0] + 1, ready, [], pace)
+        if some := self._waits():
+            seqs, times = (np.concatenate(x) for x in zip(*some))
+            yield from self._take(key, int(seqs[-1]) + 1, seqs, times, len(seqs), pace)
 
     def close(self) -> None:
         pass
@@ -194,7 +235,7 @@ def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame,
     processing time would ask for them without end.
     """
     conf = stream.sparkSession.conf
-    own = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": str(mode != "update").lower()}
+    own = STORE | {"spark.sql.streaming.noDataMicroBatches.enabled": str(mode != "update").lower()}
     before = {k: conf.get(k, None) for k in own}
     try:
         for k, v in own.items():

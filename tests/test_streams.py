@@ -95,6 +95,31 @@ def test_throttle_matches_batch_in_any_order(spark, tmp_path, small_frames):
     assert sorted(map(key, got), key=str) == sorted(map(key, ingest.throttle(spark.createDataFrame(rows, schema)).collect()), key=str)
 
 
+def test_what_waits_behind_a_gap_is_packed(spark, tmp_path, small_frames, monkeypatch):
+    # a row of state costs a round trip: 5,000 waiting times are a few blocks of it, and 500 waiting pieces a part of their key's
+    schema, folder, cp, got = "key string, seq bigint, elapsed double", str(tmp_path / "in"), str(tmp_path / "cp"), []
+    run = lambda: streams.run_available(streams.throttled(streams.read_files(spark, folder, schema), patience_ms=0), cp, lambda b, _: got.extend(b.collect()), "update")
+    rows = [("a", i, None if i % 7 == 0 else 0.5 + i % 4) for i in range(5001)]
+    _appended(spark, folder, rows[1:], schema)
+    run()
+    assert got == [] and 1 <= _state_rows(spark, cp, "waiting") <= 5
+    _appended(spark, folder, rows[:1] + rows[5:9], schema)
+    run()
+    key = lambda r: (r.key, r.seq, r.median, r.baseline, r.delay)
+    assert sorted(map(key, got), key=str) == sorted(map(key, ingest.throttle(spark.createDataFrame(rows, schema)).collect()), key=str)
+    assert _state_rows(spark, cp, "waiting") == 0
+
+    folder, cp, seen = str(tmp_path / "pieces"), str(tmp_path / "cp2"), {}
+    run = lambda: streams.run_available(streams.assembled_calls(streams.read_files(spark, folder, FRAGMENT)), cp, lambda b, _: seen.update({r.stream_id: r.arguments for r in b.collect()}), "update")
+    _appended(spark, folder, [(1, 0, k, "", "", f"{k};") for k in range(1, 501)], FRAGMENT)
+    run()
+    state = spark.read.format("statestore").option("stateVarName", "done").load(cp).select("value.value.next", F.length("value.value.waiting") > 0).collect()
+    assert [tuple(r) for r in state] == [(0, True)]
+    _appended(spark, folder, [(1, 0, 0, "", "", "0;")], FRAGMENT)
+    run()
+    assert seen == {1: "".join(f"{k};" for k in range(501))}
+
+
 def test_gaps_are_passed_over_in_time(spark, tmp_path):
     schema = "key string, seq bigint, elapsed double"
     folder, cp, got = str(tmp_path / "in"), str(tmp_path / "cp"), []
