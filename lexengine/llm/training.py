@@ -1,15 +1,10 @@
-"""The bounded sample of labelled documents on which classifiers are trained."""
+"""The labels that classifiers are trained on, and a bounded sample of their documents."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
-
 #: Most labelled rows that a classifier is fitted on; taken in the order of a hash of their ids, so the same at every run.
 MAX_TRAINING_ROWS = 6_000
 HELD_OUT = 2
@@ -20,32 +15,22 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
 
 
+def known(labels: DataFrame, target: str) -> DataFrame:
+    """doc_id and label of the labels that may be learned from: none of a held-out id."""
+    return labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(target).cast("int").alias("label"))
+
+
 def sampled(docs: DataFrame, labels: DataFrame, target: str, rare_first: bool = False, rows: int = MAX_TRAINING_ROWS) -> DataFrame:
     """text and label (0 or 1) of at most ``rows`` labels, none of them of a held-out id; ids may be of any type.
 
     With rare_first at most half of the sample has either label.  Several documents of one id are all in the sample.
     """
-    known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(target).cast("int").alias("label"))
+    usable = known(labels, target)
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("label")]
     if rare_first:
         half = rows // 2
-        chosen = known.where("label > 0").orderBy(*by_hash).limit(half).unionByName(known.where("label <= 0").orderBy(*by_hash).limit(half))
+        chosen = usable.where("label > 0").orderBy(*by_hash).limit(half).unionByName(usable.where("label <= 0").orderBy(*by_hash).limit(half))
     else:
-        chosen = known.orderBy(*by_hash).limit(rows)
+        chosen = usable.orderBy(*by_hash).limit(rows)
     # at most MAX_TRAINING_ROWS rows of an id and a number
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("text").cast("string").alias("text"), (F.col("label") > 0).cast("int").alias("label"))
-
-
-def labelled(docs: DataFrame, labels: DataFrame, target: str, make: Callable[[bytes], list[float]], rows: int = MAX_TRAINING_ROWS) -> list[tuple[list[float], int]]:
-    """(features, label) of at most ``rows`` labelled documents, none of them held out.
-
-    Features, a short list of numbers, are made of whole texts on the executors by ``make``; only they come to the driver.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = pa.array([make(t) for t in as_bytes(batch.column("text"))], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([made, batch.column("label").cast(pa.int32())], names=["features", "label"])
-
-    found = sampled(docs, labels, target, rows=rows).mapInArrow(run, "features array<double>, label int").orderBy(F.xxhash64("features"), "features", "label").limit(rows)
-    return [(list(r.features), r.label) for r in found.collect()]

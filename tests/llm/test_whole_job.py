@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lexengine.llm import boosting, decontamination, html_extract, near_dedup, pii, quality_classifier, secrets, toxicity
 from lexengine.llm.common import table
@@ -631,3 +632,34 @@ def test_recall_on_labels_that_are_held_out(spark):
     told = Counter((r.toxic, toxicity.severity((r.text or "").encode(), model)[2]) for r in docs if held(r))
     assert told[1, True] >= 0.9 * (told[1, True] + told[1, False])
     assert told[0, True] <= 0.01 * (told[0, True] + told[0, False])
+
+
+# 5. Quality: all labelled rows are learned from, and all their pairs.
+
+
+def test_quality_is_learned_from_all_labels(spark):
+    # labels beyond the first 6,000 by the hash of their ids were left out
+    rng = random.Random(9)
+    texts = [(i, " ".join("".join(rng.choices(string.ascii_lowercase, k=5 + 4 * (i % 2))) for _ in range(12 + i % 7))) for i in range(9000)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(8)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id bigint, quality int")
+    late = [r.doc_id for r in labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2).orderBy(F.xxhash64("doc_id")).collect()[6000:]]
+    other = labels.withColumn("quality", F.when(F.col("doc_id").isin(late), 1 - F.col("quality")).otherwise(F.col("quality")))
+    one, two = ({r.doc_id: r for r in quality_classifier.score(d, y).collect()} for d, y in ((docs, labels), (docs, other)))
+    assert np.mean([r.predicted == i % 2 for i, r in one.items()]) > 0.95
+    assert len(late) > 500 and np.mean([one[i].score != two[i].score for i in one]) > 0.5
+    assert one == {r.doc_id: r for r in quality_classifier.score(docs.repartition(5), labels).collect()}
+
+
+def test_quality_weights_minimise_the_loss_of_all_pairs():
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 2, 240)
+    x = rng.random((240, quality_classifier.N_FEATURES)) + 0.2 * y[:, None] * rng.random(quality_classifier.N_FEATURES)
+    model = quality_classifier.fit([(list(a), int(b)) for a, b in zip(x, y)])
+    z = (x - np.array(model["centre"])) / np.array(model["scale"])
+    w = np.array(model["weights"])
+    gaps = (z[y == 1][:, None, :] - z[y == 0][None, :, :]).reshape(-1, z.shape[1])
+    p = 1 / (1 + np.exp(-gaps @ w))
+    assert np.abs(gaps.T @ (p - 1) / len(gaps) + quality_classifier.RIDGE * w).max() < 5e-4
+    raw = z @ w
+    assert model["cut"] == pytest.approx(np.quantile(raw, (y == 0).mean()), abs=1e-5) and model["spread"] == pytest.approx(np.quantile(raw, 0.75) - np.quantile(raw, 0.25), abs=1e-5)
