@@ -35,13 +35,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints/lexengine"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to a scratch table and reads it back, which cuts the lineage and survives lost executors."""
+def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Writes df to a scratch table, with options of the writer, and reads it back, which cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     path = "/".join([scratch_dir(spark), app, *_open_scopes(), f"{label}-{uuid.uuid4().hex}"])
     schema = df.schema
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -4,10 +4,11 @@ A page becomes a tree of its block elements; inline elements only add text to th
 that by name, role or class are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
 comments are left out of it.
 
-Wrapper.  Up to four pages of a host are merged into one tree of slots.  Simple tree matching aligns a tree with
-it top down: the children of matched nodes, like siblings as one, are matched in order so that the most nodes
-match; what has no partner becomes a slot of its own.  Every page of the host is then aligned with the wrapper,
-which says for each block in which slot it stands.
+Wrapper.  A page's like siblings become one, and what different shapes the pages of a host then have, all of them, are merged
+into one tree of slots.  Simple tree matching aligns a tree with it top down: the children of matched nodes, like siblings as
+one, are matched in order so that the most nodes match; what has no partner becomes a slot of its own.  About ``FAN`` shapes
+are merged at a time in order of their hashes, then the trees that come of them, until a host has one; each shape's way through
+these merges says for each block in which slot it stands.
 
 Template and content.  Over all pages of a host, equal ones counted once, the pages that hold a block in its slot
 are counted, and a block is constant if two pages and more than ``SHARE`` of all hold it, however many these are.  A slot of
@@ -21,8 +22,10 @@ the article it is in, or narrowed to the articles in it.  Inside one, blocks of
 first and behind the last block that is kept for itself, or where the same text stands outside it too.  A page with nothing in the
 host's content slot gives its articles, or else all that varies.
 
-Plans.  Wrappers and counts are aggregated; no host's pages meet in one task.  What is known of hosts is broadcast
-while it is at most ``MAX_BROADCAST_BYTES``, else joined by host over ``SALTS`` shares of each host's pages.
+Plans.  Pages are parsed once, and their blocks kept in a scratch table.  Shapes and counts are aggregated; no host's pages meet
+in one task.  A host's slots are as many as its different structures have, and the last merge holds them; pages get the slots of
+their own shape only.  What is known of shapes is broadcast while it is at most ``MAX_BROADCAST_BYTES`` and ``MAX_BROADCAST_IDS``
+shapes, else joined by host and shape.
 
 Defined cases: null html is empty and gives empty text; a null url's host is empty; a host's only page varies
 everywhere; if nothing varies, everything counts as varying; an empty table gives no rows; further columns are
@@ -32,11 +35,12 @@ ignored.
 from __future__ import annotations
 
 import html as _html
-import pickle
+import json
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -48,13 +52,12 @@ from .common import as_text, materialise, only
 
 MAX_BROADCAST_BYTES = 32_000_000
 MAX_BROADCAST_IDS = 2_000_000
-SALTS = 16
+#: So many shapes of a host, on average at most, are merged at a time.
+FAN = 64
 #: A block is constant if more than this share of a host's different pages hold it.
 SHARE = 0.5
 #: Share of the varying text that the next slot down must hold to narrow the content slot.
 NARROW = 0.8
-#: Changes the order of hashes, so that the least and the greatest by it are two more references.
-_ORDER = 0x5555555555555555
 
 # Element names of HTML, and names that mark what is not main text.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav noscript object ol option p pre search section select summary svg table tbody td template textarea tfoot th thead title tr ul video audio canvas label".split())
@@ -250,16 +253,18 @@ class Shape:
 
     __slots__ = ("label", "parent", "children", "size", "mark")
 
-    def __init__(self, label: list[str], parent: list[int]) -> None:
+    def __init__(self, label: list[str], parent: list[int], mark: list[str] | None = None, size: list[int] | None = None) -> None:
         self.label, self.parent = label, parent
         self.children: list[list[int]] = [[] for _ in label]
-        self.size = [1] * len(label)
         for i in range(1, len(label)):
             self.children[parent[i]].append(i)
-        for i in range(len(label) - 1, 0, -1):
-            self.size[parent[i]] += self.size[i]
+        if size is None:
+            size = [1] * len(label)
+            for i in range(len(label) - 1, 0, -1):
+                size[parent[i]] += size[i]
+        self.size = size
         # siblings are alike if they have the same label and the same first of their children's labels in order of letters
-        self.mark = [min((label[c] for c in some), default="") for some in self.children]
+        self.mark = mark or [min((label[c] for c in some), default="") for some in self.children]
 
 
 def shape_of(tree: Tree, keep: list[bool]) -> tuple[Shape, list[int]]:
@@ -307,11 +312,26 @@ def _chain(pairs: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
 class Wrapper:
     """The slots of a host's pages: each has a label, a mark, a parent and an order among its siblings."""
 
-    def __init__(self, state: tuple | None = None) -> None:
-        self.label, self.mark, self.parent, self.size, self.children = state or (["#root"], [""], [0], [1], [[]])
-
-    def state(self) -> tuple:
-        return self.label, self.mark, self.parent, self.size, self.children
+    def __init__(self) -> None:
+        self.label, self.mark, self.parent, self.size, self.children = ["#root"], [""], [0], [1], [[]]
+
+    def number(self) -> list[int]:
+        """Numbers the slots in the order of pages, those below a slot right behind it; the new number of each old one."""
+        order, stack = [], [0]
+        while stack:
+            order.append(at := stack.pop())
+            stack.extend(reversed(self.children[at]))
+        new = [0] * len(order)
+        for k, old in enumerate(order):
+            new[old] = k
+        self.label, self.mark, self.size = ([some[old] for old in order] for some in (self.label, self.mark, self.size))
+        self.parent = [new[self.parent[old]] for old in order]
+        self.children = [[new[c] for c in self.children[old]] for old in order]
+        return new
+
+    def shape(self) -> Shape:
+        """Itself as something to be merged; slots must be numbered."""
+        return Shape(self.label, self.parent, self.mark, self.size)
 
     def _match(self, slot: int, groups: list[tuple[tuple[str, str], list[int]]], sizes: list[int]) -> list[int]:
         """The slot of each group of like siblings, -1 for none: in order, so that the most nodes match."""
@@ -353,6 +373,8 @@ class Wrapper:
                 like.setdefault((page.label[c], page.mark[c]), []).append(c)
             groups = list(like.items())
             found = self._match(slot[node], groups, [sum(page.size[c] for c in some) for _, some in groups])
+            behind: dict[int, list[int]] = {}  # new slots, by the matched one before them
+            last = -1
             for i, ((label, mark), some) in enumerate(groups):
                 if found[i] < 0 and grow:
                     found[i] = len(self.label)
@@ -361,12 +383,16 @@ class Wrapper:
                     self.parent.append(slot[node])
                     self.size.append(0)
                     self.children.append([])
-                    kids = self.children[slot[node]]
-                    kids.insert(kids.index(found[i - 1]) + 1 if i else 0, found[i])
+                    behind.setdefault(last, []).append(found[i])
+                else:
+                    last = found[i]
                 if grow:
                     self.size[found[i]] = max(self.size[found[i]], sum(page.size[c] for c in some))
                 for c in some:
                     slot[c] = found[i]
+            if behind:
+                kids = self.children[slot[node]]
+                self.children[slot[node]] = [*behind.get(-1, ()), *(x for k in kids for x in (k, *behind.get(k, ())))]
         return slot
 
 
@@ -379,53 +405,121 @@ def copy_of(text: str) -> int:
     return _signed(xxhash.xxh64_intdigest(text, 42))
 
 
+class Block(NamedTuple):
+    """A block of a page: its node of the page's shape, what it is and stands in, and its text with hash."""
+
+    node: int
+    kind: int
+    hash: int
+    text: str
+
+
+H1, HEADING, IN_ARTICLE, IN_MAIN = 1, 2, 4, 8
+
+
 class Page:
-    """A page's blocks that are kept: (element, slot or that of the nearest element with one, key, text)."""
-
-    def __init__(self, text: str, wrapper: Wrapper | None) -> None:
-        self.tree = tree = parse(text)
-        self.shape, node = shape_of(tree, keep := kept(tree))
-        if wrapper is None:
-            return
-        slot = wrapper.align(self.shape)
-        where: list[int] = [0]
-        path: list[str] = ["0"]
-        for i in range(1, len(slot)):
-            p = self.shape.parent[i]
-            where.append(slot[i] if slot[i] >= 0 else where[p])
-            # nodes without a slot are told apart by their labels below one
-            path.append(str(slot[i]) if slot[i] >= 0 else xxhash.xxh3_64_hexdigest(f"{path[p]}>{self.shape.label[i]}"))
-        self.slot = slot
-        self.blocks = [(i, where[node[i]], _signed(xxhash.xxh3_64_intdigest(f"{path[node[i]]}\0{b}")), b) for i, b in tree.blocks if keep[i]]
-        self.node = node
+    """A page's shape, like siblings as one, as text and with its hash, and the blocks that are kept."""
+
+    __slots__ = ("shape", "id", "blocks")
+
+    def __init__(self, text: str) -> None:
+        tree = parse(text)
+        shape, node = shape_of(tree, keep := kept(tree))
+        own = Wrapper()
+        slot = own.align(shape, grow=True)
+        new = own.number()
+        self.shape = json.dumps([own.label, own.parent])
+        self.id = copy_of(self.shape)
+        kind = [0] * len(tree.name)
+        for i, name in enumerate(tree.name):
+            kind[i] = kind[tree.parent[i]] & (IN_ARTICLE | IN_MAIN) | (IN_ARTICLE if name == "article" else IN_MAIN if name == "main" else HEADING | (name == "h1") * H1 if name in HEADINGS else 0)
+        self.blocks = [Block(new[slot[node[i]]], kind[i], copy_of(b), b) for i, b in tree.blocks if keep[i]]
+
+
+class Known(NamedTuple):
+    """What a page's text depends on beside the slots of its shape: what is known of its host."""
+
+    n: int
+    #: Whether the host's pages are copies, and whether article or main elements hold its content.
+    copies: bool
+    explicit: bool
+    #: Where runs of content slots begin and, before the next begins, end.
+    bounds: list[int]
+    #: Constant blocks as (slot, hash), and those of template slots among them.
+    common: frozenset[tuple[int, int]]
+    template: frozenset[tuple[int, int]]
+
+    def text(self, slots: list[int], blocks: list[Block]) -> str:
+        """The main text of one of the host's pages."""
+        at = [slots[b.node] for b in blocks]
+        within = [bisect_right(self.bounds, s) % 2 == 1 for s in at]
+        first = next((k for k, w in enumerate(within) if w), None)
+        if first is None:
+            return "\n".join(self._apart(at, blocks))
+        fixed = [not self.copies and (s, b.hash) in self.template for s, b in zip(at, blocks)]
+        if self.explicit:
+            own = [k for k, w in enumerate(within) if w and not fixed[k]]
+            outside = {b.text for w, b in zip(within, blocks) if not w}
+            for k in range(own[0], own[-1]) if own else ():
+                fixed[k] = fixed[k] and blocks[k].text in outside
+        for k in range(len(fixed) - 2, -1, -1):
+            # a heading goes with what it is above
+            if fixed[k] and within[k] and within[k + 1] and not fixed[k + 1] and blocks[k].kind & HEADING:
+                fixed[k] = False
+        out = []
+        for k, b in enumerate(blocks):
+            if within[k]:
+                if not fixed[k]:
+                    out.append(b.text)
+            elif k < first and b.kind & HEADING and (at[k], b.hash) not in self.common and (self.n > 1 or b.kind & H1):
+                if not self.explicit:
+                    out.append(b.text)
+        return "\n".join(out)
+
+    def _apart(self, at: list[int], blocks: list[Block]) -> list[str]:
+        """Blocks of a page with nothing in the host's content slot."""
+        varying = [b for s, b in zip(at, blocks) if (s, b.hash) not in self.common]
+        for kind in (IN_ARTICLE, IN_MAIN):
+            if own := [b.text for b in varying if b.kind & kind]:
+                return own
+        return [b.text for b in varying]
 
 
 class Model:
-    """What is known of a host: its number of pages, wrapper, text by slot as (slot, varying, all), and template blocks."""
+    """What is known of a host: its number of pages, wrapper, text by slot as (slot, varying, all), constant blocks, and slots by shape."""
 
-    def __init__(self, n: int, wrapper: Wrapper, masses: list[tuple[int, int, int]], common: frozenset[int]) -> None:
-        self.n, self.wrapper = n, wrapper
-        slots = len(wrapper.label)
-        own, every = [0] * slots, [0] * slots
+    def __init__(self, n: int, wrapper: Shape, masses: list[tuple[int, int, int]], common: set[tuple[int, int]], slots: dict[int, list[int]] | None = None) -> None:
+        self.wrapper, self.slots = wrapper, slots or {}
+        size = len(wrapper.label)
+        own, every = [0] * size, [0] * size
         for slot, varying, all_ in masses:
             own[slot], every[slot] = varying, all_
-        self.all_constant = not any(own)
-        self.own = own = every if self.all_constant else own
-        self.common = frozenset() if self.all_constant else common
-        below, all_below = list(own), list(every)
-        for s in range(slots - 1, 0, -1):
-            below[wrapper.parent[s]] += below[s]
-            all_below[wrapper.parent[s]] += all_below[s]
+        all_constant = not any(own)
+        own = every if all_constant else own
+        common = frozenset() if all_constant else frozenset(common)
+        below, all_below, end = list(own), list(every), list(range(1, size + 1))
+        for s in range(size - 1, 0, -1):
+            p = wrapper.parent[s]
+            below[p] += below[s]
+            all_below[p] += all_below[s]
+            end[p] = max(end[p], end[s])
         top, kids = 0, wrapper.children
         while kids[top]:
             inner = max(kids[top], key=lambda k: below[k])
             if below[inner] < NARROW * below[0] or not kids[inner]:
                 break
             top = inner
-        self.content = self._settled(top, below)
-        whole = sum(all_below[s] for s in self.content)
-        #: Pages that are nearly the same all over are copies, not made from a template.
-        self.copies = sum(below[s] for s in self.content) < (1 - NARROW) * whole
+        content = sorted(self._settled(top, below))
+        bounds: list[int] = []
+        for s in content:
+            if bounds and bounds[-1] == s:
+                bounds[-1] = end[s]
+            else:
+                bounds += [s, end[s]]
+        # pages that are nearly the same all over are copies, not made from a template
+        copies = sum(below[s] for s in content) < (1 - NARROW) * sum(all_below[s] for s in content)
+        explicit = any(wrapper.label[s].split(".")[0] in ("article", "main") for s in content)
+        self.known = Known(n, copies, explicit, bounds, common, frozenset(x for x in common if own[x[0]] == 0))
 
     def _settled(self, top: int, below: list[int]) -> set[int]:
         """The content slots: the one found, unless article or main elements settle it otherwise."""
@@ -453,81 +547,64 @@ class Model:
                 return within
         return {top}
 
-    def template(self, slot: int, key: int) -> bool:
-        return key in self.common and self.own[slot] == 0
-
     def text(self, html: str) -> str:
         """The main text of one of the host's pages."""
-        page = Page(html, self.wrapper)
-        inside = [False] * len(page.slot)
-        for i, s in enumerate(page.slot):
-            inside[i] = s in self.content or (i > 0 and inside[page.shape.parent[i]])
-        within = [inside[page.node[i]] for i, *_ in page.blocks]
-        first = next((k for k, w in enumerate(within) if w), None)
-        if first is None:
-            return "\n".join(self._apart(page))
-        fixed = [not self.copies and self.template(slot, key) for _, slot, key, _ in page.blocks]
-        explicit = any(self.wrapper.label[s].split(".")[0] in ("article", "main") for s in self.content)
-        if explicit:
-            own = [k for k, w in enumerate(within) if w and not fixed[k]]
-            outside = {block for w, (*_, block) in zip(within, page.blocks) if not w}
-            for k in range(own[0], own[-1]) if own else ():
-                fixed[k] = fixed[k] and page.blocks[k][3] in outside
-        for k in range(len(fixed) - 2, -1, -1):
-            # a heading goes with what it is above
-            if fixed[k] and within[k] and within[k + 1] and not fixed[k + 1] and page.tree.name[page.blocks[k][0]] in HEADINGS:
-                fixed[k] = False
-        out = []
-        for k, (i, slot, key, block) in enumerate(page.blocks):
-            if within[k]:
-                if not fixed[k]:
-                    out.append(block)
-            elif k < first and page.tree.name[i] in HEADINGS and key not in self.common and (self.n > 1 or page.tree.name[i] == "h1"):
-                if not explicit:
-                    out.append(block)
-        return "\n".join(out)
-
-    def _apart(self, page: Page) -> list[str]:
-        """Blocks of a page with nothing in the host's content slot."""
-        varying = [(i, b) for i, _, key, b in page.blocks if key not in self.common]
-        for kind in ("article", "main"):
-            inside = [False] * len(page.tree.name)
-            for i, name in enumerate(page.tree.name):
-                inside[i] = name == kind or inside[page.tree.parent[i]]
-            if own := [b for i, b in varying if inside[i]]:
-                return own
-        return [b for _, b in varying]
-
-
-def references(copies: list[int]) -> list[int]:
-    """Of the pages of a host, those that the wrapper is made of."""
-    turned = [c ^ _ORDER for c in copies]
-    return sorted({min(copies), max(copies), min(turned) ^ _ORDER, max(turned) ^ _ORDER})
+        page = Page(html)
+        return self.known.text(self.slots[page.id], page.blocks)
 
 
-def merged(shapes: list[Shape]) -> Wrapper:
+def merged(shapes: list[Shape]) -> tuple[Wrapper, list[list[int]]]:
+    """One tree of slots of all shapes, and the slots of each shape's nodes."""
     out = Wrapper()
-    for s in shapes:
-        out.align(s, grow=True)
-    return out
+    slots = [out.align(s, grow=True) for s in shapes]
+    new = out.number()
+    return out, [[new[s] for s in some] for some in slots]
+
+
+def merges(n: int) -> int:
+    """How many times shapes are merged until n have become one."""
+    k = 1
+    while FAN**k < n:
+        k += 1
+    return k
+
+
+def wrapper_of(shapes: dict[int, Shape]) -> tuple[Shape, dict[int, list[int]]]:
+    """The wrapper of a host's shapes, in memory, and the slots of each."""
+    slots = {i: list(range(len(s.label))) for i, s in shapes.items()}
+    place = {i: i for i in shapes}
+    for k in range(merges(len(shapes)) - 1, -1, -1):
+        buckets = defaultdict(list)
+        for i in sorted(shapes):
+            buckets[i % FAN**k].append(i)
+        made, found = {}, {}
+        for bucket, ids in buckets.items():
+            wrapper, each = merged([shapes[i] for i in ids])
+            made[bucket] = wrapper.shape()
+            found |= {i: (bucket, x) for i, x in zip(ids, each)}
+        for i in slots:
+            place[i], above = found[place[i]]
+            slots[i] = [above[s] for s in slots[i]]
+        shapes = made
+    return shapes[0], slots
 
 
 def learn(htmls: list[str]) -> Model:
     """The model of a host from all its pages, in memory."""
-    by_copy = {copy_of(x): x for x in htmls}
-    wrapper = merged([Page(by_copy[c], None).shape for c in references(list(by_copy))])
-    held, n = Counter(), len(by_copy)
-    for x in by_copy.values():
-        held.update({(key, slot, len(b)) for _, slot, key, b in Page(x, wrapper).blocks})
+    pages = list({copy_of(x): Page(x) for x in htmls}.values())
+    wrapper, slots = wrapper_of({p.id: Shape(*json.loads(p.shape)) for p in pages})
+    held, n = Counter(), len(pages)
+    for p in pages:
+        held.update({(slots[p.id][b.node], b.hash, len(b.text)) for b in p.blocks})
     common, masses = set(), defaultdict(lambda: [0, 0])
-    for (key, slot, size), k in held.items():
+    for (slot, key, size), k in held.items():
         constant = k >= 2 and k > SHARE * n
         masses[slot][1] += k * size
         if constant:
-            common.add(key)
+            common.add((slot, key))
         else:
             masses[slot][0] += k * size
-    return Model(n, wrapper, [(s, a, b) for s, (a, b) in masses.items()], frozenset(common))
+    return Model(n, wrapper, [(s, a, b) for s, (a, b) in masses.items()], common, slots)
 
 
 def extract(text: str, others: list[str]) -> str:
@@ -540,104 +617,150 @@ def _host() -> Column:
     return F.lower(F.regexp_extract(F.coalesce(rest, F.lit("")), r"(?s)^([^/?#]*)", 1))
 
 
-def _beside(rows: DataFrame, hosts: DataFrame, names: list[str], n_bytes: Column) -> tuple[DataFrame, Callable]:
-    """The rows, and a function from a batch of them to what ``hosts`` holds of each row's host."""
-    size = hosts.agg(F.coalesce(F.sum(n_bytes), F.lit(0)).alias("n")).first().n
-    if size <= MAX_BROADCAST_BYTES:
-        held = rows.sparkSession.sparkContext.broadcast({r.host: tuple(r[n] for n in names) for r in hosts.collect()})
-        return rows, lambda batch: [held.value[h] for h in batch.column("host").to_pylist()]
-    salted = hosts.select("host", *names, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "copy"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left").drop("salt")
-    return joined, lambda batch: list(zip(*(batch.column(n).to_pylist() for n in names)))
-
-
-def _wrappers(pages: DataFrame) -> DataFrame:
-    """host, its number of different pages and its wrapper, as a scratch table."""
-    turned = F.col("copy").bitwiseXOR(F.lit(_ORDER))
-    each = pages.select("host", "copy").distinct()
-    chosen = each.groupBy("host").agg(
-        F.count(F.lit(1)).alias("size"), F.array_distinct(F.array(F.min("copy"), F.max("copy"), F.min(turned).bitwiseXOR(F.lit(_ORDER)), F.max(turned).bitwiseXOR(F.lit(_ORDER)))).alias("copies")
-    )
-    chosen = materialise(chosen, "references")
-    wanted = chosen.select("host", F.explode("copies").alias("copy"))
-    if chosen.count() * 4 <= MAX_BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-
-    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [merged([Page(t, None).shape]) for t in as_text(batch.column("html"))]
-            made = [pickle.dumps((w.label, w.parent)) for w in made]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("copy"), pa.array(made, pa.binary())], names=["host", "copy", "shape"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [pickle.dumps(merged([Shape(*pickle.loads(r["shape"])) for r in some]).state()) for some in batch.column("shapes").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(made, pa.binary())], names=["host", "wrapper"])
-
-    # copies of a reference are dropped on the map side
-    some = pages.join(wanted, ["host", "copy"], "left_semi").groupBy("host", "copy").agg(F.first("html").alias("html"))
-    found = some.mapInArrow(shapes, "host string, copy long, shape binary")
-    found = found.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("copy", "shape"))).alias("shapes")).mapInArrow(merge, "host string, wrapper binary")
-    return materialise(found.join(chosen.select("host", "size"), "host"), "wrappers")
-
-
-def _models(pages: DataFrame) -> DataFrame:
-    """host, size, wrapper, masses by slot and template blocks, one row per host, as a scratch table."""
-    wrappers = _wrappers(pages)
-    rows, of = _beside(pages.select("page_id", "host", "copy", "html"), wrappers, ["wrapper"], F.length("wrapper"))
+def _parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, copy, shape with its hash, and the blocks of each page, as a scratch table."""
+    blocks = "shape string, shape_id long, nodes array<int>, kinds array<int>, hashes array<long>, lengths array<int>, texts array<string>"
+    schema = T.StructType([pages.schema["page_id"], *T._parse_datatype_string(f"url string, host string, copy long, {blocks}")])
+    types = [pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, Wrapper] = {}
         for batch in batches:
-            hosts, copies, keys, slots, sizes = [], [], [], [], []
-            for host, copy, text, (state,) in zip(batch.column("host").to_pylist(), batch.column("copy").to_pylist(), as_text(batch.column("html")), of(batch)):
-                if state not in cache:
-                    if len(cache) > 512:
-                        cache.clear()
-                    cache[state] = Wrapper(pickle.loads(state))
-                for key, slot, size in sorted({(key, slot, len(b)) for _, slot, key, b in Page(text, cache[state]).blocks}):
-                    hosts.append(host)
-                    copies.append(copy)
-                    keys.append(key)
-                    slots.append(slot)
-                    sizes.append(size)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (copies, keys, slots, sizes))], names=["host", "copy", "key", "slot", "length"])
-
-    held = rows.mapInArrow(run, "host string, copy long, key long, slot long, length long").distinct()
+            made = []
+            for text in as_text(batch.column("html")):
+                page = Page(text)
+                node, kind, hash_, words = zip(*page.blocks) if page.blocks else ((), (), (), ())
+                made.append((page.shape, page.id, node, kind, hash_, tuple(map(len, words)), words))
+            columns = [pa.array(x, t) for x, t in zip(zip(*made) if made else [()] * len(types), types)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url").cast(pa.string()), batch.column("host"), batch.column("copy"), *columns], names=schema.names)
+
+    return materialise(pages.select("page_id", "url", "host", "copy", "html").mapInArrow(run, schema), "parsed-pages", compression="zstd")
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merges the shapes of each host and bucket, which come in order of buckets and ids; only one's tree of slots is held."""
+    names = ["host", "depth", "bucket", "shape", "ids", "slots"]
+    types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32()))]
+    at, tree, ids, slots = None, Wrapper(), [], []
+
+    def close() -> tuple:
+        new = tree.number()
+        return *at, json.dumps([tree.label, tree.parent, tree.mark, tree.size]), ids, [[new[s] for s in some] for some in slots]
+
+    for batch in batches:
+        done = []
+        for host, depth, bucket, id_, shape in zip(*(batch.column(n).to_pylist() for n in ("host", "depth", "bucket", "id", "shape"))):
+            if (host, depth, bucket) != at:
+                if at:
+                    done.append(close())
+                at, tree, ids, slots = (host, depth, bucket), Wrapper(), [], []
+            ids.append(id_)
+            slots.append(tree.align(Shape(*json.loads(shape)), grow=True))
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done), types)], names=names)
+    if at:
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*[close()]), types)], names=names)
+
+
+def _wrappers(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """host and its wrapper; host, shape_id and the slots of the shape's nodes."""
+    shapes = materialise(parsed.select("host", F.col("shape_id").alias("id"), "shape").distinct(), "shapes")
+    counts = shapes.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    steps = merges(counts.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first().n)
+    depth = sum(((F.col("n") > FAN**k).cast("int") for k in range(1, steps)), F.lit(1))
+    rows = shapes.join(counts.select("host", depth.alias("depth")), "host")
+    powers = F.array(*[F.lit(FAN**k).cast("long") for k in range(steps)])
+    wrappers, placed = None, None
+    for k in range(1, steps + 1):
+        rows = rows.withColumn("bucket", F.pmod("id", F.element_at(powers, F.col("depth") - k + 1))).select("host", "depth", "bucket", "id", "shape")
+        rows = rows.repartition("host", "bucket").sortWithinPartitions("host", "bucket", "id")
+        made = materialise(rows.mapInArrow(_merge, "host string, depth int, bucket long, shape string, ids array<long>, slots array<array<int>>"), "merged-shapes")
+        each = made.select("host", "bucket", F.explode(F.arrays_zip("ids", "slots")).alias("x")).select("host", F.col("x.ids").alias("id"), "bucket", F.col("x.slots").alias("slots"))
+        if placed is None:
+            placed = each.withColumnRenamed("id", "shape_id")
+        else:
+            above = each.select("host", F.col("id").alias("bucket"), F.col("bucket").alias("next"), F.col("slots").alias("above"))
+            composed = F.when(F.col("next").isNull(), F.col("slots")).otherwise(F.expr("transform(slots, s -> above[s])"))
+            placed = placed.join(above, ["host", "bucket"], "left").select("host", "shape_id", F.coalesce("next", "bucket").alias("bucket"), composed.alias("slots"))
+        done = made.where(F.col("depth") == k).select("host", F.col("shape").alias("wrapper"))
+        wrappers = done if wrappers is None else wrappers.unionByName(done)
+        rows = made.where(F.col("depth") > k).select("host", "depth", F.col("bucket").alias("id"), "shape")
+    placed = placed.select("host", "shape_id", "slots")
+    return wrappers, placed if steps == 1 else materialise(placed, "slots")
+
+
+def _known(parsed: DataFrame, wrappers: DataFrame, placed: DataFrame) -> DataFrame:
+    """What is known of each host, as a scratch table."""
+    # a table of its own, so that Spark broadcasts it while it is small and no host's counts are dealt to one task
+    sizes = materialise(parsed.select("host", "copy").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    found = parsed.select("host", "copy", "shape_id", F.explode(F.arrays_zip("nodes", "hashes", "lengths")).alias("x")).join(placed, ["host", "shape_id"])
+    held = found.select("host", "copy", F.col("slots")[F.col("x.nodes")].alias("slot"), F.col("x.hashes").alias("key"), F.col("x.lengths").alias("length")).distinct()
     # a table of its own, so that Spark can split the join's partition of a host with a third of all rows
-    held = materialise(held.groupBy("host", "key", "slot", "length").agg(F.count(F.lit(1)).alias("n")), "slot-counts")
+    held = materialise(held.groupBy("host", "slot", "key", "length").agg(F.count(F.lit(1)).alias("n")), "slot-counts")
     n, size = F.col("n"), F.col("size")
     constant = (n >= 2) & (n > SHARE * size)
-    judged = held.join(wrappers.select("host", "size"), "host").withColumn("constant", constant)
+    judged = held.join(sizes, "host").withColumn("constant", constant)
     mass = F.col("n") * F.col("length")
     masses = judged.groupBy("host", "slot").agg(F.sum(F.when(~F.col("constant"), mass).otherwise(0)).alias("varying"), F.sum(mass).alias("every"))
     masses = masses.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "varying", "every"))).alias("masses"))
     # half of a host's pages hold each of these blocks, so there are at most twice as many as a page has blocks
-    common = judged.where("constant").groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("common"))
-    return materialise(wrappers.join(masses, "host", "left").join(common, "host", "left"), "models")
+    common = judged.where("constant").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "key"))).alias("common"))
+    pairs = "array<struct<slot:int,key:long>>"
+    of_pair = pa.list_(pa.struct([("slot", pa.int32()), ("key", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for size, wrapper, masses, common in zip(*(batch.column(n).to_pylist() for n in ("size", "wrapper", "masses", "common"))):
+                masses = [(m["slot"], m["varying"], m["every"]) for m in masses or ()]
+                known = Model(size, Shape(*json.loads(wrapper)), masses, {(c["slot"], c["key"]) for c in common or ()}).known
+                made.append((*known[:4], *([{"slot": s, "key": k} for s, k in sorted(some)] for some in known[4:])))
+            types = [pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int32()), of_pair, of_pair]
+            columns = [pa.array(x, t) for x, t in zip(zip(*made) if made else [()] * len(types), types)]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), *columns], names=["host", *Known._fields])
+
+    hosts = wrappers.join(sizes, "host").join(masses, "host", "left").join(common, "host", "left")
+    return materialise(hosts.mapInArrow(run, f"host string, n long, copies boolean, explicit boolean, bounds array<int>, common {pairs}, template {pairs}"), "known")
+
+
+def _beside(rows: DataFrame, placed: DataFrame, known: DataFrame) -> tuple[DataFrame, Callable]:
+    """The rows, and a function from a batch of them to each row's slots and what is known of its host."""
+    names = list(Known._fields)
+    # about what these take in Python
+    shapes = placed.agg(F.coalesce(F.sum(8 * F.size("slots") + 200), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    hosts = known.agg(F.coalesce(F.sum(8 * F.size("bounds") + 200 * (F.size("common") + F.size("template")) + 800), F.lit(0)).alias("bytes")).first()
+    if shapes.bytes + hosts.bytes <= MAX_BROADCAST_BYTES and shapes.rows <= MAX_BROADCAST_IDS:
+        slots = {(r.host, r.shape_id): r.slots for r in placed.collect()}
+        held = rows.sparkSession.sparkContext.broadcast((slots, {r.host: tuple(r[n] for n in names) for r in known.collect()}))
+
+        def of(batch: pa.RecordBatch) -> list[tuple]:
+            return [(held.value[0][k], *held.value[1][k[0]]) for k in zip(batch.column("host").to_pylist(), batch.column("shape_id").to_pylist())]
+
+        return rows, of
+    joined = rows.join(placed.join(known, "host"), ["host", "shape_id"], "left")
+    return joined, lambda batch: list(zip(*(batch.column(n).to_pylist() for n in ("slots", *names))))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars, per page."""
     slim = only(pages, "page_id", "url", "html")
-    slim = slim.withColumn("host", _host()).withColumn("copy", F.xxhash64(F.coalesce("html", F.lit(""))))
-    models = _models(slim)
+    parsed = _parsed(slim.withColumn("host", _host()).withColumn("copy", F.xxhash64(F.coalesce("html", F.lit("")))))
     schema = T.StructType([slim.schema["page_id"], *T._parse_datatype_string("url string, text string, n_chars long")])
-    n_bytes = F.length("wrapper") + 24 * F.coalesce(F.size("masses"), F.lit(0)) + 8 * F.coalesce(F.size("common"), F.lit(0))
-    rows, of = _beside(slim, models, ["size", "wrapper", "masses", "common"], n_bytes)
+    wrappers, placed = _wrappers(parsed)
+    rows = parsed.select("page_id", "url", "host", "shape_id", "nodes", "kinds", "hashes", "texts")
+    rows, of = _beside(rows, placed, _known(parsed, wrappers, placed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, Model] = {}
+        cache: dict[str, Known] = {}
         for batch in batches:
             out = []
-            for host, text, known in zip(batch.column("host").to_pylist(), as_text(batch.column("html")), of(batch)):
+            columns = (batch.column(n).to_pylist() for n in ("host", "nodes", "kinds", "hashes", "texts"))
+            for host, *blocks, (slots, *known) in zip(*columns, of(batch)):
                 if host not in cache:
                     if len(cache) > 512:
                         cache.clear()
-                    size, wrapper, masses, common = known
-                    masses = [tuple(m.values()) if isinstance(m, dict) else tuple(m) for m in masses or ()]
-                    cache[host] = Model(size, Wrapper(pickle.loads(wrapper)), masses, frozenset(common or ()))
-                out.append(cache[host].text(text))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url").cast(pa.string()), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+                    common, template = (frozenset((c["slot"], c["key"]) for c in some) for some in known[4:])
+                    cache[host] = Known(*known[:4], common, template)
+                out.append(cache[host].text(slots, [Block(*b) for b in zip(*blocks)]))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, schema)

@@ -337,6 +337,43 @@ def test_models_of_the_tables_equal_those_in_memory(spark):
         assert len(got) == len(rows) and all(r.text == want[r.html] for r in got)
 
 
+def test_wrappers_are_made_of_all_shapes(spark):
+    # of two kinds of pages the four of least and greatest hashes are plain; what only the others have is in slots of its own too
+    body = "<div>Menu</div><div class=k><h1>Title {0}</h1><p>Text {0}, long enough to say where content is, and {0} again</p>{1}</div><div>By {0}</div>"
+    every = [body.format(i, "") for i in range(400)]
+    turned = lambda x: html_extract.copy_of(x) ^ 0x5555555555555555
+    plain = {f(every, key=key) for f in (min, max) for key in (html_extract.copy_of, turned)}
+    bounds = [(f(map(key, every)), key) for f in (min, max) for key in (html_extract.copy_of, turned)]
+    more = [body.format(f"m{i}", f"<div><p>Posted by m{i}</p></div><section><p>Tell your friends</p></section>") for i in range(12)]
+    more = [x for x in more if all(low <= key(x) for low, key in bounds[:2]) and all(key(x) <= high for high, key in bounds[2:])]
+    assert len(more) > len(plain)
+    model = html_extract.learn([*plain, *more])
+    assert all("Posted by" in model.text(x) and "Tell your friends" not in model.text(x) for x in more)
+    got = extracted(spark, [*plain, *more])
+    assert [got[i] for i in range(len(got))] == [model.text(x).split("\n") for x in [*plain, *more]]
+
+
+def test_shapes_merged_in_several_steps(spark, monkeypatch):
+    rng = random.Random(6)
+    rows, want = [], {}
+    monkeypatch.setattr(html_extract, "FAN", 2)
+    for host, n in (("a.com", 23), ("b.com", 4), ("c.com", 1)):
+        own = []
+        for i in range(n):
+            parts = [f"<div class={c}><p>{c} of {host}</p><p>{c} {i}</p></div>" for c in "abcdef" if rng.random() < 0.6]
+            own.append(f"<div>Menu</div><div class=k>{''.join(parts)}<p>Text {i} of it</p></div><div><p>All rights</p></div>")
+        model = html_extract.learn(own)
+        want |= {x: model.text(x) for x in own}
+        # slots differ only where labels do, and nodes of a shape without like siblings have slots of their own
+        assert len(model.slots) == len({re.sub(r">[^<]+<", "><", x) for x in own}) and all(len(set(x)) == len(x) for x in model.slots.values())
+        rows += [(len(rows) + k, f"https://{host}/{k}", x) for k, x in enumerate(own)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for bound in (html_extract.MAX_BROADCAST_BYTES, -1):
+        monkeypatch.setattr(html_extract, "MAX_BROADCAST_BYTES", bound)
+        got = {r.page_id: r.text for r in html_extract.extract_text(pages).collect()}
+        assert got == {i: want[x] for i, _, x in rows}
+
+
 def brute_chain(pairs):
     best = (0, [])
     for k in range(1 << len(pairs)):
